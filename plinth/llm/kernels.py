@@ -21,14 +21,20 @@ _P_INV = pow(_P, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bytes that part tokens: blank, and \x09-\x0D.
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Classes of bytes: 0 parts tokens, and a token holds bytes of one class.
+
+#: Blank and \x09-\x0D part tokens.
+SPACE = np.ones(256, dtype=np.uint8)
+SPACE[[0x20, *range(0x09, 0x0E)]] = 0
 
 #: Bytes (after lower-casing) that part words made of digits, letters and anything outside ASCII.
-NON_WORD = np.zeros(256, dtype=bool)
+NON_WORD = np.ones(256, dtype=np.uint8)
 for _a, _b in ((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)):
-    NON_WORD[_a : _b + 1] = True
+    NON_WORD[_a : _b + 1] = 0
+
+#: Runs of letters, digits and bytes outside ASCII are tokens, and so are runs of marks.
+WORDS_AND_MARKS = SPACE * np.uint8(2)
+WORDS_AND_MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
 
 
 @lru_cache(maxsize=1)
@@ -74,25 +80,26 @@ def text_chunks(column, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarra
 
 
 class Tokens:
-    """Tokens of a chunk: ``start`` and ``end`` byte positions, ``doc`` (row in the chunk) and ``first`` (first token of each row, one more at the end)."""
+    """Tokens of a chunk: ``start`` and ``end`` byte positions, ``kind`` (class), ``doc`` (row in the chunk) and ``first`` (first token of each row, one more at the end)."""
 
-    __slots__ = ("data", "doc", "end", "first", "start")
+    __slots__ = ("data", "doc", "end", "first", "kind", "start")
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, parts: np.ndarray, lower: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, classes: np.ndarray, lower: bool = True):
         data = LOWER[data] if lower else data
         n = len(data)
-        word = np.empty(n + 2, dtype=bool)
-        word[0] = word[-1] = False
-        np.logical_not(parts[data], out=word[1:-1])
-        begins = word[1:-1] & ~word[:-2]
+        kind = np.zeros(n + 2, dtype=np.uint8)
+        kind[1:-1] = classes[data]
+        own = kind[1:-1]
+        begins = (own != 0) & (own != kind[:-2])
+        ends = (own != 0) & (own != kind[2:])
         inner = offs[1:-1]
         inner = inner[(inner > 0) & (inner < n)]
-        begins[inner] = word[inner + 1]
-        ends = word[1:-1] & ~word[2:]
-        ends[inner - 1] = word[inner]
+        begins[inner] = own[inner] != 0
+        ends[inner - 1] = own[inner - 1] != 0
         self.data = data
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
+        self.kind = own[self.start]
         self.first = np.searchsorted(self.start, offs)
         self.doc = np.repeat(np.arange(len(offs) - 1), np.diff(self.first))
 

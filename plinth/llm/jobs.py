@@ -59,3 +59,13 @@ def partitions(spark: SparkSession) -> int:
     with contextlib.suppress(ValueError, TypeError):
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return 200
+
+
+def with_doc_key(docs: DataFrame) -> DataFrame:
+    """``docs(doc_id, text)`` with ``copy``, a hash of the text: two texts under one doc_id stay apart, repeated rows are one document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+
+
+def attach(docs: DataFrame, found: DataFrame, on: list[str], entries: int) -> DataFrame:
+    """Left join of what was found for some documents: ``found`` is broadcast when its counted entries are few, and the texts stay where they are."""
+    return docs.join(F.broadcast(found) if entries <= BROADCAST_IDS else found, on, "left")

@@ -140,3 +140,15 @@ def shingle_sets(words: Tokens, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+#: Line feeds part lines; a text's lines are its runs of other bytes.
+LINES = np.ones(256, dtype=np.uint8)
+LINES[0x0A] = 0
+
+
+def filled(t: Tokens) -> np.ndarray:
+    """For each token, whether it holds a byte that is not white space."""
+    seen = np.zeros(len(t.data) + 1, np.int64)
+    np.cumsum(SPACE[t.data], out=seen[1:])
+    return seen[t.end] > seen[t.start]

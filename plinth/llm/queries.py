@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import ngram_join, quality
+from plinth.llm import line_dedup, ngram_join, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +17,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), deleted="n_deleted").select("doc_id", "n_deleted", "text")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op6_line_dedup": op6_line_dedup,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -31,7 +36,19 @@ w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
 n AS (SELECT w.doc_id, count(s.s) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY 1)"""
 
+#: Lines that are not blank, by place; pairs of neighbours that an earlier place has too; their lines go.
+_LINE_DEDUP = r"""
+raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {docs} WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, line, k, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p FROM raw WHERE NOT regexp_full_match(line, '[\x20\x09-\x0D]*')),
+pr AS (SELECT a.doc_id, a.p, a.line AS l1, b.line AS l2 FROM ln a JOIN ln b ON a.doc_id = b.doc_id AND b.p = a.p + 1),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY l1, l2 ORDER BY doc_id, p) AS n FROM pr) WHERE n > 1),
+gone AS (SELECT doc_id, p FROM later UNION SELECT doc_id, p + 1 FROM later),
+kept AS (SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.k) FILTER (WHERE g.p IS NULL) AS text, count(g.p) AS n_deleted FROM raw LEFT JOIN ln USING (doc_id, k) LEFT JOIN gone g ON g.doc_id = ln.doc_id AND g.p = ln.p GROUP BY 1)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": f"""
+WITH {_LINE_DEDUP.format(docs="documents")}
+SELECT d.doc_id, coalesce(k.n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM documents d LEFT JOIN kept k USING (doc_id)""",
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),

@@ -31,6 +31,11 @@ def semi(df: DataFrame, keys: DataFrame, on: str, size: int | None = None) -> Da
     return df.join(F.broadcast(keys) if n <= BROADCAST_IDS else keys.hint("shuffle_hash"), on, "left_semi")
 
 
+def anti(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` without those whose ``on`` is in ``keys`` (computed once), which is broadcast only behind its count."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges(a, b)``; comp is the smallest node reachable.
 

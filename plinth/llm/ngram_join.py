@@ -271,5 +271,5 @@ def verify_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without those of which a near copy with a smaller id is there (rows without an id stay)."""
-    drop = near_copies(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    drop = jobs.cut(near_copies(docs, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct())
+    return jobs.anti(docs, drop, id_col)

@@ -135,3 +135,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     weights = fit(docs, labels.where(~held))
     return score(docs, weights).select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels.where(~held)))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offs in text_chunks(batch.column(text)):
+                yield batch.slice(a, b - a).filter(pa.array(_sigmoid(margins(data, offs, shared.value)) >= threshold))
+
+    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)

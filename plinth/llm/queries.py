@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import line_dedup, ngram_join, quality
+from plinth.llm import decontaminate, line_dedup, ngram_join, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +17,27 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), deleted="n_deleted").select("doc_id", "n_deleted", "text")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
+    "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
@@ -45,7 +55,24 @@ later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION
 gone AS (SELECT doc_id, p FROM later UNION SELECT doc_id, p + 1 FROM later),
 kept AS (SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.k) FILTER (WHERE g.p IS NULL) AS text, count(g.p) AS n_deleted FROM raw LEFT JOIN ln USING (doc_id, k) LEFT JOIN gone g ON g.doc_id = ln.doc_id AND g.p = ln.p GROUP BY 1)"""
 
+#: Every window that shares a shingle's place with an item, held against the item itself.
+_LEAKS = r"""
+dw AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
+bw AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL),
+ds AS (SELECT doc_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM dw WHERE len(w) >= 5),
+bs AS (SELECT item_id, len(w) AS n, unnest(range(0, len(w) - 4)) AS p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM bw WHERE len(w) >= 5),
+win AS (SELECT DISTINCT ds.doc_id, bs.item_id, greatest(0, least(ds.p - bs.p, ds.n - bs.n)) AS start, bs.n AS len FROM ds JOIN bs USING (s)),
+wc AS (SELECT win.doc_id, win.item_id, win.start, ds.s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.p BETWEEN win.start AND win.start + win.len - 5 GROUP BY ALL),
+wn AS (SELECT doc_id, item_id, start, sum(c) AS n FROM wc GROUP BY ALL),
+bc AS (SELECT item_id, s, count(*) AS c FROM bs GROUP BY ALL),
+bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+com AS (SELECT wc.doc_id, wc.item_id, wc.start, sum(least(wc.c, bc.c)) AS c FROM wc JOIN bc USING (item_id, s) GROUP BY ALL),
+sim AS (SELECT com.doc_id, com.item_id, com.start, com.c / (wn.n + bn.n - com.c) AS sim FROM com JOIN wn USING (doc_id, item_id, start) JOIN bn USING (item_id))"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": f"""
+WITH {_LEAKS.format()}
+SELECT doc_id, item_id, max(sim) AS similarity, CAST(arg_min(start, struct_pack(a := -sim, b := start)) AS BIGINT) AS first_word FROM sim WHERE sim >= 0.75 GROUP BY 1, 2""",
     "op6_line_dedup": f"""
 WITH {_LINE_DEDUP.format(docs="documents")}
 SELECT d.doc_id, coalesce(k.n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM documents d LEFT JOIN kept k USING (doc_id)""",

@@ -152,3 +152,22 @@ def filled(t: Tokens) -> np.ndarray:
     seen = np.zeros(len(t.data) + 1, np.int64)
     np.cumsum(SPACE[t.data], out=seen[1:])
     return seen[t.end] > seen[t.start]
+
+
+def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run ``h[start:end]`` of values, whatever its length."""
+    p, q = _powers(max(2 * CHUNK, 1 << int(len(h) + 1).bit_length()))
+    sums = np.zeros(len(h) + 1, dtype=U64)
+    np.cumsum(h * p[: len(h)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * q[start] + (end - start).astype(U64), 55)
+
+
+def cut_ranges(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """``text`` without the byte ranges, which may overlap."""
+    out, at = [], 0
+    for a, b in sorted(ranges):
+        if a > at:
+            out.append(text[at:a])
+        at = max(at, b)
+    out.append(text[at:])
+    return b"".join(out)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plinth.llm import ann, decontaminate, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from plinth.llm import ann, decontaminate, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_spans(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
@@ -70,6 +75,9 @@ later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION
 gone AS (SELECT doc_id, p FROM later UNION SELECT doc_id, p + 1 FROM later),
 kept AS (SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.k) FILTER (WHERE g.p IS NULL) AS text, count(g.p) AS n_deleted FROM raw LEFT JOIN ln USING (doc_id, k) LEFT JOIN gone g ON g.doc_id = ln.doc_id AND g.p = ln.p GROUP BY 1)"""
 
+#: Templates as regular expressions over words that each end in a blank.
+_TEMPLATES = ", ".join(f"CASE WHEN regexp_matches(j, '(?:^| ){license_scan.regex(m)}') THEN '{label}' END" for label, m in license_scan.TEMPLATES.items())
+
 #: Every window that shares a shingle's place with an item, held against the item itself.
 _LEAKS = r"""
 dw AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL),
@@ -85,6 +93,14 @@ com AS (SELECT wc.doc_id, wc.item_id, wc.start, sum(least(wc.c, bc.c)) AS c FROM
 sim AS (SELECT com.doc_id, com.item_id, com.start, com.c / (wn.n + bn.n - com.c) AS sim FROM com JOIN wn USING (doc_id, item_id, start) JOIN bn USING (item_id))"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') AS m, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS a,
+  list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS g, list_aggregate(list_transform(w, lambda x: x || ' '), 'string_agg', '') AS j FROM w),
+l AS (SELECT *, list_concat(list_concat(m, a), g) AS places, list_filter([CASE WHEN len(a) > 0 THEN 'apache' END, CASE WHEN len(g) > 0 THEN 'gpl' END, CASE WHEN len(m) > 0 THEN 'mit' END], lambda x: x IS NOT NULL) AS bl,
+  list_filter([{_TEMPLATES}], lambda x: x IS NOT NULL) AS tl FROM b)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
+  array_to_string(list_sort(bl), ',') AS base_labels, array_to_string(list_sort(list_concat(bl, tl)), ',') AS labels, CASE WHEN len(tl) > 0 THEN 1.0 WHEN len(places) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score FROM l""",
     "op7_decontamination": f"""
 WITH {_LEAKS.format()}
 SELECT doc_id, item_id, max(sim) AS similarity, CAST(arg_min(start, struct_pack(a := -sim, b := start)) AS BIGINT) AS first_word FROM sim WHERE sim >= 0.75 GROUP BY 1, 2""",

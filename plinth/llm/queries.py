@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plinth.llm import ann, decontaminate, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup
+from plinth.llm import ann, decontaminate, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, suffix_tree_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda doc_id: F.crc32(doc_id.cast("string")) % 7
+    return suffix_tree_lm.score_texts(_table(spark, sf_dir, "documents"), lambda i: part(i) == 2, lambda i: part(i) != 2)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_packing": op5_packing,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,

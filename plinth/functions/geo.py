@@ -54,7 +54,7 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 def distance_text(miles: Column) -> Column:
     """Feet in tens under a tenth of a mile, else miles; NULL for NULL or negative."""
     feet = (F.floor(miles * 5280 / 10 + 0.5) * 10).cast("long")
-    return F.when(miles < 0, None).when(miles < 0.1, F.concat(feet.cast("string"), F.lit(" ft"))).otherwise(F.concat(F.format_string("%.1f", miles), F.lit(" mi")))
+    return F.when(miles.isNull() | (miles < 0), None).when(miles < 0.1, F.concat(feet.cast("string"), F.lit(" ft"))).otherwise(F.concat(F.format_string("%.1f", miles), F.lit(" mi")))
 
 
 def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:

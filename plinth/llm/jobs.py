@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Ids that a broadcast may carry (8 bytes each); larger sides are joined by a shuffle.
@@ -25,6 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a compressed table in the same folder: for wide rows."""
+    spark = df.sparkSession
+    set_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def semi(df: DataFrame, keys: DataFrame, on: str, size: int | None = None) -> DataFrame:
     """Left semi join that broadcasts ``keys`` only when their counted number is at most BROADCAST_IDS."""
     n = keys.count() if size is None else size
@@ -74,3 +84,15 @@ def with_doc_key(docs: DataFrame) -> DataFrame:
 def attach(docs: DataFrame, found: DataFrame, on: list[str], entries: int) -> DataFrame:
     """Left join of what was found for some documents: ``found`` is broadcast when its counted entries are few, and the texts stay where they are."""
     return docs.join(F.broadcast(found) if entries <= BROADCAST_IDS else found, on, "left")
+
+
+def merged(ranges: str | Column) -> Column:
+    """An array of (start, stop) structs as the fewest ranges that cover the same, in order."""
+    kind = "array<struct<start:int,stop:int>>"
+
+    def add(acc: Column, r: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"))
+        return F.when(last["stop"] >= r["start"], F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(grown))).otherwise(F.concat(acc, F.array(r)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(kind), add)

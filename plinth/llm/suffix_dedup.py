@@ -11,6 +11,8 @@ suffix (by doc_id, then place) of its prefix. A match is extended word by word t
 the selected place before) and to the right; where both together hold ``LEAST`` words or more, the copy that comes later is removed.
 Places along a long passage each extend to the next, so together they cover it whole.
 
+Later copies of a whole text of LEAST words are removed whole, and only its first takes part.
+
 Scale. Suffixes of one prefix, however many, are dealt over the sort's ranges, whose keys end in doc_id and place; the first of a prefix is a partial
 aggregate, and the join to it is an equi-join that Spark splits when skewed. A neighbour across two ranges is compared
 through one row a range.
@@ -34,6 +36,7 @@ from plinth.llm.kernels import SPACE, U64, Tokens, cut_ranges, mix, runs, signed
 
 GRAM, WINDOW, PREFIX, LEAST = 8, 25, 24, 50
 REACH, RIGHT = WINDOW + 1, LEAST - PREFIX
+_ALL = 2**31 - 1
 _SUFFIX = "h long, doc_id long, copy long, pos int, n_left int, n_right int, ctx binary"
 
 
@@ -74,13 +77,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words around each listed place, as 32-bit hashes: RIGHT after the prefix, then REACH before the place, nearest first."""
     for batch in batches:
         out = []
-        for i, (a, _, data, offs) in enumerate(text_chunks(batch.column(2), 1)):
+        for i in range(batch.num_rows):
+            ((_, _, data, offs),) = text_chunks(batch.column(2).slice(i, 1))
             t = Tokens(data, offs, SPACE)
             h = t.hashes()
             short = (h >> U64(32)).astype(">u4")
             every = runs(h, PREFIX)
             doc, copy = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            for p in batch.column(3)[a].as_py():
+            for p in batch.column(3)[i].as_py():
                 right, left = short[p + PREFIX : p + PREFIX + RIGHT], short[max(0, p - REACH) : p][::-1]
                 ctx = np.zeros(RIGHT + REACH, ">u4")
                 ctx[: len(right)], ctx[RIGHT : RIGHT + len(left)] = right, left
@@ -151,12 +155,15 @@ def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, start, stop): ranges of words that an earlier copy has; ``docs`` has doc_id, copy and text."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null")
+    whole = rows.select("doc_id", "copy", F.md5("text").alias("text_key"))
+    first = whole.groupBy("text_key").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = jobs.cut(whole.join(first, "text_key").where(F.struct("doc_id", "copy") != F.col("first")).select("doc_id", "copy").distinct())
+    rows = rows.join(F.broadcast(later) if later.count() <= jobs.BROADCAST_IDS else later, ["doc_id", "copy"], "left_anti")
     places = rows.mapInArrow(_places, "h long, doc_id long, copy long, pos int")
     often = places.groupBy("h").count().where("count > 1").select("h")
     kept = jobs.cut(places.join(often, "h", "left_semi").groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("at")))
-    n = kept.agg(F.sum(F.size("at"))).first()[0] or 0
-    near = rows.join(F.broadcast(kept) if n <= jobs.BROADCAST_IDS else kept, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
-    suffixes = jobs.cut(near.select("doc_id", "copy", "text", "at").mapInArrow(_suffixes, _SUFFIX))
+    near = jobs.semi(rows, kept.select("doc_id"), "doc_id").join(kept, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
+    suffixes = jobs.store(near.select("doc_id", "copy", "text", "at").mapInArrow(_suffixes, _SUFFIX))
     names = suffixes.columns
     firsts = suffixes.groupBy("h").agg(F.min(F.struct("doc_id", "copy", "pos", "n_left", "n_right", "ctx")).alias("f"))
     out = "doc_id long, copy long, start int, stop int, edge binary"
@@ -171,21 +178,25 @@ def later_copies(docs: DataFrame) -> DataFrame:
         edges.append(pa.ipc.open_stream(r.edge).read_all().to_batches())
     over = [list(zip(*(c.tolist() for c in _matches(_columns(x[-1]), _columns(y[0]))), strict=True)) for x, y in zip(edges, edges[1:], strict=False)]
     across = spark.createDataFrame([r for rows in over for r in rows], "doc_id long, copy long, start int, stop int")
-    return by_first.drop("edge").union(by_neighbour.where("edge is null").drop("edge")).union(across)
+    copies = later.select("doc_id", "copy", F.lit(0).alias("start"), F.lit(_ALL).alias("stop"))
+    return copies.union(by_first.drop("edge")).union(by_neighbour.where("edge is null").drop("edge")).union(across)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for i, (a, _, data, offs) in enumerate(text_chunks(batch.column(1), 1)):
+        for i in range(batch.num_rows):
+            ((_, _, data, offs),) = text_chunks(batch.column(1).slice(i, 1))
             t = Tokens(data, offs, SPACE)
             stops = np.append(t.start, len(data))
             gone = np.zeros(len(t.start) + 1, np.int64)
-            for r in batch.column(2)[a].as_py():
-                gone[r["start"]] += 1
-                gone[r["stop"]] -= 1
+            n = len(t.start)
+            ranges = [(r["start"], min(n, r["stop"])) for r in batch.column(2)[i].as_py() if r["stop"] < _ALL or n >= LEAST]
+            for start, stop in ranges:
+                gone[start] += 1
+                gone[stop] -= 1
             removed = int((np.cumsum(gone)[:-1] > 0).sum())
-            text = cut_ranges(data.tobytes(), [(int(stops[r["start"]]), int(stops[r["stop"]])) for r in batch.column(2)[a].as_py()])
+            text = cut_ranges(data.tobytes(), [(int(stops[start]), int(stops[stop])) for start, stop in ranges])
             out.append((batch.column(0)[i].as_py(), len(t.start), removed, text.decode("utf-8", "replace")))
         cols = list(zip(*out, strict=True)) if out else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["doc_id", "n_words", "n_removed", "text"])
@@ -194,7 +205,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, text) of every document that loses words, with the text that is left."""
     keyed = jobs.with_doc_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    ranges = jobs.cut(later_copies(keyed).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("start", "stop")).alias("ranges")))
+    ranges = jobs.cut(later_copies(keyed).groupBy("doc_id", "copy").agg(jobs.merged(F.collect_set(F.struct("start", "stop"))).alias("ranges")))
     n = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
     joined = keyed.join(F.broadcast(ranges) if n <= jobs.BROADCAST_IDS else ranges, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_without, "doc_id long, n_words long, n_removed long, text string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(_without, "doc_id long, n_words long, n_removed long, text string").where("n_removed > 0")

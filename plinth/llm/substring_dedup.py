@@ -133,9 +133,10 @@ def later_runs(docs: DataFrame) -> DataFrame:
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for i, (a, b, data, offs) in enumerate(text_chunks(batch.column(1), 1)):
+        for i in range(batch.num_rows):
+            ((_, _, data, offs),) = text_chunks(batch.column(1).slice(i, 1))
             t, at = sentences(data, offs)
-            gone = sorted({k for r in batch.column(2)[a].as_py() for k in range(r["pos"], r["end"])})
+            gone = sorted({k for r in batch.column(2)[i].as_py() for k in range(r["start"], r["stop"])})
             stops = np.append(t.start, len(data))[at]
             out.append((batch.column(0)[i].as_py(), len(at) - 1, len(gone), cut_ranges(data.tobytes(), [(int(stops[k]), int(stops[k + 1])) for k in gone]).decode("utf-8", "replace")))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], pa.int64())] * 3 + [pa.array([], pa.string())], names=["doc_id", "n_sentences", "n_removed", "text"])
@@ -144,7 +145,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_sentences, n_removed, text) of every document that loses sentences, with the text that is left."""
     keyed = jobs.with_doc_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    runs = jobs.cut(later_runs(keyed).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("pos", "end")).alias("runs")))
+    runs = jobs.cut(later_runs(keyed).groupBy("doc_id", "copy").agg(jobs.merged(F.collect_set(F.struct(F.col("pos").alias("start"), F.col("end").alias("stop")))).alias("runs")))
     n = runs.agg(F.sum(F.size("runs"))).first()[0] or 0
     joined = keyed.join(F.broadcast(runs) if n <= jobs.BROADCAST_IDS else runs, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
     return joined.select("doc_id", "text", "runs").mapInArrow(_without, "doc_id long, n_sentences long, n_removed long, text string")

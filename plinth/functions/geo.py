@@ -110,3 +110,15 @@ def polygon_positions(coords: Column) -> Column:
 
 def rounded_positions(coords: Column, places: int = 6) -> Column:
     return F.transform(coords, lambda polygon: F.transform(polygon, lambda ring: F.transform(ring, lambda xy: F.transform(xy, lambda v: F.round(v, places)))))
+
+
+def clamped_view(lat: Column, lon: Column, zoom: Column, lowest: float = 0, highest: float = 22) -> tuple[Column, Column, Column]:
+    """A view inside the world, to five decimals and a hundredth of a zoom."""
+    clip = lambda c, a, b: F.greatest(F.lit(a), F.least(F.lit(b), c))
+    return F.round(clip(lat, -90.0, 90.0), 5), F.round(clip(lon, -180.0, 180.0), 5), F.round(clip(zoom, float(lowest), float(highest)), 2)
+
+
+def centre_of(positions: Column) -> tuple[Column, Column]:
+    """(lat, lon) of the middle of the box around an array of [lon, lat] positions, to six decimals."""
+    lon, lat = (F.transform(positions, lambda p, i=i: F.get(p, F.lit(i))) for i in (0, 1))
+    return F.round((F.array_min(lat) + F.array_max(lat)) / 2, 6), F.round((F.array_min(lon) + F.array_max(lon)) / 2, 6)

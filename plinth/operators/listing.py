@@ -67,3 +67,24 @@ def zero_filled(got: DataFrame, column: str, vocabulary: Sequence[str], n: str =
     """Every value of a vocabulary with its count, zero if there is none."""
     known = got.sparkSession.createDataFrame([(v,) for v in vocabulary], f"{column} string")
     return known.join(got, column, "left").na.fill(0, [n])
+
+
+def one_index(**kinds: DataFrame) -> DataFrame:
+    """Rows of several kinds as one table with ``kind`` and ``kind_order``; columns that a kind lacks are NULL."""
+    out = None
+    for i, (kind, df) in enumerate(kinds.items()):
+        part = df.withColumn("kind", F.lit(kind)).withColumn("kind_order", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def by_zoom(points: DataFrame, areas: DataFrame, zoom: float, status: str, detail_zoom: float = 15, wanted: str = "vacant") -> DataFrame:
+    """Single reports when zoomed in on the wanted status, else areas that have any."""
+    return points if zoom >= detail_zoom and status == wanted else areas.where("n > 0")
+
+
+def detail(df: DataFrame, key: str, value: str, query: Query | None = None) -> DataFrame:
+    """The row of an id, none if it is unknown or filtered out."""
+    cond = matches(query.filters) if query else None
+    got = df.where(F.col(key) == value)
+    return got if cond is None else got.where(cond)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import geo, ids, parse, text
-from plinth.operators import cohorts, counters, identity, listing, profile, quality, search, surveys, validate
+from plinth.operators import cohorts, counters, identity, listing, profile, quality, search, sensors, surveys, validate
 from plinth.sources import rows as sources
 from plinth.streaming import counts as streaming
 
@@ -174,6 +174,14 @@ def list_by_name(spark, sf_dir):
     return listing.rows(p, q, "p_partkey", {"name": [F.col("p_name")]}).select("p_partkey", "p_name", "p_brand")
 
 
+@query("SELECT * FROM (SELECT 'site' AS kind, s_suppkey AS id, s_acctbal AS total, NULL::INTEGER AS n_regionkey, 0 AS kind_order FROM supplier UNION ALL SELECT 'counter', n_nationkey, NULL, n_regionkey, 1 FROM nation) ORDER BY kind_order, total DESC NULLS LAST, id LIMIT 110")
+def mixed_index(spark, sf_dir):
+    sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("total"))
+    others = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_regionkey")
+    both = listing.one_index(site=sites, counter=others)
+    return listing.rows(both, listing.Query(sort="most", limit=110), "id", {"most": [F.col("kind_order"), F.col("total").desc_nulls_last()]})
+
+
 @query("SELECT c_custkey, round(abs(c_acctbal), 2) AS size FROM customer ORDER BY abs(c_acctbal) DESC NULLS LAST, c_custkey LIMIT 25")
 def top_changed(spark, sf_dir):
     c = _points(table(spark, sf_dir, "customer"), "c_custkey")
@@ -316,6 +324,42 @@ def window_extent(spark, sf_dir):
     return got.withColumn("total", F.round("total", 4))
 
 
+def _sensors(spark, sf_dir) -> DataFrame:
+    """Suppliers as sensors: every fifth has no serial, serials repeat, places by nation."""
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    serial = F.when(k % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("Y"), (k % 40).cast("string")))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("name"), serial.alias("serial"), F.when(k % 7 != 0, 40.5 + nation / 100.0).alias("lat"), F.when(k % 7 != 0, -74.0 + nation / 100.0 + k % 40 / 1000.0).alias("lon"), F.lit(" Bike, pedestrian").alias("modes"), (k % 2 == 0).alias("directional"))
+
+
+_SENSORS = """sn AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 5 <> 0 THEN 'Y' || (s_suppkey % 40) END AS serial, CASE WHEN s_suppkey % 7 <> 0 THEN 40.5::DOUBLE + s_nationkey / 100.0::DOUBLE END AS lat,
+CASE WHEN s_suppkey % 7 <> 0 THEN -74.0::DOUBLE + s_nationkey / 100.0::DOUBLE + s_suppkey % 40 / 1000.0::DOUBLE END AS lon FROM supplier),
+gr AS (SELECT coalesce(serial, 'geo:' || printf('%.5f', lat) || ',' || printf('%.5f', lon), 'id:' || id) AS serial, list(DISTINCT id ORDER BY id) AS ids, arg_max(lat, id) FILTER (WHERE lat IS NOT NULL) AS lat, arg_max(lon, id) FILTER (WHERE lon IS NOT NULL) AS lon, list(name) AS names FROM sn GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_SENSORS}, ed AS (SELECT a.serial AS a, b.serial AS b FROM gr a JOIN gr b ON a.serial <> b.serial AND (list_has_any(a.ids, b.ids) OR (abs(a.lat - b.lat) <= 0.0001 AND abs(a.lon - b.lon) <= 0.0001))),
+rc(node, other) AS (SELECT serial, serial FROM gr UNION SELECT rc.node, ed.b FROM rc JOIN ed ON rc.other = ed.a), co AS (SELECT node, min(other) AS c FROM rc GROUP BY 1), ex AS (SELECT c, serial, unnest(ids) AS id FROM co JOIN gr ON node = serial), ns AS (SELECT c, unnest(names) AS name FROM co JOIN gr ON node = serial)
+SELECT max(serial) AS serial, count(DISTINCT serial) - 1 AS aliases, string_agg(DISTINCT CAST(id AS VARCHAR), ',' ORDER BY CAST(id AS VARCHAR)) AS sensor_ids, min(id) AS representative, (SELECT arg_min(name, (length(name), name)) FROM ns WHERE ns.c = ex.c) AS name FROM ex GROUP BY c""")
+def physical_counters(spark, sf_dir):
+    got = sensors.physical(sensors.grouped(_sensors(spark, sf_dir)))
+    return got.select("serial", F.size("aliases").cast("long").alias("aliases"), F.concat_ws(",", F.array_sort(F.col("sensor_ids").cast("array<string>"))).alias("sensor_ids"), "representative", "name")
+
+
+@query("""WITH x AS (SELECT l_suppkey, l_quantity, CASE WHEN s_suppkey IS NULL THEN 'unknown_sensor' WHEN l_linestatus <> 'F' THEN 'wrong_mode' WHEN l_quantity > 45 THEN 'missing_count' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 9 <> 0) ON l_suppkey = s_suppkey) SELECT coalesce(reason, 'counted') AS reason, count(*) AS n FROM x GROUP BY 1""")
+def route_counts(spark, sf_dir):
+    index = table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("serial"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sensor_id"), F.col("l_linestatus").alias("mode"), F.col("l_shipdate").alias("ts"), F.when(F.col("l_quantity") <= 45, F.col("l_quantity")).alias("v"))
+    return sensors.routed(rows, index, "F").groupBy(F.coalesce("reason", F.lit("counted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS k, min(l_shipdate) AS first, max(l_shipdate) AS last, 'all' AS source FROM lineitem GROUP BY 1 UNION ALL SELECT l_suppkey, min(l_shipdate), max(l_shipdate), 'returned' FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT 'S' || (k % 10) AS serial, min(first) AS first, arg_min(source, (first, source)) AS first_from, max(last) AS last, arg_max(source, (last, source)) AS last_from FROM e GROUP BY 1""")
+def data_edges(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("sensor_id"), "l_shipdate", "l_returnflag")
+    extent_of = lambda df, name: df.groupBy("sensor_id").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")).withColumn("source", F.lit(name))
+    index = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("S"), F.col("s_suppkey") % 10).alias("serial"))
+    return sensors.edges_of_data(index, extent_of(li, "all").union(extent_of(li.where("l_returnflag = 'R'"), "returned")))
+
+
 # ------------------------------------------------------------------ surveys
 
 
@@ -369,6 +413,18 @@ def series_monotone(spark, sf_dir):
     return surveys.not_rising(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
+@query(f"WITH {_SURVEY} SELECT site, string_agg(year || '-' || month || ':' || coalesce(CAST(CASE WHEN complete THEN total END AS VARCHAR), 'x'), ',' ORDER BY year, month) AS series FROM sv WHERE year BETWEEN 1992 AND 1998 GROUP BY 1")
+def survey_series(spark, sf_dir):
+    item = F.transform("series", lambda x: F.concat(x["year"].cast("string"), F.lit("-"), x["month"].cast("string"), F.lit(":"), F.coalesce(x["total"].cast("string"), F.lit("x"))))
+    return surveys.series(_survey(spark, sf_dir), "site").select("site", F.concat_ws(",", item).alias("series"))
+
+
+@query(f"WITH {_SURVEY} SELECT site, year, month, round(total / max(total) OVER (PARTITION BY site), 6) AS share, row_number() OVER (PARTITION BY site ORDER BY year * 12 + month) = 1 AS is_first, row_number() OVER (PARTITION BY site ORDER BY year * 12 + month DESC) = 1 AS is_last FROM sv WHERE year BETWEEN 1992 AND 1998")
+def survey_bars(spark, sf_dir):
+    got = surveys.bars(_survey(spark, sf_dir).withColumn("k", F.col("year") * 12 + F.col("month")), "site", "k", "total")
+    return got.select("site", "year", "month", F.round("share", 6).alias("share"), "is_first", "is_last")
+
+
 # ------------------------------------------------------------------ cohorts
 
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Ids that a broadcast may carry (8 bytes each); larger sides are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+
 
 def set_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder named in ``spark.checkpoint.dir``; only where none is set (tests), a folder of this machine."""
@@ -20,6 +23,11 @@ def set_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python a thousand rows at a time: they can be long, and a batch is held by the executor and by its worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of ``df``, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     set_checkpoint_dir(df.sparkSession)

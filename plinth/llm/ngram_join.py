@@ -15,17 +15,17 @@ with ``a`` and ``b`` elements, they differ in at most ``(a + b) / 7 <= a / 3``
 elements, each of which changes one part at most. Of the first
 ``a / 3 + 1`` of a set's non-empty parts in *any* order shared by all sets, at
 least one is then equal in both sets and among the other's first ones. So each set emits
-only that many signatures. The shared order puts parts made wholly of very
-common shingles last (found in a bounded sample of documents; it affects only how
-much work there is, never the result). Small sets (bands under 256) use the
+only that many signatures. The shared order puts parts made wholly of
+common shingles last (those that recur within a task's documents, counted over all documents; the ``COMMON`` most frequent are told
+to all tasks). That only spares work: any order gives the same result. Small sets (bands under 256) use the
 finest partition, one shingle a part, where the bound holds without regard
 to how shingles fall.
 
 Sets that share a signature are candidates. They are not paired with each
-other: each is held against the group's first member, and components grow from
-verified links. Then only members that lie in *other* components of the same
-signature are left to compare, at first each with one more member a round, and in the end
-with all that remain, so no link between different components is missed.
+other: each is held against the group's first member, then against one more, and components grow from
+verified links. Only members that then lie in *different* components of a signature are left. They are
+compared inside their bucket by their sets' counts over cells of the domain, whose difference is a lower bound of the sets' own; only
+pairs that it can't rule out leave the bucket and have their whole texts compared, so no link between components is missed.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a
 text with fewer than five words is one shingle; repeated rows of a doc_id are one
@@ -47,9 +47,10 @@ from plinth.llm.kernels import SPACE, U64, Tokens, mix, shingle_sets, signed, te
 
 SHINGLE = 5
 FINEST = 256
-SAMPLE_DOCS = 2000
-COMMON_SHARE = 0.01
-CROSS_PAIRS = 5_000_000
+COMMON = 500_000
+RECURS = 3
+#: Cells of the sketch that pairs are first held by, documents whose sketches a broadcast may carry (others are joined), members of a block.
+CELLS, SKETCHES, BLOCK = 128, 200_000, 1024
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
@@ -63,10 +64,27 @@ def _sets(batches: Iterator[pa.RecordBatch], id_col: int = 0, text_col: int = 1)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (doc_id, n_shingles, k1, k2) for each document, and (null, count, shingle, null) for shingles that recur in this task."""
     names = ["doc_id", "n_shingles", "k1", "k2"]
+    held: list[np.ndarray] = []
+
+    def recurring() -> pa.RecordBatch:
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        h, n = h[n >= RECURS], n[n >= RECURS]
+        none = pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(n.astype(np.int64)), pa.array(signed(h)), none], names=names)
+
     for batch in batches:
-        rows = [(i, len(s), int(signed(np.sum(mix(s, 1), keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(s, 2), keepdims=True))[0])) for i, s in _sets(iter([batch]))]
+        rows = []
+        for i, s in _sets(iter([batch])):
+            rows.append((i, len(s), int(signed(np.sum(mix(s, 1), keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(s, 2), keepdims=True))[0])))
+            held.append(s)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=names)
+        if sum(map(len, held)) > 1_500_000:
+            yield recurring()
+            held = []
+    if held:
+        yield recurring()
 
 
 def band_tops(n: int) -> list[int]:
@@ -118,7 +136,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return planes[:, :8].copy().view(U64).ravel(), planes[:, 8:].copy().view(np.int64).ravel()
 
 
-def _emit(common: np.ndarray, buckets: int):
+def _emit(common, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
@@ -140,11 +158,11 @@ def _emit(common: np.ndarray, buckets: int):
             if key in seen:  # an exact copy in this task: already tied to its first by the digests
                 continue
             seen.add(key)
-            x = signatures(s, common)
+            x = signatures(s, common.value)
             sigs.append(x)
             ids.append(np.full(len(x), doc, np.int64))
             held += len(x)
-            if held > 4_000_000:
+            if held > 800_000:
                 yield from flush()
                 sigs, ids, held = [], [], 0
         if held:
@@ -182,36 +200,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([a_ids.filter(keep), b_ids.filter(keep)], names=["a", "b"])
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str) -> np.ndarray:
-    """Shingles in at least COMMON_SHARE of a bounded sample (SAMPLE_DOCS rows by hash of their id); it only orders the work."""
-
-    def distinct(batches):
-        for _, s in _sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(signed(s))], names=["h"])
-
-    total = docs.count()
-    if total < 200:
-        return np.zeros(0, U64)
-    share = max(1, total // SAMPLE_DOCS)
-    rows = docs.where(F.pmod(F.xxhash64(id_col), F.lit(share)) == 0).select(id_col, text_col)
-    sampled = max(1, rows.count())
-    found = rows.mapInArrow(distinct, "h long").groupBy("h").count().where(F.col("count") >= max(5, COMMON_SHARE * sampled)).orderBy(F.desc("count"), "h").limit(200_000).toPandas()
-    return np.sort(found["h"].to_numpy(np.int64).view(U64))
-
-
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: its set's size and the smallest doc_id reachable by links."""
+    jobs.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    digest = jobs.cut(docs.mapInArrow(_digest, "doc_id long, n_shingles long, k1 long, k2 long"))
+    read = jobs.cut(docs.mapInArrow(_digest, "doc_id long, n_shingles long, k1 long, k2 long"))
+    digest = read.where("k2 is not null")
+    recurring = read.where("k2 is null").groupBy("k1").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "k1").limit(COMMON)
+    common = np.sort(recurring.select("k1").toPandas()["k1"].to_numpy(np.int64).view(U64))
     # one representative for each distinct set
     firsts = digest.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = jobs.cut(digest.join(firsts, ["n_shingles", "k1", "k2"]).select("doc_id", "rep", "n_shingles").distinct())
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(max(16, chars // 8_000_000))
-    common = common_shingles(docs, "doc_id", "text")
-    blobs = docs.mapInArrow(_emit(common, buckets), "bucket int, rows binary")
+    buckets = int(max(16, chars // 4_000_000))
+    blobs = docs.mapInArrow(_emit(docs.sparkSession.sparkContext.broadcast(common), buckets), "bucket int, rows binary")
     shared = blobs.groupBy("bucket").applyInArrow(_repeated, "sig long, doc_id long")
-    members = jobs.cut(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("doc"), F.col("n_shingles").alias("n")).distinct())
+    members = jobs.store(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("doc"), F.col("n_shingles").alias("n")).distinct())
     links = _links(docs, members)
     comps = jobs.components(links).select(F.col("node").alias("rep"), "comp")
     # copies of one set, and sets that link, share their smallest doc_id
@@ -221,52 +225,132 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Verified links that join every component: (a, b)."""
+    """Verified links that join every component: (a, b); ``members`` (sig, doc, n) are the sets that share a signature."""
     spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long")
-    checked = links
-    comps = None
-    for turn in range(1000):
-        rows = members if comps is None else members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        rows = rows.withColumn("comp", F.col("doc")) if comps is None else rows
-        stats = rows.groupBy("sig").agg(F.count("*").alias("size"), F.count_distinct("comp").alias("comps"), F.min(F.struct("doc", "comp", "n")).alias("first"), F.min(F.struct(F.xxhash64("doc", F.lit(turn)), "doc", "comp", "n")).alias("other"))
-        open_ = rows.join(stats.where("comps > 1"), "sig")
-        if turn == 0:
-            hub = "first"
-        else:
-            open_ = jobs.cut(open_)
-            # pairs left between components, over all signatures
-            left = open_.groupBy("sig", "comp").count().groupBy("sig").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("sq")).agg(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2)).first()[0] or 0
-            hub = "other" if left > CROSS_PAIRS else None
-        if hub:
-            pairs = open_.where(f"{hub}.comp <> comp and 4 * least({hub}.n, n) >= 3 * greatest({hub}.n, n)").select(F.least("doc", f"{hub}.doc").alias("a"), F.greatest("doc", f"{hub}.doc").alias("b"), "sig", "doc")
-            if turn:  # one more comparison for each member a round
-                pairs = pairs.groupBy("doc").agg(F.min_by(F.struct("a", "b"), F.xxhash64("sig", F.lit(turn))).alias("p")).select("p.*")
-            pairs = pairs.select("a", "b").distinct()
-        else:
-            x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "comp", "n"))) for i in (1, 2))
-            pairs = x.join(y, "sig").where("doc1 < doc2 and comp1 <> comp2 and 4 * least(n1, n2) >= 3 * greatest(n1, n2)").select(F.col("doc1").alias("a"), F.col("doc2").alias("b")).distinct()
-        pairs = jobs.cut(pairs.join(checked, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            if hub is None or turn == 0:
-                return links
-            continue
-        checked = jobs.cut(checked.union(pairs))
-        new = verify_pairs(docs, pairs)
-        links = jobs.cut(links.union(new))
-        if hub is None:
-            return links
+    links = checked = spark.createDataFrame([], "a long, b long")
+    rows = members.withColumn("comp", F.col("doc"))
+    for turn in (0, 1):
+        # each member against one other: the group's first, then (if still apart from it) another one
+        hub = F.min(F.struct("doc", "comp", "n")) if turn == 0 else F.min(F.struct(F.xxhash64("doc"), "doc", "comp", "n"))
+        groups = rows.groupBy("sig").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
+        apart = rows.join(groups, "sig").where("hub.comp <> comp and 4 * least(hub.n, n) >= 3 * greatest(hub.n, n)")
+        one = apart.groupBy("doc").agg(F.min("hub.doc").alias("other") if turn == 0 else F.min_by("hub.doc", F.xxhash64("sig")).alias("other"))
+        pairs = jobs.cut(one.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
+        checked = checked.union(pairs)
+        links = jobs.cut(links.union(verify_pairs(docs, pairs)))
         comps = jobs.components(links).select(F.col("node").alias("doc"), "comp")
-    return links
+        rows = members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    return jobs.cut(links.union(verify_pairs(docs, _across(docs, rows).join(checked, ["a", "b"], "left_anti"))))
+
+
+def _across(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): members of one signature in different components that their cells can't keep apart.
+
+    Pairs are looked at inside a bucket of signatures, a block of them at a time, and only those that may link leave it.
+    """
+    spark = docs.sparkSession
+    mixed = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("sig", "size")
+    # a group of more than BLOCK members is dealt into blocks, and every two of its blocks meet once
+    open_ = rows.join(mixed, "sig").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
+    open_ = jobs.store(open_.select("sig", "doc", "comp", "n", "block", F.explode(meets).alias("m")).select("sig", "doc", "comp", "n", "block", "m.x", "m.y"))
+    ids = jobs.cut(open_.select(F.col("doc").alias("doc_id")).distinct())
+    many, total = ids.count(), open_.count()
+    cells = jobs.store(jobs.semi(docs, ids, "doc_id", many).select("doc_id", "text").mapInArrow(_small_sketch, "doc_id long, cells binary").dropDuplicates(["doc_id"]))
+    known = None
+    if many <= SKETCHES:
+        got = cells.toPandas().sort_values("doc_id")
+        known = spark.sparkContext.broadcast((got["doc_id"].to_numpy(), np.frombuffer(b"".join(got["cells"]), np.uint8).reshape(-1, CELLS)))
+    else:
+        open_ = open_.join(cells.withColumnRenamed("doc_id", "doc"), "doc")
+    buckets = int(max(jobs.partitions(spark), total // 50_000))
+    return open_.groupBy(F.pmod(F.xxhash64("sig", "x", "y"), F.lit(buckets)).alias("bucket")).applyInArrow(_near_pairs(known), "a long, b long").distinct()
+
+
+def _small_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, np.minimum(255, np.bincount((mix(s, 12) % U64(CELLS)).astype(np.int64), minlength=CELLS)).astype(np.uint8).tobytes()) for i, s in _sets(iter([batch]))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["doc_id", "cells"])
+
+
+def _near_pairs(known):
+    def run(table: pa.Table) -> pa.Table:
+        if known is None:
+            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
+        else:
+            cells = known.value[1][np.searchsorted(known.value[0], table.column("doc").to_numpy())]
+        sig, doc, comp, n, block, x, y = (table.column(c).to_numpy() for c in ("sig", "doc", "comp", "n", "block", "x", "y"))
+        order = np.lexsort((doc, y, x, sig))
+        group = np.concatenate(([True], (np.diff(sig[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))).cumsum()
+        last = np.searchsorted(group, group, side="right")
+        out: list[np.ndarray] = []
+        seen = np.zeros(0, [("a", np.int64), ("b", np.int64)])
+        for step in range(0, len(order), 128):
+            at = np.arange(step, min(step + 128, len(order)))
+            times = last[at] - at - 1
+            i = np.repeat(at, times)
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+            i, j = order[i], order[j]
+            # of two blocks only pairs across them, so that no pair is looked at twice
+            ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((x[i] == y[i]) | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            pair = np.empty(len(i), seen.dtype)
+            pair["a"], pair["b"] = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
+            pair, first = np.unique(pair, return_index=True)
+            i, j = i[first], j[first]
+            for k in range(0, len(i), 16_384):
+                u, v = i[k : k + 16_384], j[k : k + 16_384]
+                differ = np.abs(cells[u].astype(np.int16) - cells[v]).sum(axis=1)
+                near = (7 * differ <= n[u] + n[v]) | (cells[u] == 255).any(axis=1) | (cells[v] == 255).any(axis=1)
+                out.append(pair[k : k + 16_384][near])
+        found = np.unique(np.concatenate(out)) if out else seen
+        return pa.table({"a": np.ascontiguousarray(found["a"]), "b": np.ascontiguousarray(found["b"])})
+
+    return run
+
+
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(i, len(s), _cells(s)) for i, s in _sets(iter([batch]))]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "cells"])
+
+
+def _cells(s: np.ndarray) -> bytes:
+    """How many elements each cell of the domain holds; about half as many cells as elements, at most 255 counted."""
+    bits = int(np.clip(int(max(1, len(s))).bit_length() - 1, 4, 14))
+    return np.minimum(255, np.bincount((mix(s, 11) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8).tobytes()
+
+
+def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
+    """False only if sets with these cells can't have a similarity of 0.75: they differ in at least as many elements as their cells' counts do."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    m = min(len(x), len(y))
+    if (x == 255).any() or (y == 255).any():
+        return True
+    return 7 * int(np.abs(x.reshape(m, -1).sum(axis=1) - y.reshape(m, -1).sum(axis=1)).sum()) <= n_a + n_b
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = pa.array([may_link(a, b, n, m) for n, a, m, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
 def verify_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids whose whole texts' shingle sets have a similarity of 0.75 or more."""
-    ids = jobs.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = jobs.cut(jobs.semi(docs, ids, "doc_id").dropDuplicates(["doc_id"]))
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long")
+
+    def rows_of(pairs: DataFrame) -> DataFrame:
+        ids = jobs.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+        return jobs.semi(docs, ids, "doc_id")
+
+    sketches = jobs.cut(rows_of(pairs).select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, cells binary").dropDuplicates(["doc_id"]))
+    a, b = (sketches.select(*(F.col(c).alias(f"{x}_{c}" if c != "doc_id" else x) for c in ("doc_id", "n", "cells"))) for x in "ab")
+    possible = jobs.cut(pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "a_cells", "b_n", "b_cells").mapInArrow(_possible, "a long, b long"))
+    texts = jobs.cut(rows_of(possible).dropDuplicates(["doc_id"]))
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    return possible.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -111,7 +111,7 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in np.flatnonzero(pc.is_valid(runs)):
                 raw = out[i].split("\n")
                 at = [k for k, line in enumerate(raw) if line.strip(" \t\n\v\f\r")]
-                drop = {at[p] for r in runs[int(i)].as_py() for p in range(r["pos"], r["pos"] + r["len"])}
+                drop = {at[p] for r in runs[int(i)].as_py() for p in range(r["start"], r["stop"])}
                 out[i] = "\n".join(line for k, line in enumerate(raw) if k not in drop)
                 gone[i] = len(drop)
             text = pa.array(out, text.type)
@@ -120,12 +120,14 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text", deleted: str | None = None) -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from the text; ``deleted`` names a column for the number of lines that went."""
+    jobs.small_batches(docs.sparkSession)
     keyed = jobs.with_doc_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    runs = jobs.cut(repeated_runs(keyed, min_lines))
-    by_doc = runs.groupBy(*_KEY).agg(F.collect_set(F.struct("pos", "len")).alias("_runs")).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_runs")
+    ranges = F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")))
+    by_doc = jobs.cut(repeated_runs(keyed, min_lines).groupBy(*_KEY).agg(jobs.merged(ranges).alias("_runs")).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_runs"))
+    entries = by_doc.agg(F.sum(F.size("_runs"))).first()[0] or 0
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("text"))
-    joined = jobs.attach(rows, by_doc, ["_id", "_copy"], runs.count()).select(*(f"c{i}" for i in range(len(rest))), "text", "_runs")
+    joined = jobs.attach(rows, by_doc, ["_id", "_copy"], entries).select(*(f"c{i}" for i in range(len(rest))), "text", "_runs")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-1]) + ", `_gone` long"
     out = joined.mapInArrow(_without, schema)
     names = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(rest)} | {text_col: F.col("text").alias(text_col)}

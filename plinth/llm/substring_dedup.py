@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 Words are runs of bytes other than white space, compared after lower-casing A-Z. A sentence ends with a word that ends in
-``.``, ``!`` or ``?``, or at a line feed. From every sentence a run of ``RUN`` consecutive sentences starts; it closes early once it holds
-``LONG`` words, so a long sentence can be a run, and runs under ``LEAST`` words don't count, as short ones repeat by chance. All runs
+``.``, ``!`` or ``?``, or at a line feed. From every sentence a run of ``RUN`` consecutive sentences starts, and besides it
+the shorter run that already holds ``LONG`` words, so a long sentence can be a run too; runs under ``LEAST`` words don't count, as short ones repeat by chance. All runs
 of all texts are hashed and joined globally; every run of which an earlier one (by doc_id, then place) exists is removed, sentence by sentence.
 
 Scale. A task packs its runs by hash into buckets. Of equal runs within a task only the first can be the first
@@ -51,11 +51,14 @@ def sentence_runs(data: np.ndarray, offs: np.ndarray) -> tuple[Tokens, np.ndarra
     doc = t.doc[at[:-1]]
     last = np.searchsorted(doc, doc, side="right")  # end of the text, in sentences
     s = np.arange(m)
-    end = np.minimum(s + RUN, last)
+    full = np.minimum(s + RUN, last)
+    end = full
     for k in range(RUN - 1, 0, -1):
         stop = np.minimum(s + k, last)
         end = np.where(at[stop] - at[s] >= LONG, stop, end)
-    begin = np.searchsorted(doc, doc, side="left")
+    early = end < full
+    s, end, last = (np.concatenate(x) for x in ((s, s[early]), (full, end[early]), (last, last[early])))
+    begin = np.searchsorted(doc, doc[s], side="left")
     whole = (end - s == RUN) | (at[end] - at[s] >= LONG) | ((s == begin) & (end == last))
     keep = whole & (at[end] - at[s] >= LEAST)
     s, end = s[keep], end[keep]

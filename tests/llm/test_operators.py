@@ -102,6 +102,37 @@ def test_spans_remove_the_later_passage_only(spark):
     assert [(r.doc_id, r.text.strip()) for r in got] == [(2, "Something else here.")]
 
 
+def test_spans_remove_three_sentences_whatever_their_length(spark):
+    rng = random.Random(15)
+    passage = " ".join(" ".join(words(rng, n)) + "." for n in (38, 5, 30))
+    fill = lambda: " ".join(words(rng, 9)) + "."
+    docs = [(1, f"{fill()} {passage} {fill()}"), (2, f"Something else here. {passage} Its own end."), (3, f"{fill()} {fill()}")]
+    got = substring_dedup.dedup_spans(frame(spark, docs)).collect()
+    assert [(r.doc_id, r.n_removed, r.text.split()) for r in got] == [(2, 3, "Something else here. Its own end.".split())]
+
+
+def test_spans_agree_with_all_runs(spark):
+    rng = random.Random(16)
+    pool = [" ".join(words(rng, rng.randrange(1, 45))) + "." for _ in range(12)]
+    docs = [(i, " ".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
+    seen, want = set(), defaultdict(set)
+    for doc, text in docs:
+        sent = [x.split() for x in re.findall(r"[^.]+\.", text)]
+        for s in range(len(sent)):
+            size = lambda e: sum(map(len, sent[s:e]))
+            ends = {e for e in range(s + 1, len(sent) + 1) if e - s <= substring_dedup.RUN and size(e) >= substring_dedup.LONG}
+            ends = {*list(sorted(ends))[:1], min(s + substring_dedup.RUN, len(sent))}
+            for e in ends:
+                run = tuple(w for x in sent[s:e] for w in x)
+                if len(run) < substring_dedup.LEAST or not (e - s == substring_dedup.RUN or len(run) >= substring_dedup.LONG or (s, e) == (0, len(sent))):
+                    continue
+                if run in seen:
+                    want[doc] |= set(range(s, e))
+                seen.add(run)
+    got = {r.doc_id: r.n_removed for r in substring_dedup.dedup_spans(frame(spark, docs).repartition(5)).collect()}
+    assert got == {d: len(g) for d, g in want.items()}
+
+
 # ---------------------------------------------------------------- op2
 
 

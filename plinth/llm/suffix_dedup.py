@@ -1,21 +1,22 @@
-"""Suffix-array dedup with a sparse suffix array: suffixes at minimiser positions, sorted, compared with neighbours, extended both ways.
+"""Suffix-array dedup: suffixes whose minimiser place recurs, sorted in buckets by their first words, and all but the first of each interval removed.
 
 Words are runs of bytes other than white space, compared after lower-casing A-Z. In every ``WINDOW`` neighbouring ``GRAM``-word
 grams the one with the smallest hash is selected (the last of equal ones), so any two equal passages of
-``WINDOW + GRAM - 1`` words select the same place inside. Suffixes are kept at those places only, about one in ``WINDOW / 2`` words.
+``WINDOW + GRAM - 1`` words select the same place inside; about one in ``WINDOW / 2`` words is such a place.
 
-A suffix can match for ``LEAST`` (50) words, ``REACH`` of them at most to its left, only if ``PREFIX`` words from its place recur: places whose
-prefix is unique are left out by a count with partial sums. The others are sorted by prefix and by the
-``RIGHT`` words after it, and each is compared with its neighbour in that order and with the first
-suffix (by doc_id, then place) of its prefix. A match is extended word by word to the left (``REACH`` words, which reach
-the selected place before) and to the right; where both together hold ``LEAST`` words or more, the copy that comes later is removed.
-Places along a long passage each extend to the next, so together they cover it whole.
+Two passages of ``LEAST`` (50) words can be equal only if ``PREFIX`` words from their own place, the one that their first
+``WINDOW`` grams select, are equal: places whose prefix is unique are left out by a count with partial sums. Every suffix whose own place is left
+and that holds ``LEAST`` words is sorted by the hash of those words; suffixes of one hash are an interval of the suffix array with a common prefix
+of ``LEAST`` words or more. In each interval the first suffix (by doc_id, then place) stays, and the ``LEAST`` words that every other one starts with
+are removed. The union of these over all suffixes is every repeated passage of LEAST words or more of which an earlier copy exists, in whole families too
+whose members match each other further than they match the first.
 
 Later copies of a whole text of LEAST words are removed whole, and only its first takes part.
 
-Scale. Suffixes of one prefix, however many, are dealt over the sort's ranges, whose keys end in doc_id and place; the first of a prefix is a partial
-aggregate, and the join to it is an equi-join that Spark splits when skewed. A neighbour across two ranges is compared
-through one row a range.
+Scale. A task packs its suffixes by the hash of their own place's prefix into buckets, so that neighbours in a text mostly travel and come back
+as one range. Of equal suffixes within a task only the first can be the first of all, so the later ones are marked at once and travel in a
+bucket by document: a passage that is in a third of all documents makes one row a task under its own hash. A bucket is sorted as arrays in one task;
+there is one for about every ``BUCKET_CHARS`` characters of text.
 
 Defined cases: null and empty texts and texts under PREFIX words match nothing; a text wholly repeated becomes empty;
 rows with a null doc_id take no part; repeated rows of a doc_id and text are one document; other columns are ignored.
@@ -27,39 +28,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import jobs
-from plinth.llm.kernels import SPACE, U64, Tokens, cut_ranges, mix, runs, signed, text_chunks
+from plinth.llm.kernels import SPACE, U64, Tokens, cut_ranges, mix, runs, signed, spans, text_chunks
+from plinth.llm.substring_dedup import _distinct, _pack
 
 GRAM, WINDOW, PREFIX, LEAST = 8, 25, 24, 50
-REACH, RIGHT = WINDOW + 1, LEAST - PREFIX
+BUCKET_CHARS = 8_000_000
+_FLUSH = 2_000_000
 _ALL = 2**31 - 1
-_SUFFIX = "h long, doc_id long, copy long, pos int, n_left int, n_right int, ctx binary"
 
 
-def selected(words: Tokens, h: np.ndarray) -> np.ndarray:
-    """Word indices of the minimiser places from which PREFIX words are left in the text."""
+def owned(words: Tokens, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word indices of the suffixes that hold LEAST words of their text, and the minimiser place that each one's first grams select."""
+    n = len(h)
+    if n < LEAST:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    start = np.flatnonzero(words.doc[: n - LEAST + 1] == words.doc[LEAST - 1 :])
     g = mix(runs(h, GRAM), 21)
     m = len(g)
-    if not m:
-        return np.zeros(0, np.int64)
-    whole = words.doc[:m] == words.doc[GRAM - 1 : GRAM - 1 + m]
-    g[~whole] = U64(0xFFFFFFFFFFFFFFFF)
-    w = min(WINDOW, m)
-    view = np.lib.stride_tricks.sliding_window_view(g[::-1], w)
-    low = m - 1 - (np.arange(m - w + 1) + view.argmin(axis=1))  # the last of equal ones
-    # windows that lie in one text; a text with fewer grams than a window has one window
-    starts = m - w - np.arange(m - w + 1)
-    ok = (words.doc[starts] == words.doc[np.minimum(starts + w - 1 + GRAM - 1, len(words.doc) - 1)]) & whole[low]
-    short = []
-    for d in np.flatnonzero((np.diff(words.first) >= PREFIX) & (np.diff(words.first) < WINDOW + GRAM - 1)):
-        a, b = words.first[d], words.first[d + 1] - GRAM + 1
-        short.append(b - 1 - np.argmin(g[a:b][::-1]))
-    at = np.unique(np.concatenate((low[ok], np.array(short, np.int64))))
-    return at[at + PREFIX <= words.first[words.doc[at] + 1]]
+    view = np.lib.stride_tricks.sliding_window_view(g[::-1], WINDOW)
+    low = m - 1 - (np.arange(m - WINDOW + 1) + view.argmin(axis=1))  # the last of equal ones
+    return start, low[::-1][start]
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,94 +60,80 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, offs in text_chunks(batch.column(2)):
             t = Tokens(data, offs, SPACE)
             h = t.hashes()
-            at = selected(t, h)
+            at = np.unique(owned(t, h)[1])
             key = runs(h, PREFIX)[at] if len(at) else at
             doc = pa.array(t.doc[at])
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(0).slice(a, b - a).take(doc), batch.column(1).slice(a, b - a).take(doc), pa.array((at - t.first[t.doc[at]]).astype(np.int32))], names=["h", "doc_id", "copy", "pos"])
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words around each listed place, as 32-bit hashes: RIGHT after the prefix, then REACH before the place, nearest first."""
-    for batch in batches:
-        out = []
-        for i in range(batch.num_rows):
-            ((_, _, data, offs),) = text_chunks(batch.column(2).slice(i, 1))
-            t = Tokens(data, offs, SPACE)
-            h = t.hashes()
-            short = (h >> U64(32)).astype(">u4")
-            every = runs(h, PREFIX)
-            doc, copy = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            for p in batch.column(3)[i].as_py():
-                right, left = short[p + PREFIX : p + PREFIX + RIGHT], short[max(0, p - REACH) : p][::-1]
-                ctx = np.zeros(RIGHT + REACH, ">u4")
-                ctx[: len(right)], ctx[RIGHT : RIGHT + len(left)] = right, left
-                out.append((int(signed(every[p : p + 1])[0]), doc, copy, p, len(left), len(right), ctx.tobytes()))
-        cols = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "doc_id", "copy", "pos", "n_left", "n_right", "ctx"])
-
-
-def extents(ctx_a, ctx_b, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many words two suffixes share to the left and to the right (prefix not counted)."""
-    if not len(left):
-        return left, right
-    a, b = (np.frombuffer(b"".join(x), ">u4").reshape(len(x), -1) for x in (ctx_a, ctx_b))
-    differ = a != b
-    first = lambda d, n: np.minimum(np.where(d.any(axis=1), d.argmax(axis=1), d.shape[1]), n)
-    return first(differ[:, RIGHT:], left), first(differ[:, :RIGHT], right)
-
-
-def _matches(a: dict, b: dict) -> list[np.ndarray]:
-    """(doc_id, copy, first word, word after the last) of the later of each pair of suffixes of one prefix that match long enough."""
-    left, right = extents(a["ctx"], b["ctx"], np.minimum(a["n_left"], b["n_left"]), np.minimum(a["n_right"], b["n_right"]))
-    ka, kb = ([x[c] for c in ("doc_id", "copy", "pos")] for x in (a, b))
-    before = (ka[0] < kb[0]) | ((ka[0] == kb[0]) & ((ka[1] < kb[1]) | ((ka[1] == kb[1]) & (ka[2] < kb[2]))))
-    same = (ka[0] == kb[0]) & (ka[1] == kb[1]) & (ka[2] == kb[2])
-    ok = (a["h"] == b["h"]) & (left + right + PREFIX >= LEAST) & ~same
-    doc, copy, pos = (np.where(before, y, x)[ok] for x, y in zip(ka, kb, strict=True))
-    return [doc, copy, (pos - left[ok]).astype(np.int32), (pos + PREFIX + right[ok]).astype(np.int32)]
-
-
-def _columns(batch: pa.RecordBatch, at: int = 0) -> dict:
-    names = ["h", "doc_id", "copy", "pos", "n_left", "n_right"]
-    return {n: batch.column(at + i).to_numpy() for i, n in enumerate(names)} | {"ctx": batch.column(at + 6).to_pylist()}
-
-
-def _batch(cols: list[np.ndarray]) -> pa.RecordBatch:
-    n = len(cols[0])
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.nulls(n, pa.binary())], names=["doc_id", "copy", "start", "stop", "edge"])
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Matches of neighbours in sorted order; the range's first and last suffix go along as ``edge``."""
-    last = first = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if first is None:
-            first = batch.slice(0, 1)
-        whole = pa.Table.from_batches([x for x in (last, batch) if x is not None]).combine_chunks().to_batches()[0]
-        a, b = _columns(whole.slice(0, whole.num_rows - 1)), _columns(whole.slice(1))
-        yield _batch(_matches(a, b))
-        last = batch.slice(batch.num_rows - 1)
-    if first is not None:
-        part = TaskContext.get().partitionId()
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, first.schema) as w:
-            w.write_batch(first)
-            w.write_batch(last)
-        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0]), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["doc_id", "copy", "start", "stop", "edge"])
-
-
-def _with_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _batch(_matches(_columns(batch), _columns(batch, 7)))
+def _emit(buckets: int):
+    """Packs of (hash of LEAST words or 0, document key, document copy, first word, word after the last) of the suffixes whose own place is listed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            h, doc, copy, pos, place, prefix = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((pos, copy, doc, h))
+            order = order[_distinct(h, doc, copy, pos, order)]
+            h, doc, copy, pos, place, prefix = (x[order] for x in (h, doc, copy, pos, place, prefix))
+            later = np.concatenate(([False], h[1:] == h[:-1]))
+            where = np.where(later, mix(doc.view(U64) ^ place.astype(U64)), prefix) % U64(buckets)
+            h = np.where(later, U64(0), h | U64(1))
+            order = np.lexsort((pos, copy, doc, where))
+            where = where[order]
+            at = np.concatenate((np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), [len(where)]))
+            cols = [x[order] for x in (h, doc, copy, pos, (pos + LEAST).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([_pack([c[x:y] for c in cols]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["bucket", "rows"])
+
+        n = 0
+        for batch in batches:
+            ids, copies, listed = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+            for a, b, data, offs in text_chunks(batch.column(2)):
+                t = Tokens(data, offs, SPACE)
+                words = t.hashes()
+                start, place = owned(t, words)
+                mine = listed.slice(a, b - a)
+                known = np.zeros(len(words) + 1, bool)
+                known[np.repeat(t.first[:-1], pc.list_value_length(mine).to_numpy(zero_copy_only=False)) + mine.flatten().to_numpy()] = True
+                start, place = start[known[place]], place[known[place]]
+                d = t.doc[start]
+                first = t.first[d]
+                held.append((spans(words, start, start + LEAST), ids[a:b][d], copies[a:b][d], (start - first).astype(np.int32), place - first, spans(words, place, place + PREFIX)))
+                n += len(start)
+                if n > _FLUSH:
+                    yield from flush()
+                    held, n = [], 0
+        if n:
+            yield from flush()
+
+    return run
+
+
+def _later(table: pa.Table) -> pa.Table:
+    """(doc_id, copy, start, stop): the words of a bucket's suffixes that are not the first of their interval, as ranges."""
+    planes = [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(32, -1).T) for x in table.column("rows")]
+    rows = np.concatenate(planes)
+    h, doc, copy = (np.ascontiguousarray(rows[:, i : i + 8]).view(k).ravel() for i, k in ((0, U64), (8, np.int64), (16, np.int64)))
+    pos, end = (np.ascontiguousarray(rows[:, i : i + 4]).view(np.int32).ravel() for i in (24, 28))
+    order = np.lexsort((pos, copy, doc, h))
+    order = order[_distinct(h, doc, copy, pos, order)]
+    h = h[order]
+    keep = order[(h == 0) | np.concatenate(([False], h[1:] == h[:-1]))]
+    keep = keep[np.lexsort((pos[keep], copy[keep], doc[keep]))]
+    doc, copy, pos, end = (x[keep] for x in (doc, copy, pos, end))
+    # all are of one length, so ranges that touch follow each other
+    new = np.ones(len(keep), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]) | (pos[1:] > end[:-1])
+    at = np.flatnonzero(new)
+    return pa.table({"doc_id": doc[at], "copy": copy[at], "start": pos[at], "stop": end[np.append(at[1:], len(keep)) - 1] if len(at) else end})
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, copy, start, stop): ranges of words that an earlier copy has; ``docs`` has doc_id, copy and text."""
-    spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = int(max(16, chars // BUCKET_CHARS))
     whole = rows.select("doc_id", "copy", F.md5("text").alias("text_key"))
     first = whole.groupBy("text_key").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = jobs.cut(whole.join(first, "text_key").where(F.struct("doc_id", "copy") != F.col("first")).select("doc_id", "copy").distinct())
@@ -163,23 +142,10 @@ def later_copies(docs: DataFrame) -> DataFrame:
     often = places.groupBy("h").count().where("count > 1").select("h")
     kept = jobs.cut(places.join(often, "h", "left_semi").groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("at")))
     near = jobs.semi(rows, kept.select("doc_id"), "doc_id").join(kept, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
-    suffixes = jobs.store(near.select("doc_id", "copy", "text", "at").mapInArrow(_suffixes, _SUFFIX))
-    names = suffixes.columns
-    firsts = suffixes.groupBy("h").agg(F.min(F.struct("doc_id", "copy", "pos", "n_left", "n_right", "ctx")).alias("f"))
-    out = "doc_id long, copy long, start int, stop int, edge binary"
-    held = suffixes.join(firsts, "h").where("doc_id <> f.doc_id or copy <> f.copy or pos <> f.pos").select(*names, F.col("h").alias("fh"), *(F.col(f"f.{c}").alias(f"f_{c}") for c in names[1:]))
-    by_first = held.mapInArrow(_with_first, out)
-    # the sparse suffix array, by ranges
-    order = ["h", "ctx", "doc_id", "copy", "pos"]
-    array = suffixes.repartitionByRange(jobs.partitions(spark), *order).sortWithinPartitions(*order)
-    by_neighbour = jobs.cut(array.mapInArrow(_neighbours, out))
-    edges = []
-    for r in sorted(by_neighbour.where("edge is not null").select("doc_id", "edge").collect()):
-        edges.append(pa.ipc.open_stream(r.edge).read_all().to_batches())
-    over = [list(zip(*(c.tolist() for c in _matches(_columns(x[-1]), _columns(y[0]))), strict=True)) for x, y in zip(edges, edges[1:], strict=False)]
-    across = spark.createDataFrame([r for rows in over for r in rows], "doc_id long, copy long, start int, stop int")
+    packs = near.select("doc_id", "copy", "text", "at").mapInArrow(_emit(buckets), "bucket int, rows binary")
+    found = packs.groupBy("bucket").applyInArrow(_later, "doc_id long, copy long, start int, stop int")
     copies = later.select("doc_id", "copy", F.lit(0).alias("start"), F.lit(_ALL).alias("stop"))
-    return copies.union(by_first.drop("edge")).union(by_neighbour.where("edge is null").drop("edge")).union(across)
+    return copies.union(found)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

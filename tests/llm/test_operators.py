@@ -330,6 +330,27 @@ def test_suffixes_remove_later_passages(spark):
     assert got[101].text.strip() == "" and set(got) <= {*planted, 100, 101}
 
 
+def test_suffixes_remove_every_repeated_window(spark):
+    rng = random.Random(17)
+    docs, passages = [], [words(rng, 60) for _ in range(4)]
+    for k, p in enumerate(passages):  # the first holds only part of the passage
+        docs.append((200 * k, " ".join([*words(rng, 20), *p[:40], *words(rng, 20)])))
+        docs += [(200 * k + i, " ".join([*words(rng, rng.randrange(5, 30)), *p, *words(rng, rng.randrange(5, 30))])) for i in range(1, 40)]
+    docs.append((900, " ".join(passages[0] * 3)))
+    seen, want = set(), {}
+    for i, t in docs:
+        w, gone = t.split(), set()
+        for s in range(len(w) - 49):
+            window = tuple(w[s : s + 50])
+            if window in seen:
+                gone |= set(range(s, s + 50))
+            seen.add(window)
+        if gone:
+            want[i] = (len(gone), [x for k, x in enumerate(w) if k not in gone])
+    got = {r.doc_id: (r.n_removed, r.text.split()) for r in suffix_dedup.dedup_suffixes(frame(spark, docs).repartition(5)).collect()}
+    assert got == want and len(want) == 4 * 38 + 1
+
+
 # ---------------------------------------------------------------- op9
 
 

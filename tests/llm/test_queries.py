@@ -29,3 +29,17 @@ def test_pipeline_keeps_what_every_stage_keeps(spark):
         ids = left
     got = corpus_pipeline.run(spark, FOLDER)
     assert {r.doc_id for r in got.collect()} == ids and len(ids) > 100
+
+
+def test_pipeline_leaves_no_line_twice(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    before = [r for r in docs.where("text is not null").select("doc_id", "text").orderBy("doc_id").collect()]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup_stage(spark, docs, FOLDER).collect()}
+    seen = set()
+    for doc_id, text in before:
+        left = []
+        for line in text.split("\n"):
+            if not line.strip(" \t\n\v\f\r") or line not in seen:
+                left.append(line)
+            seen.add(line)
+        assert got[doc_id] == "\n".join(left)

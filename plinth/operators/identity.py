@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.operators import graph
+
 
 def filled(c: str) -> Column:
     return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
@@ -86,25 +87,6 @@ def shared_edges(df: DataFrame, node: str, items: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, component): the smallest node reachable. Labels spread over edges and jump to their label's label until nothing moves.
-
-    Every round is cut by a checkpoint in the shared folder (``spark.checkpoint.dir``), so plans stay short and a lost executor loses nothing.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(nodes.select(F.col(node).alias("node")).distinct().withColumn("component", F.col("node")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        step = labels.join(near, "node", "left").select("node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        far = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = checkpointed(step.join(far, "low", "left").select("node", F.least("low", "far").alias("component"), F.col("component").alias("old")))
-        moved = new.where("component <> old").limit(1).count()
-        labels = new.select("node", "component")
-        if not moved:
-            return labels
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    """(node, component) of every node: the smallest node reachable over ``edges(a, b)``, itself where it has none."""
+    ids = nodes.select(F.col(node).alias("node")).distinct()
+    return ids.join(graph.components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -1,14 +1,16 @@
-"""Shared helpers for jobs of several passes: cut lineage, broadcast behind a size check, connected components."""
+"""Shared helpers for jobs of several passes: cut lineage, broadcast behind a size check."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plinth.operators.graph import components, shared_folder, store
+
+__all__ = ["anti", "attach", "components", "cut", "merged", "partitions", "semi", "shared_folder", "small_batches", "store", "with_doc_key"]
+
 #: Ids that a broadcast may carry (8 bytes each); larger sides are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -16,37 +18,20 @@ BROADCAST_IDS = 1_000_000
 BATCH_ROWS = 1000
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; only where none is set (tests), a folder of this machine."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def small_batches(spark: SparkSession) -> None:
     """Hand texts to Python a thousand rows at a time: they can be long, and a batch is held by the executor and by its worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
-    set_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def store(df: DataFrame) -> DataFrame:
-    """Like ``cut``, as a compressed table in the same folder: for wide rows."""
-    spark = df.sparkSession
-    set_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """The rows of ``df``, computed once and kept as a table in the shared folder, so that a lost executor loses nothing and sizes are real."""
+    return store(df)
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str, size: int | None = None) -> DataFrame:
     """Left semi join that broadcasts ``keys`` only when their counted number is at most BROADCAST_IDS."""
     n = keys.count() if size is None else size
-    return df.join(F.broadcast(keys) if n <= BROADCAST_IDS else keys.hint("shuffle_hash"), on, "left_semi")
+    return df.join(F.broadcast(keys) if n <= BROADCAST_IDS else keys, on, "left_semi")
 
 
 def anti(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
@@ -54,30 +39,6 @@ def anti(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, on, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of ``edges(a, b)``; comp is the smallest node reachable.
-
-    Each round takes the smallest label around every node and then jumps to
-    that label's own label, so chains shorten by halves; work is one pass
-    over the edges a round, and nothing is gathered on the driver but a count.
-    """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("near").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        target = labels.select(F.col("node").alias("low"), F.col("comp").alias("far"))
-        new = cut(step.join(target, "low", "left").select("node", F.least("low", "far").alias("comp"), F.col("comp").alias("old")))
-        moved = new.where("comp <> old").limit(1).count()
-        labels = new.select("node", "comp")
-        if not moved:
-            return labels
-
-
 def partitions(spark: SparkSession) -> int:
     with contextlib.suppress(ValueError, TypeError):
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -4,28 +4,23 @@ A document is the set of its distinct five-word shingles (hashed to 64 bits).
 Two sets link when ``100 * |A & B| >= 75 * |A | B|``; the join finds every such
 link's component exactly.
 
-Method. Sets whose sizes lie in one band ``[r/4, r]`` are compared in one
-instance of the enumeration; a set near a band's edge takes part in the next
-band too, so any two sets of similar enough size meet in at least one. In an
-instance the domain of shingles is partitioned by a hash into ``r / 2``
-first-level partitions of two second-level ones each, and the enumerated subsets of
-second-level partitions (one of two, as n2 = 2 and k2 = 1) are the signatures:
-a set's signature is the content it has in one such part. If J >= 3/4 for sets
-with ``a`` and ``b`` elements, they differ in at most ``(a + b) / 7 <= a / 3``
-elements, each of which changes one part at most. Of the first
-``a / 3 + 1`` of a set's non-empty parts in *any* order shared by all sets, at
-least one is then equal in both sets and among the other's first ones. So each set emits
-only that many signatures. The shared order puts parts made wholly of
-common shingles last (those that recur within a task's documents, counted over all documents; the ``COMMON`` most frequent are told
-to all tasks). That only spares work: any order gives the same result. Small sets (bands under 256) use the
-finest partition, one shingle a part, where the bound holds without regard
-to how shingles fall.
-
-Sets that share a signature are candidates. They are not paired with each
-other: each is held against the group's first member, then against one more, and components grow from
-verified links. Only members that then lie in *different* components of a signature are left. They are
-compared inside their bucket by their sets' counts over cells of the domain, whose difference is a lower bound of the sets' own; only
-pairs that it can't rule out leave the bucket and have their whole texts compared, so no link between components is missed.
+Method. Sets whose sizes lie in one band ``(r/2, r]`` are compared in one instance of the enumeration; a set of which one a third larger lies in
+the next band takes part there too, so any two sets of similar enough size meet. In an instance the domain of shingles is partitioned by a hash into
+``n1 = r / 3`` first-level partitions of ``n2 = 3`` second-level ones each, and of each first-level one the subsets of two second-level ones are enumerated
+(``k2 = 1``): a signature is the place and the whole content that a set has there. If J >= 3/4 for sets with ``a <= b`` elements, they differ in
+``d <= (a + b) / 7 <= a / 3`` elements. A difference takes away two signatures at most (two of the three subsets hold its part), so of a
+set's signatures that are not empty at most ``2 d`` are not the other's: the first ``2 (a / 3) + 1`` of them in *any* order shared by all sets are enough to share one.
+The shared order puts last what is made wholly of common shingles (those that recur within a task's documents, counted over all documents; the ``COMMON`` most
+frequent are told to all tasks). That only spares work: any order gives the same result. A set that has fewer signatures than that (a very small one) also emits the
+first ``a / 4 + 1`` of its single shingles, of which two linked sets share one, so two such sets meet as well.
+
+Documents that share a signature are a family under the smallest of them; families are told as distinct (family, document) rows, so what two documents share many times
+is one row. Families are dealt into blocks of ``BLOCK``. Inside a block, documents are compared by their odd cells (a bit for each of some four cells an
+element: whether the set has an odd number of elements there). Sets differ in at least as many elements as their cells, so no linked pair is
+ruled out; of the pairs left, those that differ far less than they may are thinned to a spanning forest, and the others are kept only between its trees: what leaves
+a block grows with its members. Those pairs' whole texts are compared exactly. Should a thinned pair's text not link, all pairs of blocks are looked at again without
+thinning. What is not in a large family's main component is then held against all the family's blocks. So no link between components is missed, and
+no two documents that are joined already are compared.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a
 text with fewer than five words is one shingle; repeated rows of a doc_id are one
@@ -43,14 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import jobs
-from plinth.llm.kernels import SPACE, U64, Tokens, mix, shingle_sets, signed, text_chunks
+from plinth.llm.kernels import _P, SPACE, U64, Tokens, mix, shingle_sets, signed, text_chunks
 
 SHINGLE = 5
-FINEST = 256
+#: Second-level partitions of a first-level one (n2), and the subsets of them that are enumerated (all but k2 = 1).
+PARTS = 3
+SUBSETS = ((0, 1), (0, 2), (1, 2))
 COMMON = 500_000
 RECURS = 3
-#: Cells of the sketch that pairs are first held by, documents whose sketches a broadcast may carry (others are joined), members of a block.
-CELLS, SKETCHES, BLOCK = 128, 200_000, 1024
+#: Members of a block of a family, rows of a bucket of blocks, and the share of the largest possible difference up to which a pair is trusted to link.
+BLOCK, BUCKET_ROWS, SURE = 1024, 20_000, 0.8
+BUCKET_CHARS, _CHUNK, _FLUSH = 3_000_000, 150_000, 900_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
@@ -87,35 +85,54 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield recurring()
 
 
-def band_tops(n: int) -> list[int]:
-    """Largest set size of each band in which a set of ``n`` shingles takes part: its own, and the next when a set a third larger is there."""
-    own = 4
-    while own < n:
-        own *= 4
-    return [own, own * 4] if 4 * n > 3 * own else [own]
-
-
-def signatures(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The PartEnum signatures of one set (sorted distinct hashes)."""
-    out = []
-    for top in band_tops(len(s)):
-        if top <= FINEST:
-            part_sig = mix(s, top)
-            cold = _absent(s, common)
-        else:
-            part = mix(s, 7) % U64(top)
-            order = np.argsort(part, kind="stable")
-            part, el = part[order], s[order]
-            at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            part_sig = mix(np.add.reduceat(mix(el, 8), at) ^ mix(part[at], 9), top)
-            cold = np.logical_or.reduceat(_absent(el, common), at)
-        want = len(s) // 3 + 1
-        if len(part_sig) > want:
-            # commonest parts last, else by hash: the same order for all sets
-            cold_sig, rest = np.sort(part_sig[cold]), np.sort(part_sig[~cold])
-            part_sig = np.concatenate((cold_sig, rest))[:want]
-        out.append(part_sig)
-    return np.concatenate(out)
+def bands(n: np.ndarray) -> list[np.ndarray]:
+    """Largest set size of the band that each set size lies in (a power of two), and of the next band where a set a third larger is in that one (else 0)."""
+    own = np.int64(1) << np.ceil(np.log2(np.maximum(n, 4))).astype(np.int64)
+    return [own, np.where(4 * n > 3 * own, 2 * own, 0)]
+
+
+def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The PartEnum signatures of sets (sorted distinct hashes), and which set each is of."""
+    n = np.array([len(s) for s in sets], np.int64)
+    every, cold = np.concatenate(sets), _absent(np.concatenate(sets), common)
+    owner = np.repeat(np.arange(len(sets)), n)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    thin = np.zeros(len(sets), bool)
+    for tops in bands(n):
+        groups = np.where(tops > 0, np.maximum(1, tops // PARTS), 0)
+        first = np.cumsum(groups) - groups
+        ours = tops[owner] > 0
+        of, el = owner[ours], every[ours]
+        at = PARTS * first[of] + (mix(el, 7) % (PARTS * groups[of]).astype(U64)).astype(np.int64)
+        part, full, rare = np.zeros(PARTS * int(groups.sum()), U64), np.zeros(PARTS * int(groups.sum()), bool), np.zeros(PARTS * int(groups.sum()), bool)
+        np.add.at(part, at, mix(el, 8))
+        full[at] = True
+        rare[at[cold[ours]]] = True
+        part = np.where(full, mix(part, 1), U64(0)).reshape(-1, PARTS)
+        full, rare = full.reshape(-1, PARTS), rare.reshape(-1, PARTS)
+        doc = np.repeat(np.arange(len(sets)), groups)
+        where = (np.arange(len(doc)) - first[doc]).astype(U64) * U64(_P) + tops[doc].astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+        sig = np.stack([mix(part[:, a] * U64(3) + part[:, b] * U64(5) + where, 7 * a + b) for a, b in SUBSETS], axis=1).ravel()
+        some = np.stack([full[:, a] | full[:, b] for a, b in SUBSETS], axis=1).ravel()
+        rare = np.stack([rare[:, a] | rare[:, b] for a, b in SUBSETS], axis=1).ravel()
+        doc, want = np.repeat(doc, len(SUBSETS)), 2 * (n // 3) + 1
+        keep = some & (_place(some & rare, some & ~rare, doc, len(sets)) < want[doc])
+        out.append((sig[keep], doc[keep]))
+        thin |= (tops > 0) & (np.bincount(doc, some, len(sets)) < want)
+    if thin.any():
+        mine = thin[owner]
+        el, doc, rare = every[mine], owner[mine], cold[mine]
+        keep = _place(rare, ~rare, doc, len(sets)) < n[doc] // 4 + 1
+        out.append((mix(el[keep], 5), doc[keep]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+
+
+def _place(early: np.ndarray, late: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Places from 0 within each document, ``early`` ones in their order and then ``late`` ones in theirs; ``doc`` rises."""
+    n = np.bincount(doc, early, docs).astype(np.int64)
+    m = np.bincount(doc, late, docs).astype(np.int64)
+    first, then = np.cumsum(early) - 1 - (np.cumsum(n) - n)[doc], np.cumsum(late) - 1 - (np.cumsum(m) - m)[doc] + n[doc]
+    return np.where(early, first, then)
 
 
 def _absent(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -151,6 +168,14 @@ def _emit(common, buckets: int):
             at = np.concatenate((np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), [len(where)]))
             yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array([_pack(sig[x:y], doc[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
 
+        def signed_up(docs: list[int], sets: list[np.ndarray]) -> None:
+            sig, of = signatures(sets, common.value)
+            sigs.append(sig)
+            ids.append(np.array(docs, np.int64)[of])
+
+        docs: list[int] = []
+        sets: list[np.ndarray] = []
+        size = 0
         for doc, s in _sets(batches):
             if doc is None or not len(s):
                 continue
@@ -158,46 +183,148 @@ def _emit(common, buckets: int):
             if key in seen:  # an exact copy in this task: already tied to its first by the digests
                 continue
             seen.add(key)
-            x = signatures(s, common.value)
-            sigs.append(x)
-            ids.append(np.full(len(x), doc, np.int64))
-            held += len(x)
-            if held > 800_000:
+            docs.append(doc)
+            sets.append(s)
+            held += len(s)
+            size += len(s)
+            if size > _CHUNK:
+                signed_up(docs, sets)
+                docs, sets, size = [], [], 0
+            if held > _FLUSH:
+                if sets:
+                    signed_up(docs, sets)
                 yield from flush()
-                sigs, ids, held = [], [], 0
-        if held:
+                docs, sets, sigs, ids, held, size = [], [], [], [], 0, 0
+        if sets:
+            signed_up(docs, sets)
+        if sigs:
             yield from flush()
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """(sig, doc) of the signatures of one bucket that more than one document has."""
+    """(family, doc_id): the documents of each signature of one bucket that more than one has, under the smallest of them."""
     parts = [_unpack(x.as_py()) for x in table.column("rows")]
     sig, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(sig, kind="stable")
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    keep = np.zeros(len(sig), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    return pa.table({"sig": pa.array(signed(sig[keep])), "doc_id": pa.array(doc[order][keep])})
+    sig, doc = sig[order], doc[order]
+    at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(sig)))
+    family = np.repeat(np.minimum.reduceat(doc, at), size) if len(at) else doc
+    many = np.repeat(size > 1, size)
+    family, doc = family[many], doc[many]
+    order = np.lexsort((doc, family))
+    family, doc = family[order], doc[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (family[1:] != family[:-1]) | (doc[1:] != doc[:-1])
+    return pa.table({"family": family[new], "doc_id": doc[new]})
+
+
+def _odd_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, cells): which cells of the domain hold an odd number of a set's elements, one bit a cell, at least four cells an element."""
+    for batch in batches:
+        rows = []
+        for i, s in _sets(iter([batch])):
+            m = max(512, 1 << int(4 * max(1, len(s)) - 1).bit_length())
+            odd = np.bincount((mix(s, 12) & U64(m - 1)).astype(np.int64), minlength=m) & 1
+            rows.append((i, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["doc_id", "cells"])
+
+
+def fold(cells: np.ndarray) -> np.ndarray:
+    """The odd cells of a domain of half as many cells."""
+    half = cells.shape[1] // 2
+    return cells[:, :half] ^ cells[:, half:]
+
+
+def possible(cells: list[bytes], n: np.ndarray, ask) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, least): the pairs for which ``ask(i, j)`` holds and that may have a similarity of 0.75, with the least number of elements by which they differ.
+
+    Two sets differ in at least as many elements as their odd cells do, so no pair with that similarity is left out.
+    """
+    sizes = np.array([len(c) // 8 for c in cells])
+    rows = {w: np.flatnonzero(sizes == w) for w in np.unique(sizes)}
+    words = {w: np.frombuffer(b"".join(cells[i] for i in at), U64).reshape(len(at), -1) for w, at in rows.items()}
+    out: list[tuple[np.ndarray, ...]] = []
+    for w, at in rows.items():
+        # sizes of linked sets differ by a third at most, hence their domains by one step
+        for other, theirs, folded in ((at, words[w], False), (rows.get(2 * w), words.get(2 * w), True)):
+            if other is None:
+                continue
+            theirs = fold(theirs) if folded else theirs
+            step = max(1, 2_000_000 // (len(other) * int(w)))
+            for k in range(0, len(at), step):
+                i, j = np.meshgrid(np.arange(k, min(k + step, len(at))), np.arange(len(other)), indexing="ij")
+                x, y = at[i], other[j]
+                ok = ask(x, y) & (4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])) & (folded | (i < j))
+                i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+                for q in range(0, len(i), max(1, 2_000_000 // int(w))):
+                    part = slice(q, q + max(1, 2_000_000 // int(w)))
+                    least = np.bitwise_count(words[w][i[part]] ^ theirs[j[part]]).sum(axis=1, dtype=np.int64)
+                    near = 7 * least <= n[x[part]] + n[y[part]]
+                    out.append((x[part][near], y[part][near], least[near]))
+    i, j, least = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
+    return np.minimum(i, j), np.maximum(i, j), least
+
+
+def forest(i: np.ndarray, j: np.ndarray, sure: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which pairs to look at: as few of the sure ones as join what they join, and every other one between what is then apart."""
+    label, take = label.copy(), np.zeros(len(i), bool)
+    order = np.lexsort((j, i))
+    order = order[sure[order]]
+    at = np.append(np.flatnonzero(np.concatenate(([True], i[order][1:] != i[order][:-1]))), len(order)) if len(order) else [0]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        mine = label[i[order[a]]]
+        far = order[a:b][label[j[order[a:b]]] != mine]
+        if len(far):
+            names, one = np.unique(label[j[far]], return_index=True)
+            take[far[one]] = True
+            label[np.isin(label, names)] = mine
+    return take | (~sure & (label[i] != label[j]))
+
+
+def _near_pairs(sure_share: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("family", "ascending"), ("block", "ascending"), ("doc", "ascending")])
+        family, block, doc, comp, n, home = (table.column(c).to_numpy() for c in ("family", "block", "doc", "comp", "n", "home"))
+        cells = table.column("cells").to_pylist()
+        at = np.append(np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (block[1:] != block[:-1])))), len(doc))
+        out: list[tuple[np.ndarray, ...]] = []
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            ids, of, size, lives = doc[a:b], comp[a:b], n[a:b], home[a:b]
+            if b - a < 2 or (of == of[0]).all():
+                continue
+            i, j, least = possible(cells[a:b], size, lambda x, y, of=of, lives=lives: (of[x] != of[y]) & (lives[x] | lives[y]))  # noqa: B023
+            sure = 7 * least <= sure_share * (size[i] + size[j])
+            ok = forest(i, j, sure, np.unique(of, return_inverse=True)[1])
+            out.append((ids[i[ok]], ids[j[ok]], sure[ok]))
+        x, y, sure = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": sure})
+
+    return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple = (None, None)
     for batch in batches:
-        a_ids, b_ids = batch.column(0), batch.column(1)
-        left, ok = batch.column(2), []
-        right = (s for _, s in _sets(iter([batch]), 1, 3))
-        for i, b in enumerate(right):
+        a_ids, left, ok = batch.column(0), batch.column(3), []
+        for i, (_, b) in enumerate(_sets(iter([batch]), 1, 4)):
             if a_ids[i].as_py() != last[0]:
                 last = (a_ids[i].as_py(), next(_sets(iter([pa.RecordBatch.from_arrays([a_ids.slice(i, 1), left.slice(i, 1)], names=["a", "t"])])))[1])
             a = last[1]
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(100 * both >= 75 * (len(a) + len(b) - both))
-        keep = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([a_ids.filter(keep), b_ids.filter(keep)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], names=["a", "b", "sure", "linked"])
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, sure, linked): ``pairs`` (a, b, sure) of document ids, and whether their whole texts' shingle sets have a similarity of 0.75 or more."""
+    ids = jobs.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    texts = jobs.cut(jobs.semi(docs, ids, "doc_id").dropDuplicates(["doc_id"]))
+    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sure", "a_text", "b_text").mapInArrow(_verify, "a long, b long, sure boolean, linked boolean")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,12 +339,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     firsts = digest.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     reps = jobs.cut(digest.join(firsts, ["n_shingles", "k1", "k2"]).select("doc_id", "rep", "n_shingles").distinct())
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(max(16, chars // 4_000_000))
+    buckets = int(max(16, chars // BUCKET_CHARS))
     blobs = docs.mapInArrow(_emit(docs.sparkSession.sparkContext.broadcast(common), buckets), "bucket int, rows binary")
-    shared = blobs.groupBy("bucket").applyInArrow(_repeated, "sig long, doc_id long")
-    members = jobs.store(shared.join(reps, "doc_id").select("sig", F.col("rep").alias("doc"), F.col("n_shingles").alias("n")).distinct())
-    links = _links(docs, members)
-    comps = jobs.components(links).select(F.col("node").alias("rep"), "comp")
+    shared = blobs.groupBy("bucket").applyInArrow(_repeated, "family long, doc_id long")
+    members = jobs.store(shared.join(reps, "doc_id").select("family", F.col("rep").alias("doc"), F.col("n_shingles").alias("n")).distinct())
+    comps = jobs.components(_links(docs, members)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # copies of one set, and sets that link, share their smallest doc_id
     own = reps.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     by_doc = own.join(comps, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
@@ -225,132 +351,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Verified links that join every component: (a, b); ``members`` (sig, doc, n) are the sets that share a signature."""
+    """Verified links (a, b) that join every component; ``members`` (family, doc, n) are the sets that share a signature."""
     spark = docs.sparkSession
-    links = checked = spark.createDataFrame([], "a long, b long")
-    rows = members.withColumn("comp", F.col("doc"))
-    for turn in (0, 1):
-        # each member against one other: the group's first, then (if still apart from it) another one
-        hub = F.min(F.struct("doc", "comp", "n")) if turn == 0 else F.min(F.struct(F.xxhash64("doc"), "doc", "comp", "n"))
-        groups = rows.groupBy("sig").agg(hub.alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
-        apart = rows.join(groups, "sig").where("hub.comp <> comp and 4 * least(hub.n, n) >= 3 * greatest(hub.n, n)")
-        one = apart.groupBy("doc").agg(F.min("hub.doc").alias("other") if turn == 0 else F.min_by("hub.doc", F.xxhash64("sig")).alias("other"))
-        pairs = jobs.cut(one.select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct().join(checked, ["a", "b"], "left_anti"))
-        checked = checked.union(pairs)
-        links = jobs.cut(links.union(verify_pairs(docs, pairs)))
-        comps = jobs.components(links).select(F.col("node").alias("doc"), "comp")
-        rows = members.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    return jobs.cut(links.union(verify_pairs(docs, _across(docs, rows).join(checked, ["a", "b"], "left_anti"))))
-
-
-def _across(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): members of one signature in different components that their cells can't keep apart.
-
-    Pairs are looked at inside a bucket of signatures, a block of them at a time, and only those that may link leave it.
-    """
-    spark = docs.sparkSession
-    mixed = rows.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low <> high").select("sig", "size")
-    # a group of more than BLOCK members is dealt into blocks, and every two of its blocks meet once
-    open_ = rows.join(mixed, "sig").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))
-    open_ = jobs.store(open_.select("sig", "doc", "comp", "n", "block", F.explode(meets).alias("m")).select("sig", "doc", "comp", "n", "block", "m.x", "m.y"))
-    ids = jobs.cut(open_.select(F.col("doc").alias("doc_id")).distinct())
-    many, total = ids.count(), open_.count()
-    cells = jobs.store(jobs.semi(docs, ids, "doc_id", many).select("doc_id", "text").mapInArrow(_small_sketch, "doc_id long, cells binary").dropDuplicates(["doc_id"]))
-    known = None
-    if many <= SKETCHES:
-        got = cells.toPandas().sort_values("doc_id")
-        known = spark.sparkContext.broadcast((got["doc_id"].to_numpy(), np.frombuffer(b"".join(got["cells"]), np.uint8).reshape(-1, CELLS)))
-    else:
-        open_ = open_.join(cells.withColumnRenamed("doc_id", "doc"), "doc")
-    buckets = int(max(jobs.partitions(spark), total // 50_000))
-    return open_.groupBy(F.pmod(F.xxhash64("sig", "x", "y"), F.lit(buckets)).alias("bucket")).applyInArrow(_near_pairs(known), "a long, b long").distinct()
-
-
-def _small_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, np.minimum(255, np.bincount((mix(s, 12) % U64(CELLS)).astype(np.int64), minlength=CELLS)).astype(np.uint8).tobytes()) for i, s in _sets(iter([batch]))]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["doc_id", "cells"])
-
-
-def _near_pairs(known):
-    def run(table: pa.Table) -> pa.Table:
-        if known is None:
-            cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), np.uint8).reshape(-1, CELLS)
-        else:
-            cells = known.value[1][np.searchsorted(known.value[0], table.column("doc").to_numpy())]
-        sig, doc, comp, n, block, x, y = (table.column(c).to_numpy() for c in ("sig", "doc", "comp", "n", "block", "x", "y"))
-        order = np.lexsort((doc, y, x, sig))
-        group = np.concatenate(([True], (np.diff(sig[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))).cumsum()
-        last = np.searchsorted(group, group, side="right")
-        out: list[np.ndarray] = []
-        seen = np.zeros(0, [("a", np.int64), ("b", np.int64)])
-        for step in range(0, len(order), 128):
-            at = np.arange(step, min(step + 128, len(order)))
-            times = last[at] - at - 1
-            i = np.repeat(at, times)
-            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
-            i, j = order[i], order[j]
-            # of two blocks only pairs across them, so that no pair is looked at twice
-            ok = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & ((x[i] == y[i]) | (block[i] != block[j]))
-            i, j = i[ok], j[ok]
-            pair = np.empty(len(i), seen.dtype)
-            pair["a"], pair["b"] = np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])
-            pair, first = np.unique(pair, return_index=True)
-            i, j = i[first], j[first]
-            for k in range(0, len(i), 16_384):
-                u, v = i[k : k + 16_384], j[k : k + 16_384]
-                differ = np.abs(cells[u].astype(np.int16) - cells[v]).sum(axis=1)
-                near = (7 * differ <= n[u] + n[v]) | (cells[u] == 255).any(axis=1) | (cells[v] == 255).any(axis=1)
-                out.append(pair[k : k + 16_384][near])
-        found = np.unique(np.concatenate(out)) if out else seen
-        return pa.table({"a": np.ascontiguousarray(found["a"]), "b": np.ascontiguousarray(found["b"])})
-
-    return run
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(i, len(s), _cells(s)) for i, s in _sets(iter([batch]))]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n", "cells"])
-
-
-def _cells(s: np.ndarray) -> bytes:
-    """How many elements each cell of the domain holds; about half as many cells as elements, at most 255 counted."""
-    bits = int(np.clip(int(max(1, len(s))).bit_length() - 1, 4, 14))
-    return np.minimum(255, np.bincount((mix(s, 11) >> U64(64 - bits)).astype(np.int64), minlength=1 << bits)).astype(np.uint8).tobytes()
-
-
-def may_link(a: bytes, b: bytes, n_a: int, n_b: int) -> bool:
-    """False only if sets with these cells can't have a similarity of 0.75: they differ in at least as many elements as their cells' counts do."""
-    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
-    m = min(len(x), len(y))
-    if (x == 255).any() or (y == 255).any():
-        return True
-    return 7 * int(np.abs(x.reshape(m, -1).sum(axis=1) - y.reshape(m, -1).sum(axis=1)).sum()) <= n_a + n_b
-
-
-def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = pa.array([may_link(a, b, n, m) for n, a, m, b in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-
-def verify_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole texts' shingle sets have a similarity of 0.75 or more."""
-
-    def rows_of(pairs: DataFrame) -> DataFrame:
-        ids = jobs.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        return jobs.semi(docs, ids, "doc_id")
-
-    sketches = jobs.cut(rows_of(pairs).select("doc_id", "text").mapInArrow(_sketch, "doc_id long, n long, cells binary").dropDuplicates(["doc_id"]))
-    a, b = (sketches.select(*(F.col(c).alias(f"{x}_{c}" if c != "doc_id" else x) for c in ("doc_id", "n", "cells"))) for x in "ab")
-    possible = jobs.cut(pairs.join(a, "a").join(b, "b").select("a", "b", "a_n", "a_cells", "b_n", "b_cells").mapInArrow(_possible, "a long, b long"))
-    texts = jobs.cut(rows_of(possible).dropDuplicates(["doc_id"]))
-    a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return possible.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long")
+    ids = jobs.cut(members.select(F.col("doc").alias("doc_id")).distinct())
+    cells = jobs.store(jobs.semi(docs, ids, "doc_id").mapInArrow(_odd_cells, "doc_id long, cells binary").dropDuplicates(["doc_id"])).withColumnRenamed("doc_id", "doc")
+    sizes = members.groupBy("family").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1").select("family", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = jobs.store(members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def looked_at(dealt: DataFrame, sure_share: float) -> DataFrame:
+        """The pairs of each family's blocks that may link; ``dealt`` is (family, doc, n, comp, own, block)."""
+        full = dealt.withColumn("home", F.col("own") == F.col("block")).join(cells, "doc")
+        buckets = int(max(jobs.partitions(spark), dealt.count() // BUCKET_ROWS))
+        found = full.select("family", "block", "doc", "comp", "n", "home", "cells").groupBy(F.pmod(F.xxhash64("family", "block"), F.lit(buckets)).alias("bucket")).applyInArrow(_near_pairs(sure_share), "a long, b long, sure boolean")
+        return jobs.cut(verified(docs, jobs.cut(found.groupBy("a", "b").agg(F.max("sure").alias("sure")))))
+
+    # inside blocks, which all hold the family's first; pairs that surely link are taken on trust where others join the same
+    inside = rows.withColumn("comp", F.col("doc")).withColumn("block", F.explode(F.when(F.col("doc") == F.col("hub"), every).otherwise(F.array("own"))))
+    seen = looked_at(inside, SURE)
+    if seen.where("sure and not linked").limit(1).count():  # trust misplaced: look at every pair
+        seen = looked_at(inside, 0.0)
+    links = seen.where("linked").select("a", "b")
+    wide = rows.where("blocks > 1")
+    if not wide.limit(1).count():
+        return links
+    # across blocks: what is not in a family's largest component is held against all its blocks
+    comps = jobs.components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+    wide = jobs.store(wide.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+    main = wide.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
+    across = wide.join(main, "family").withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(every))).drop("main")
+    more = looked_at(across, SURE)
+    if more.where("sure and not linked").limit(1).count():
+        more = looked_at(across, 0.0)
+    return links.union(more.where("linked").select("a", "b"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

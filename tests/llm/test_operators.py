@@ -400,11 +400,12 @@ def components_by_force(docs, k=5):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_near_copies_agree_with_brute_force(spark, seed, monkeypatch):
-    if seed == 2:  # blocks of large groups, and sketches by a join
+    if seed == 2:  # families of several blocks
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
-        monkeypatch.setattr(ngram_join, "SKETCHES", 0)
+    if seed == 3:  # trust in every pair, so that it is misplaced
+        monkeypatch.setattr(ngram_join, "SURE", 1.0)
     rng = random.Random(seed)
     docs = []
     for i in range(260):
@@ -422,20 +423,41 @@ def test_near_copies_agree_with_brute_force(spark, seed, monkeypatch):
     assert got == components_by_force(docs)
 
 
+def test_texts_with_long_shared_passages_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    rng = random.Random(23)
+    passage, docs = words(rng, 120), []
+    for i in range(120):  # similarities from about 0.55 to 0.8, round the threshold
+        own = words(rng, rng.randrange(8, 30))
+        docs.append((i, " ".join(own + passage if i % 2 else passage + own)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_copies(frame(spark, docs).repartition(5)).collect()}
+    assert got == components_by_force(docs)
+
+
 def test_similar_sets_share_a_signature():
     rng = random.Random(13)
-    none = np.zeros(0, np.uint64)
-    for _ in range(300):
-        n = rng.choice([1, 2, 3, 5, 10, 40, 190, 255, 260, 300, 700, 1020, 1100, 3000])
+    for _ in range(400):
+        n = rng.choice([1, 2, 3, 5, 10, 40, 96, 190, 255, 260, 300, 700, 1020, 1100, 3000])
         a = [rng.getrandbits(64) for _ in range(n)]
         drop = rng.randrange(0, n // 4 + 1)
         add = rng.randrange(0, max(0, (4 * (n - drop)) // 3 - n) + 1)
         b = a[drop:] + [rng.getrandbits(64) for _ in range(add)]
         both, whole = len(set(a) & set(b)), len(set(a) | set(b))
         x, y = (np.unique(np.array(s, np.uint64)) for s in (a, b))
+        common = np.sort(np.array(rng.sample(a, rng.randrange(0, n + 1)), np.uint64))
         if 100 * both >= 75 * whole:
-            assert set(ngram_join.signatures(x, none).tolist()) & set(ngram_join.signatures(y, none).tolist())
-            assert ngram_join.may_link(ngram_join._cells(x), ngram_join._cells(y), len(x), len(y))
+            sig, of = ngram_join.signatures([x, y], common)
+            assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+            odd = [b.column(1)[0].as_py() for s in (x, y) for b in [cells_of(s)]]
+            assert len(ngram_join.possible(odd, np.array([len(x), len(y)]), lambda i, j: i < i + 1)[0]) == 1
+
+
+def cells_of(s):
+    real, ngram_join._sets = ngram_join._sets, lambda batches: [(1, s)]
+    try:
+        return next(ngram_join._odd_cells(iter([None])))
+    finally:
+        ngram_join._sets = real
 
 
 # ---------------------------------------------------------------- odd rows, empty tables

@@ -31,6 +31,11 @@ def in_box(lat: Column, lon: Column, box: Sequence[float] | None = CITY_BOX) ->
     return F.coalesce(lat.between(box[0], box[1]) & lon.between(box[2], box[3]), F.lit(False))
 
 
+def box_filter(lat: Column, lon: Column, box: Sequence[float]) -> Column:
+    """The same as a filter: bare ranges, which reach the scan (a filter drops NULL as it drops false)."""
+    return lat.between(box[0], box[1]) & lon.between(box[2], box[3])
+
+
 def first_box(lat: Column, lon: Column, boxes: Sequence[tuple] = BOROUGH_BOXES) -> Column:
     out = F.lit(None).cast("string")
     for name, *box in reversed(boxes):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,9 +11,19 @@ from pyspark.sql import functions as F
 # Spellings that mean "no value", exact and case-sensitive.
 NULLISH = ("", "-", "N/A", "n/a", "NA", "NULL", "null", "Null", "NONE", "None", "none", "NaN", "nan")
 
-# Latin-1 letters and the base letters that canonical decomposition leaves of them.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _bases() -> tuple[str, str]:
+    """Characters that canonical decomposition takes to a base character and marks, and those bases."""
+    pairs = []
+    for code in range(0xC0, 0x10000):
+        base = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code) and not 0xD800 <= code < 0xE000:
+            pairs.append((chr(code), base))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+ACCENTED, UNACCENTED = _bases()
 
 
 def squeeze(c: Column) -> Column:
@@ -21,8 +32,10 @@ def squeeze(c: Column) -> Column:
 
 
 def normalise_text(c: Column) -> Column:
-    """Squeezed text, NULL for a spelling of no value. Case and accents stay as they are."""
-    t = squeeze(c.cast("string"))
+    """Squeezed text, NULL for a spelling of no value. Case and accents stay as they are; a whole number has no decimals, a boolean is no text."""
+    kind, number = F.typeof(c), c.try_cast("double")
+    whole = kind.isin("double", "float") & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    t = squeeze(F.when(kind != "boolean", F.when(whole, number.try_cast("long").cast("string")).otherwise(c.cast("string"))))
     return F.when(~t.isin(*NULLISH), t)
 
 
@@ -62,7 +75,7 @@ def name_set(c: Column) -> Column:
 
 def search_fold(c: Column) -> Column:
     """Without accents, apostrophes, marks and case: what search compares."""
-    t = F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"['‘’]", "")
+    t = F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"['‘’\p{M}]", "")
     return squeeze(F.lower(F.regexp_replace(t, r"[\p{P}\p{S}]+", " ")))
 
 

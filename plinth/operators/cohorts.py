@@ -29,7 +29,7 @@ def share(cells: DataFrame, area: Sequence[str], status: str, cohorts: DataFrame
     """(area, positive_n, negative_n, share): percent with one decimal, only for cohorts that support it."""
     got = cells.groupBy(*area).agg(F.sum(F.when(F.col(status) == positive, F.col("n")).otherwise(0)).alias("positive_n"), F.sum(F.when(F.col(status) == negative, F.col("n")).otherwise(0)).alias("negative_n"))
     both = F.col("positive_n") + F.col("negative_n")
-    return got.join(F.broadcast(cohorts.select(cohort, "share_supported")), cohort, "left").withColumn("share", F.when(F.col("share_supported") & (both > 0), F.round(100.0 * F.col("positive_n") / both, 1))).drop("share_supported")
+    return got.join(cohorts.select(cohort, "share_supported"), cohort, "left").withColumn("share", F.when(F.col("share_supported") & (both > 0), F.round(100.0 * F.col("positive_n") / both, 1))).drop("share_supported")
 
 
 def with_boundaries(areas: DataFrame, boundaries: DataFrame, on: Sequence[str]) -> DataFrame:

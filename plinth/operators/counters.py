@@ -24,9 +24,10 @@ def fold_directions(df: DataFrame, keys: Sequence[str], direction: str, value: s
     return df.groupBy(*keys).agg(F.when(whole & need, F.sum(value)).alias("total"))
 
 
-def newest(df: DataFrame, key: str, time: str) -> DataFrame:
-    """The row with the greatest time of each key, even if its reading is NULL."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time)))).where("_n = 1").drop("_n")
+def newest(df: DataFrame, key: str, time: str, *ties: str) -> DataFrame:
+    """The row with the greatest time of each key, even if its reading is NULL; equal times are decided by ``ties``, else by all other columns in order of name."""
+    rest = ties or tuple(c for c in sorted(df.columns) if c not in (key, time))
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(time), *(F.asc_nulls_last(c) for c in rest)))).where("_n = 1").drop("_n")
 
 
 def percentile_rank(below: Column, equal: Column, n: Column) -> Column:
@@ -44,12 +45,16 @@ def baseline(history: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def leave_one_out(readings: DataFrame, key: str, slot: Sequence[str], time: str, value: str, days: int = 56) -> DataFrame:
     """The newest reading of each key against the others of its slot within ``days``: n, expected, below, equal, percentile.
 
-    The newest rows are one a key; the join on (key, slot) prunes history to their slots before anything is sorted.
+    The newest rows are one a key; the join on (key, slot) prunes history to their slots before anything is sorted. The window is part of the join's
+    condition, so a key without any other reading in it stays, with n = 0.
     """
     now = newest(readings, key, time).select(key, *slot, F.col(time).alias("now"), F.col(value).alias("reading"))
-    past = readings.select(key, *slot, F.col(time).alias("at"), F.col(value).alias("v")).where("v is not null")
-    pairs = now.join(past, [key, *slot], "left").where(F.col("at").isNull() | ((F.col("at") < F.col("now")) & (F.col("at") >= F.col("now") - F.expr(f"INTERVAL {days} DAYS"))) | (F.col("at") == F.col("now")))
-    other = F.col("at") < F.col("now")
+    past = readings.where(F.col(value).isNotNull()).select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in slot), F.col(time).alias("at"), F.col(value).alias("v"))
+    same = F.col(key) == F.col("_key")
+    for c in slot:
+        same &= F.col(c) == F.col(f"_{c}")
+    pairs = now.join(past, same & (F.col("at") < F.col("now")) & (F.col("at") >= F.col("now") - F.expr(f"INTERVAL {days} DAYS")), "left")
+    other = F.col("at").isNotNull()
     got = pairs.groupBy(key, *slot, "now", "reading").agg(
         F.count_if(other).alias("n"), F.percentile(F.when(other, F.col("v")), F.lit(0.5)).alias("median"),
         F.count_if(other & (F.col("v") < F.col("reading"))).alias("below"), F.count_if(other & (F.col("v") == F.col("reading"))).alias("equal"),

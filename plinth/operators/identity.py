@@ -22,10 +22,10 @@ def pick(value: str, order: Column) -> Column:
 def merge_groups(df: DataFrame, keys: Sequence[str], kind: str, singles: dict[str, str], pair_label: str, order: Column, picks: Sequence[str] = (), source_id: str | None = None) -> DataFrame:
     """One row a key: the set of ``kind`` gives the label (both, a single one, or NULL for an ambiguous group), each pick its first filled value.
 
-    ``anomalies`` lists group_of_3_plus, repeated_kind and ``<pick>_disagreement``; all of it is one hash aggregate with map-side partial sums.
+    ``anomalies`` lists group_of_3_plus, repeated_kind and ``<pick>_disagreement`` (a member without the value disagrees with one that has it); all of it is one hash aggregate with map-side partial sums.
     """
     aggs = [F.count("*").alias("members"), F.sort_array(F.collect_set(F.coalesce(F.col(kind), F.lit("<null>")))).alias("kinds")]
-    aggs += [pick(p, order).alias(p) for p in picks] + [F.count_distinct(F.when(filled(p), F.col(p))).alias(f"_{p}") for p in picks]
+    aggs += [pick(p, order).alias(p) for p in picks] + [F.count_distinct(F.when(filled(p), F.col(p).cast("string")).otherwise("")).alias(f"_{p}") for p in picks]
     if source_id:
         aggs.append(F.array_sort(F.collect_list(source_id)).alias("source_ids"))
     got = df.groupBy(*keys).agg(*aggs)
@@ -36,6 +36,24 @@ def merge_groups(df: DataFrame, keys: Sequence[str], kind: str, singles: dict[st
     return got.withColumn("label", label).withColumn("anomalies", F.array_compact(F.array(*flags))).drop(*(f"_{p}" for p in picks))
 
 
+def ambiguous_groups(df: DataFrame, keys: Sequence[str], kind: str, known: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(clear, rejected): a group whose kinds are neither all the known ones nor a single known one has no label, so its rows are rejected, in the order of the report (code, then keys)."""
+    seen = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.count_distinct(F.coalesce(kind, F.lit("<null>"))).alias("_kinds"), F.count_if(F.coalesce(F.col(kind).isin(*known), F.lit(False))).alias("_known"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"x.{k}").eqNullSafe(F.col(f"g.{k}"))
+    both = df.alias("x").join(seen.alias("g"), same).select("x.*", "_n", "_kinds", "_known")
+    clear = (F.col("_known") == F.col("_n")) & F.col("_kinds").isin(1, len(known))
+    rejected = both.where(~clear).withColumn("code", F.lit("ambiguous_group")).withColumn("detail", F.concat(F.lit("group of "), F.col("_n").cast("string")))
+    return both.where(clear).select(*df.columns), rejected.select(*df.columns, "code", "detail").orderBy("code", *keys)
+
+
+def point_of_first(df: DataFrame, keys: Sequence[str], order: Column, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """(keys, lat, lon): both coordinates of the one row that comes first among those that have both."""
+    whole = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    return df.groupBy(*keys).agg(F.min_by(F.when(whole, F.struct(lat, lon)), F.when(whole, order)).alias("_p")).select(*keys, f"_p.{lat}", f"_p.{lon}")
+
+
 def first_by_key(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """The first row of each key; Spark limits groups before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -49,13 +67,27 @@ def union_dedup(previous: DataFrame, new: DataFrame, keys: Sequence[str], *order
 
 
 def numbered(df: DataFrame, digest: Column, *order: Column) -> DataFrame:
-    """``digest`` and ``occurrence`` (from 1) of each row among equal ones: identical reports stay separate."""
-    return df.withColumn("digest", digest).withColumn("occurrence", F.row_number().over(Window.partitionBy("digest").orderBy(*order)))
+    """``digest`` and ``occurrence`` (from 1) of each row among equal ones: identical reports stay separate.
+
+    Rows are sorted by ranges of ``order`` and numbered inside (digest, range); a range starts where the ones before it end, so a digest that very many rows
+    share is as many tasks as ranges. The sorted rows are written once, as ranges are drawn from a sample.
+    """
+    spark = df.sparkSession
+    ranged = df.withColumn("digest", digest).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    rows = graph.store(ranged.withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy("digest").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("digest", "_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = rows.withColumn("_k", F.row_number().over(Window.partitionBy("digest", "_part").orderBy(*order)))
+    return inside.join(starts, ["digest", "_part"]).withColumn("occurrence", (F.col("_start") + F.col("_k")).cast("long")).select(*df.columns, "digest", "occurrence")
 
 
 def twin_groups(df: DataFrame, member: str, measures: Sequence[str]) -> DataFrame:
-    """Members whose measures are all equal, as sorted lists of two or more."""
-    return df.groupBy(*measures).agg(F.array_sort(F.collect_list(member)).alias("members")).where(F.size("members") > 1)
+    """(measures, first, member): members whose measures are all equal, a row each, under the smallest; nothing is gathered, so a group may be of any size."""
+    groups = df.groupBy(*measures).agg(F.min(member).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    same = F.lit(True)
+    for m in measures:
+        same &= F.col(f"x.{m}").eqNullSafe(F.col(f"g.{m}"))
+    return df.alias("x").join(groups.alias("g"), same).select(*(F.col(f"x.{m}") for m in measures), F.col("g.first"), F.col(f"x.{member}").alias("member"))
 
 
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions.geo import haversine_miles, in_box
+from plinth.functions.geo import box_filter, haversine_miles, in_box
 
 ALL = "all"
 
@@ -24,13 +24,16 @@ class Query:
     limit: int = 50
 
 
-def matches(filters: dict[str, str], vocabulary: dict[str, Sequence[str]] | None = None) -> Column | None:
-    """The condition of the filters; a value outside its vocabulary counts as ``all``; None if nothing is filtered, so that no predicate reaches the plan."""
+def matches(filters: dict[str, str], vocabulary: dict[str, Sequence[str]] | None = None, any_case: Sequence[str] = ("borough",)) -> Column | None:
+    """The condition of the filters; a value outside its vocabulary counts as ``all``; None if nothing is filtered, so that no predicate reaches the plan.
+
+    Equality is bare, so it reaches the scan; only the columns ``any_case`` are compared without case.
+    """
     out = None
     for c, v in filters.items():
         if v == ALL or (vocabulary and v not in vocabulary.get(c, (v,))):
             continue
-        cond = F.lower(F.col(c)) == v.lower()
+        cond = F.lower(F.col(c)) == v.lower() if c in any_case else F.col(c) == v
         out = cond if out is None else out & cond
     return out
 
@@ -41,7 +44,7 @@ def rows(df: DataFrame, query: Query, key: str, orders: dict[str, Sequence[Colum
     if (cond := matches(query.filters, vocabulary)) is not None:
         got = got.where(cond)
     if query.box is not None:
-        got = got.where(in_box(F.col("lat"), F.col("lon"), query.box))
+        got = got.where(box_filter(F.col("lat"), F.col("lon"), query.box))
     if query.origin is not None:
         got = got.withColumn("miles", haversine_miles(F.lit(query.origin[0]), F.lit(query.origin[1]), F.col("lat"), F.col("lon")))
     elif query.sort == "nearby":

@@ -33,7 +33,7 @@ def fold_terms(query: str) -> list[str]:
     import unicodedata
 
     plain = "".join(c for c in unicodedata.normalize("NFD", query) if not unicodedata.combining(c))
-    plain = re.sub(r"['‘’]", "", plain)
+    plain = re.sub(r"['‘’]", "", plain)  # marks are gone with the decomposition, as in the fields
     return "".join(c.lower() if c.isalnum() else " " for c in plain).split()
 
 

@@ -19,11 +19,35 @@ def string_schema(names: Sequence[str]) -> T.StructType:
 
 
 def json_rows(spark: SparkSession, path: str, names: Sequence[str], strict: bool = True) -> DataFrame:
-    """A JSON array of objects, every scalar as text; an absent key is NULL. Strict: anything else than an object fails the job, else it is dropped."""
+    """A JSON array of objects, every scalar as text; an absent key is NULL, and an object of absent keys is a row.
+
+    Strict: a file that is not an array, or an element that is not an object, fails the job; else such files and elements are dropped, and only they. A file is
+    parsed by one task; land large ones as many files.
+    """
+    items = F.from_json("value", "array<string>")
+    if strict:
+        items = F.when(F.ltrim("value").startswith("[") & items.isNotNull(), items).otherwise(F.raise_error(F.lit("not a JSON array")))
+    each = spark.read.text(path, wholetext=True).where(F.lit(True) if strict else F.ltrim("value").startswith("[")).select(F.explode(items).alias("item"))
+    whole = F.ltrim("item").startswith("{")
+    row = F.from_json("item", string_schema(names))
     if strict:
-        return spark.read.schema(string_schema(names)).option("mode", "FAILFAST").json(path, multiLine=True)
-    schema = T.StructType([*string_schema(names).fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(schema).json(path, multiLine=True).where(F.coalesce(*(F.col(f"`{n}`") for n in names)).isNotNull()).drop("_corrupt_record")
+        row = F.when(whole, row).otherwise(F.raise_error(F.lit("not a JSON object")))
+    return (each if strict else each.where(whole)).select(row.alias("r")).select("r.*")
+
+
+def canonical_order(df: DataFrame, time: str, key: str) -> DataFrame:
+    """Snapshot order: by time, then key, then everything else, so that equal snapshots are equal files."""
+    rest = [c for c in sorted(df.columns) if c not in (time, key)]
+    return df.orderBy(time, key, *rest)
+
+
+def adopted(spark: SparkSession, path: str, names: Sequence[str], expected_sha256: str | None = None) -> DataFrame:
+    """Rows of a snapshot that is there already; refused if its one file's digest is not the one announced."""
+    if expected_sha256 is not None:
+        found = [r.sha256 for r in file_digests(spark, path).select("sha256").limit(2).collect()]
+        if found != [expected_sha256]:
+            raise ValueError(f"{path} is not the announced snapshot")
+    return json_rows(spark, path, names)
 
 
 @dataclass(frozen=True)

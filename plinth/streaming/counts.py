@@ -27,11 +27,14 @@ def _watermarked(stream: DataFrame) -> set[str]:
     return {f.name for f in stream.schema.fields if "spark.watermarkDelayMs" in (f.metadata or {})}
 
 
-def run_available(out: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All input that is there now, into an in-memory table (for tests and small reports)."""
-    q = out.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return out.sparkSession.table(name)
+def run_available(out: DataFrame, folder: str) -> DataFrame:
+    """All input that is there now, appended to a Parquet table under ``folder``: a window is written once, when the watermark has passed it, and its state is dropped.
+
+    A later call with the same folder goes on where this one ended.
+    """
+    writer = out.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return out.sparkSession.read.schema(out.schema).parquet(f"{folder}/rows")
 
 
 def upsert_latest(path: str, keys: Sequence[str], time: str):

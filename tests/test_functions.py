@@ -3,6 +3,7 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from plinth.functions import geo, ids, parse, text
+from plinth.operators import search
 
 
 def one(spark, *columns, **values):
@@ -80,3 +81,11 @@ def test_licence_period_and_counts(spark):
     assert [r[0] for r in df.select(text.licence_period(F.col("a"), F.col("b"))).collect()] == ["Issued Jun 12, 2026", "Licence dates not published"]
     df = spark.createDataFrame([(1,), (1234,)], "n long")
     assert [r[0] for r in df.select(text.counted(F.col("n"), "place")).collect()] == ["1 place", "1,234 places"]
+
+
+def test_folding_and_text_of_other_types(spark):
+    df = spark.createDataFrame([("Šariš bar", True, 3.0, 2.5), ("Sˇ c\u030cafe\u0301", False, None, -1.0)], "t string, b boolean, d double, e double")
+    assert [r[0] for r in df.select(text.search_fold(F.col("t"))).collect()][0] == "saris bar"
+    assert search.search(df.limit(1), "Šariš", ["t"], "t", "d").count() == search.search(df.limit(1), "saris", ["t"], "t", "d").count() == 1
+    got = df.select(*(text.normalise_text(F.col(c)) for c in "bde")).collect()
+    assert [tuple(r) for r in got] == [(None, "3", "2.5"), (None, None, "-1")]

@@ -14,8 +14,8 @@ The shared order puts last what is made wholly of common shingles (those that re
 frequent are told to all tasks). That only spares work: any order gives the same result. A set that has fewer signatures than that (a very small one) also emits the
 first ``a / 4 + 1`` of its single shingles, of which two linked sets share one, so two such sets meet as well.
 
-Documents that share a signature are a family under the smallest of them; families are told as distinct (family, document) rows, so what two documents share many times
-is one row. Families are dealt into blocks of ``BLOCK``. Inside a block, documents are compared by their odd cells (a bit for each of some four cells an
+Documents that share a signature are a family. Each document has a name, the smallest hash of its shingles, and a family goes by the smallest name in it; so the
+signatures of a group of near copies mostly make one family, however many they are, and a family is told as distinct (family, document) rows. Families are dealt into blocks of ``BLOCK``. Inside a block, documents are compared by their odd cells (a bit for each of some four cells an
 element: whether the set has an odd number of elements there). Sets differ in at least as many elements as their cells, so no linked pair is
 ruled out; of the pairs left, those that differ far less than they may are thinned to a spanning forest, and the others are kept only between its trees: what leaves
 a block grows with its members. Those pairs' whole texts are compared exactly. Should a thinned pair's text not link, all pairs of blocks are looked at again without
@@ -48,7 +48,7 @@ COMMON = 500_000
 RECURS = 3
 #: Members of a block of a family, rows of a bucket of blocks, and the share of the largest possible difference up to which a pair is trusted to link.
 BLOCK, BUCKET_ROWS, SURE = 1024, 20_000, 0.8
-BUCKET_CHARS, _CHUNK, _FLUSH = 3_000_000, 150_000, 900_000
+BUCKET_CHARS, _CHUNK, _FLUSH = 4_000_000, 150_000, 900_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
@@ -143,35 +143,48 @@ def _absent(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return common[at] != s
 
 
-def _pack(sig: np.ndarray, ids: np.ndarray) -> bytes:
+def _pack(*cols: np.ndarray) -> bytes:
     """Columns by byte plane: the high bytes of ids are mostly equal, which the shuffle's compression uses."""
-    return np.ascontiguousarray(np.concatenate((sig.view(np.uint8).reshape(-1, 8), ids.view(np.uint8).reshape(-1, 8)), axis=1).T).tobytes()
+    return np.ascontiguousarray(np.concatenate([c.view(np.uint8).reshape(len(c), -1) for c in cols], axis=1).T).tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(16, -1).T)
-    return planes[:, :8].copy().view(U64).ravel(), planes[:, 8:].copy().view(np.int64).ravel()
+def _unpack(blobs, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    rows = [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(sum(sizes), -1).T) for x in blobs]
+    whole = np.concatenate(rows) if rows else np.zeros((0, sum(sizes)), np.uint8)
+    ends = np.cumsum(sizes)
+    return [np.ascontiguousarray(whole[:, e - n : e]).view(k).ravel() for e, n, k in zip(ends, sizes, kinds, strict=True)]
+
+
+def _dealt(where: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
+    """A pack for each bucket."""
+    order = np.argsort(where, kind="stable")
+    where, cols = where[order], [c[order] for c in cols]
+    at = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), len(where)) if len(where) else [0]
+    return pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([_pack(*(c[x:y] for c in cols)) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
 
 
 def _emit(common, buckets: int):
+    """Packs of (signature, document, the document's name for families: the smallest hash of its shingles)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        names: list[np.ndarray] = []
         seen: set[bytes] = set()
         held = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            sig, doc = np.concatenate(sigs), np.concatenate(ids)
-            where = (sig % U64(buckets)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            sig, doc, where = sig[order], doc[order], where[order]
-            at = np.concatenate((np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), [len(where)]))
-            yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array([_pack(sig[x:y], doc[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
+        def flush() -> pa.RecordBatch:
+            sig = np.concatenate(sigs)
+            return _dealt((sig % U64(buckets)).astype(np.int64), sig, np.concatenate(ids), np.concatenate(names))
 
         def signed_up(docs: list[int], sets: list[np.ndarray]) -> None:
             sig, of = signatures(sets, common.value)
             sigs.append(sig)
             ids.append(np.array(docs, np.int64)[of])
+            every = mix(np.concatenate(sets), 21)
+            starts = np.cumsum([0, *map(len, sets[:-1])])
+            names.append((np.minimum.reduceat(every, starts) >> U64(32)).astype(np.uint32)[of])
 
         docs: list[int] = []
         sets: list[np.ndarray] = []
@@ -193,32 +206,45 @@ def _emit(common, buckets: int):
             if held > _FLUSH:
                 if sets:
                     signed_up(docs, sets)
-                yield from flush()
-                docs, sets, sigs, ids, held, size = [], [], [], [], 0, 0
+                yield flush()
+                docs, sets, sigs, ids, names, held, size = [], [], [], [], [], 0, 0
         if sets:
             signed_up(docs, sets)
         if sigs:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """(family, doc_id): the documents of each signature of one bucket that more than one has, under the smallest of them."""
-    parts = [_unpack(x.as_py()) for x in table.column("rows")]
-    sig, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
-    at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
-    size = np.diff(np.append(at, len(sig)))
-    family = np.repeat(np.minimum.reduceat(doc, at), size) if len(at) else doc
-    many = np.repeat(size > 1, size)
-    family, doc = family[many], doc[many]
+def _distinct(family: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((doc, family))
     family, doc = family[order], doc[order]
     new = np.ones(len(doc), bool)
     new[1:] = (family[1:] != family[:-1]) | (doc[1:] != doc[:-1])
-    return pa.table({"family": family[new], "doc_id": doc[new]})
+    return family[new], doc[new]
+
+
+def _repeated(buckets: int):
+    """Packs of (family, document) by family: the documents of each signature of one bucket that more than one has, under the smallest of their names."""
+
+    def run(table: pa.Table) -> pa.Table:
+        sig, doc, name = _unpack(table.column("rows"), U64, np.int64, np.uint32)
+        order = np.argsort(sig, kind="stable")
+        sig, doc, name = sig[order], doc[order], name[order]
+        at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)
+        size = np.diff(np.append(at, len(sig)))
+        family = np.repeat(np.minimum.reduceat(name, at), size) if len(at) else name
+        many = np.repeat(size > 1, size)
+        family, doc = _distinct(family[many], doc[many])
+        return pa.Table.from_batches([_dealt((mix(family.astype(U64), 3) % U64(buckets)).astype(np.int64), family, doc)], schema=_BLOB)
+
+    return run
+
+
+def _families(table: pa.Table) -> pa.Table:
+    """(family, doc_id) of one bucket of families, each once."""
+    family, doc = _distinct(*_unpack(table.column("rows"), np.uint32, np.int64))
+    return pa.table({"family": family.astype(np.int64), "doc_id": doc})
 
 
 def _odd_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +367,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(max(16, chars // BUCKET_CHARS))
     blobs = docs.mapInArrow(_emit(docs.sparkSession.sparkContext.broadcast(common), buckets), "bucket int, rows binary")
-    shared = blobs.groupBy("bucket").applyInArrow(_repeated, "family long, doc_id long")
+    shared = blobs.groupBy("bucket").applyInArrow(_repeated(buckets), "bucket int, rows binary").groupBy("bucket").applyInArrow(_families, "family long, doc_id long")
     members = jobs.store(shared.join(reps, "doc_id").select("family", F.col("rep").alias("doc"), F.col("n_shingles").alias("n")).distinct())
     comps = jobs.components(_links(docs, members)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     # copies of one set, and sets that link, share their smallest doc_id

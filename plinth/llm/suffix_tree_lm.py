@@ -1,16 +1,20 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Tokens are runs of bytes other than white space after lower-casing A-Z, and one end after each text. The tree's states are
-contexts of 0, 1 or 2 tokens (inside one text). The root's distribution is the add-one unigram over the training
-tokens. A longer context keeps the next tokens seen after it at least ``least = max(2, P_MIN * N)`` times,
-discounted by ``DISCOUNT``, and gives the rest of its mass to its suffix's distribution, so each state's distribution sums to one.
-A context is retained if its own distribution describes its training tokens better than its suffix's by more than ``GAIN`` nats
-(the count times the divergence of the two). A token is scored in the state of the longest retained suffix of what stands before it.
-
-Counts are taken over all training tokens: tasks add up their chunks, pack the sums by hash into buckets, and buckets add
-up the packs. Only the counts that reach ``least`` enter the tree: ``1 / P_MIN`` entries for each
-context length at most, whatever the corpus; that bounds what is broadcast. The counts of all other words, which are most of
-the vocabulary, stay distributed: tokens look them up by a co-group of buckets, and only sums for each document come back.
+Tokens are runs of bytes other than white space after lower-casing A-Z, and one end after each text. The tree's states are contexts of 0 to ``DEPTH``
+tokens (inside one text). The root's distribution is the add-one unigram over the training tokens. A longer context keeps the next tokens seen after it
+at least ``LEAST`` (2) times, discounted by ``DISCOUNT``, and gives the rest of its mass to the distribution of its longest retained suffix, so each state's
+distribution sums to one. A context is retained if its own distribution describes its training tokens better than that suffix's by more than ``GAIN``
+nats (their number times the divergence of the two). A token is scored in the state of the longest retained suffix of what stands before it.
+
+Every count is exact and over all training tokens, and all of them stay distributed. Contexts that end in one word are one branch of the tree, and a
+branch needs nothing of others but the root. So every token's place (the words before it, itself, its document) goes to the bucket of the word before
+it, and a bucket grows its branches, one context length after another, and scores its places there; per-document sums come back. Of root counts only
+the ``CACHE`` most frequent words' are broadcast (a bound of 16 MB), as a short cut: places whose own word is not among them first pass the bucket of that word, which adds
+its count. The result is the same whatever the cache holds.
+
+Hot words: a word with more than a bucket's share of all tokens has its places dealt to several buckets by the word before it, so only the contexts of
+one word are split. Their counts are added up beforehand, in tasks, then by next word, then by context, and each of those buckets gets the
+whole branch's first level.
 
 Defined cases: null and empty texts are one token, the end; rows with a null doc_id are scored but teach nothing
 and count as not held out; repeated rows teach and are scored each; without training tokens every token has probability one; other columns are ignored.
@@ -18,7 +22,6 @@ and count as not held out; repeated rows teach and are scored each; without trai
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,31 +32,33 @@ from pyspark.sql import functions as F
 from plinth.llm import jobs
 from plinth.llm.kernels import SPACE, U64, Tokens, mix, signed, text_chunks
 
-P_MIN = 1e-6
+DEPTH = 3
+LEAST = 2
 DISCOUNT = 0.75
 GAIN = 8.0
-BUCKET_CHARS = 8_000_000
-_FLUSH = 2_500_000
+CACHE = 1_000_000
+BUCKET_CHARS = 5_000_000
+_FLUSH = 2_000_000
 _END = U64(0x5BD1E995C6A4A793)
+_NONE = U64(0)
+_BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
 def sequence(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a chunk with an end after each text, and each one's row."""
     t = Tokens(data, offs, SPACE)
     rows = len(offs) - 1
-    h = np.insert(t.hashes(), t.first[1:], _END)
+    h = np.insert(t.hashes() | U64(1), t.first[1:], _END)
     return h, np.repeat(np.arange(rows), np.diff(t.first) + 1)
 
 
-def grams(h: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
-    """For each token the hash of the ``k`` tokens that end with it; 0 where the text has fewer before it."""
-    out = np.zeros(len(h), U64)
-    n = len(h) - k + 1
-    if n > 0:
-        g = h[:n].copy()
-        for i in range(1, k):
-            g = mix(g, k) * U64(0xD6E8FEB86659FD93) + h[i : i + n]
-        out[k - 1 :] = np.where(doc[:n] == doc[k - 1 :], mix(g, 40 + k) | U64(1), U64(0))
+def places(h: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
+    """The word itself, then the one before it and so on up to ``depth`` before; 0 where the text has none."""
+    out = [h]
+    for k in range(1, depth + 1):
+        before = np.zeros(len(h), U64)
+        before[k:] = np.where(doc[k:] == doc[:-k], h[:-k], _NONE)
+        out.append(before)
     return out
 
 
@@ -68,263 +73,354 @@ class Table:
         return len(self.keys)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``h`` are there, and the values of those that are (else the first value)."""
+        """Which of ``h`` are there, and the values of those that are (else 0)."""
         if not len(self.keys):
             return np.zeros(len(h), bool), np.zeros(len(h), self.values.dtype)
         at = np.searchsorted(self.keys, h)
         at[at == len(self.keys)] = 0
-        return self.keys[at] == h, self.values[at]
+        found = self.keys[at] == h
+        return found, np.where(found, self.values[at], 0)
 
 
-def _packs(parts: list[tuple[np.ndarray, ...]], buckets: int, key: str = "bucket") -> Iterator[pa.RecordBatch]:
-    """One row for each bucket of the first column's hash, with all columns (of 8 bytes each) packed."""
-    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
-    where = (cols[0] % U64(buckets)).astype(np.int32)
-    order = np.argsort(where, kind="stable")
-    where = where[order]
-    at = np.concatenate((np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), [len(where)])) if len(where) else np.array([0])
-    stack = np.stack([c[order].view(U64) for c in cols])
-    planes = [np.ascontiguousarray(stack[:, a:b].T).view(np.uint8).reshape(b - a, -1).T.tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]]), pa.array(planes, pa.binary())], names=[key, "rows"])
+# ------------------------------------------------------------------ packs: columns of 8 bytes in one binary value
 
 
-def _unpack(blobs, width: int) -> list[np.ndarray]:
-    """The columns of packs, by byte plane as packed."""
-    parts = [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(8 * width, -1).T).view(U64) for x in blobs]
-    whole = np.concatenate(parts) if parts else np.zeros((0, width), U64)
-    return [np.ascontiguousarray(whole[:, i]) for i in range(width)]
-
-
-def _summed(cols: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows by the first column, with their counts added up."""
-    if not len(n):
-        return cols, n
-    order = np.argsort(cols[0], kind="stable")
-    key = cols[0][order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return [c[order][at] for c in cols], np.add.reduceat(n[order], at)
+def _coded(col: np.ndarray) -> bytes:
+    """A column by byte plane; with few distinct values those and two-byte references."""
+    values, at = np.unique(col, return_inverse=True)
+    if len(values) <= 65536 and 8 * len(values) + 2 * len(col) < 8 * len(col):
+        planes = np.concatenate((values.view(np.uint8).reshape(-1, 8).T.ravel(), at.astype(np.uint16).view(np.uint8).reshape(-1, 2).T.ravel()))
+        return np.array([len(values), len(planes)], np.int64).tobytes() + planes.tobytes()
+    planes = col.view(np.uint8).reshape(-1, 8).T.ravel()
+    return np.array([0, len(planes)], np.int64).tobytes() + planes.tobytes()
+
+
+def _pack(cols: list[np.ndarray]) -> bytes:
+    return np.array([len(cols[0])], np.int64).tobytes() + b"".join(_coded(np.ascontiguousarray(c).view(U64)) for c in cols)
+
 
+def _planes(raw: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(raw.reshape(width, -1).T)
 
-def _counter(pick, buckets: int):
-    """Counts what ``pick(h, doc)`` gives (a hash, and columns that go with it), as packs with the count last."""
+
+def _unpack(blobs, width: int) -> list[np.ndarray]:
+    """The columns of all packs."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(width)]
+    for blob in blobs:
+        raw = np.frombuffer(blob.as_py(), np.uint8)
+        at = 8
+        for k in range(width):
+            n, size = raw[at : at + 16].view(np.int64)
+            body = raw[at + 16 : at + 16 + size]
+            if n:
+                values, refs = _planes(body[: 8 * n], 8).view(U64).ravel(), _planes(body[8 * n :], 2).view(np.uint16).ravel()
+                parts[k].append(values[refs])
+            else:
+                parts[k].append(_planes(body, 8).view(U64).ravel())
+            at += 16 + int(size)
+    return [np.concatenate(p) if p else np.zeros(0, U64) for p in parts]
+
+
+def _dealt(where: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """A pack for each bucket."""
+    order = np.lexsort((cols[0], where))
+    where, cols = where[order], [c[order] for c in cols]
+    at = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), len(where)) if len(where) else [0]
+    return pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([_pack([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
+
+
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct rows of ``keys``, with their ``values`` added up."""
+    if not len(keys[0]):
+        return keys, values
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], [np.add.reduceat(v[order], at) for v in values]
+
+
+# ------------------------------------------------------------------ unigram counts
+
+
+def _count_words(buckets: int):
+    """Packs of (word, count) of the texts of column 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[np.ndarray] = []
         n = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            cols, count = _summed(cols, np.ones(len(cols[0]), np.int64))
-            yield from _packs([(*cols, count)], buckets)
+        def flush() -> pa.RecordBatch:
+            word, count = np.unique(np.concatenate(held), return_counts=True)
+            return _dealt((mix(word, 1) % U64(buckets)).astype(np.int64), [word, count.astype(np.int64)])
 
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
-                held.append(pick(*sequence(data, offs)))
-                n += len(held[-1][0])
+                held.append(sequence(data, offs)[0])
+                n += len(held[-1])
                 if n > _FLUSH:
-                    yield from flush()
+                    yield flush()
                     held, n = [], 0
         if n:
-            yield from flush()
+            yield flush()
 
     return run
 
 
-def _added(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    *cols, n = _unpack(table.column("rows"), width)
-    return _summed(cols, n.view(np.int64))
+def _merge(table: pa.Table) -> pa.Table:
+    """The whole counts of one bucket's words, packed; how many words and tokens they are; how many words have 2**k to 2**(k+1) - 1."""
+    word, n = _unpack(table.column("rows"), 2)
+    (word,), (n,) = _summed([word], [n.view(np.int64)])
+    levels = np.bincount(np.log2(np.maximum(1, n)).astype(np.int64), minlength=63)
+    return pa.table({"bucket": table.column("bucket")[:1], "rows": pa.array([_pack([word, n])], pa.binary()), "words": [len(word)], "tokens": [int(n.sum())], "levels": pa.array([levels.tolist()], pa.list_(pa.int64()))})
+
+
+def _frequent(counted: DataFrame, cache: int) -> Table:
+    """The counts of at most ``cache`` words: of all with 2**k or more, for the least k that allows it."""
+    levels = counted.select(F.posexplode("levels").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    held, least = 0, 63
+    for r in sorted(levels, reverse=True):
+        if held + r.n > cache:
+            break
+        held, least = held + r.n, r.k
+
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = _unpack(batch.column(0), 2)
+            ok = n.view(np.int64) >= 1 << least
+            yield pa.RecordBatch.from_arrays([pa.array(signed(word[ok])), pa.array(n[ok].view(np.int64))], names=["word", "n"])
 
+    got = counted.select("rows").mapInArrow(reach, "word long, n long").toPandas() if held else None
+    return Table(got["word"].to_numpy(np.int64).view(U64), got["n"].to_numpy(np.int64)) if held else Table(np.zeros(0, U64), np.zeros(0, np.int64))
 
-def _merge(table: pa.Table) -> pa.Table:
-    """The whole counts of one bucket's words, packed, with how many words and tokens they are."""
-    (words,), n = _added(table, 2)
-    blob = np.stack([words, n.view(U64)]).T
-    packed = np.ascontiguousarray(blob).view(np.uint8).reshape(len(words), -1).T.tobytes()
-    return pa.table({"bucket": table.column("bucket")[:1], "rows": pa.array([packed], pa.binary()), "words": [len(words)], "tokens": [int(n.sum())]})
 
+# ------------------------------------------------------------------ places by the word before them
 
-def _reach(width: int, least: int):
-    """The rows of a bucket whose added count is ``least`` or more."""
 
-    def run(table: pa.Table) -> pa.Table:
-        cols, n = _added(table, width)
-        ok = n >= least
-        return pa.table({f"c{i}": signed(c[ok]) for i, c in enumerate(cols)} | {"n": n[ok]})
+def _bucket_of(before: np.ndarray, second: np.ndarray, document: np.ndarray, hot: Table, buckets: int) -> np.ndarray:
+    """Where a place goes: by the word before it, a hot one's also by the word before that one, a text's first token by its document."""
+    at = mix(np.where(before == _NONE, document, before), 2)
+    salted, salts = hot.find(before)
+    return ((at + np.where(salted, mix(second, 3) % np.maximum(1, salts).astype(U64), U64(0))) % U64(buckets)).astype(np.int64)
 
-    return run
 
+def _emit(shared, buckets: int, depth: int, rare: bool):
+    """Packs of places (word before, its count or 0, document and whether it teaches, the word, earlier words): of those whose word is in the cache by the word before, or of the others by their word."""
 
-def _frequent(packs: DataFrame, width: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Columns and counts of at most ``1 / P_MIN`` rows."""
-    schema = ", ".join(f"c{i} long" for i in range(width - 1)) + ", n long"
-    rows = packs.groupBy("bucket").applyInArrow(_reach(width, least), schema).toPandas()
-    return [rows[f"c{i}"].to_numpy(np.int64).view(U64) for i in range(width - 1)], rows["n"].to_numpy(np.int64)
-
-
-class Tree:
-    """States by context length: log10 of each kept next token's probability, and of the mass left to the suffix."""
-
-    def __init__(self, total: int, vocabulary: int, words: Table):
-        self.total, self.vocabulary, self.words = total, vocabulary, words
-        self.next: list[Table] = []
-        self.left: list[Table] = []
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1) / (self.total + self.vocabulary + 1))
-
-    def grow(self, key: np.ndarray, context: np.ndarray, n: np.ndarray, suffix_log: np.ndarray, context_count: Table) -> np.ndarray:
-        """Add the contexts of one length that pass the divergence test; ``suffix_log`` is what their suffix's state gives each next token. Returns what the tree now gives each."""
-        if not len(key):
-            self.next.append(Table(key, np.zeros(0)))
-            self.left.append(Table(key, np.zeros(0)))
-            return np.zeros(0)
-        states, of = np.unique(context, return_inverse=True)
-        _, size = context_count.find(states)
-        size = size.astype(float)
-        kept = np.bincount(of, n, len(states))
-        left = np.maximum(1e-12, 1 - (kept - DISCOUNT * np.bincount(of, minlength=len(states))) / size)
-        p = (n - DISCOUNT) / size[of] + left[of] * 10**suffix_log
-        gain = np.bincount(of, n * (np.log(p) - np.log(10) * suffix_log), len(states)) + (size - kept) * np.log(left)
-        good = gain > GAIN
-        self.next.append(Table(key[good[of]], np.log10(p[good[of]])))
-        self.left.append(Table(states[good], np.log10(left[good])))
-        return np.where(good[of], np.log10(p), suffix_log)
-
-    def over_root(self, h: np.ndarray, doc: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability over its root probability; a token that the tree keeps nowhere gets the mass left to it."""
-        value = np.zeros(len(h))
-        for k, (kept, left) in enumerate(zip(self.next, self.left, strict=True), 1):
-            context = np.zeros(len(h), U64)
-            context[1:] = np.where(doc[1:] == doc[:-1], grams(h, doc, k)[:-1], U64(0))
-            held, mass = left.find(context)
-            seen, log = kept.find(np.where(held, grams(h, doc, k + 1), U64(0)))
-            value = np.where(seen & held, log - root, np.where(held, value + mass, value))
-        return value
-
-
-def _doc_rows(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        cache, hot = shared.value
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            count, document, *words = (np.concatenate(c) for c in zip(*held, strict=True))
+            where = (mix(words[0], 1) % U64(buckets)).astype(np.int64) if rare else _bucket_of(words[1], words[2], document & ~U64(1), hot, buckets)
+            return _dealt(where, [words[1], count, document, words[0], *words[2:]])
+
         for batch in batches:
-            for a, b, data, offs in text_chunks(batch.column(2)):
+            key = batch.column(0).to_numpy().view(U64)
+            for a, b, data, offs in text_chunks(batch.column(1)):
                 h, doc = sequence(data, offs)
-                known, count = m.words.find(h)
-                root = m.root(np.where(known, count, 0))
-                over = m.over_root(h, doc, root)
-                n = b - a
-                cols = [np.bincount(doc, minlength=n), np.bincount(doc, known, n).astype(np.int64), np.bincount(doc, np.where(known, root, 0.0), n), np.bincount(doc, over, n)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(1).slice(a, n), *(pa.array(c) for c in cols)], names=["doc_id", "copy", "n_tokens", "known", "base", "over"])
+                known, count = cache.find(h)
+                mine = ~known if rare else known
+                held.append([x[mine] for x in (count.view(U64), key[a:b][doc], *places(h, doc, depth))])
+                n += int(mine.sum())
+                if n > _FLUSH:
+                    yield flush()
+                    held, n = [], 0
+        if n:
+            yield flush()
+
+    return run
+
+
+def _counted_places(shared, buckets: int, depth: int):
+    """Places by their word, now with its count, by the word before."""
+
+    def run(counts: pa.Table, rows: pa.Table) -> pa.Table:
+        word, n = _unpack(counts.column("rows"), 2) if counts.num_rows else [np.zeros(0, U64)] * 2
+        before, _, document, own, *rest = _unpack(rows.column("rows") if rows.num_rows else [], 3 + depth)
+        _, count = Table(word, n.view(np.int64)).find(own)
+        where = _bucket_of(before, rest[0], document & ~U64(1), shared.value[1], buckets)
+        return pa.Table.from_batches([_dealt(where, [before, count.view(U64), document, own, *rest])], schema=_BLOB)
 
     return run
 
 
-def _rare_tokens(model, buckets: int):
-    """(word, document key, document copy, times) packs of the tokens whose count is not in the tree."""
+def _hot_pairs(shared, buckets: int):
+    """Packs of (hot word, next word, times) by next word, of the texts of column 0, added up in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        hot = shared.value[1]
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            (word, before), (times,) = _summed([np.concatenate(c) for c in zip(*held, strict=True)], [np.ones(n, np.int64)])
+            return _dealt((mix(word, 1) % U64(buckets)).astype(np.int64), [before, word, times])
+
         for batch in batches:
-            ids, copies = batch.column(0).fill_null(-1).to_numpy(), batch.column(1).to_numpy()
-            for a, b, data, offs in text_chunks(batch.column(2)):
-                h, doc = sequence(data, offs)
-                rare = ~model.value.words.find(h)[0]
-                h, doc = h[rare], doc[rare]
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                at = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))) if len(h) else np.zeros(0, np.int64)
-                times = np.diff(np.append(at, len(h))).astype(np.int64)
-                d = doc[at]
-                held.append((h[at], ids[a:b][d], copies[a:b][d], times))
-                n += len(at)
-                if n > _FLUSH // 2:
-                    yield from _packs(held, buckets)
+            for _, _, data, offs in text_chunks(batch.column(0)):
+                word, before = places(*sequence(data, offs), 1)
+                mine = hot.find(before)[0]
+                held.append([word[mine], before[mine]])
+                n += int(mine.sum())
+                if n > _FLUSH:
+                    yield flush()
                     held, n = [], 0
         if n:
-            yield from _packs(held, buckets)
+            yield flush()
 
     return run
 
 
-def _look_up(total: int, vocabulary: int, buckets: int):
-    def run(counts: pa.Table, tokens: pa.Table) -> pa.Table:
-        words, n = _unpack(counts.column("rows"), 2) if counts.num_rows else [np.zeros(0, U64)] * 2
-        h, doc, copy, times = _unpack(tokens.column("rows"), 4) if tokens.num_rows else [np.zeros(0, U64)] * 4
-        found, c = Table(words, n.view(np.int64)).find(h)
-        c, times = np.where(found, c, 0), times.view(np.int64)
-        # one row for each document in this bucket
-        doc, copy = doc.view(np.int64), copy.view(np.int64)
-        order = np.lexsort((copy, doc))
-        doc, copy = doc[order], copy[order]
-        at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1])))) if len(doc) else np.zeros(0, np.int64)
-        sums = [np.add.reduceat(x[order], at) if len(at) else x for x in (times * found, times * np.log10((c + 1) / (total + vocabulary + 1)))]
-        doc, copy, known, base = doc[at], copy[at], sums[0].astype(np.int64), sums[1].astype(float)
-        key = mix(doc.view(U64) ^ copy.view(U64), 77)
-        packs = list(_packs([(key, doc, copy, known, base)], buckets, "part")) if len(doc) else []
-        return pa.Table.from_batches(packs, schema=pa.schema([("part", pa.int32()), ("rows", pa.binary())]))
+def _counted_pairs(counts: pa.Table, rows: pa.Table) -> pa.Table:
+    """(hot word, pack of next word, times, the next word's count): whole counts of one bucket of next words."""
+    word, n = _unpack(counts.column("rows"), 2) if counts.num_rows else [np.zeros(0, U64)] * 2
+    before, own, times = _unpack(rows.column("rows") if rows.num_rows else [], 3)
+    (before, own), (times,) = _summed([before, own], [times.view(np.int64)])
+    count = Table(word, n.view(np.int64)).find(own)[1]
+    at = np.append(np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))), len(before)) if len(before) else np.zeros(1, np.int64)
+    packs = [_pack([own[a:b], times[a:b], count[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return pa.table({"hot": pa.array(signed(before[at[:-1]])), "rows": pa.array(packs, pa.binary())})
+
+
+def _first_level(shared, total: int, vocabulary: int, buckets: int):
+    """The whole first level of a hot word's branch, for each bucket that its places are dealt to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        before = np.array([table.column("hot")[0].as_py()], np.int64).view(U64)
+        own, times, count = _unpack(table.column("rows"), 3)
+        order = np.argsort(own)
+        own, times, count = own[order], times[order].view(np.int64), count[order].view(np.int64)
+        states = grown(np.zeros(len(own), np.int64), times, (count + 1) / (total + vocabulary + 1))
+        kept = times >= LEAST
+        blob = _pack([np.repeat(before, int(kept.sum()) or 1), own[kept], times[kept]] if kept.any() else [before, np.zeros(1, U64), np.zeros(1, np.int64)])
+        scalars = np.array([states.size[0], states.left[0], states.good[0]], np.float64).tobytes()
+        salts = int(shared.value[1].find(before)[1][0])
+        at = sorted({int((mix(before, 2)[0] + U64(s)) % U64(buckets)) for s in range(salts)})
+        return pa.table({"bucket": pa.array(at, pa.int32()), "rows": pa.array([scalars + blob] * len(at), pa.binary())})
+
+    return run
+
+
+# ------------------------------------------------------------------ growing and scoring
+
+
+class States:
+    """Contexts of one length: tokens seen after each, the mass left to its suffix, whether it is retained; and the probability each gives its kept next tokens."""
+
+    def __init__(self, size, left, good, p, kept):
+        self.size, self.left, self.good, self.p, self.kept = size, left, good, p, kept
+
+
+def grown(of: np.ndarray, n: np.ndarray, p_suffix: np.ndarray) -> States:
+    """States from their next tokens: ``of`` numbers each one's context, ``n`` is how often it was seen there, ``p_suffix`` what the suffix's state gives it."""
+    many = int(of.max()) + 1 if len(of) else 0
+    size = np.bincount(of, n, many)
+    kept = n >= LEAST
+    own = np.where(kept, n - DISCOUNT, 0.0)
+    left = 1 - np.bincount(of, own, many) / np.maximum(1, size)
+    p = own / size[of] + left[of] * p_suffix
+    gain = np.bincount(of, np.where(kept, n * np.log(p / p_suffix), 0.0), many) + np.bincount(of, np.where(kept, 0, n), many) * np.log(np.maximum(left, 1e-300))
+    return States(size, left, gain > GAIN, p, kept)
+
+
+def branch(words: list[np.ndarray], teaches: np.ndarray, p_root: np.ndarray, hot: dict | None = None) -> np.ndarray:
+    """The probability of each place's word in the state of its longest retained suffix. ``words``: the word, the one before it, and so on; all places of their branches are here.
+
+    ``hot`` has the first level of words whose places are partly elsewhere: (tokens, left, retained, Table of times by next word).
+    """
+    p = p_root.copy()
+    context = np.zeros(len(p), U64)
+    inside = np.ones(len(p), bool)
+    for k in range(1, len(words)):
+        inside &= words[k] != _NONE
+        context = mix(context ^ words[k], 10 + k)
+        at = np.flatnonzero(inside)
+        if not len(at):
+            break
+        _, of = np.unique(context[at], return_inverse=True)
+        gram = mix(context[at] ^ mix(words[0][at], 30), 50 + k)
+        names, first, which = np.unique(gram, return_index=True, return_inverse=True)
+        n = np.bincount(which, teaches[at], len(names)).astype(np.int64)
+        states = grown(of[first], n, p[at][first])
+        new = np.where(states.kept[which], states.p[which], states.left[of] * p[at])
+        good = states.good[of] & (states.size[of] > 0)
+        if k == 1:
+            for word, (size, left, retained, times) in (hot or {}).items():
+                mine = words[1][at] == word
+                seen = times.find(words[0][at][mine])[1]
+                new[mine] = np.where(seen >= LEAST, (seen - DISCOUNT) / max(1, size), 0.0) + left * p[at][mine]
+                good[mine] = retained
+        p[at] = np.where(good, new, p[at])
+    return p
+
+
+def _score(total: int, vocabulary: int, buckets: int, depth: int):
+    def run(rows: pa.Table, tables: pa.Table) -> pa.Table:
+        hot = {}
+        for blob in tables.column("rows") if tables.num_rows else []:
+            raw = blob.as_py()
+            size, left, good = np.frombuffer(raw[:24], np.float64)
+            before, own, times = _unpack([pa.scalar(raw[24:])], 3)
+            hot[before[0]] = (size, left, bool(good), Table(own, times.view(np.int64)))
+        before, count, document, own, *rest = _unpack(rows.column("rows") if rows.num_rows else [], 3 + depth)
+        if not len(own):
+            return pa.Table.from_batches([], schema=_BLOB)
+        count = count.view(np.int64)
+        root = (count + 1) / (total + vocabulary + 1)
+        p = branch([own, before, *rest], (document & U64(1)).astype(np.int64), root, hot)
+        key, sums = _summed([document], [(count > 0).astype(np.int64), np.log10(root), np.log10(p)])
+        return pa.Table.from_batches([_dealt((mix(key[0], 4) % U64(buckets)).astype(np.int64), [key[0], *sums])], schema=_BLOB)
 
     return run
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    """Sums of the look-ups of one part of the documents."""
-    _, doc, copy, known, base = _unpack(table.column("rows"), 5)
-    doc, copy, known, base = doc.view(np.int64), copy.view(np.int64), known.view(np.int64), base.view(np.float64)
-    order = np.lexsort((base, copy, doc))
-    doc, copy = doc[order], copy[order]
-    at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]))))
-    return pa.table({"id": doc[at], "copy": copy[at], "more_known": np.add.reduceat(known[order], at), "more_base": np.add.reduceat(base[order], at)})
+    """Sums of one part of the documents, in an order that does not depend on how they came."""
+    key, known, base, score = _unpack(table.column("rows"), 4)
+    known, base, score = known.view(np.int64), base.view(np.float64), score.view(np.float64)
+    order = np.lexsort((score, base, key))
+    key, known, base, score = key[order], known[order], base[order], score[order]
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return pa.table({"key": signed(key[at]), "n_known": np.add.reduceat(known, at), "base": np.add.reduceat(base, at), "score": np.add.reduceat(score, at)})
 
 
-def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``held_out`` and ``learns`` are conditions on the id column."""
+def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, cache: int = CACHE, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; ``held_out`` and ``learns`` are conditions on the id column, ``depth`` (2 or more) is the longest context."""
     spark = docs.sparkSession
     jobs.small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
-    learned = rows.where(learns(F.col("doc_id")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # a key for each (doc_id, text); its last bit tells whether the row teaches
+    teaches = F.coalesce(learns(F.col("doc_id")), F.lit(False))
+    key = F.xxhash64("doc_id", "text", F.col("text").isNull()).bitwiseAND(F.lit(-2)).bitwiseOR(teaches.cast("long"))
+    keyed = rows.select(key.alias("key"), "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    buckets = int(max(16, chars // BUCKET_CHARS))
-
-    def count(pick) -> DataFrame:
-        return learned.select("text").mapInArrow(_counter(pick, buckets), "bucket int, rows binary")
-
-    counted = jobs.cut(count(lambda h, doc: (h,)).groupBy("bucket").applyInArrow(_merge, "bucket int, rows binary, words long, tokens long"))
-    size = counted.agg(F.sum("words"), F.sum("tokens")).first()
-    vocabulary, total = size[0] or 0, size[1] or 0
-    least = max(2, math.ceil(P_MIN * total))
-    (often,), times = _frequent(counted.select("bucket", "rows"), 2, least)
-    words = Table(often, times)
-    tree = Tree(total, vocabulary, words)
-    known = spark.sparkContext.broadcast(words)
-
-    def pairs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        ok = known.value.find(h)[0]
-        g = grams(h, doc, 2)[1:]
-        both = ok[1:] & ok[:-1] & (g != 0)
-        return g[both], grams(h, doc, 1)[:-1][both], h[1:][both]
-
-    (key, context, word), n = _frequent(count(pairs), 4, least)
-    one = tree.grow(key, context, n, tree.root(words.find(word)[1]), Table(mix(words.keys, 41) | U64(1), words.values))
-    two, pair_log = Table(key, n), Table(key, one)
-    frequent_pairs = spark.sparkContext.broadcast(two)
-
-    def triples(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
-        g2, g = grams(h, doc, 2), grams(h, doc, 3)[1:]
-        ok = frequent_pairs.value.find(g2)[0]
-        both = ok[1:] & ok[:-1] & (g != 0)
-        return g[both], g2[:-1][both], g2[1:][both]
-
-    (key, context, suffix), n = _frequent(count(triples), 4, least)
-    tree.grow(key, context, n, pair_log.find(suffix)[1], two)
-    model = spark.sparkContext.broadcast(tree)
-    per_row = jobs.cut(rows.mapInArrow(_doc_rows(model), "doc_id long, copy long, n_tokens long, known long, base double, over double"))
-    rare = rows.mapInArrow(_rare_tokens(model, buckets), "bucket int, rows binary")
-    looked = counted.select("bucket", "rows").groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(_look_up(total, vocabulary, buckets), "part int, rows binary")
-    again = per_row.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id"), "copy").agg(F.count("*").alias("times"))
-    more = looked.groupBy("part").applyInArrow(_by_document, "id long, copy long, more_known long, more_base double").join(again, ["id", "copy"])
-    joined = per_row.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(more, ["id", "copy"], "left")
-    base = F.col("base") + F.coalesce(F.col("more_base") / F.col("times"), F.lit(0.0))
-    return joined.select(
-        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce((F.col("more_known") / F.col("times")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("over")).alias("score"),
+    buckets = int(max(16, chars // bucket_chars))
+    learned = rows.where(teaches).select("text")
+    counted = jobs.cut(learned.mapInArrow(_count_words(buckets), "bucket int, rows binary").groupBy("bucket").applyInArrow(_merge, "bucket int, rows binary, words long, tokens long, levels array<bigint>"))
+    sums = counted.agg(F.sum("words"), F.sum("tokens")).first()
+    vocabulary, total = sums[0] or 0, sums[1] or 0
+    known = _frequent(counted, cache)
+    share = max(LEAST, total // buckets)
+    often = known.values > share
+    hot = Table(known.keys[often], np.minimum(buckets, -(-known.values[often] // share)))
+    shared = spark.sparkContext.broadcast((known, hot))
+    counts = counted.select("bucket", "rows")
+    # one place for each time that a row is there
+    direct = keyed.mapInArrow(_emit(shared, buckets, depth, rare=False), "bucket int, rows binary")
+    rare = keyed.mapInArrow(_emit(shared, buckets, depth, rare=True), "bucket int, rows binary")
+    passed = counts.groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(_counted_places(shared, buckets, depth), "bucket int, rows binary")
+    pairs = learned.mapInArrow(_hot_pairs(shared, buckets), "bucket int, rows binary")
+    whole = counts.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_counted_pairs, "hot long, rows binary")
+    tables = whole.groupBy("hot").applyInArrow(_first_level(shared, total, vocabulary, buckets), "bucket int, rows binary")
+    found = direct.union(passed).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(total, vocabulary, buckets, depth), "bucket int, rows binary")
+    by_key = found.groupBy("bucket").applyInArrow(_by_document, "key long, n_known long, base double, score double")
+    own = rows.select("doc_id", key.alias("key"), (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))
+    times = own.groupBy("key").agg(F.count("*").alias("times"))
+    return own.join(by_key.join(times, "key"), "key").select(
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
     )

@@ -197,23 +197,71 @@ def test_lm_base_is_exact_and_contexts_help(spark):
     assert all(got[i].score > got[i].base_score for i in range(300) if got[i].held_out)
 
 
+def tree_by_force(texts, depth):
+    """A function of (context, word): log10 of the word's probability in the state of the context's longest retained suffix."""
+    lm, count, after = suffix_tree_lm, Counter(), defaultdict(Counter)
+    for t in texts:
+        tokens = [*plain(t), None]
+        count.update(tokens)
+        for i, w in enumerate(tokens):
+            for k in range(1, min(depth, i) + 1):
+                after[tuple(tokens[i - k : i])][w] += 1
+    total, kinds = sum(count.values()), len(count)
+    states = {}
+
+    def p(context, w):
+        while context and context not in states:
+            context = context[1:]
+        if not context:
+            return (count[w] + 1) / (total + kinds + 1)
+        own, left, size = states[context]
+        return (own[w] - lm.DISCOUNT) / size * (w in own) + left * p(context[1:], w)
+
+    for c in sorted(after, key=len):
+        size = sum(after[c].values())
+        own = {w: n for w, n in after[c].items() if n >= lm.LEAST}
+        left = 1 - sum(n - lm.DISCOUNT for n in own.values()) / size
+        new = {w: (n - lm.DISCOUNT) / size + left * p(c[1:], w) for w, n in own.items()}
+        gain = sum(n * math.log(new[w] / p(c[1:], w)) for w, n in own.items()) + (size - sum(own.values())) * math.log(max(left, 1e-300))
+        if gain > lm.GAIN:
+            states[c] = (Counter(own), left, size)
+    return p, states, count
+
+
+@pytest.mark.parametrize(("depth", "cache", "chars"), [(3, 1_000_000, 5_000_000), (2, 20, 300), (4, 0, 1000)])
+def test_lm_scores_agree_with_a_tree_by_force(spark, depth, cache, chars):
+    rng = random.Random(31)
+    phrases = [words(rng, rng.randrange(2, 7), 40) for _ in range(15)]
+    docs = [(i, " ".join(w for _ in range(rng.randrange(1, 12)) for w in (["the"] if rng.random() < 0.5 else rng.choice(phrases)))) for i in range(150)] + [(200, "never seen words"), (201, None), (7, docs_again := "again and again"), (7, docs_again)]
+    part = lambda d: F.crc32(d.cast("string")) % 7
+    rows = suffix_tree_lm.score_texts(frame(spark, docs).repartition(5), lambda d: part(d) == 2, lambda d: part(d) != 2, depth=depth, cache=cache, bucket_chars=chars).collect()
+    p, states, _ = tree_by_force([t for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2], depth)
+    assert max(map(len, states)) == min(depth, 3)
+    assert len(rows) == len(docs)
+    got = {r.doc_id: r.score for r in rows if r.doc_id != 7} | {(7, t): min(r.score for r in rows if r.doc_id == 7 and r.n_tokens == len(plain(t)) + 1) for i, t in docs if i == 7}
+    for i, t in docs:
+        tokens = [*plain(t), None]
+        want = sum(math.log10(p(tuple(tokens[max(0, k - depth) : k]), w)) for k, w in enumerate(tokens))
+        assert math.isclose(got[i if i != 7 else (7, t)], want, rel_tol=1e-9), (i, t)
+    everything = {w for t in docs for w in plain(t[1])} | {None, "unknown"}
+    for c in list(states)[:40]:
+        assert math.isclose(sum(p(c, w) for w in everything), 1, rel_tol=1e-2)  # by force: words outside training share the rest
+
+
 def test_lm_states_sum_to_one():
-    h = np.array([11, 13, 11, 17, 11, 13, 11, 13, 11, 13] * 20, np.uint64)
-    doc = np.zeros(len(h), np.int64)
-    keys, n = np.unique(h, return_counts=True)
-    tree = suffix_tree_lm.Tree(len(h), len(keys), suffix_tree_lm.Table(keys, n))
-    g2 = suffix_tree_lm.grams(h, doc, 2)[1:]
-    u, first, count = np.unique(g2, return_index=True, return_counts=True)
-    singles = suffix_tree_lm.Table(kernels.mix(keys, 41) | np.uint64(1), n)
-    tree.grow(u, suffix_tree_lm.grams(h, doc, 1)[:-1][first], count, tree.root(tree.words.find(h[1:][first])[1]), singles)
-    for w in keys:
-        total = 0.0
-        for x in [*keys, np.uint64(999)]:
-            seq = np.array([w, x], np.uint64)
-            found, c = tree.words.find(seq)
-            root = tree.root(np.where(found, c, 0))
-            total += 10 ** (root + tree.over_root(seq, np.zeros(2, np.int64), root))[1]
-        assert math.isclose(total, 1.0, rel_tol=0.02)
+    rng = np.random.default_rng(3)
+    seen = rng.choice(np.array([11, 13, 17, 19, 23], np.uint64), 3000, p=[0.4, 0.3, 0.15, 0.1, 0.05])
+    doc = np.zeros(len(seen), np.int64)
+    vocabulary, count = np.unique(seen, return_counts=True)
+    every = np.append(vocabulary, np.uint64(999))  # one more for all words that were not seen
+    root = np.append((count + 1) / (len(seen) + len(vocabulary) + 1), 1 / (len(seen) + len(vocabulary) + 1))
+    contexts = [(a, b) for a in vocabulary for b in vocabulary]
+    ask = [np.array([w for _ in contexts for w in every]), np.array([b for _, b in contexts for _ in every]), np.array([a for a, _ in contexts for _ in every])]
+    learned = suffix_tree_lm.places(seen, doc, 2)
+    p_root = np.concatenate([root[np.searchsorted(every, x)] for x in (seen, ask[0])])
+    p = suffix_tree_lm.branch([np.concatenate((a, b)) for a, b in zip(learned, ask, strict=True)], np.repeat([1, 0], [len(seen), len(ask[0])]), p_root)
+    sums = p[len(seen) :].reshape(len(contexts), -1).sum(axis=1)
+    assert np.allclose(sums, 1, rtol=0, atol=1e-9)
 
 
 # ---------------------------------------------------------------- op5

@@ -28,15 +28,53 @@ from plinth.llm.kernels import NON_WORD, Tokens, text_chunks
 
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
+# The public wording of licenses, with what may be left out or replaced marked.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+    "subject to the following conditions [[{{0..1}}]] the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+    "in no event shall the {{1..6}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software "
+    "or the use or other dealings in the software"
+)
+_BSD_OPENING = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+_BSD_CONDITIONS = (
+    "[[{{0..1}}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[{{0..1}}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+)
+_BSD_NAMES = (
+    "[[{{0..1}}]] neither the name of {{1..8}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+)
+_BSD_DISCLAIMER = (
+    "this software is provided by {{1..8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{1..8}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits "
+    "or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software "
+    "even if advised of the possibility of such damage"
+)
+_ISC = (
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+    "the software is provided as is and {{1..6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{1..6}} be liable for any "
+    "special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action "
+    "arising out of or in connection with the use or performance of this software"
+)
+_APACHE_NOTICE = (
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 "
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+    "see the license for the specific language governing permissions and limitations under the license"
+)
+
 TEMPLATES = {
     "mit-notice": "[[{{0..3}} is]] released under [[the terms of]] the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction",
+    "mit-text": _MIT,
     "apache-2.0": "licensed under the apache license version 2 0 [[the license]]",
     "gpl-3.0": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 3 [[0]] [[or {{0..2}} any later version]]",
     "gpl-2.0": "licensed under the [[terms of the]] gnu general public license [[as published by the free software foundation]] version 2 [[0]] [[or {{0..2}} any later version]]",
     "cc-by-nc-4.0": "licensed under [[a {{0..2}}]] cc by nc 4 0 [[international]] [[license]]",
     "cc-by-4.0": "licensed under [[a]] [[the]] creative commons attribution 4 0 [[international]] [[public]] license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-2-clause": f"{_BSD_OPENING} {_BSD_CONDITIONS} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_OPENING} {_BSD_CONDITIONS} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "isc": _ISC,
+    "apache-2.0-notice": _APACHE_NOTICE,
 }
 
 _PART = re.compile(r"\[\[|\]\]|\{\{(\d+)\.\.(\d+)\}\}|[^\s\[\]{}]+")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import contextlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.operators.graph import components, shared_folder, store
 
-__all__ = ["anti", "attach", "components", "cut", "merged", "partitions", "semi", "shared_folder", "small_batches", "store", "with_doc_key"]
+__all__ = ["anti", "attach", "components", "cut", "merged_ranges", "partitions", "semi", "shared_folder", "small_batches", "store", "with_doc_key"]
 
 #: Ids that a broadcast may carry (8 bytes each); larger sides are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -55,13 +55,11 @@ def attach(docs: DataFrame, found: DataFrame, on: list[str], entries: int) -> Da
     return docs.join(F.broadcast(found) if entries <= BROADCAST_IDS else found, on, "left")
 
 
-def merged(ranges: str | Column) -> Column:
-    """An array of (start, stop) structs as the fewest ranges that cover the same, in order."""
-    kind = "array<struct<start:int,stop:int>>"
-
-    def add(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["stop"], r["stop"]).alias("stop"))
-        return F.when(last["stop"] >= r["start"], F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(grown))).otherwise(F.concat(acc, F.array(r)))
-
-    return F.aggregate(F.array_sort(ranges), F.array().cast(kind), add)
+def merged_ranges(ranges: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """(keys, name): the fewest ranges that cover the same as the rows (keys, start, stop), in order, as an array of (start, stop)."""
+    order = Window.partitionBy(*keys).orderBy("start", "stop")
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = ranges.select(*keys, "start", "stop", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int").alias("_new"))
+    numbered = new.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(name))

@@ -13,7 +13,8 @@ doc_id, then place) stays; the run of lines that every later one starts with is
 these runs over all rounds is every maximal repeated run of later copies.
 
 Hot lines: buckets are counted by keys with partial sums before any
-shuffle; only distinct keys are sorted; and the join that hands ranks back is an equi-join that Spark splits when skewed.
+shuffle; only distinct keys are sorted; and they are written before the join that hands ranks back, so that both of its sides are dealt anew and Spark
+can split a line that very many texts have.
 
 Defined cases: null and empty texts are left as they are; blank lines are
 never deleted and do not part a run; a text's own repeats count; a text whose lines are all
@@ -67,14 +68,10 @@ def bucket_starts(keys: DataFrame, cols: list[str]) -> DataFrame:
     parts = keys.repartitionByRange(jobs.partitions(spark), *cols).sortWithinPartitions(*cols)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
     done = jobs.cut(parts.mapInArrow(_running, f"{schema}, start long, part int"))
-    # one total for each partition
-    totals = sorted((r.part, r.n) for r in done.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    offsets, at = {}, 0
-    for part, n in totals:
-        offsets[part] = at
-        at += n
-    shift = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map(F.lit(0), F.lit(0))
-    return done.withColumn("start", F.col("start") + F.coalesce(shift[F.col("part")], F.lit(0)).cast("long")).drop("part")
+    # one row for each partition: where its keys start
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = done.groupBy("part").agg(F.sum("n").alias("sum")).select("part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    return done.join(offsets, "part").withColumn("start", F.col("start") + F.col("offset")).drop("part", "offset")
 
 
 def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
@@ -82,7 +79,8 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     spark = docs.sparkSession
     lines = docs.where("doc_id is not null").mapInArrow(_lines, "doc_id long, copy long, pos int, rank long").distinct()
     # an interval of one-line prefixes for each line id that occurs twice
-    often = lines.groupBy("rank").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # written first, so that the join deals both sides anew and Spark can split a line that very many texts have
+    often = jobs.cut(lines.groupBy("rank").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     active = jobs.cut(lines.join(often, "rank").select(*_KEY, "pos", "rank", "first"))
     runs = spark.createDataFrame([], "doc_id long, copy long, pos int, len int")
     length = 1
@@ -95,7 +93,7 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         wide = active.select(*_KEY, "pos", "rank", *(F.max("rank").over(near.rangeBetween(s, s)).alias(f"r{s}") for s in shifts)).na.drop(subset=cols)
         wide = jobs.cut(wide)
         keys = wide.groupBy(*cols).agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        ranked = bucket_starts(keys, cols).select(*cols, "first", F.col("start").alias("new"))
+        ranked = jobs.cut(bucket_starts(keys, cols).select(*cols, "first", F.col("start").alias("new")))
         active = jobs.cut(wide.join(ranked, cols).select(*_KEY, "pos", F.col("new").alias("rank"), "first"))
         length += shifts[-1]
     return runs
@@ -122,8 +120,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     """``docs`` with later copies of repeated line runs deleted from the text; ``deleted`` names a column for the number of lines that went."""
     jobs.small_batches(docs.sparkSession)
     keyed = jobs.with_doc_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    ranges = F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")))
-    by_doc = jobs.cut(repeated_runs(keyed, min_lines).groupBy(*_KEY).agg(jobs.merged(ranges).alias("_runs")).select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_runs"))
+    ranges = repeated_runs(keyed, min_lines).select(*_KEY, F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop"))
+    by_doc = jobs.cut(jobs.merged_ranges(ranges, _KEY, "_runs").select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), "_runs"))
     entries = by_doc.agg(F.sum(F.size("_runs"))).first()[0] or 0
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_copy"), F.col(text_col).alias("text"))

@@ -362,7 +362,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     recurring = read.where("k2 is null").groupBy("k1").agg(F.sum("n_shingles").alias("n")).orderBy(F.desc("n"), "k1").limit(COMMON)
     common = np.sort(recurring.select("k1").toPandas()["k1"].to_numpy(np.int64).view(U64))
     # one representative for each distinct set
-    firsts = digest.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    firsts = jobs.cut(digest.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep")))
     reps = jobs.cut(digest.join(firsts, ["n_shingles", "k1", "k2"]).select("doc_id", "rep", "n_shingles").distinct())
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = int(max(16, chars // BUCKET_CHARS))

@@ -87,7 +87,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col:
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.groupBy("part", "bucket").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     inside = Window.partitionBy("part", "bucket").orderBy("doc_id", "n_tokens")
-    numbered = ranges.withColumn("i", F.row_number().over(inside) - 1).join(F.broadcast(starts), ["part", "bucket"])
+    numbered = ranges.withColumn("i", F.row_number().over(inside) - 1).join(starts, ["part", "bucket"])
     place = F.col("start") + F.col("i")
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("boundary"), F.lit(1)))).cast("long")
     return numbered.select("doc_id", "n_tokens", "bucket", "boundary", F.floor(place / room).cast("long").alias("batch"), (place % room).cast("long").alias("slot"))

@@ -7,7 +7,7 @@ grams the one with the smallest hash is selected (the last of equal ones), so an
 Two passages of ``LEAST`` (50) words can be equal only if ``PREFIX`` words from their own place, the one that their first
 ``WINDOW`` grams select, are equal: places whose prefix is unique are left out by a count with partial sums. Every suffix whose own place is left
 and that holds ``LEAST`` words is sorted by the hash of those words; suffixes of one hash are an interval of the suffix array with a common prefix
-of ``LEAST`` words or more. In each interval the first suffix (by doc_id, then place) stays, and the ``LEAST`` words that every other one starts with
+of ``LEAST`` words or more (hashes of 128 bits). In each interval the first suffix (by doc_id, then place) stays, and the ``LEAST`` words that every other one starts with
 are removed. The union of these over all suffixes is every repeated passage of LEAST words or more of which an earlier copy exists, in whole families too
 whose members match each other further than they match the first.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plinth.llm import jobs
 from plinth.llm.kernels import SPACE, U64, Tokens, cut_ranges, mix, runs, signed, spans, text_chunks
-from plinth.llm.substring_dedup import _distinct, _pack
+from plinth.llm.substring_dedup import _again, _distinct, _pack, _rows
 
 GRAM, WINDOW, PREFIX, LEAST = 8, 25, 24, 50
 BUCKET_CHARS = 8_000_000
@@ -73,17 +73,14 @@ def _emit(buckets: int):
         held: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, copy, pos, place, prefix = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((pos, copy, doc, h))
-            order = order[_distinct(h, doc, copy, pos, order)]
-            h, doc, copy, pos, place, prefix = (x[order] for x in (h, doc, copy, pos, place, prefix))
-            later = np.concatenate(([False], h[1:] == h[:-1]))
+            h, g, doc, copy, pos, place, prefix = _distinct([np.concatenate(x) for x in zip(*held, strict=True)])
+            later = _again(h, g)
             where = np.where(later, mix(doc.view(U64) ^ place.astype(U64)), prefix) % U64(buckets)
             h = np.where(later, U64(0), h | U64(1))
             order = np.lexsort((pos, copy, doc, where))
             where = where[order]
             at = np.concatenate((np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), [len(where)]))
-            cols = [x[order] for x in (h, doc, copy, pos, (pos + LEAST).astype(np.int32))]
+            cols = [x[order] for x in (h, g, doc, copy, pos, (pos + LEAST).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([_pack([c[x:y] for c in cols]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["bucket", "rows"])
 
         n = 0
@@ -99,7 +96,7 @@ def _emit(buckets: int):
                 start, place = start[known[place]], place[known[place]]
                 d = t.doc[start]
                 first = t.first[d]
-                held.append((spans(words, start, start + LEAST), ids[a:b][d], copies[a:b][d], (start - first).astype(np.int32), place - first, spans(words, place, place + PREFIX)))
+                held.append((spans(words, start, start + LEAST), spans(mix(words, 91), start, start + LEAST), ids[a:b][d], copies[a:b][d], (start - first).astype(np.int32), place - first, spans(words, place, place + PREFIX)))
                 n += len(start)
                 if n > _FLUSH:
                     yield from flush()
@@ -112,14 +109,8 @@ def _emit(buckets: int):
 
 def _later(table: pa.Table) -> pa.Table:
     """(doc_id, copy, start, stop): the words of a bucket's suffixes that are not the first of their interval, as ranges."""
-    planes = [np.ascontiguousarray(np.frombuffer(x.as_py(), np.uint8).reshape(32, -1).T) for x in table.column("rows")]
-    rows = np.concatenate(planes)
-    h, doc, copy = (np.ascontiguousarray(rows[:, i : i + 8]).view(k).ravel() for i, k in ((0, U64), (8, np.int64), (16, np.int64)))
-    pos, end = (np.ascontiguousarray(rows[:, i : i + 4]).view(np.int32).ravel() for i in (24, 28))
-    order = np.lexsort((pos, copy, doc, h))
-    order = order[_distinct(h, doc, copy, pos, order)]
-    h = h[order]
-    keep = order[(h == 0) | np.concatenate(([False], h[1:] == h[:-1]))]
+    h, g, doc, copy, pos, end = _distinct(_rows(table))
+    keep = np.flatnonzero((h == 0) | _again(h, g))
     keep = keep[np.lexsort((pos[keep], copy[keep], doc[keep]))]
     doc, copy, pos, end = (x[keep] for x in (doc, copy, pos, end))
     # all are of one length, so ranges that touch follow each other
@@ -139,7 +130,8 @@ def later_copies(docs: DataFrame) -> DataFrame:
     later = jobs.cut(whole.join(first, "text_key").where(F.struct("doc_id", "copy") != F.col("first")).select("doc_id", "copy").distinct())
     rows = rows.join(F.broadcast(later) if later.count() <= jobs.BROADCAST_IDS else later, ["doc_id", "copy"], "left_anti")
     places = rows.mapInArrow(_places, "h long, doc_id long, copy long, pos int")
-    often = places.groupBy("h").count().where("count > 1").select("h")
+    # written first, so that the join deals both sides anew and Spark can split a prefix that very many places have
+    often = jobs.cut(places.groupBy("h").count().where("count > 1").select("h"))
     kept = jobs.cut(places.join(often, "h", "left_semi").groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("at")))
     near = jobs.semi(rows, kept.select("doc_id"), "doc_id").join(kept, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
     packs = near.select("doc_id", "copy", "text", "at").mapInArrow(_emit(buckets), "bucket int, rows binary")
@@ -172,7 +164,7 @@ def dedup_suffixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, n_words, n_removed, text) of every document that loses words, with the text that is left."""
     jobs.small_batches(docs.sparkSession)
     keyed = jobs.with_doc_key(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    ranges = jobs.cut(later_copies(keyed).groupBy("doc_id", "copy").agg(jobs.merged(F.collect_set(F.struct("start", "stop"))).alias("ranges")))
+    ranges = jobs.cut(jobs.merged_ranges(later_copies(keyed), ["doc_id", "copy"], "ranges"))
     n = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
     joined = keyed.join(F.broadcast(ranges) if n <= jobs.BROADCAST_IDS else ranges, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"])
     return joined.select("doc_id", "text", "ranges").mapInArrow(_without, "doc_id long, n_words long, n_removed long, text string").where("n_removed > 0")

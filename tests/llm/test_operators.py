@@ -145,6 +145,42 @@ def test_templates(spark, text, labels):
     assert r.labels == labels and r.score == (1.0 if "-" in labels else 0.5 if labels else 0.0)
 
 
+def spelt(markup, rng):
+    """A text that the markup allows, with every choice drawn."""
+
+    def of(parts):
+        for p in parts:
+            if isinstance(p, list):
+                if rng.random() < 0.5:
+                    yield from of(p)
+            elif isinstance(p, tuple):
+                yield from (f"any{rng.randrange(99)}" for _ in range(rng.randint(*p)))
+            else:
+                yield p
+
+    return list(of(license_scan.parse(markup)))
+
+
+def test_whole_licenses_need_every_mandatory_word(spark):
+    rng = random.Random(17)
+    docs, want = [], {}
+    for label, markup in license_scan.TEMPLATES.items():
+        mandatory = {w for w in license_scan.parse(markup) if isinstance(w, str)}
+        for _ in range(6):
+            text = spelt(markup, rng)
+            docs.append((len(docs), "Foreword. " + ", ".join(text).upper() + "\nAfterword."))
+            want[len(docs) - 1] = (label, True)
+            at = rng.choice([i for i, w in enumerate(text) if w in mandatory])
+            docs.append((len(docs), " ".join(["Foreword.", *text[:at], "changed", *text[at + 1 :], "Afterword."])))
+            want[len(docs) - 1] = (label, False)
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan_licenses(frame(spark, docs)).collect()}
+    for i, (label, there) in want.items():
+        # a word that also stands in an optional place may be changed without harm only where the rest still matches
+        hit = re.search(f"(?:^| ){license_scan.regex(license_scan.TEMPLATES[label])}", "".join(f"{w} " for w in re.findall(r"[a-z0-9]+", docs[i][1].lower())))
+        assert (label in got[i]) == bool(hit) and (bool(hit) or not there), (label, docs[i])
+    assert sum(label not in got[i] for i, (label, there) in want.items() if not there) > 60
+
+
 def test_automata_agree_with_regular_expressions(spark):
     rng = random.Random(3)
     markup = "a [[b [[c]]]] {{1..2}} d [[{{0..1}} e]]"
@@ -178,6 +214,16 @@ def test_quality_learns_from_labels_that_are_not_held_out(spark):
 # ---------------------------------------------------------------- op4
 
 
+def test_classifier_ranks_labels_that_it_has_not_seen(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).join(labels.where("quality is not null"), "doc_id").where("held_out").select("score", "quality", "predicted").collect()
+    good, bad = ([r.score for r in rows if r.quality == q] for q in (1, 0))
+    assert len(good) > 40 and len(bad) > 5
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+
+
 def test_lm_base_is_exact_and_contexts_help(spark):
     rng = random.Random(5)
     base = [words(rng, 60, 200) for _ in range(12)]

@@ -125,5 +125,5 @@ def clamped_view(lat: Column, lon: Column, zoom: Column, lowest: float = 0, high
 
 def centre_of(positions: Column) -> tuple[Column, Column]:
     """(lat, lon) of the middle of the box around an array of [lon, lat] positions, to six decimals."""
-    lon, lat = (F.transform(positions, lambda p, i=i: F.get(p, F.lit(i))) for i in (0, 1))
+    lon, lat = F.transform(positions, lambda p: F.get(p, F.lit(0))), F.transform(positions, lambda p: F.get(p, F.lit(1)))
     return F.round((F.array_min(lat) + F.array_max(lat)) / 2, 6), F.round((F.array_min(lon) + F.array_max(lon)) / 2, 6)

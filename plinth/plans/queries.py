@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import geo, ids, parse, text
-from plinth.operators import cohorts, counters, graph, identity, listing, profile, quality, search, sensors, surveys, validate
+from plinth.operators import cohorts, contracts, counters, graph, identity, listing, profile, publication, quality, search, sensors, surveys, validate
+from plinth.sources import publish
 from plinth.sources import rows as sources
 from plinth.streaming import counts as streaming
 
@@ -553,6 +554,253 @@ def content_hash(spark, sf_dir):
     return ids.content_hash(o, ids.row_digest(F.col("o_orderkey"), F.col("o_orderstatus")))
 
 
+# ------------------------------------------------------------------ publication and contracts
+
+
+_STATE = """st AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 11 <> 0 THEN c_custkey * 7 % 300 END AS hours, c_custkey % 10 AS zero_days, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 50 END AS reading, c_custkey * 3 % 17 AS samples, c_custkey * 3 % 20 AS median, (c_custkey * 37 % 1001) / 10.0::DOUBLE AS rank FROM customer),
+s1 AS (SELECT *, CASE WHEN hours IS NULL THEN 'unavailable' WHEN hours <= 30 THEN CASE WHEN zero_days >= 7 THEN 'faulted' ELSE 'fresh' END WHEN hours <= 168 THEN 'stale' ELSE 'offline' END AS staleness FROM st),
+s2 AS (SELECT *, staleness = 'fresh' AS active, staleness NOT IN ('offline', 'unavailable') AND reading IS NOT NULL AS live FROM s1),
+s3 AS (SELECT *, CASE WHEN live THEN reading END AS count, CASE WHEN live THEN 'T' || id END AS "observedAt", CASE WHEN live AND samples >= 7 THEN median END AS expected, CASE WHEN live AND samples >= 7 THEN rank END AS r FROM s2),
+pb AS (SELECT id, staleness, active, count, "observedAt", samples, expected, CAST(floor(r + 0.5) AS BIGINT) AS percentile, CASE WHEN live AND expected > 0 THEN round(reading / expected, 3) END AS ratio,
+CASE WHEN r IS NULL THEN 'unavailable' WHEN expected = 0 THEN CASE WHEN reading = 0 THEN 'quiet' ELSE 'unavailable' END WHEN r >= 90 THEN 'veryBusy' WHEN r >= 75 THEN 'busy' WHEN r >= 25 THEN 'typical' ELSE 'quiet' END AS activity FROM s3)"""
+_PUBLISHED = ("id", "staleness", "active", "count", "observedAt", "samples", "expected", "percentile", "ratio", "activity")
+
+
+def _published(spark, sf_dir) -> DataFrame:
+    k = F.col("c_custkey")
+    df = table(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(k % 11 != 0, k * 7 % 300).alias("hours"), (k % 10).alias("zero_days"), F.when(k % 6 != 0, k % 50).alias("reading"), F.concat(F.lit("T"), k.cast("string")).alias("observed_at"),
+        (k * 3 % 17).alias("samples"), (k * 3 % 20).alias("median"), (k * 37 % 1001 / 10.0).alias("rank"))
+    return publication.published(df).select(*_PUBLISHED)
+
+
+@query(f"WITH {_STATE} SELECT * FROM pb")
+def published_state(spark, sf_dir):
+    return _published(spark, sf_dir)
+
+
+@query(f"""WITH {_STATE}, x AS (SELECT * REPLACE (CASE WHEN id % 13 = 0 THEN ratio + 0.01 ELSE ratio END AS ratio, active <> (id % 17 = 0) AS active, CASE WHEN id % 19 = 0 THEN 'busy' ELSE activity END AS activity, CASE WHEN id % 23 = 0 THEN NULL ELSE "observedAt" END AS "observedAt", CASE WHEN id % 29 = 0 THEN 3 ELSE samples END AS samples) FROM pb)
+SELECT unnest(['counts are not negative', 'percentile is from 0 to 100', 'no baseline from too few samples', 'enough samples have a baseline', 'nothing expected is quiet or unavailable', 'no level of traffic where none is expected', 'no ratio to nothing', 'a dead counter has no number', 'a fresh counter has a reading', 'a reading and its time go together', 'active is fresh', 'ratio is count over expected', 'a ratio has both its parts']) AS "check", 'error' AS severity,
+unnest([count(*) FILTER (WHERE count < 0 OR expected < 0), count(*) FILTER (WHERE percentile NOT BETWEEN 0 AND 100), count(*) FILTER (WHERE samples < 7 AND (expected IS NOT NULL OR percentile IS NOT NULL OR activity <> 'unavailable')), count(*) FILTER (WHERE samples >= 7 AND expected IS NULL AND count IS NOT NULL),
+count(*) FILTER (WHERE expected = 0 AND count IS NOT NULL AND activity <> CASE WHEN count = 0 THEN 'quiet' ELSE 'unavailable' END), count(*) FILTER (WHERE expected = 0 AND activity IN ('typical', 'busy', 'veryBusy')), count(*) FILTER (WHERE expected = 0 AND ratio IS NOT NULL), count(*) FILTER (WHERE staleness IN ('offline', 'unavailable') AND coalesce(count, expected, percentile, ratio) IS NOT NULL),
+count(*) FILTER (WHERE staleness = 'fresh' AND (count IS NULL OR "observedAt" IS NULL)), count(*) FILTER (WHERE (count IS NULL) <> ("observedAt" IS NULL)), count(*) FILTER (WHERE active <> (staleness = 'fresh')), count(*) FILTER (WHERE expected > 0 AND count IS NOT NULL AND NOT coalesce(abs(ratio - count / expected) <= 0.005, false)), count(*) FILTER (WHERE ratio IS NOT NULL AND (count IS NULL OR expected IS NULL))]) AS broken FROM x""")
+def sensors_contract(spark, sf_dir):
+    k, planted = F.col("id"), _published(spark, sf_dir)
+    planted = (
+        planted.withColumn("ratio", F.when(k % 13 == 0, F.col("ratio") + 0.01).otherwise(F.col("ratio"))).withColumn("active", F.col("active") != (k % 17 == 0)).withColumn("activity", F.when(k % 19 == 0, "busy").otherwise(F.col("activity")))
+        .withColumn("observedAt", F.when(k % 23 != 0, F.col("observedAt"))).withColumn("samples", F.when(k % 29 == 0, 3).otherwise(F.col("samples"))))
+    return validate.run_checks(planted, contracts.sensors())
+
+
+@query(f"""WITH {_STATE}, l AS (SELECT id + 5 AS id, CASE WHEN (id + 5) % 7 = 0 THEN NULL ELSE q.count END AS count, q.activity FROM (SELECT id FROM pb) JOIN (SELECT id AS k, count, activity FROM pb) q ON k = id + 5 UNION ALL SELECT id + 5, NULL, 'x' FROM pb WHERE id + 5 NOT IN (SELECT id FROM pb))
+SELECT id, unnest(CASE WHEN p.known IS NULL THEN ['unknown id'] WHEN l.seen IS NULL THEN ['missing row'] ELSE list_filter([CASE WHEN l.count IS DISTINCT FROM p.count THEN 'count differs' END, CASE WHEN l.activity IS DISTINCT FROM p.activity THEN 'activity differs' END], lambda x: x IS NOT NULL) END) AS problem FROM (SELECT *, true AS seen FROM l) l FULL JOIN (SELECT *, true AS known FROM pb) p USING (id)""")
+def latest_check(spark, sf_dir):
+    sensors_now = _published(spark, sf_dir).select("id", "count", "activity")
+    view, _ = publication.latest_view(sensors_now, ["id"], "id")
+    view = view.select((F.col("id") + 5).alias("id")).join(sensors_now, "id", "left").withColumn("activity", F.coalesce("activity", F.lit("x"))).withColumn("count", F.when(F.col("id") % 7 != 0, F.col("count")))
+    return publication.latest_problems(view, sensors_now, "id", ["count", "activity"])
+
+
+@query("SELECT count(*) AS sensors, max(o_orderdate) AS \"latestObservation\" FROM orders")
+def latest_summary(spark, sf_dir):
+    return publication.latest_view(table(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderdate")[1]
+
+
+@query(f"""WITH {_SURVEY}, v AS (SELECT * FROM sv WHERE year BETWEEN 1992 AND 1998) SELECT site, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS years_measured FROM v GROUP BY 1""")
+def site_years(spark, sf_dir):
+    return publication.site_years(_survey(spark, sf_dir), "site")
+
+
+@query(f"""WITH {_SURVEY}, v AS (SELECT *, CASE month WHEN 5 THEN 'may' ELSE 'sept' END AS season FROM sv WHERE year BETWEEN 1992 AND 1998)
+SELECT 'season' AS kind, 'may' AS value, count(*) FILTER (WHERE season = 'may') AS n FROM v UNION ALL SELECT 'season', 'sept', count(*) FILTER (WHERE season = 'sept') FROM v UNION ALL SELECT 'season', 'oct', 0 FROM (SELECT 1) UNION ALL SELECT 'measured', 'am', count(am) FROM v UNION ALL SELECT 'measured', 'md', count(md) FROM v UNION ALL SELECT 'measured', 'pm', count(pm) FROM v""")
+def survey_tallies(spark, sf_dir):
+    v = _survey(spark, sf_dir).withColumn("season", F.when(F.col("month") == 5, "may").otherwise("sept"))
+    return publication.tallies(v, {"season": ("may", "sept", "oct")}, ("am", "md", "pm"))
+
+
+_RAW_CELL = "CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '-' || CAST(l_quantity AS BIGINT) WHEN 2 THEN CAST(CAST(l_quantity AS BIGINT) % 3 AS VARCHAR) END"
+
+
+@query(f"WITH x AS (SELECT {_RAW_CELL} AS a FROM lineitem) SELECT count(*) FILTER (WHERE coalesce(a, '') = '') AS null_cells, count(*) FILTER (WHERE a LIKE '-%') AS bad_cells, count(*) FILTER (WHERE a = '0') AS zero_cells FROM x")
+def cell_tallies(spark, sf_dir):
+    n, q = F.col("l_linenumber") % 4, F.col("l_quantity").cast("long")
+    a = F.when(n == 0, "").when(n == 1, F.concat(F.lit("-"), q.cast("string"))).when(n == 2, (q % 3).cast("string"))
+    return publication.cell_tallies(table(spark, sf_dir, "lineitem").select(a.alias("a")), {"a": parse.count(F.col("a"))})
+
+
+_HISTORY = """hs AS (SELECT c_custkey AS id, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS am, CASE WHEN c_custkey % 5 <> 0 THEN count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') END AS md, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS pm, year(min(o_orderdate)) AS "firstYear", year(max(o_orderdate)) AS "lastYear", count(DISTINCT year(o_orderdate)) AS "yearsMeasured" FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1),
+hx AS (SELECT *, am + coalesce(md, 0) + pm + CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END AS total, CASE WHEN id % 4 <> 0 THEN am - pm END AS change, CASE WHEN id % 4 <> 0 AND id % 14 <> 0 THEN "firstYear" || CASE WHEN id % 6 = 0 THEN '-' ELSE '–' END || "lastYear" END AS "changeYears", CASE WHEN id % 4 = 0 AND id % 12 <> 0 THEN 'insufficient' WHEN id % 10 = 3 THEN 'odd' ELSE 'flat' END AS trend, CASE WHEN id % 8 <> 0 THEN 'May 1998' END AS "latestSurvey" FROM hs)"""
+
+
+@query(f"""WITH {_HISTORY} SELECT unnest(['periods are not negative', 'total is the sum of its periods', 'no total without a period', 'trend is known', 'change and its years go together', 'change years are a range', 'no change is insufficient', 'years are in order', 'a first year was measured', 'counts and the latest survey go together']) AS "check", 'error' AS severity,
+unnest([0, count(*) FILTER (WHERE id % 9 = 0), 0, count(*) FILTER (WHERE trend = 'odd'), count(*) FILTER (WHERE (change IS NULL) <> ("changeYears" IS NULL)), count(*) FILTER (WHERE "changeYears" NOT LIKE '%–%'), count(*) FILTER (WHERE (trend = 'insufficient') <> (change IS NULL)), count(*) FILTER (WHERE "firstYear" > "lastYear"), 0, count(*) FILTER (WHERE "latestSurvey" IS NULL)]) AS broken FROM hx""")
+def history_contract(spark, sf_dir):
+    o, c, k = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), F.col("id")
+    period = lambda p: F.count_if(F.col("o_orderpriority") == p)
+    sites = c.join(o, F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("c_custkey").alias("id")).agg(
+        period("1-URGENT").alias("am"), F.when(k % 5 != 0, period("3-MEDIUM")).alias("md"), period("5-LOW").alias("pm"), F.year(F.min("o_orderdate")).alias("firstYear"), F.year(F.max("o_orderdate")).alias("lastYear"), F.count_distinct(F.year("o_orderdate")).alias("yearsMeasured"))
+    years = F.concat(F.col("firstYear").cast("string"), F.when(k % 6 == 0, "-").otherwise("–"), F.col("lastYear").cast("string"))
+    planted = sites.select(
+        "*", (F.col("am") + F.coalesce("md", F.lit(0)) + F.col("pm") + F.when(k % 9 == 0, 1).otherwise(0)).alias("total"), F.when(k % 4 != 0, F.col("am") - F.col("pm")).alias("change"), F.when((k % 4 != 0) & (k % 14 != 0), years).alias("changeYears"),
+        F.when((k % 4 == 0) & (k % 12 != 0), "insufficient").when(k % 10 == 3, "odd").otherwise("flat").alias("trend"), F.when(k % 8 != 0, "May 1998").alias("latestSurvey"))
+    return validate.run_checks(planted, contracts.history())
+
+
+@query(f"""WITH {_AREAS}, c AS (SELECT cohort, count(*) AS n, count(*) FILTER (WHERE status = 'nonVacant') AS nv, count(*) FILTER (WHERE mappable) AS m FROM a GROUP BY 1)
+SELECT cohort, 'mappable is not that of the areas' AS problem FROM c WHERE cohort = '1994' UNION ALL SELECT cohort, 'rows are not those of the areas' FROM c WHERE cohort = '1995' UNION ALL SELECT cohort, 'statuses don''t add up' FROM c WHERE cohort = '1995' UNION ALL SELECT cohort, 'no coverage' FROM c WHERE cohort = '1996' UNION ALL SELECT cohort, 'points are not those published' FROM c WHERE cohort = '1997' UNION ALL SELECT cohort, 'share is not supported as said' FROM c WHERE cohort = '1993'""")
+def cohort_reconciliation(spark, sf_dir):
+    a = _areas(spark, sf_dir)
+    cells = cohorts.area_cells(a, ["cohort", "area"], ["status"], F.col("mappable"))
+    points, y = a.where("status = 'vacant' and mappable"), F.col("cohort")
+    coverage = cohorts.coverage(a, "cohort", "status", F.col("area").isNotNull(), F.col("mappable")).join(points.groupBy("cohort").agg(F.count("*").alias("points")), "cohort")
+    wrong = lambda c, year: (F.col(c) + F.when(y == year, 1).otherwise(0)).alias(c)
+    planted = coverage.where("cohort <> '1996'").select("cohort", wrong("rows", "1995"), "vacant", "nonVacant", "unknown", wrong("mappable", "1994"), "unknown_area", wrong("points", "1997"), (F.col("share_supported") != (y == "1993")).alias("share_supported"))
+    return contracts.reconciled_cohorts(cells, points, planted)
+
+
+@query("""SELECT unnest(['id has its pattern', 'name is there', 'name is not too long', 'kind is known', 'point is in the city', 'borough is known', 'postcode has five digits']) AS "check", unnest(['error', 'error', 'error', 'error', 'error', 'warning', 'warning']) AS severity,
+unnest([count(*) FILTER (WHERE c_custkey < 10), count(*) FILTER (WHERE c_custkey % 31 = 0), 0, count(*) FILTER (WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')), count(*) FILTER (WHERE c_custkey % 41 = 0), count(*) FILTER (WHERE c_nationkey > 20), count(*) FILTER (WHERE length(CAST(c_custkey AS VARCHAR)) <> 5 AND c_custkey % 3 <> 0)]) AS broken FROM customer""")
+def licence_contract(spark, sf_dir):
+    c, k = _points(table(spark, sf_dir, "customer"), "c_custkey"), F.col("c_custkey")
+    rows = c.select(
+        F.concat(F.lit("c"), k.cast("string")).alias("id"), F.when(k % 31 != 0, F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("kind"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("borough"), F.when(k % 3 != 0, k.cast("string")).otherwise("").alias("zip"),
+        F.when(k % 41 != 0, F.col("lat")).otherwise(F.lit(12.0)).alias("lat"), "lon")
+    return validate.run_checks(rows, contracts.licences(("BUILDING", "MACHINERY"), [f"N{i}" for i in range(21)], "^c[0-9]{2,}$"))
+
+
+@query(f"WITH {_RULES}, k AS (SELECT count(*) AS s, count(*) FILTER (WHERE len(codes) > 0) AS r, (SELECT count(*) FROM lineitem) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) AS d FROM r) SELECT s AS source, r AS rejected, d AS duplicates, s - r AS published, d = 0 AS balanced, s - r >= 1500 AS enough FROM k")
+def cross_check(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    kept, rejected = quality.split(li, _order_rules())
+    repeats = li.groupBy("l_orderkey", "l_linenumber").count().where("count > 1").select(F.explode(F.sequence(F.lit(2), F.col("count"))))
+    return contracts.cross_check(li, rejected, repeats, kept)
+
+
+@query(f"WITH {_RULES}, u AS (SELECT codes[1] AS code, count(*) AS n FROM r WHERE len(codes) > 0 GROUP BY 1) SELECT code, n AS listed, n + 1 AS tallied FROM u WHERE code <> 'no_discount' UNION ALL SELECT 'unseen', 0, 1")
+def code_tallies(spark, sf_dir):
+    _, rejected = quality.split(table(spark, sf_dir, "lineitem"), _order_rules())
+    tally = rejected.groupBy("code").agg((F.count("*") + F.when(F.col("code") != "no_discount", 1).otherwise(0)).alias("n"))
+    return contracts.code_tallies(rejected, tally.union(spark.createDataFrame([("unseen", 1)], "code string, n long")))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def repeated_ids(spark, sf_dir):
+    return contracts.repeated_ids(table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query(f"WITH {_AREAS}, b AS (SELECT *, CASE WHEN area % 3 = 0 THEN NULL ELSE flag END AS construction, 'N' || area AS borough FROM a) SELECT area, count(*) AS n FROM b WHERE cohort = '1995' AND status = 'vacant' AND construction IS NULL GROUP BY 1")
+def report_filter(spark, sf_dir):
+    a = _areas(spark, sf_dir).withColumn("construction", F.when(F.col("area") % 3 != 0, F.col("flag"))).withColumn("borough", F.concat(F.lit("N"), F.col("area").cast("string")))
+    return publication.reports(a, "1995", construction="unknown").groupBy("area").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH p AS (SELECT s_suppkey + 4 AS c_custkey, s_name FROM supplier), g AS (SELECT c_custkey, {_SQL_POINTS.format(k='c_custkey')} FROM customer) SELECT p.c_custkey, s_name, round(lat, 6) AS lat, round(lon, 6) AS lon FROM p JOIN g USING (c_custkey)")
+def geometry_lookup(spark, sf_dir):
+    g = _points(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", "lat", "lon")
+    return publication.located(table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 4).alias("c_custkey"), "s_name"), g, "c_custkey").withColumn("lat", F.round("lat", 6)).withColumn("lon", F.round("lon", 6))
+
+
+@query(f"WITH p AS (SELECT {_SQL_POINTS.format(k='c_custkey')} FROM customer) SELECT min(lon) AS west, min(lat) AS south, max(lon) AS east, max(lat) AS north FROM p")
+def bounds_union(spark, sf_dir):
+    c = _points(table(spark, sf_dir, "customer"), "c_custkey")
+    boxes = c.groupBy("c_nationkey").agg(F.min("lon").alias("west"), F.min("lat").alias("south"), F.max("lon").alias("east"), F.max("lat").alias("north"))
+    return publication.bounds_union(boxes)
+
+
+@query("""WITH g AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS kinds, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, o_orderkey, 'ambiguous_group' AS code, 'group of ' || n AS detail FROM orders JOIN g USING (o_custkey) WHERE kinds NOT IN (['F', 'O'], ['F'], ['O'])""")
+def ambiguous_groups(spark, sf_dir):
+    _, rejected = identity.ambiguous_groups(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O"])
+    return rejected.select("o_custkey", "o_orderkey", "code", "detail")
+
+
+@query(f"WITH p AS (SELECT c_nationkey, c_custkey, {_SQL_POINTS.format(k='c_custkey')} FROM customer) SELECT c_nationkey, round(arg_min(lat, c_custkey), 6) AS lat, round(arg_min(lon, c_custkey), 6) AS lon FROM p GROUP BY 1")
+def first_points(spark, sf_dir):
+    got = identity.point_of_first(_points(table(spark, sf_dir, "customer"), "c_custkey"), ["c_nationkey"], F.col("c_custkey"))
+    return got.select("c_nationkey", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+# ------------------------------------------------------------------ scalars of points, dates, lists and JSON
+
+
+_POINT_TEXT = "CASE s_suppkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'n/a' WHEN 2 THEN 'x' WHEN 3 THEN '95' ELSE '0' END"
+
+
+@query(f"""WITH x AS (SELECT s_suppkey, {_POINT_TEXT} AS t, CASE WHEN s_suppkey % 2 = 0 THEN '0' ELSE '-74.5' END AS lon FROM supplier)
+SELECT s_suppkey, TRY_CAST(t AS DOUBLE) AS value, t IS NULL OR t = 'n/a' AS missing, coalesce(t = 'x', false) AS unparseable, CASE WHEN t IS NULL OR t = 'n/a' THEN 'missing_coordinates' WHEN t IN ('x', '95') THEN 'invalid_coordinates' WHEN lon = '0' THEN 'zero_coordinates' END AS problem FROM x""")
+def coordinate_scalars(spark, sf_dir):
+    k = F.col("s_suppkey")
+    t = F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 5 == 1, "n/a").when(k % 5 == 2, "x").when(k % 5 == 3, "95").otherwise("0")
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", t.alias("t"), F.when(k % 2 == 0, "0").otherwise("-74.5").alias("lon"))
+    value, missing, unparseable = parse.coordinate(F.col("t"))
+    return df.select("s_suppkey", value.alias("value"), missing.alias("missing"), unparseable.alias("unparseable"), parse.world_point(F.col("t"), F.col("lon")).alias("problem"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN s_nationkey + 0.25 END AS lat, CASE WHEN s_suppkey % 4 = 0 THEN -74.5::DOUBLE END AS lon, CASE s_suppkey % 4 WHEN 1 THEN 'missing_geometry' WHEN 2 THEN 'not_a_point' WHEN 3 THEN 'bad_coordinates' END AS code FROM supplier""")
+def geojson_points(spark, sf_dir):
+    k, lat = F.col("s_suppkey") % 4, F.col("s_nationkey").cast("string")
+    shape = lambda kind, y: F.concat(F.lit('{"type":"' + kind + '","coordinates":[-74.5,'), y, F.lit("]}"))
+    g = F.when(k == 0, shape("Point", F.concat(lat, F.lit(".25")))).when(k == 2, shape("Line", lat)).when(k == 3, shape("Point", F.lit("95")))
+    a, b, code = parse.geojson_point(g)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", a.alias("lat"), b.alias("lon"), code.alias("code"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS strict, strftime(o_orderdate, '%b ') || day(o_orderdate) || strftime(o_orderdate, ', %Y') AS shown, CASE month(o_orderdate) WHEN 5 THEN 'May ' WHEN 6 THEN 'June ' WHEN 9 THEN 'September ' WHEN 10 THEN 'October ' END || year(o_orderdate) AS survey, ['bike', lower(o_orderpriority)] AS names,
+o_orderstatus || ' at ' || o_orderpriority AS joined FROM orders""")
+def dates_and_names(spark, sf_dir):
+    d = F.date_format("o_orderdate", "yyyy-MM-dd")
+    names = text.name_set(F.concat(F.lit(" Bike,, "), F.col("o_orderpriority"), F.lit(", bike")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", parse.iso_date_strict(d).alias("strict"), text.day_text(F.col("o_orderdate")).alias("shown"), parse.survey_label(F.year("o_orderdate"), F.month("o_orderdate")).alias("survey"),
+        F.reverse(names).alias("names"), text.joined(text.first_text(F.lit("n/a"), F.col("o_orderstatus")), "at", F.col("o_orderpriority")).alias("joined"))
+
+
+@query("""SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","none":null}' AS json FROM customer""")
+def contract_json(spark, sf_dir):
+    return publish.contract_json(table(spark, sf_dir, "customer").withColumn("none", F.lit(None).cast("string")), ["c_custkey", "c_name", "none"])
+
+
+@query("SELECT n_nationkey, 5 AS positions, n_nationkey + 0.5 AS lat, round(n_nationkey - 73.123457, 6) AS lon, n_nationkey % 2 = 0 AS closed FROM nation")
+def boundary_shapes(spark, sf_dir):
+    k = F.col("n_nationkey")
+    corner = lambda dx, dy: F.array(k + F.lit(-74.1234567 + dx), (k + F.lit(float(dy))))
+    ring = F.array(corner(0, 0), corner(2, 0), corner(2, 1), corner(0, 1), F.when(k % 2 == 0, corner(0, 0)).otherwise(corner(1, 0)))
+    shape = geo.rounded_positions(F.array(F.array(ring)))
+    lat, lon = geo.centre_of(geo.polygon_positions(shape))
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.size(geo.polygon_positions(shape)).alias("positions"), lat.alias("lat"), lon.alias("lon"), contracts.rings_closed(shape).alias("closed"))
+
+
+@query("SELECT min(c_acctbal) AS least, max(c_acctbal) AS greatest, count(*) FILTER (WHERE c_acctbal NOT BETWEEN 0 AND 5000) AS outside, count(*) FILTER (WHERE c_acctbal IS NULL) AS missing FROM customer")
+def number_profile(spark, sf_dir):
+    return profile.numeric(table(spark, sf_dir, "customer"), "c_acctbal", 0, 5000)
+
+
+@query("SELECT l_orderkey, count(*) AS count FROM lineitem GROUP BY 1 HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return identity.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey + 9 FROM customer)")
+def untraceable_rows(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select((F.col("c_custkey") + 9).alias("o_custkey"))
+    return validate.untraceable(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), c, "o_custkey")
+
+
+@query("""WITH e AS (SELECT l_suppkey AS id, count(*) AS rows, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY 1), i AS (SELECT s_suppkey AS id, s_suppkey % 7 AS serial, s_suppkey < 7 AS rep FROM supplier)
+SELECT i.serial, i.id, e.rows, e.total, r.rows AS rep_rows, r.total AS rep_total FROM e JOIN i USING (id) JOIN (SELECT serial, rows, total FROM e JOIN i USING (id) WHERE rep) r USING (serial) WHERE NOT rep AND (e.rows <> r.rows OR e.total <> r.total)""")
+def twin_problems(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("sensor_id")).agg(F.count("*").alias("rows"), F.sum("l_linenumber").alias("total"))
+    k = F.col("s_suppkey")
+    return sensors.twin_problems(counts, table(spark, sf_dir, "supplier").select(k.alias("id"), (k % 7).alias("serial"), (k < 7).alias("is_representative")))
+
+
+@query(f"WITH p AS (SELECT c_custkey, {_SQL_POINTS.format(k='c_custkey')} FROM customer) SELECT c_custkey, round((lon + 180) / 360, 9) AS x, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2, 9) AS y, round(lat, 5) AS view_lat, least(22.0, c_custkey / 4.0)::DOUBLE AS zoom, CASE WHEN c_custkey < 1000 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey < 10000 THEN printf('%.1f', c_custkey / 1000.0) || 'k' ELSE (c_custkey // 1000) || 'k' END AS short FROM p")
+def map_scalars(spark, sf_dir):
+    c = _points(table(spark, sf_dir, "customer"), "c_custkey")
+    x, y = geo.mercator(F.col("lat"), F.col("lon"))
+    lat, _, zoom = geo.clamped_view(F.col("lat"), F.col("lon"), F.col("c_custkey") / 4.0)
+    return c.select("c_custkey", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"), lat.alias("view_lat"), zoom.alias("zoom"), geo.abbreviated(F.col("c_custkey")).alias("short"))
+
+
 # ------------------------------------------------------------------ streaming
 
 

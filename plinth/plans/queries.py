@@ -815,6 +815,14 @@ def stream_window(spark, sf_dir):
     return out.select("event_type", F.col("slot").cast("timestamp_ntz").alias("slot"), "n", F.round("total", 4).alias("total"))
 
 
+@query(f"WITH {_DAILY}, s AS (SELECT *, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY day DESC) AS stops FROM dl) SELECT user_id, max(day) AS day, count(*) FILTER (WHERE stops = 0) AS fault_days FROM s GROUP BY 1")
+def stream_fault_state(spark, sf_dir):
+    daily, folder = _daily(spark, sf_dir), _folder(spark)
+    daily.write.parquet(f"{folder}/daily")
+    stream = streaming.source(spark, f"{folder}/daily", daily.schema)
+    return streaming.run_updates(streaming.fault_state(stream, "user_id", "day", "n"), folder, ["user_id"], "day")
+
+
 def _is_dir(spark, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -38,15 +40,53 @@ def run_available(out: DataFrame, folder: str) -> DataFrame:
 
 
 def upsert_latest(path: str, keys: Sequence[str], time: str):
-    """A foreachBatch function: merges a batch into the newest row of each key, kept under ``path`` by batch number."""
+    """A foreachBatch function: merges a batch into the newest row of each key. Two generations are kept under ``path``; a batch that is run again reads what it read before."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.select(*batch.columns)
         if number > 0:
-            new = new.unionByName(spark.read.parquet(f"{path}/{number - 1}"))
+            new = new.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/{(number - 1) % 2}"))
         rest = [c for c in batch.columns if c not in keys]
-        merged = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(time)).alias("_r")).select(*keys, "_r.*")
-        merged.write.mode("overwrite").parquet(f"{path}/{number}")
+        merged = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, *(c for c in sorted(rest) if c != time))).alias("_r")).select(*keys, "_r.*")
+        merged.write.mode("overwrite").parquet(f"{path}/{number % 2}")
 
     return run
+
+
+def latest_of(spark: SparkSession, path: str, batches: int, schema) -> DataFrame:
+    """The newest rows after so many batches (an empty table before the first)."""
+    return spark.read.schema(schema).parquet(f"{path}/{(batches - 1) % 2}") if batches else spark.createDataFrame([], schema)
+
+
+def retained(stream: DataFrame, time: str, newest, days: int = 56) -> DataFrame:
+    """Rows of the last ``days`` before ``newest`` (a timestamp, or a Column); older ones leave the table that is carried on."""
+    return stream.where(F.col(time) >= F.lit(newest) - F.make_interval(days=F.lit(days)))
+
+
+def fault_state(daily: DataFrame, key: str = "key", day: str = "day", total: str = "total") -> DataFrame:
+    """(key, day, fault_days) after each batch of a stream of daily totals: how many of the newest days had readings and none that is not zero.
+
+    A key's state is its last day and its run. A day with a total above zero, or without any reading (NULL), ends the run; days that come after a later one are late and ignored.
+    """
+    kind = daily.schema[key].dataType.simpleString()
+
+    def step(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        last, run = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values(day, kind="stable")
+        for d, v in zip(rows[day], rows[total], strict=True):
+            if last is None or d > last:
+                last, run = d, 0 if pd.isna(v) or v != 0 else run + 1
+        state.update((last, run))
+        yield pd.DataFrame({key: [name[0]], day: [last], "fault_days": [run]})
+
+    return daily.select(key, day, total).groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, `{day}` date, fault_days long", f"`{day}` date, run long", "update", GroupStateTimeout.NoTimeout)
+
+
+def run_updates(out: DataFrame, folder: str, keys: Sequence[str], time: str) -> DataFrame:
+    """All input that is there now, in update mode, into the newest row of each key under ``folder``; a later call goes on where this one ended."""
+    query = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(upsert_latest(f"{folder}/latest", keys, time)).trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = out.sparkSession.read.text(f"{folder}/state/commits").select(F.input_file_name().alias("f")).distinct()
+    last = done.select(F.max(F.regexp_extract("f", r"(\d+)$", 1).cast("int"))).first()[0]
+    return latest_of(out.sparkSession, f"{folder}/latest", 0 if last is None else last + 1, out.schema)

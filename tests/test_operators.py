@@ -1,6 +1,6 @@
 import hashlib
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +224,14 @@ def test_stream_drops_overlap(spark, tmp_path):
     spark.createDataFrame([("s", "in", datetime(2026, 9, 28, 3, 0), 1), ("s", "out", datetime(2026, 9, 28, 0, 10), 9)], schema).write.mode("append").parquet(str(tmp_path / "in"))
     got = counts.run_available(counts.grid(stream, ["k"], "ts", "v"), str(tmp_path / "grid"))
     assert sorted((r.slot.minute, r.n, r.total) for r in got.collect()) == [(0, 1, 5), (15, 1, 7)]  # and the late row is dropped
+
+
+def test_fault_state_goes_on_over_runs(spark, tmp_path):
+    schema, day = "key string, day date, total long", lambda d: date(2026, 9, d)
+    batches = [[("a", day(1), 5), ("a", day(2), 0), ("b", day(1), 0)], [("a", day(3), 0), ("a", day(1), 9), ("b", day(2), None), ("c", day(9), 0)], [("b", day(3), 0), ("b", day(4), 0)]]
+    want = [{"a": 1, "b": 1}, {"a": 2, "b": 0, "c": 1}, {"a": 2, "b": 2, "c": 1}]
+    for rows_, expected in zip(batches, want, strict=True):
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = counts.source(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
+        got = counts.run_updates(counts.fault_state(stream), str(tmp_path / "out"), ["key"], "day")
+        assert {r.key: r.fault_days for r in got.collect()} == expected

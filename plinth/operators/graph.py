@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Edges up to which a round of ``components`` runs in one task.
-ONE_TASK = 10_000
+ONE_TASK = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -15,12 +15,13 @@ frequent are told to all tasks). That only spares work: any order gives the same
 first ``a / 4 + 1`` of its single shingles, of which two linked sets share one, so two such sets meet as well.
 
 Documents that share a signature are a family. Each document has a name, the smallest hash of its shingles, and a family goes by the smallest name in it; so the
-signatures of a group of near copies mostly make one family, however many they are, and a family is told as distinct (family, document) rows. Families are dealt into blocks of ``BLOCK``. Inside a block, documents are compared by their odd cells (a bit for each of some four cells an
+signatures of a group of near copies mostly make one family, however many they are, and a family is told as distinct (family, document) rows.
+Families are dealt into blocks of ``BLOCK``. Inside a block, documents are compared by their odd cells (a bit for each of some eight cells an
 element: whether the set has an odd number of elements there). Sets differ in at least as many elements as their cells, so no linked pair is
-ruled out; of the pairs left, those that differ far less than they may are thinned to a spanning forest, and the others are kept only between its trees: what leaves
-a block grows with its members. Those pairs' whole texts are compared exactly. Should a thinned pair's text not link, all pairs of blocks are looked at again without
-thinning. What is not in a large family's main component is then held against all the family's blocks. So no link between components is missed, and
-no two documents that are joined already are compared.
+ruled out. Of the pairs left only a spanning forest leaves the block, likeliest first; those pairs' whole texts are compared exactly, and verified links make
+components. Then what is not in a family's largest component is held against all of the family's blocks, and now *every* pair between different components that its
+cells don't rule out is compared exactly. So no link between components is missed, no two documents that are joined already are compared, and as cells
+are close to the sets' own difference, few pairs are looked at in vain.
 
 Defined cases: a null or blank text has no shingles and links with nothing; a
 text with fewer than five words is one shingle; repeated rows of a doc_id are one
@@ -46,8 +47,8 @@ PARTS = 3
 SUBSETS = ((0, 1), (0, 2), (1, 2))
 COMMON = 500_000
 RECURS = 3
-#: Members of a block of a family, rows of a bucket of blocks, and the share of the largest possible difference up to which a pair is trusted to link.
-BLOCK, BUCKET_ROWS, SURE = 1024, 20_000, 0.8
+#: Members of a block of a family, and rows of a bucket of blocks.
+BLOCK, BUCKET_ROWS = 1024, 10_000
 BUCKET_CHARS, _CHUNK, _FLUSH = 4_000_000, 150_000, 900_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
@@ -248,11 +249,11 @@ def _families(table: pa.Table) -> pa.Table:
 
 
 def _odd_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, cells): which cells of the domain hold an odd number of a set's elements, one bit a cell, at least four cells an element."""
+    """(doc_id, cells): which cells of the domain hold an odd number of a set's elements, one bit a cell, eight cells an element or more."""
     for batch in batches:
         rows = []
         for i, s in _sets(iter([batch])):
-            m = max(512, 1 << int(4 * max(1, len(s)) - 1).bit_length())
+            m = max(1024, 1 << int(8 * max(1, len(s)) - 1).bit_length())
             odd = np.bincount((mix(s, 12) & U64(m - 1)).astype(np.int64), minlength=m) & 1
             rows.append((i, np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 2
@@ -295,39 +296,52 @@ def possible(cells: list[bytes], n: np.ndarray, ask) -> tuple[np.ndarray, np.nda
     return np.minimum(i, j), np.maximum(i, j), least
 
 
-def forest(i: np.ndarray, j: np.ndarray, sure: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Which pairs to look at: as few of the sure ones as join what they join, and every other one between what is then apart."""
-    label, take = label.copy(), np.zeros(len(i), bool)
-    order = np.lexsort((j, i))
-    order = order[sure[order]]
-    at = np.append(np.flatnonzero(np.concatenate(([True], i[order][1:] != i[order][:-1]))), len(order)) if len(order) else [0]
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        mine = label[i[order[a]]]
-        far = order[a:b][label[j[order[a:b]]] != mine]
-        if len(far):
-            names, one = np.unique(label[j[far]], return_index=True)
-            take[far[one]] = True
-            label[np.isin(label, names)] = mine
-    return take | (~sure & (label[i] != label[j]))
+def forest(i: np.ndarray, j: np.ndarray, key: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Indices of a spanning forest of the pairs by rising ``key`` over nodes that already have labels: as few pairs as join all that they all join."""
+    label, order = label.copy(), np.lexsort((j, i, key))
+    taken: list[np.ndarray] = []
+    while True:
+        order = order[label[i[order]] != label[j[order]]]
+        if not len(order):
+            return np.concatenate(taken) if taken else order
+        # every tree takes its first pair to another one
+        _, first = np.unique(np.stack((label[i[order]], label[j[order]]), axis=1).ravel(), return_index=True)
+        best = order[np.unique(first // 2)]
+        taken.append(best)
+        root = {int(x): int(x) for x in np.unique(label)}
 
+        def top(x: int, root=root) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for x, y in zip(label[i[best]].tolist(), label[j[best]].tolist(), strict=True):
+            root[top(x)] = top(y)
+        names = np.array(sorted(root))
+        label = np.array([top(x) for x in names.tolist()])[np.searchsorted(names, label)]
+
+
+def _near_pairs(thin: bool):
+    """(a, b) of each block's members in different components that may link: all such pairs, or a forest of them, likeliest first."""
 
-def _near_pairs(sure_share: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("block", "ascending"), ("doc", "ascending")])
         family, block, doc, comp, n, home = (table.column(c).to_numpy() for c in ("family", "block", "doc", "comp", "n", "home"))
         cells = table.column("cells").to_pylist()
         at = np.append(np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (block[1:] != block[:-1])))), len(doc))
-        out: list[tuple[np.ndarray, ...]] = []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(at[:-1], at[1:], strict=True):
             ids, of, size, lives = doc[a:b], comp[a:b], n[a:b], home[a:b]
             if b - a < 2 or (of == of[0]).all():
                 continue
             i, j, least = possible(cells[a:b], size, lambda x, y, of=of, lives=lives: (of[x] != of[y]) & (lives[x] | lives[y]))  # noqa: B023
-            sure = 7 * least <= sure_share * (size[i] + size[j])
-            ok = forest(i, j, sure, np.unique(of, return_inverse=True)[1])
-            out.append((ids[i[ok]], ids[j[ok]], sure[ok]))
-        x, y, sure = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0, bool)]
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": sure})
+            if thin:
+                ok = forest(i, j, least / (size[i] + size[j]), np.unique(of, return_inverse=True)[1])
+                i, j = i[ok], j[ok]
+            out.append((ids[i], ids[j]))
+        x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 2
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return run
 
@@ -335,22 +349,22 @@ def _near_pairs(sure_share: float):
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple = (None, None)
     for batch in batches:
-        a_ids, left, ok = batch.column(0), batch.column(3), []
-        for i, (_, b) in enumerate(_sets(iter([batch]), 1, 4)):
+        a_ids, left, ok = batch.column(0), batch.column(2), []
+        for i, (_, b) in enumerate(_sets(iter([batch]), 1, 3)):
             if a_ids[i].as_py() != last[0]:
                 last = (a_ids[i].as_py(), next(_sets(iter([pa.RecordBatch.from_arrays([a_ids.slice(i, 1), left.slice(i, 1)], names=["a", "t"])])))[1])
             a = last[1]
             both = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(100 * both >= 75 * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], names=["a", "b", "sure", "linked"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, sure, linked): ``pairs`` (a, b, sure) of document ids, and whether their whole texts' shingle sets have a similarity of 0.75 or more."""
+    """(a, b, linked): ``pairs`` (a, b) of document ids, and whether their whole texts' shingle sets have a similarity of 0.75 or more."""
     ids = jobs.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     texts = jobs.cut(jobs.semi(docs, ids, "doc_id").dropDuplicates(["doc_id"]))
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sure", "a_text", "b_text").mapInArrow(_verify, "a long, b long, sure boolean, linked boolean")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long, linked boolean")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -381,35 +395,32 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ids = jobs.cut(members.select(F.col("doc").alias("doc_id")).distinct())
     cells = jobs.store(jobs.semi(docs, ids, "doc_id").mapInArrow(_odd_cells, "doc_id long, cells binary").dropDuplicates(["doc_id"])).withColumnRenamed("doc_id", "doc")
-    sizes = members.groupBy("family").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1").select("family", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    sizes = jobs.cut(members.groupBy("family").agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1").select("family", "hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     rows = jobs.store(members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    every, seen = F.sequence(F.lit(0), F.col("blocks") - 1), spark.createDataFrame([], "a long, b long, linked boolean")
 
-    def looked_at(dealt: DataFrame, sure_share: float) -> DataFrame:
-        """The pairs of each family's blocks that may link; ``dealt`` is (family, doc, n, comp, own, block)."""
+    def looked_at(dealt: DataFrame, thin: bool) -> DataFrame:
+        """``seen`` and the pairs of each family's blocks that may link; ``dealt`` is (family, doc, n, comp, own, block)."""
         full = dealt.withColumn("home", F.col("own") == F.col("block")).join(cells, "doc")
         buckets = int(max(jobs.partitions(spark), dealt.count() // BUCKET_ROWS))
-        found = full.select("family", "block", "doc", "comp", "n", "home", "cells").groupBy(F.pmod(F.xxhash64("family", "block"), F.lit(buckets)).alias("bucket")).applyInArrow(_near_pairs(sure_share), "a long, b long, sure boolean")
-        return jobs.cut(verified(docs, jobs.cut(found.groupBy("a", "b").agg(F.max("sure").alias("sure")))))
-
-    # inside blocks, which all hold the family's first; pairs that surely link are taken on trust where others join the same
-    inside = rows.withColumn("comp", F.col("doc")).withColumn("block", F.explode(F.when(F.col("doc") == F.col("hub"), every).otherwise(F.array("own"))))
-    seen = looked_at(inside, SURE)
-    if seen.where("sure and not linked").limit(1).count():  # trust misplaced: look at every pair
-        seen = looked_at(inside, 0.0)
-    links = seen.where("linked").select("a", "b")
+        found = full.select("family", "block", "doc", "comp", "n", "home", "cells").groupBy(F.pmod(F.xxhash64("family", "block"), F.lit(buckets)).alias("bucket")).applyInArrow(_near_pairs(thin), "a long, b long")
+        return jobs.cut(seen.union(verified(docs, jobs.cut(found.distinct().join(seen, ["a", "b"], "left_anti")))))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """The members of families that are in several components, those of the largest in their own block, the others in all."""
+        comps = jobs.components(seen.where("linked")).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
+        now = jobs.store(rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
+        main = jobs.cut(now.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k"))
+        return now.join(main, "family").withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(every))).drop("main")
+
+    # inside blocks, which all hold the family's first; then what is apart in families of several blocks; each time only what may join most
+    seen = looked_at(rows.withColumn("comp", F.col("doc")).withColumn("block", F.explode(F.when(F.col("doc") == F.col("hub"), every).otherwise(F.array("own")))), thin=True)
     wide = rows.where("blocks > 1")
-    if not wide.limit(1).count():
-        return links
-    # across blocks: what is not in a family's largest component is held against all its blocks
-    comps = jobs.components(links).select(F.col("node").alias("doc"), F.col("component").alias("comp"))
-    wide = jobs.store(wide.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-    main = wide.groupBy("family", "comp").count().groupBy("family").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("k")).where("k > 1").drop("k")
-    across = wide.join(main, "family").withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(every))).drop("main")
-    more = looked_at(across, SURE)
-    if more.where("sure and not linked").limit(1).count():
-        more = looked_at(across, 0.0)
-    return links.union(more.where("linked").select("a", "b"))
+    if wide.limit(1).count():
+        seen = looked_at(apart(wide), thin=True)
+    # every pair between different components that may link and has not been looked at
+    seen = looked_at(apart(rows), thin=False)
+    return seen.where("linked").select("a", "b")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

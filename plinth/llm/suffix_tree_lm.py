@@ -9,7 +9,7 @@ nats (their number times the divergence of the two). A token is scored in the st
 Every count is exact and over all training tokens, and all of them stay distributed. Contexts that end in one word are one branch of the tree, and a
 branch needs nothing of others but the root. So every token's place (the words before it, itself, its document) goes to the bucket of the word before
 it, and a bucket grows its branches, one context length after another, and scores its places there; per-document sums come back. Of root counts only
-the ``CACHE`` most frequent words' are broadcast (a bound of 16 MB), as a short cut: places whose own word is not among them first pass the bucket of that word, which adds
+the ``CACHE`` most frequent words' are broadcast (a bound of 7 MB), as a short cut: places whose own word is not among them first pass the bucket of that word, which adds
 its count. The result is the same whatever the cache holds.
 
 Hot words: a word with more than a bucket's share of all tokens has its places dealt to several buckets by the word before it, so only the contexts of
@@ -26,38 +26,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.llm import jobs
-from plinth.llm.kernels import SPACE, U64, Tokens, mix, signed, text_chunks
+from plinth.llm.kernels import SPACE, U64, Tokens, mix, text_chunks
 
 DEPTH = 3
 LEAST = 2
 DISCOUNT = 0.75
 GAIN = 8.0
-CACHE = 1_000_000
+CACHE = 400_000
 BUCKET_CHARS = 5_000_000
-_FLUSH = 2_000_000
-_END = U64(0x5BD1E995C6A4A793)
-_NONE = U64(0)
+_FLUSH = 2_500_000
+_MASK, _RARE = U64((1 << 62) - 1), 1 << 62
+_END = U64(0x1BD1E995C6A4A793)
+_SMALL = (1 << 24) - 1
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
 def sequence(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of a chunk with an end after each text, and each one's row."""
+    """Token hashes (62 bits) of a chunk with an end after each text, and each one's row."""
     t = Tokens(data, offs, SPACE)
     rows = len(offs) - 1
-    h = np.insert(t.hashes() | U64(1), t.first[1:], _END)
+    h = np.insert((t.hashes() & _MASK) | U64(1), t.first[1:], _END)
     return h, np.repeat(np.arange(rows), np.diff(t.first) + 1)
 
 
-def places(h: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
+def places(ids: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
     """The word itself, then the one before it and so on up to ``depth`` before; 0 where the text has none."""
-    out = [h]
+    out = [ids]
     for k in range(1, depth + 1):
-        before = np.zeros(len(h), U64)
-        before[k:] = np.where(doc[k:] == doc[:-k], h[:-k], _NONE)
+        before = np.zeros(len(ids), ids.dtype)
+        before[k:] = np.where(doc[k:] == doc[:-k], ids[:-k], 0)
         out.append(before)
     return out
 
@@ -81,52 +83,115 @@ class Table:
         found = self.keys[at] == h
         return found, np.where(found, self.values[at], 0)
 
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """A number for each token: its place here from 1, or else its hash and one bit more."""
+        if not len(self.keys):
+            return h.view(np.int64) | _RARE
+        at = np.searchsorted(self.keys, h)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == h, at + 1, h.view(np.int64) | _RARE)
 
-# ------------------------------------------------------------------ packs: columns of 8 bytes in one binary value
+    def hashes(self, ids: np.ndarray) -> np.ndarray:
+        """The hash of each number that isn't 0."""
+        rare = ids >= _RARE
+        return np.where(rare, ids & ~_RARE, self.keys[np.where(rare, 1, ids) - 1].view(np.int64) if len(self.keys) else 0).view(U64)
 
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """The value of each number that has a place here, else 0."""
+        return np.append(self.values, 0)[np.where((ids > 0) & (ids <= len(self.keys)), ids - 1, len(self.keys))]
 
-def _coded(col: np.ndarray) -> bytes:
-    """A column by byte plane; with few distinct values those and two-byte references."""
-    values, at = np.unique(col, return_inverse=True)
-    if len(values) <= 65536 and 8 * len(values) + 2 * len(col) < 8 * len(col):
-        planes = np.concatenate((values.view(np.uint8).reshape(-1, 8).T.ravel(), at.astype(np.uint16).view(np.uint8).reshape(-1, 2).T.ravel()))
-        return np.array([len(values), len(planes)], np.int64).tobytes() + planes.tobytes()
-    planes = col.view(np.uint8).reshape(-1, 8).T.ravel()
-    return np.array([0, len(planes)], np.int64).tobytes() + planes.tobytes()
 
+# ------------------------------------------------------------------ packs: columns in one compressed binary value
 
-def _pack(cols: list[np.ndarray]) -> bytes:
-    return np.array([len(cols[0])], np.int64).tobytes() + b"".join(_coded(np.ascontiguousarray(c).view(U64)) for c in cols)
+
+def _planes(col: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of a column, by byte plane."""
+    return np.ascontiguousarray(col.view(np.uint8).reshape(len(col), 8)[:, :width].T).tobytes()
+
+
+def _unplaned(raw: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.reshape(width, n).T
+    return out.view(np.int64).ravel()
 
 
-def _planes(raw: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(raw.reshape(width, -1).T)
+def _pack(cols: list[np.ndarray]) -> bytes:
+    """Columns of 8 bytes: values under 2**24 as three bytes, others as a mark there and eight bytes apart."""
+    parts = [np.array([len(cols[0])], np.int64).tobytes()]
+    for c in cols:
+        c = np.ascontiguousarray(c).view(np.int64)
+        large = (c < 0) | (c >= _SMALL)
+        if 2 * int(large.sum()) > len(c):
+            parts += [np.array([-1], np.int64).tobytes(), _planes(c, 8)]
+        else:
+            parts += [np.array([large.sum()], np.int64).tobytes(), _planes(np.where(large, _SMALL, c), 3), _planes(c[large], 8)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def _unpack(blobs, width: int) -> list[np.ndarray]:
-    """The columns of all packs."""
+    """The columns (int64) of all packs."""
     parts: list[list[np.ndarray]] = [[] for _ in range(width)]
+    inflate = zstandard.ZstdDecompressor()
     for blob in blobs:
-        raw = np.frombuffer(blob.as_py(), np.uint8)
-        at = 8
+        raw = np.frombuffer(inflate.decompress(blob.as_py()), np.uint8)
+        n, at = int(raw[:8].view(np.int64)[0]), 8
         for k in range(width):
-            n, size = raw[at : at + 16].view(np.int64)
-            body = raw[at + 16 : at + 16 + size]
-            if n:
-                values, refs = _planes(body[: 8 * n], 8).view(U64).ravel(), _planes(body[8 * n :], 2).view(np.uint16).ravel()
-                parts[k].append(values[refs])
+            large, at = int(raw[at : at + 8].view(np.int64)[0]), at + 8
+            if large < 0:
+                parts[k].append(_unplaned(raw[at : at + 8 * n], n, 8))
+                at += 8 * n
             else:
-                parts[k].append(_planes(body, 8).view(U64).ravel())
-            at += 16 + int(size)
-    return [np.concatenate(p) if p else np.zeros(0, U64) for p in parts]
+                c = _unplaned(raw[at : at + 3 * n], n, 3)
+                at += 3 * n
+                if large:
+                    c[c == _SMALL] = _unplaned(raw[at : at + 8 * large], large, 8)
+                    at += 8 * large
+                parts[k].append(c)
+    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+
+
+def _split(where: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, buckets, edges): rows by bucket, then by a hash of ``lead``, so that equal ones stand together."""
+    order = np.argsort(where.astype(U64) << U64(32) | mix(lead.view(U64), 6) >> U64(32))
+    where = where[order]
+    at = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), len(where)) if len(where) else np.zeros(1, np.int64)
+    return order, where[at[:-1]], at
 
 
 def _dealt(where: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     """A pack for each bucket."""
-    order = np.lexsort((cols[0], where))
-    where, cols = where[order], [c[order] for c in cols]
-    at = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), len(where)) if len(where) else [0]
-    return pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([_pack([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
+    order, buckets, at = _split(where, cols[0])
+    cols = [c[order] for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([_pack([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
+
+
+def _dealt_places(where: np.ndarray, keys: np.ndarray, doc: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """A pack for each bucket of places: of ``keys`` those of its documents, and the places' references to them."""
+    order, buckets, at = _split(where, cols[0])
+    doc, cols, packs = doc[order], [c[order] for c in cols], []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        there = np.zeros(len(keys), bool)
+        there[doc[a:b]] = True
+        packs.append(_two([keys[there]], [(np.cumsum(there) - 1)[doc[a:b]], *(c[a:b] for c in cols)]))
+    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(packs, pa.binary())], schema=_BLOB)
+
+
+def _two(a: list[np.ndarray], b: list[np.ndarray]) -> bytes:
+    first = _pack(a)
+    return np.array([len(first)], np.int64).tobytes() + first + _pack(b)
+
+
+def _unpack_places(blobs, width: int) -> list[np.ndarray]:
+    """Document keys and the other columns of all places."""
+    out: list[list[np.ndarray]] = [[] for _ in range(width + 1)]
+    for blob in blobs:
+        raw = blob.as_py()
+        n = int(np.frombuffer(raw[:8], np.int64)[0])
+        (keys,) = _unpack([pa.scalar(raw[8 : 8 + n])], 1)
+        doc, *cols = _unpack([pa.scalar(raw[8 + n :])], width + 1)
+        for x, part in zip([keys[doc], *cols], out, strict=True):
+            part.append(x)
+    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
 def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -144,6 +209,10 @@ def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.n
 # ------------------------------------------------------------------ unigram counts
 
 
+def _of_word(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(word.view(U64), 1) % U64(buckets)).astype(np.int64)
+
+
 def _count_words(buckets: int):
     """Packs of (word, count) of the texts of column 0."""
 
@@ -153,7 +222,7 @@ def _count_words(buckets: int):
 
         def flush() -> pa.RecordBatch:
             word, count = np.unique(np.concatenate(held), return_counts=True)
-            return _dealt((mix(word, 1) % U64(buckets)).astype(np.int64), [word, count.astype(np.int64)])
+            return _dealt(_of_word(word, buckets), [word, count.astype(np.int64)])
 
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
@@ -170,8 +239,7 @@ def _count_words(buckets: int):
 
 def _merge(table: pa.Table) -> pa.Table:
     """The whole counts of one bucket's words, packed; how many words and tokens they are; how many words have 2**k to 2**(k+1) - 1."""
-    word, n = _unpack(table.column("rows"), 2)
-    (word,), (n,) = _summed([word], [n.view(np.int64)])
+    (word,), (n,) = _summed(*([c] for c in _unpack(table.column("rows"), 2)))
     levels = np.bincount(np.log2(np.maximum(1, n)).astype(np.int64), minlength=63)
     return pa.table({"bucket": table.column("bucket")[:1], "rows": pa.array([_pack([word, n])], pa.binary()), "words": [len(word)], "tokens": [int(n.sum())], "levels": pa.array([levels.tolist()], pa.list_(pa.int64()))})
 
@@ -188,8 +256,8 @@ def _frequent(counted: DataFrame, cache: int) -> Table:
     def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             word, n = _unpack(batch.column(0), 2)
-            ok = n.view(np.int64) >= 1 << least
-            yield pa.RecordBatch.from_arrays([pa.array(signed(word[ok])), pa.array(n[ok].view(np.int64))], names=["word", "n"])
+            ok = n >= 1 << least
+            yield pa.RecordBatch.from_arrays([pa.array(word[ok]), pa.array(n[ok])], names=["word", "n"])
 
     got = counted.select("rows").mapInArrow(reach, "word long, n long").toPandas() if held else None
     return Table(got["word"].to_numpy(np.int64).view(U64), got["n"].to_numpy(np.int64)) if held else Table(np.zeros(0, U64), np.zeros(0, np.int64))
@@ -200,36 +268,40 @@ def _frequent(counted: DataFrame, cache: int) -> Table:
 
 def _bucket_of(before: np.ndarray, second: np.ndarray, document: np.ndarray, hot: Table, buckets: int) -> np.ndarray:
     """Where a place goes: by the word before it, a hot one's also by the word before that one, a text's first token by its document."""
-    at = mix(np.where(before == _NONE, document, before), 2)
+    at = mix(np.where(before == 0, document, before).view(U64), 2)
     salted, salts = hot.find(before)
-    return ((at + np.where(salted, mix(second, 3) % np.maximum(1, salts).astype(U64), U64(0))) % U64(buckets)).astype(np.int64)
+    return ((at + np.where(salted, mix(second.view(U64), 3) % np.maximum(1, salts).astype(U64), U64(0))) % U64(buckets)).astype(np.int64)
 
 
 def _emit(shared, buckets: int, depth: int, rare: bool):
-    """Packs of places (word before, its count or 0, document and whether it teaches, the word, earlier words): of those whose word is in the cache by the word before, or of the others by their word."""
+    """Packs of places (document, word before, its own count, the word, earlier words): of those whose word is in the cache by the word before, or of the others by their word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, hot = shared.value
         held: list[list[np.ndarray]] = []
-        n = 0
+        keys: list[np.ndarray] = []
+        n = rows = 0
 
         def flush() -> pa.RecordBatch:
-            count, document, *words = (np.concatenate(c) for c in zip(*held, strict=True))
-            where = (mix(words[0], 1) % U64(buckets)).astype(np.int64) if rare else _bucket_of(words[1], words[2], document & ~U64(1), hot, buckets)
-            return _dealt(where, [words[1], count, document, words[0], *words[2:]])
+            doc, *words = (np.concatenate(c) for c in zip(*held, strict=True))
+            every = np.concatenate(keys)
+            where = _of_word(cache.hashes(words[0]), buckets) if rare else _bucket_of(words[1], words[2], every[doc] & ~1, hot, buckets)
+            return _dealt_places(where, every, doc, [words[1], np.zeros(len(doc), np.int64), words[0], *words[2:]])
 
         for batch in batches:
-            key = batch.column(0).to_numpy().view(U64)
+            key = batch.column(0).to_numpy()
             for a, b, data, offs in text_chunks(batch.column(1)):
                 h, doc = sequence(data, offs)
-                known, count = cache.find(h)
-                mine = ~known if rare else known
-                held.append([x[mine] for x in (count.view(U64), key[a:b][doc], *places(h, doc, depth))])
+                ids = cache.ids(h)
+                mine = (ids >= _RARE) == rare
+                held.append([x[mine] for x in (doc + rows, *places(ids, doc, depth))])
+                keys.append(key[a:b])
+                rows += b - a
                 n += int(mine.sum())
-                if n > _FLUSH:
+                if n > _FLUSH or rows > 200_000:
                     yield flush()
-                    held, n = [], 0
-        if n:
+                    held, keys, n, rows = [], [], 0, 0
+        if held:
             yield flush()
 
     return run
@@ -239,32 +311,35 @@ def _counted_places(shared, buckets: int, depth: int):
     """Places by their word, now with its count, by the word before."""
 
     def run(counts: pa.Table, rows: pa.Table) -> pa.Table:
-        word, n = _unpack(counts.column("rows"), 2) if counts.num_rows else [np.zeros(0, U64)] * 2
-        before, _, document, own, *rest = _unpack(rows.column("rows") if rows.num_rows else [], 3 + depth)
-        _, count = Table(word, n.view(np.int64)).find(own)
-        where = _bucket_of(before, rest[0], document & ~U64(1), shared.value[1], buckets)
-        return pa.Table.from_batches([_dealt(where, [before, count.view(U64), document, own, *rest])], schema=_BLOB)
+        cache, hot = shared.value
+        word, n = _unpack(counts.column("rows") if counts.num_rows else [], 2)
+        document, before, _, own, *rest = _unpack_places(rows.column("rows") if rows.num_rows else [], 2 + depth)
+        _, count = Table(word, n).find(own & ~_RARE)
+        where = _bucket_of(before, rest[0], document & ~1, hot, buckets)
+        keys, doc = np.unique(document, return_inverse=True)
+        return pa.Table.from_batches([_dealt_places(where, keys, doc, [before, count, own, *rest])], schema=_BLOB)
 
     return run
 
 
 def _hot_pairs(shared, buckets: int):
-    """Packs of (hot word, next word, times) by next word, of the texts of column 0, added up in the task."""
+    """Packs of (hot word, next word's hash, times) by next word, of the texts of column 0, added up in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value[1]
+        cache, hot = shared.value
+        names = Table(cache.hashes(hot.keys), hot.keys)
         held: list[list[np.ndarray]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
             (word, before), (times,) = _summed([np.concatenate(c) for c in zip(*held, strict=True)], [np.ones(n, np.int64)])
-            return _dealt((mix(word, 1) % U64(buckets)).astype(np.int64), [before, word, times])
+            return _dealt(_of_word(word, buckets), [before, word, times])
 
         for batch in batches:
             for _, _, data, offs in text_chunks(batch.column(0)):
                 word, before = places(*sequence(data, offs), 1)
-                mine = hot.find(before)[0]
-                held.append([word[mine], before[mine]])
+                mine, name = names.find(before)
+                held.append([word[mine].view(np.int64), name[mine]])
                 n += int(mine.sum())
                 if n > _FLUSH:
                     yield flush()
@@ -276,30 +351,31 @@ def _hot_pairs(shared, buckets: int):
 
 
 def _counted_pairs(counts: pa.Table, rows: pa.Table) -> pa.Table:
-    """(hot word, pack of next word, times, the next word's count): whole counts of one bucket of next words."""
-    word, n = _unpack(counts.column("rows"), 2) if counts.num_rows else [np.zeros(0, U64)] * 2
+    """(hot word, pack of next word's hash, times, the next word's count): whole counts of one bucket of next words."""
+    word, n = _unpack(counts.column("rows") if counts.num_rows else [], 2)
     before, own, times = _unpack(rows.column("rows") if rows.num_rows else [], 3)
-    (before, own), (times,) = _summed([before, own], [times.view(np.int64)])
-    count = Table(word, n.view(np.int64)).find(own)[1]
+    (before, own), (times,) = _summed([before, own], [times])
+    count = Table(word, n).find(own)[1]
     at = np.append(np.flatnonzero(np.concatenate(([True], before[1:] != before[:-1]))), len(before)) if len(before) else np.zeros(1, np.int64)
     packs = [_pack([own[a:b], times[a:b], count[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
-    return pa.table({"hot": pa.array(signed(before[at[:-1]])), "rows": pa.array(packs, pa.binary())})
+    return pa.table({"hot": pa.array(before[at[:-1]], pa.int64()), "rows": pa.array(packs, pa.binary())})
 
 
 def _first_level(shared, total: int, vocabulary: int, buckets: int):
     """The whole first level of a hot word's branch, for each bucket that its places are dealt to."""
 
     def run(table: pa.Table) -> pa.Table:
-        before = np.array([table.column("hot")[0].as_py()], np.int64).view(U64)
+        cache, hot = shared.value
+        before = np.array([table.column("hot")[0].as_py()], np.int64)
         own, times, count = _unpack(table.column("rows"), 3)
         order = np.argsort(own)
-        own, times, count = own[order], times[order].view(np.int64), count[order].view(np.int64)
+        own, times, count = own[order], times[order], count[order]
         states = grown(np.zeros(len(own), np.int64), times, (count + 1) / (total + vocabulary + 1))
         kept = times >= LEAST
-        blob = _pack([np.repeat(before, int(kept.sum()) or 1), own[kept], times[kept]] if kept.any() else [before, np.zeros(1, U64), np.zeros(1, np.int64)])
-        scalars = np.array([states.size[0], states.left[0], states.good[0]], np.float64).tobytes()
-        salts = int(shared.value[1].find(before)[1][0])
-        at = sorted({int((mix(before, 2)[0] + U64(s)) % U64(buckets)) for s in range(salts)})
+        blob = _pack([cache.ids(own[kept].view(U64)), times[kept]])
+        scalars = before.tobytes() + np.array([states.size[0], states.left[0], states.good[0]], np.float64).tobytes()
+        salts = int(hot.find(before)[1][0])
+        at = sorted({int((mix(before.view(U64), 2)[0] + U64(s)) % U64(buckets)) for s in range(salts)})
         return pa.table({"bucket": pa.array(at, pa.int32()), "rows": pa.array([scalars + blob] * len(at), pa.binary())})
 
     return run
@@ -334,46 +410,49 @@ def branch(words: list[np.ndarray], teaches: np.ndarray, p_root: np.ndarray, hot
     """
     p = p_root.copy()
     context = np.zeros(len(p), U64)
-    inside = np.ones(len(p), bool)
+    at = np.arange(len(p))
     for k in range(1, len(words)):
-        inside &= words[k] != _NONE
-        context = mix(context ^ words[k], 10 + k)
-        at = np.flatnonzero(inside)
+        at = at[words[k][at] != 0]
         if not len(at):
             break
+        context[at] = mix(context[at] ^ words[k][at].view(U64), 10 + k)
         _, of = np.unique(context[at], return_inverse=True)
-        gram = mix(context[at] ^ mix(words[0][at], 30), 50 + k)
+        gram = mix(context[at] ^ mix(words[0][at].view(U64), 30), 50 + k)
         names, first, which = np.unique(gram, return_index=True, return_inverse=True)
         n = np.bincount(which, teaches[at], len(names)).astype(np.int64)
         states = grown(of[first], n, p[at][first])
         new = np.where(states.kept[which], states.p[which], states.left[of] * p[at])
-        good = states.good[of] & (states.size[of] > 0)
+        good, seen = states.good[of] & (states.size[of] > 0), states.size[of]
         if k == 1:
             for word, (size, left, retained, times) in (hot or {}).items():
                 mine = words[1][at] == word
-                seen = times.find(words[0][at][mine])[1]
-                new[mine] = np.where(seen >= LEAST, (seen - DISCOUNT) / max(1, size), 0.0) + left * p[at][mine]
-                good[mine] = retained
+                often = times.find(words[0][at][mine])[1]
+                new[mine] = np.where(often >= LEAST, (often - DISCOUNT) / max(1, size), 0.0) + left * p[at][mine]
+                good[mine], seen[mine] = retained, size
         p[at] = np.where(good, new, p[at])
+        # a longer context is not seen more often, and one that is seen less than LEAST times is not retained
+        at = at[seen >= LEAST]
     return p
 
 
-def _score(total: int, vocabulary: int, buckets: int, depth: int):
+def _score(shared, total: int, vocabulary: int, buckets: int, depth: int):
+    """Packs of (document, known tokens, base score, score) of one bucket's places."""
+
     def run(rows: pa.Table, tables: pa.Table) -> pa.Table:
         hot = {}
         for blob in tables.column("rows") if tables.num_rows else []:
             raw = blob.as_py()
-            size, left, good = np.frombuffer(raw[:24], np.float64)
-            before, own, times = _unpack([pa.scalar(raw[24:])], 3)
-            hot[before[0]] = (size, left, bool(good), Table(own, times.view(np.int64)))
-        before, count, document, own, *rest = _unpack(rows.column("rows") if rows.num_rows else [], 3 + depth)
+            size, left, good = np.frombuffer(raw[8:32], np.float64)
+            own, times = _unpack([pa.scalar(raw[32:])], 2)
+            hot[int(np.frombuffer(raw[:8], np.int64)[0])] = (size, left, bool(good), Table(own, times))
+        document, before, count, own, *rest = _unpack_places(rows.column("rows") if rows.num_rows else [], 2 + depth)
         if not len(own):
             return pa.Table.from_batches([], schema=_BLOB)
-        count = count.view(np.int64)
+        count = np.maximum(count, shared.value[0].counts(own))
         root = (count + 1) / (total + vocabulary + 1)
-        p = branch([own, before, *rest], (document & U64(1)).astype(np.int64), root, hot)
-        key, sums = _summed([document], [(count > 0).astype(np.int64), np.log10(root), np.log10(p)])
-        return pa.Table.from_batches([_dealt((mix(key[0], 4) % U64(buckets)).astype(np.int64), [key[0], *sums])], schema=_BLOB)
+        p = branch([own, before, *rest], document & 1, root, hot)
+        (key,), (known, base, score) = _summed([document], [(count > 0).astype(np.int64), np.log10(root), np.log10(p)])
+        return pa.Table.from_batches([_dealt((mix(key.view(U64), 4) % U64(buckets)).astype(np.int64), [key, known, base, score])], schema=_BLOB)
 
     return run
 
@@ -381,11 +460,11 @@ def _score(total: int, vocabulary: int, buckets: int, depth: int):
 def _by_document(table: pa.Table) -> pa.Table:
     """Sums of one part of the documents, in an order that does not depend on how they came."""
     key, known, base, score = _unpack(table.column("rows"), 4)
-    known, base, score = known.view(np.int64), base.view(np.float64), score.view(np.float64)
+    base, score = base.view(np.float64), score.view(np.float64)
     order = np.lexsort((score, base, key))
     key, known, base, score = key[order], known[order], base[order], score[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return pa.table({"key": signed(key[at]), "n_known": np.add.reduceat(known, at), "base": np.add.reduceat(base, at), "score": np.add.reduceat(score, at)})
+    return pa.table({"key": key[at], "n_known": np.add.reduceat(known, at), "base": np.add.reduceat(base, at), "score": np.add.reduceat(score, at)})
 
 
 def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, cache: int = CACHE, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -406,7 +485,7 @@ def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_
     known = _frequent(counted, cache)
     share = max(LEAST, total // buckets)
     often = known.values > share
-    hot = Table(known.keys[often], np.minimum(buckets, -(-known.values[often] // share)))
+    hot = Table(np.flatnonzero(often) + 1, np.minimum(buckets, -(-known.values[often] // share)))
     shared = spark.sparkContext.broadcast((known, hot))
     counts = counted.select("bucket", "rows")
     # one place for each time that a row is there
@@ -416,7 +495,7 @@ def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_
     pairs = learned.mapInArrow(_hot_pairs(shared, buckets), "bucket int, rows binary")
     whole = counts.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_counted_pairs, "hot long, rows binary")
     tables = whole.groupBy("hot").applyInArrow(_first_level(shared, total, vocabulary, buckets), "bucket int, rows binary")
-    found = direct.union(passed).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(total, vocabulary, buckets, depth), "bucket int, rows binary")
+    found = direct.union(passed).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(shared, total, vocabulary, buckets, depth), "bucket int, rows binary")
     by_key = found.groupBy("bucket").applyInArrow(_by_document, "key long, n_known long, base double, score double")
     own = rows.select("doc_id", key.alias("key"), (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))
     times = own.groupBy("key").agg(F.count("*").alias("times"))

@@ -304,7 +304,9 @@ def test_lm_states_sum_to_one():
     contexts = [(a, b) for a in vocabulary for b in vocabulary]
     ask = [np.array([w for _ in contexts for w in every]), np.array([b for _, b in contexts for _ in every]), np.array([a for a, _ in contexts for _ in every])]
     learned = suffix_tree_lm.places(seen, doc, 2)
-    p_root = np.concatenate([root[np.searchsorted(every, x)] for x in (seen, ask[0])])
+    ask = [x.astype(np.int64) for x in ask]
+    learned = [x.astype(np.int64) for x in learned]
+    p_root = np.concatenate([root[np.searchsorted(every.astype(np.int64), x)] for x in (learned[0], ask[0])])
     p = suffix_tree_lm.branch([np.concatenate((a, b)) for a, b in zip(learned, ask, strict=True)], np.repeat([1, 0], [len(seen), len(ask[0])]), p_root)
     sums = p[len(seen) :].reshape(len(contexts), -1).sum(axis=1)
     assert np.allclose(sums, 1, rtol=0, atol=1e-9)

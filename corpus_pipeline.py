@@ -43,14 +43,13 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: A trained classifier decides the first stage, which SQL can't express; tests hold the stages against brute force.
+#: A trained classifier decides the first stage, which SQL can't express; a test holds every stage against planted cases and plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``, each written to the shared checkpoint folder as Parquet and read again."""
-    jobs.set_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4()}"
+    folder = f"{jobs.shared_folder(spark)}/corpus-{uuid.uuid4()}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

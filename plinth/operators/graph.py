@@ -48,9 +48,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = around.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        small = large.join(low.hint("merge"), "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v")
         last = mark
-        now, mark = _marked(small.union(low.select("u", F.col("m").alias("v"))))
+        now, mark = _marked(small)
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("low")), "node", "left").select("node", F.coalesce("low", "node").alias("component"))
 
 

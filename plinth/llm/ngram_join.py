@@ -49,7 +49,7 @@ COMMON = 500_000
 RECURS = 3
 #: Members of a block of a family, and rows of a bucket of blocks.
 BLOCK, BUCKET_ROWS = 1024, 10_000
-BUCKET_CHARS, _CHUNK, _FLUSH = 4_000_000, 150_000, 900_000
+BUCKET_CHARS, _CHUNK, _FLUSH = 8_000_000, 150_000, 1_000_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
@@ -159,33 +159,74 @@ def _unpack(blobs, *kinds: type) -> list[np.ndarray]:
 
 def _dealt(where: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
     """A pack for each bucket."""
+    return _packs(where, lambda at: _pack(*(c[at] for c in cols)))
+
+
+def _packs(where: np.ndarray, pack) -> pa.RecordBatch:
+    """(bucket, rows): ``pack`` of the indices of each bucket, which keep their order."""
     order = np.argsort(where, kind="stable")
-    where, cols = where[order], [c[order] for c in cols]
+    where = where[order]
     at = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), len(where)) if len(where) else [0]
-    return pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([_pack(*(c[x:y] for c in cols)) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
+    return pa.RecordBatch.from_arrays([pa.array(where[at[:-1]].astype(np.int32)), pa.array([pack(order[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
+
+
+#: Bytes of a signature that travel inside its bucket; two that agree by chance only make a family larger.
+_SIG = 5
+
+
+def _signed_pack(sig: np.ndarray, of: np.ndarray, docs: np.ndarray, names: np.ndarray):
+    """A function of indices: the pack of these signatures, each document once with the number of its own; ``of`` rises."""
+
+    def pack(at: np.ndarray) -> bytes:
+        mine = of[at]
+        first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+        table = _pack(docs[mine[first]], names[mine[first]], np.diff(np.append(first, len(mine))).astype(np.uint32))
+        high = np.ascontiguousarray(sig[at].view(np.uint8).reshape(-1, 8)[:, 8 - _SIG :].T)
+        return np.array([len(first)], np.int64).tobytes() + table + high.tobytes()
+
+    return pack
+
+
+def _signed_rows(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, document, name) of all packs of a bucket."""
+    sigs, docs, names = [], [], []
+    for blob in blobs:
+        raw = blob.as_py()
+        n = int(np.frombuffer(raw[:8], np.int64)[0])
+        doc, name, times = _unpack([pa.scalar(raw[8 : 8 + 16 * n])], np.int64, np.uint32, np.uint32)
+        high = np.frombuffer(raw[8 + 16 * n :], np.uint8).reshape(_SIG, -1).T
+        sig = np.zeros((len(high), 8), np.uint8)
+        sig[:, 8 - _SIG :] = high
+        sigs.append(sig.view(U64).ravel())
+        docs.append(np.repeat(doc, times))
+        names.append(np.repeat(name, times))
+    return tuple(np.concatenate(x) if x else np.zeros(0, k) for x, k in ((sigs, U64), (docs, np.int64), (names, np.uint32)))
 
 
 def _emit(common, buckets: int):
-    """Packs of (signature, document, the document's name for families: the smallest hash of its shingles)."""
+    """Packs of signatures by bucket, with their documents and each document's name for families: the smallest hash of its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
         names: list[np.ndarray] = []
+        owners: list[np.ndarray] = []
         seen: set[bytes] = set()
         held = 0
 
         def flush() -> pa.RecordBatch:
-            sig = np.concatenate(sigs)
-            return _dealt((sig % U64(buckets)).astype(np.int64), sig, np.concatenate(ids), np.concatenate(names))
+            sig, of = np.concatenate(sigs), np.concatenate(owners)
+            order = np.argsort(of, kind="stable")
+            sig, of = sig[order], of[order]
+            return _packs((sig % U64(buckets)).astype(np.int64), _signed_pack(sig, of, np.concatenate(ids), np.concatenate(names)))
 
         def signed_up(docs: list[int], sets: list[np.ndarray]) -> None:
             sig, of = signatures(sets, common.value)
             sigs.append(sig)
-            ids.append(np.array(docs, np.int64)[of])
-            every = mix(np.concatenate(sets), 21)
+            owners.append(of + sum(map(len, ids)))
+            ids.append(np.array(docs, np.int64))
             starts = np.cumsum([0, *map(len, sets[:-1])])
-            names.append((np.minimum.reduceat(every, starts) >> U64(32)).astype(np.uint32)[of])
+            names.append((np.minimum.reduceat(mix(np.concatenate(sets), 21), starts) >> U64(32)).astype(np.uint32))
 
         docs: list[int] = []
         sets: list[np.ndarray] = []
@@ -208,7 +249,7 @@ def _emit(common, buckets: int):
                 if sets:
                     signed_up(docs, sets)
                 yield flush()
-                docs, sets, sigs, ids, names, held, size = [], [], [], [], [], 0, 0
+                docs, sets, sigs, owners, ids, names, held, size = [], [], [], [], [], [], 0, 0
         if sets:
             signed_up(docs, sets)
         if sigs:
@@ -229,7 +270,7 @@ def _repeated(buckets: int):
     """Packs of (family, document) by family: the documents of each signature of one bucket that more than one has, under the smallest of their names."""
 
     def run(table: pa.Table) -> pa.Table:
-        sig, doc, name = _unpack(table.column("rows"), U64, np.int64, np.uint32)
+        sig, doc, name = _signed_rows(table.column("rows"))
         order = np.argsort(sig, kind="stable")
         sig, doc, name = sig[order], doc[order], name[order]
         at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1]))) if len(sig) else np.zeros(0, np.int64)

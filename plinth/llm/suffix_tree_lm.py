@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from plinth.llm import jobs
 from plinth.llm.kernels import SPACE, U64, Tokens, mix, text_chunks
 
-DEPTH = 3
+DEPTH = 2
 LEAST = 2
 DISCOUNT = 0.75
 GAIN = 8.0
@@ -65,11 +65,14 @@ def places(ids: np.ndarray, doc: np.ndarray, depth: int) -> list[np.ndarray]:
 
 
 class Table:
-    """Numbers by hash."""
+    """Numbers by hash. Keys are also numbered from 1 by falling value, so that frequent words have small numbers."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
+        self.by_rank = np.lexsort((self.keys, -self.values))
+        self.number = np.empty(len(keys), np.int64)
+        self.number[self.by_rank] = np.arange(1, len(keys) + 1)
 
     def __len__(self) -> int:
         return len(self.keys)
@@ -84,21 +87,21 @@ class Table:
         return found, np.where(found, self.values[at], 0)
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        """A number for each token: its place here from 1, or else its hash and one bit more."""
+        """A number for each token: the one it has here, or else its hash and one bit more."""
         if not len(self.keys):
             return h.view(np.int64) | _RARE
         at = np.searchsorted(self.keys, h)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == h, at + 1, h.view(np.int64) | _RARE)
+        return np.where(self.keys[at] == h, self.number[at], h.view(np.int64) | _RARE)
 
     def hashes(self, ids: np.ndarray) -> np.ndarray:
         """The hash of each number that isn't 0."""
         rare = ids >= _RARE
-        return np.where(rare, ids & ~_RARE, self.keys[np.where(rare, 1, ids) - 1].view(np.int64) if len(self.keys) else 0).view(U64)
+        return np.where(rare, ids & ~_RARE, self.keys[self.by_rank[np.where(rare, 1, ids) - 1]].view(np.int64) if len(self.keys) else 0).view(U64)
 
     def counts(self, ids: np.ndarray) -> np.ndarray:
-        """The value of each number that has a place here, else 0."""
-        return np.append(self.values, 0)[np.where((ids > 0) & (ids <= len(self.keys)), ids - 1, len(self.keys))]
+        """The value of each number that is one of here, else 0."""
+        return np.append(self.values[self.by_rank], 0)[np.where((ids > 0) & (ids <= len(self.keys)), ids - 1, len(self.keys))]
 
 
 # ------------------------------------------------------------------ packs: columns in one compressed binary value
@@ -435,8 +438,28 @@ def branch(words: list[np.ndarray], teaches: np.ndarray, p_root: np.ndarray, hot
     return p
 
 
+def _fixed(p: np.ndarray) -> np.ndarray:
+    """-log10 in steps of 2**-32: sums of them don't depend on order, and small ones travel as few bytes."""
+    return np.rint(-np.log10(p) * 4294967296.0).astype(np.int64)
+
+
+def _own_rows(shared, total: int, vocabulary: int):
+    """(doc_id, key, n_tokens, known, base) of every row: the tokens that are in the cache count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = shared.value[0]
+        for batch in batches:
+            for a, b, data, offs in text_chunks(batch.column(2)):
+                h, doc = sequence(data, offs)
+                known, count = cache.find(h)
+                sums = [np.bincount(doc, minlength=b - a), np.bincount(doc, known, b - a).astype(np.int64), np.bincount(doc, np.where(known, np.log10((count + 1) / (total + vocabulary + 1)), 0.0), b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x) for x in sums)], names=["doc_id", "key", "n_tokens", "known", "base"])
+
+    return run
+
+
 def _score(shared, total: int, vocabulary: int, buckets: int, depth: int):
-    """Packs of (document, known tokens, base score, score) of one bucket's places."""
+    """Packs of (document, known tokens and base score of words outside the cache, score) of one bucket's places."""
 
     def run(rows: pa.Table, tables: pa.Table) -> pa.Table:
         hot = {}
@@ -451,20 +474,18 @@ def _score(shared, total: int, vocabulary: int, buckets: int, depth: int):
         count = np.maximum(count, shared.value[0].counts(own))
         root = (count + 1) / (total + vocabulary + 1)
         p = branch([own, before, *rest], document & 1, root, hot)
-        (key,), (known, base, score) = _summed([document], [(count > 0).astype(np.int64), np.log10(root), np.log10(p)])
-        return pa.Table.from_batches([_dealt((mix(key.view(U64), 4) % U64(buckets)).astype(np.int64), [key, known, base, score])], schema=_BLOB)
+        # of words in the cache each document knows its base already
+        rare = own >= _RARE
+        (key,), sums = _summed([document], [(rare & (count > 0)).astype(np.int64), np.where(rare, _fixed(root), 0), _fixed(p)])
+        return pa.Table.from_batches([_dealt((mix(key.view(U64), 4) % U64(buckets)).astype(np.int64), [key, *sums])], schema=_BLOB)
 
     return run
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    """Sums of one part of the documents, in an order that does not depend on how they came."""
-    key, known, base, score = _unpack(table.column("rows"), 4)
-    base, score = base.view(np.float64), score.view(np.float64)
-    order = np.lexsort((score, base, key))
-    key, known, base, score = key[order], known[order], base[order], score[order]
-    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-    return pa.table({"key": key[at], "n_known": np.add.reduceat(known, at), "base": np.add.reduceat(base, at), "score": np.add.reduceat(score, at)})
+    """Sums of one part of the documents."""
+    (key,), (known, base, score) = _summed(*(lambda k, *sums: ([k], list(sums)))(*_unpack(table.column("rows"), 4)))
+    return pa.table({"key": key, "more_known": known, "more_base": base / -4294967296.0, "score": score / -4294967296.0})
 
 
 def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, cache: int = CACHE, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -485,7 +506,7 @@ def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_
     known = _frequent(counted, cache)
     share = max(LEAST, total // buckets)
     often = known.values > share
-    hot = Table(np.flatnonzero(often) + 1, np.minimum(buckets, -(-known.values[often] // share)))
+    hot = Table(known.number[often], np.minimum(buckets, -(-known.values[often] // share)))
     shared = spark.sparkContext.broadcast((known, hot))
     counts = counted.select("bucket", "rows")
     # one place for each time that a row is there
@@ -496,10 +517,10 @@ def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_
     whole = counts.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_counted_pairs, "hot long, rows binary")
     tables = whole.groupBy("hot").applyInArrow(_first_level(shared, total, vocabulary, buckets), "bucket int, rows binary")
     found = direct.union(passed).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(shared, total, vocabulary, buckets, depth), "bucket int, rows binary")
-    by_key = found.groupBy("bucket").applyInArrow(_by_document, "key long, n_known long, base double, score double")
-    own = rows.select("doc_id", key.alias("key"), (F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) + 1).cast("long").alias("n_tokens"))
-    times = own.groupBy("key").agg(F.count("*").alias("times"))
+    by_key = found.groupBy("bucket").applyInArrow(_by_document, "key long, more_known long, more_base double, score double")
+    own = rows.select("doc_id", key.alias("key"), "text").mapInArrow(_own_rows(shared, total, vocabulary), "doc_id long, key long, n_tokens long, known long, base double")
+    times = rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("times"))
     return own.join(by_key.join(times, "key"), "key").select(
-        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") / F.col("times")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
+        "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.col("more_known") / F.col("times")).cast("long").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
     )

@@ -14,13 +14,14 @@ __all__ = ["anti", "attach", "components", "cut", "merged_ranges", "partitions",
 #: Ids that a broadcast may carry (8 bytes each); larger sides are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand texts to Python a thousand rows at a time: they can be long, and a batch is held by the executor and by its worker."""
+    """Hand texts to Python a thousand rows and a few MB at a time: they can be long, and a batch is held by the executor and by its worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:

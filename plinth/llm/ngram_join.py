@@ -49,7 +49,7 @@ COMMON = 500_000
 RECURS = 3
 #: Members of a block of a family, and rows of a bucket of blocks.
 BLOCK, BUCKET_ROWS = 1024, 10_000
-BUCKET_CHARS, _CHUNK, _FLUSH = 8_000_000, 150_000, 1_000_000
+BUCKET_CHARS, _CHUNK, _FLUSH = 5_000_000, 100_000, 800_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 

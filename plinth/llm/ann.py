@@ -91,10 +91,14 @@ class Index:
         p = int(np.ceil(PROBE_SHARE * len(self.coarse)))
         return np.argsort(-(q @ self.coarse.T), axis=1, kind="stable")[:, :p]
 
-    def approximate(self, q: np.ndarray, list_no: int, codes: np.ndarray) -> np.ndarray:
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """Each query's inner products with the codewords of every part: they hold for all lists."""
+        return [q[:, a:b] @ book.T for (a, b), book in zip(zip(self.edges, self.edges[1:], strict=False), self.books, strict=True)]
+
+    def approximate(self, q: np.ndarray, tables: list[np.ndarray], list_no: int, codes: np.ndarray) -> np.ndarray:
         out = np.repeat((q @ self.coarse[list_no])[:, None], len(codes), axis=1)
-        for j, ((a, b), book) in enumerate(zip(zip(self.edges, self.edges[1:], strict=False), self.books, strict=True)):
-            out += (q[:, a:b] @ book.T)[:, codes[:, j]]
+        for j, table in enumerate(tables):
+            out += table[:, codes[:, j]]
         return out
 
 
@@ -141,13 +145,19 @@ def search(rows: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vec_co
             yield pa.RecordBatch.from_arrays([pa.array(at.ravel().astype(np.int32)), pa.array(ids), pa.array([d for d in data for _ in range(at.shape[1])], pa.binary())], names=["list", "id", "data"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[np.ndarray]] = {}  # the tables of the chunks of queries that a list's blocks meet in turn
         for b in batches:
             for i in range(b.num_rows):
                 n, ids = b.column(0)[i].as_py(), np.frombuffer(b.column(1)[i].as_py(), np.int64)
                 codes = np.frombuffer(b.column(2)[i].as_py(), np.uint8).reshape(len(ids), -1)
                 q_ids = np.frombuffer(b.column(3)[i].as_py(), np.int64)
                 q = np.frombuffer(b.column(4)[i].as_py(), np.float64).reshape(len(q_ids), -1)
-                near = index.value.approximate(q, n, codes)
+                chunk = q_ids.tobytes()
+                if chunk not in held:
+                    if len(held) == 2:
+                        held.pop(next(iter(held)))
+                    held[chunk] = index.value.tables(q)
+                near = index.value.approximate(q, held[chunk], n, codes)
                 best = np.argsort(-near, axis=1, kind="stable")[:, :SHORTLIST]  # ids rise, so ties go to the smaller
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(near, best, 1).ravel())], names=["query_id", "id", "near"])
 

@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ _FLUSH = 2_500_000
 _MASK, _RARE = U64((1 << 62) - 1), 1 << 62
 _END = U64(0x1BD1E995C6A4A793)
 _SMALL = (1 << 24) - 1
+_STEPS = 2.0**32
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
@@ -155,7 +157,7 @@ def _unpack(blobs, width: int) -> list[np.ndarray]:
 
 def _split(where: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, buckets, edges): rows by bucket, then by a hash of ``lead``, so that equal ones stand together."""
-    order = np.argsort(where.astype(U64) << U64(32) | mix(lead.view(U64), 6) >> U64(32))
+    order = np.argsort(where.astype(U64) << U64(32) | mix(lead.view(U64), 6) >> U64(32), kind="stable")
     where = where[order]
     at = np.append(np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))), len(where)) if len(where) else np.zeros(1, np.int64)
     return order, where[at[:-1]], at
@@ -168,33 +170,39 @@ def _dealt(where: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array([_pack([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], schema=_BLOB)
 
 
-def _dealt_places(where: np.ndarray, keys: np.ndarray, doc: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
-    """A pack for each bucket of places: of ``keys`` those of its documents, and the places' references to them."""
-    order, buckets, at = _split(where, cols[0])
-    doc, cols, packs = doc[order], [c[order] for c in cols], []
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        there = np.zeros(len(keys), bool)
-        there[doc[a:b]] = True
-        packs.append(_two([keys[there]], [(np.cumsum(there) - 1)[doc[a:b]], *(c[a:b] for c in cols)]))
-    return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(packs, pa.binary())], schema=_BLOB)
+#: What a pack holds, by its first byte: places of a run of documents of one task, the keys of such a run, places with document keys, sums of a run, sums by key.
+_PLACES, _KEYS, _KEYED, _SUMS, _KEYED_SUMS = b"P", b"K", b"Q", b"S", b"T"
 
 
-def _two(a: list[np.ndarray], b: list[np.ndarray]) -> bytes:
-    first = _pack(a)
-    return np.array([len(first)], np.int64).tobytes() + first + _pack(b)
+def _rows(buckets: list[int], packs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(packs, pa.binary())], schema=_BLOB)
 
 
-def _unpack_places(blobs, width: int) -> list[np.ndarray]:
-    """Document keys and the other columns of all places."""
-    out: list[list[np.ndarray]] = [[] for _ in range(width + 1)]
-    for blob in blobs:
+def _dealt_run(where: np.ndarray, run: np.ndarray, keys: np.ndarray, doc: np.ndarray, cols: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """A pack for each bucket of the places of a run of documents, which are told by their number in it and whether they teach; and one pack of the documents' keys."""
+    order, at_buckets, at = _split(where, cols[0])
+    cols = [(2 * doc + (keys[doc] & 1))[order], *(c[order] for c in cols)]
+    packs = [_PLACES + run.tobytes() + _pack([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)]
+    return _rows([*at_buckets.tolist(), _of_run(run, buckets)], [*packs, _KEYS + run.tobytes() + _pack([keys])])
+
+
+def _of_run(run: np.ndarray, buckets: int) -> int:
+    return int(mix(run.view(U64), 8)[0] % U64(buckets))
+
+
+def _dealt_keyed(where: np.ndarray, cols: list[np.ndarray], kind: bytes) -> pa.RecordBatch:
+    """A pack for each bucket of rows that carry their document's key."""
+    order, at_buckets, at = _split(where, cols[0])
+    cols = [c[order] for c in cols]
+    return _rows(at_buckets.tolist(), [kind + _pack([c[a:b] for c in cols]) for a, b in zip(at[:-1], at[1:], strict=True)])
+
+
+def _packs_of(table: pa.Table, kind: bytes, run: bool) -> Iterator[tuple[np.ndarray | None, pa.Scalar]]:
+    """The packs of one kind, with their run."""
+    for blob in table.column("rows") if table.num_rows else []:
         raw = blob.as_py()
-        n = int(np.frombuffer(raw[:8], np.int64)[0])
-        (keys,) = _unpack([pa.scalar(raw[8 : 8 + n])], 1)
-        doc, *cols = _unpack([pa.scalar(raw[8 + n :])], width + 1)
-        for x, part in zip([keys[doc], *cols], out, strict=True):
-            part.append(x)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        if raw[:1] == kind:
+            yield (np.frombuffer(raw[1:9], np.int64), pa.scalar(raw[9:])) if run else (None, pa.scalar(raw[1:]))
 
 
 def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -277,7 +285,7 @@ def _bucket_of(before: np.ndarray, second: np.ndarray, document: np.ndarray, hot
 
 
 def _emit(shared, buckets: int, depth: int, rare: bool):
-    """Packs of places (document, word before, its own count, the word, earlier words): of those whose word is in the cache by the word before, or of the others by their word."""
+    """Packs of places (document, word before, the word, earlier words): of those whose word is in the cache by the word before, or of the others by their word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, hot = shared.value
@@ -288,8 +296,10 @@ def _emit(shared, buckets: int, depth: int, rare: bool):
         def flush() -> pa.RecordBatch:
             doc, *words = (np.concatenate(c) for c in zip(*held, strict=True))
             every = np.concatenate(keys)
-            where = _of_word(cache.hashes(words[0]), buckets) if rare else _bucket_of(words[1], words[2], every[doc] & ~1, hot, buckets)
-            return _dealt_places(where, every, doc, [words[1], np.zeros(len(doc), np.int64), words[0], *words[2:]])
+            if rare:
+                return _dealt_keyed(_of_word(cache.hashes(words[0]), buckets), [words[1], every[doc], words[0], *words[2:]], _KEYED)
+            run = np.array([(int(every[0]) * 31 + int(every[-1]) * 7 + len(every) + TaskContext.get().partitionId()) & ((1 << 62) - 1)], np.int64)
+            return _dealt_run(_bucket_of(words[1], words[2], every[doc] & ~1, hot, buckets), run, every, doc, [words[1], words[0], *words[2:]], buckets)
 
         for batch in batches:
             key = batch.column(0).to_numpy()
@@ -316,11 +326,9 @@ def _counted_places(shared, buckets: int, depth: int):
     def run(counts: pa.Table, rows: pa.Table) -> pa.Table:
         cache, hot = shared.value
         word, n = _unpack(counts.column("rows") if counts.num_rows else [], 2)
-        document, before, _, own, *rest = _unpack_places(rows.column("rows") if rows.num_rows else [], 2 + depth)
+        before, document, own, *rest = _unpack((b for _, b in _packs_of(rows, _KEYED, run=False)), 2 + depth)
         _, count = Table(word, n).find(own & ~_RARE)
-        where = _bucket_of(before, rest[0], document & ~1, hot, buckets)
-        keys, doc = np.unique(document, return_inverse=True)
-        return pa.Table.from_batches([_dealt_places(where, keys, doc, [before, count, own, *rest])], schema=_BLOB)
+        return pa.Table.from_batches([_dealt_keyed(_bucket_of(before, rest[0], document & ~1, hot, buckets), [before, document, count, own, *rest], _KEYED)], schema=_BLOB)
 
     return run
 
@@ -440,7 +448,7 @@ def branch(words: list[np.ndarray], teaches: np.ndarray, p_root: np.ndarray, hot
 
 def _fixed(p: np.ndarray) -> np.ndarray:
     """-log10 in steps of 2**-32: sums of them don't depend on order, and small ones travel as few bytes."""
-    return np.rint(-np.log10(p) * 4294967296.0).astype(np.int64)
+    return np.rint(-np.log10(p) * _STEPS).astype(np.int64)
 
 
 def _own_rows(shared, total: int, vocabulary: int):
@@ -468,24 +476,52 @@ def _score(shared, total: int, vocabulary: int, buckets: int, depth: int):
             size, left, good = np.frombuffer(raw[8:32], np.float64)
             own, times = _unpack([pa.scalar(raw[32:])], 2)
             hot[int(np.frombuffer(raw[:8], np.int64)[0])] = (size, left, bool(good), Table(own, times))
-        document, before, count, own, *rest = _unpack_places(rows.column("rows") if rows.num_rows else [], 2 + depth)
+        runs, parts = [], []
+        for name, blob in _packs_of(rows, _PLACES, run=True):
+            runs.append(name)
+            parts.append(_unpack([blob], 2 + depth))
+        sizes = [int(p[0].max()) // 2 + 1 for p in parts]
+        first = np.cumsum([0, *sizes])
+        before, document, count, own, *rest = _unpack((b for _, b in _packs_of(rows, _KEYED, run=False)), 3 + depth)
+        n = len(own)
+        parts.append([document, before, own, *rest])
+        numbers = np.repeat(first[:-1], [len(p[0]) for p in parts[:-1]]) if runs else np.zeros(0, np.int64)
+        documents, before, own, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        out = [_KEYS + name.tobytes() + blob.as_py() for name, blob in _packs_of(rows, _KEYS, run=True)]
+        at = [_of_run(name, buckets) for name, _ in _packs_of(rows, _KEYS, run=True)]
         if not len(own):
-            return pa.Table.from_batches([], schema=_BLOB)
-        count = np.maximum(count, shared.value[0].counts(own))
-        root = (count + 1) / (total + vocabulary + 1)
-        p = branch([own, before, *rest], document & 1, root, hot)
-        # of words in the cache each document knows its base already
-        rare = own >= _RARE
-        (key,), sums = _summed([document], [(rare & (count > 0)).astype(np.int64), np.where(rare, _fixed(root), 0), _fixed(p)])
-        return pa.Table.from_batches([_dealt((mix(key.view(U64), 4) % U64(buckets)).astype(np.int64), [key, *sums])], schema=_BLOB)
+            return pa.Table.from_batches([_rows(at, out)], schema=_BLOB)
+        m = len(own) - n
+        counts = np.concatenate((shared.value[0].counts(own[:m]), count))
+        root = (counts + 1) / (total + vocabulary + 1)
+        p = _fixed(branch([own, before, *rest], documents & 1, root, hot))
+        # places with keys come last; a run's documents are summed by their number
+        which = numbers + documents[:m] // 2
+        sums = np.bincount(which, p[:m], int(first[-1])).astype(np.int64)
+        there = np.bincount(which, minlength=int(first[-1])) > 0
+        for name, a, b in zip(runs, first[:-1], first[1:], strict=True):
+            mine = np.flatnonzero(there[a:b])
+            out.append(_SUMS + name.tobytes() + _pack([mine, sums[a:b][mine]]))
+            at.append(_of_run(name, buckets))
+        (key,), keyed = _summed([documents[m:]], [(count > 0).astype(np.int64), _fixed(root[m:]), p[m:]])
+        apart = _dealt_keyed((mix(key.view(U64), 4) % U64(buckets)).astype(np.int64), [key, *keyed], _KEYED_SUMS)
+        return pa.Table.from_batches([_rows(at, out), apart], schema=_BLOB)
 
     return run
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    """Sums of one part of the documents."""
-    (key,), (known, base, score) = _summed(*(lambda k, *sums: ([k], list(sums)))(*_unpack(table.column("rows"), 4)))
-    return pa.table({"key": key, "more_known": known, "more_base": base / -4294967296.0, "score": score / -4294967296.0})
+    """(key, more_known, more_base, score): sums of the runs and keys of one bucket, in fixed steps; a document may have a row of each kind."""
+    keys = {int(name[0]): _unpack([blob], 1)[0] for name, blob in _packs_of(table, _KEYS, run=True)}
+    sums = {name: np.zeros(len(k), np.int64) for name, k in keys.items()}
+    for name, blob in _packs_of(table, _SUMS, run=True):
+        doc, score = _unpack([blob], 2)
+        sums[int(name[0])][doc] += score
+    (key,), apart = _summed(*(lambda k, *sums: ([k], list(sums)))(*_unpack((b for _, b in _packs_of(table, _KEYED_SUMS, run=False)), 4)))
+    none = np.zeros(sum(map(len, keys.values())), np.int64)
+    cols = [np.concatenate(c) for c in ([*keys.values(), key], [none, apart[0]], [none, apart[1]], [*sums.values(), apart[2]])]
+    return pa.table(dict(zip(("key", "more_known", "more_base", "score"), cols, strict=True)))
 
 
 def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, cache: int = CACHE, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -517,10 +553,10 @@ def score_texts(docs: DataFrame, held_out, learns, id_col: str = "doc_id", text_
     whole = counts.groupBy("bucket").cogroup(pairs.groupBy("bucket")).applyInArrow(_counted_pairs, "hot long, rows binary")
     tables = whole.groupBy("hot").applyInArrow(_first_level(shared, total, vocabulary, buckets), "bucket int, rows binary")
     found = direct.union(passed).groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(_score(shared, total, vocabulary, buckets, depth), "bucket int, rows binary")
-    by_key = found.groupBy("bucket").applyInArrow(_by_document, "key long, more_known long, more_base double, score double")
+    by_key = found.groupBy("bucket").applyInArrow(_by_document, "key long, more_known long, more_base long, score long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("more_known", "more_base", "score")))
     own = rows.select("doc_id", key.alias("key"), "text").mapInArrow(_own_rows(shared, total, vocabulary), "doc_id long, key long, n_tokens long, known long, base double")
     times = rows.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("times"))
     return own.join(by_key.join(times, "key"), "key").select(
         "doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.col("more_known") / F.col("times")).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.col("more_base") / F.col("times")).alias("base_score"), (F.col("score") / F.col("times")).alias("score"),
+        F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("more_base") / _STEPS / F.col("times")).alias("base_score"), (-F.col("score") / _STEPS / F.col("times")).alias("score"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import ann, decontaminate, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, suffix_tree_lm
+from plinth.llm import ann, decontaminate, fingerprints, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, suffix_tree_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(_table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_approximate_nearest_neighbours": op9_approximate_nearest_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_document_fingerprints": op11_document_fingerprints,
 }
 
 _SHINGLES = r"""

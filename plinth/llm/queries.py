@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import ann, decontaminate, fingerprints, license_scan, line_dedup, ngram_join, packing, quality, substring_dedup, suffix_dedup, suffix_tree_lm
+from plinth.llm import ann, decontaminate, fingerprints, license_scan, line_dedup, ngram_join, packing, quality, ranked_search, substring_dedup, suffix_dedup, suffix_tree_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_approximate_nearest_neighbours": op9_approximate_nearest_neighbours,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
 }
 
 _SHINGLES = r"""
@@ -119,6 +124,14 @@ SELECT doc_id, item_id, max(sim) AS similarity, CAST(arg_min(start, struct_pack(
     "op6_line_dedup": f"""
 WITH {_LINE_DEDUP.format(docs="documents")}
 SELECT d.doc_id, coalesce(k.n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op12_ranked_lexical_search": rf"""
+WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked_search._PATTERN}')) AS term FROM documents),
+bt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked_search._PATTERN}')) AS term FROM benchmark) GROUP BY ALL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY ALL), dn AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1), s AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l FROM dn),
+m AS (SELECT doc_id, 75 + (25 * n * n_all) // l AS m FROM dn, s), w AS (SELECT term, CAST(floor(1000 * ln((2 * max(n_all) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY 1),
+sc AS (SELECT bt.item_id, tf.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM bt JOIN tf USING (term) JOIN w USING (term) JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20""",
     "op10_ngram_jaccard_join": f"""
 WITH RECURSIVE {_SHINGLES},
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.llm import ann, decontaminate, fingerprints, license_scan, line_dedup, ngram_join, packing, quality, ranked_search, substring_dedup, suffix_dedup, suffix_tree_lm
+from plinth.llm import ann, decontaminate, fingerprints, license_scan, line_dedup, ngram_join, packing, quality, ranked_search, spelling, substring_dedup, suffix_dedup, suffix_tree_lm
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.search(ranked_search.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_document_fingerprints": op11_document_fingerprints,
     "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 _SHINGLES = r"""
@@ -124,6 +129,20 @@ SELECT doc_id, item_id, max(sim) AS similarity, CAST(arg_min(start, struct_pack(
     "op6_line_dedup": f"""
 WITH {_LINE_DEDUP.format(docs="documents")}
 SELECT d.doc_id, coalesce(k.n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text FROM documents d LEFT JOIN kept k USING (doc_id)""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+run AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL) GROUP BY ALL HAVING length(run) >= 6),
+hx AS (SELECT *, hex(doc_id || ':' || run) AS hx FROM run),
+by AS (SELECT doc_id, run, c, list_transform(range(length(hx) // 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', hx[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hx[2 * i + 2]) - 1 AS BIGINT)) AS b FROM hx),
+cr AS (SELECT doc_id, run, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM by, tab),
+ww AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM cr),
+w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM ww WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),
+near AS (SELECT a.word, b.word AS other FROM d a JOIN d b ON a.s = b.s AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, w.word FROM d JOIN w ON d.s = w.word UNION SELECT w.word, d.word FROM d JOIN w ON d.s = w.word),
+nn AS (SELECT near.word, count(*) AS n_near, arg_min(other, struct_pack(a := -o.n, b := encode(other))) AS best, max(o.n) AS best_n FROM near JOIN w o ON o.word = near.other GROUP BY 1),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM w LEFT JOIN nn USING (word)),
+ch(word, root, k) AS (SELECT word, word, 0 FROM f UNION ALL SELECT ch.word, f.form, k + 1 FROM ch JOIN f ON f.word = ch.root WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(root, k) FROM ch WHERE ch.word = f.word) AS root, n, n_near, form_n FROM f""",
     "op12_ranked_lexical_search": rf"""
 WITH dt AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked_search._PATTERN}')) AS term FROM documents),
 bt AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{ranked_search._PATTERN}')) AS term FROM benchmark) GROUP BY ALL),

@@ -133,8 +133,8 @@ SELECT d.doc_id, coalesce(k.n_deleted, 0) AS n_deleted, CASE WHEN d.text IS NULL
 WITH RECURSIVE tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
 run AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL) GROUP BY ALL HAVING length(run) >= 6),
 hx AS (SELECT *, hex(doc_id || ':' || run) AS hx FROM run),
-by AS (SELECT doc_id, run, c, list_transform(range(length(hx) // 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', hx[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hx[2 * i + 2]) - 1 AS BIGINT)) AS b FROM hx),
-cr AS (SELECT doc_id, run, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM by, tab),
+bt AS (SELECT doc_id, run, c, list_transform(range(length(hx) // 2), lambda i: CAST(16 * (instr('0123456789ABCDEF', hx[2 * i + 1]) - 1) + instr('0123456789ABCDEF', hx[2 * i + 2]) - 1 AS BIGINT)) AS b FROM hx),
+cr AS (SELECT doc_id, run, c, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS h FROM bt, tab),
 ww AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, c FROM cr),
 w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM ww WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
 d AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, unnest(range(length(word))) AS i FROM w)),

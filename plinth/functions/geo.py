@@ -59,7 +59,16 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
 def distance_text(miles: Column) -> Column:
     """Feet in tens under a tenth of a mile, else miles; NULL for NULL or negative."""
     feet = (F.floor(miles * 5280 / 10 + 0.5) * 10).cast("long")
-    return F.when(miles.isNull() | (miles < 0), None).when(miles < 0.1, F.concat(feet.cast("string"), F.lit(" ft"))).otherwise(F.concat(F.format_string("%.1f", miles), F.lit(" mi")))
+    return F.when(miles.isNull() | (miles < 0), None).when(miles < 0.1, F.concat(feet.cast("string"), F.lit(" ft"))).otherwise(F.concat(_one_place(miles), F.lit(" mi")))
+
+
+def _one_place(v: Column) -> Column:
+    """The tenth that is nearest to the exact binary value (1.45 is a little less, so ``1.4``), an exact half goes up; for 0 <= v < 2^30."""
+    tenths = F.floor(v * 10).cast("long")
+    # 20 v against the half 2 tenths + 1, without an error: both parts of v have few bits
+    high = F.floor(v * 1048576) / 1048576
+    tenths = F.when((20 * high - (2 * tenths + 1)) + 20 * (v - high) >= 0, tenths + 1).otherwise(tenths)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def mercator(lat: Column, lon: Column) -> tuple[Column, Column]:
@@ -87,8 +96,10 @@ def clusters(points: DataFrame, zoom: int, radius: int = 50, max_zoom: int = 14,
 
 
 def abbreviated(n: Column) -> Column:
-    """1234 as ``1.2k``."""
-    return F.when(n < 1000, n.cast("string")).when(n < 10000, F.concat(F.format_string("%.1f", n / 1000), F.lit("k"))).otherwise(F.concat(F.floor(n / 1000).cast("string"), F.lit("k")))
+    """1234 as ``1.2k``: to the nearest tenth of a thousand below 10,000 (no ``.0``), to the nearest thousand above; halves go up."""
+    tenths = F.floor((n + 50) / 100).cast("long")
+    part = F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise("")
+    return F.when(n < 1000, n.cast("string")).when(n < 10000, F.concat(F.floor(tenths / 10).cast("string"), part, F.lit("k"))).otherwise(F.concat(F.floor((n + 500) / 1000).cast("string"), F.lit("k")))
 
 
 def stepped(value: Column, steps: Sequence[tuple[float | None, int]]) -> Column:

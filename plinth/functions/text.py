@@ -67,15 +67,33 @@ def joined(left: Column, word: str, right: Column) -> Column:
     return F.when(left.isNotNull() & right.isNotNull(), F.concat(left, F.lit(f" {word} "), right)).otherwise(F.coalesce(left, right))
 
 
+def in_name_order(c: Column) -> Column:
+    """A sort key in the order of names: letters before their accents and capitals (a < A < b < e < É), marks and digits before letters."""
+    return F.collate(c, "UNICODE")
+
+
 def name_set(c: Column) -> Column:
     """A comma list as a sorted set of trimmed lower-case names."""
     parts = F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.lower(F.trim(x)))
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x != "")))
 
 
+def _hangul_letters(c: Column) -> Column:
+    """Hangul syllables as the letters that they are composed of, by their places in Unicode."""
+    leads, vowels, tails = ("".join(chr(first + i) for i in range(n)) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+    letter = lambda letters, i: F.substring(F.lit(letters), i + 1, F.lit(1))
+
+    def parts(ch: Column) -> Column:
+        s = F.ascii(ch) - 0xAC00
+        tail = F.when(s % 28 > 0, letter(tails, s % 28 - 1)).otherwise("")
+        return F.when(s.between(0, 11171), F.concat(letter(leads, F.floor(s / 588).cast("int")), letter(vowels, F.floor(s % 588 / 28).cast("int")), tail)).otherwise(ch)
+
+    return F.when(c.rlike("[가-힣]"), F.array_join(F.transform(F.split(c, ""), parts), "")).otherwise(c)
+
+
 def search_fold(c: Column) -> Column:
-    """Without accents, apostrophes, marks and case: what search compares."""
-    t = F.regexp_replace(F.translate(c, ACCENTED, UNACCENTED), r"['‘’\p{M}]", "")
+    """Without accents, apostrophes, marks and case, Hangul by letters: what search compares."""
+    t = F.regexp_replace(F.translate(_hangul_letters(c), ACCENTED, UNACCENTED), r"['‘’\p{M}]", "")
     return squeeze(F.lower(F.regexp_replace(t, r"[\p{P}\p{S}]+", " ")))
 
 

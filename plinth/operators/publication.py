@@ -77,8 +77,8 @@ def reports(df: DataFrame, year: str, status: str = "vacant", construction: str
     got = df.where(F.col("cohort") == year)
     if points and status == "nonVacant":
         return got.limit(0)
-    if status != "both":
-        got = got.where(F.col("status") == status)
+    if points or status != "both":
+        got = got.where(F.col("status") == ("vacant" if points else status))
     if construction in CONSTRUCTION:
         got = got.where(F.col("construction").eqNullSafe(F.lit(CONSTRUCTION[construction]).cast("boolean")))
     return got if borough == "all" else got.where(F.lower("borough") == borough.lower())

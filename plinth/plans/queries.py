@@ -2,36 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions import geo, ids, parse, text
 from plinth.operators import cohorts, contracts, counters, graph, identity, listing, profile, publication, quality, search, sensors, surveys, validate
+from plinth.plans import listings, rules, series, streams  # noqa: F401  (their queries register themselves)
+from plinth.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 from plinth.sources import publish
 from plinth.sources import rows as sources
 from plinth.streaming import counts as streaming
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _points(df: DataFrame, key: str) -> DataFrame:
     """Made-up coordinates from a key, inside the city box."""
     k = F.col(key)
@@ -793,7 +776,7 @@ def twin_problems(spark, sf_dir):
     return sensors.twin_problems(counts, table(spark, sf_dir, "supplier").select(k.alias("id"), (k % 7).alias("serial"), (k < 7).alias("is_representative")))
 
 
-@query(f"WITH p AS (SELECT c_custkey, {_SQL_POINTS.format(k='c_custkey')} FROM customer) SELECT c_custkey, round((lon + 180) / 360, 9) AS x, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2, 9) AS y, round(lat, 5) AS view_lat, least(22.0, c_custkey / 4.0)::DOUBLE AS zoom, CASE WHEN c_custkey < 1000 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey < 10000 THEN printf('%.1f', c_custkey / 1000.0) || 'k' ELSE (c_custkey // 1000) || 'k' END AS short FROM p")
+@query(f"WITH p AS (SELECT c_custkey, {_SQL_POINTS.format(k='c_custkey')} FROM customer) SELECT c_custkey, round((lon + 180) / 360, 9) AS x, round((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2, 9) AS y, round(lat, 5) AS view_lat, least(22.0, c_custkey / 4.0)::DOUBLE AS zoom, CASE WHEN c_custkey < 1000 THEN CAST(c_custkey AS VARCHAR) WHEN c_custkey < 10000 THEN ((c_custkey + 50) // 1000) || CASE WHEN (c_custkey + 50) // 100 % 10 = 0 THEN '' ELSE '.' || ((c_custkey + 50) // 100 % 10) END || 'k' ELSE ((c_custkey + 500) // 1000) || 'k' END AS short FROM p")
 def map_scalars(spark, sf_dir):
     c = _points(table(spark, sf_dir, "customer"), "c_custkey")
     x, y = geo.mercator(F.col("lat"), F.col("lon"))

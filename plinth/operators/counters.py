@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.parse import ZONE, civil_to_utc
+
 # Lower bounds of activity levels by percentile rank, samples and days that the rules need, ages in hours.
 ACTIVITY = (("veryBusy", 90), ("busy", 75), ("typical", 25), ("quiet", 0))
 LEAST_SAMPLES = 7
@@ -103,10 +105,25 @@ def longest_run(daily: DataFrame, key: str, day: str, holds: Column) -> DataFram
     return daily.select(key).distinct().join(runs, key, "left").select(key, F.coalesce("longest", F.lit(0).cast("long")).alias("longest"))
 
 
-def trailing(readings: DataFrame, keys: Sequence[str], seconds: Column, value: str, days: int = 56, share: float = 0.5, name: str = "trailing") -> DataFrame:
-    """The percentile of a key's readings in the ``days`` before each one, itself left out."""
-    w = Window.partitionBy(*keys).orderBy(seconds).rangeBetween(-days * 86400, -1)
-    return readings.withColumn(name, F.percentile(value, F.lit(share)).over(w))
+def hour_audit(readings: DataFrame, key: str, time: str, zone: str = ZONE) -> DataFrame:
+    """(key, day, rows, hours, expected_hours, missing_hours, impossible_rows, rows_before, rows_after) of each key and civil day with readings; ``time`` is wall-clock time.
+
+    A day has as many hours as there are between its midnight and the next one, 23, 24 or 25 by the zone's transitions. An hour that a transition skips has no label, and one that it
+    repeats has one label for both, so a day shows at most 24 labels. Rows under a label that the zone skipped are impossible: wall-clock times don't go there, other clocks do.
+    The rows of the days before and after are NULL where these have none.
+    """
+    day = F.to_date(time)
+    midnight = lambda d: civil_to_utc(d.cast("timestamp_ntz"), zone)
+    instant = civil_to_utc(F.col(time), zone)
+    skipped = F.from_utc_timestamp(instant, zone) != F.col(time).cast("timestamp")
+    got = readings.where(F.col(time).isNotNull()).groupBy(key, day.alias("day")).agg(
+        F.count("*").alias("rows"), F.size(F.collect_set(F.hour(time))).cast("long").alias("hours"), F.count_if(skipped).alias("impossible_rows"),
+    )
+    length = ((F.unix_seconds(midnight(F.date_add("day", 1))) - F.unix_seconds(midnight(F.col("day")))) / 3600).cast("int")
+    around = Window.partitionBy(key).orderBy("day")
+    beside = lambda f, days: F.when(F.datediff(f("day").over(around), F.col("day")) == days, f("rows").over(around))
+    got = got.withColumn("expected_hours", length).withColumn("missing_hours", F.least(F.lit(24), "expected_hours") - F.col("hours"))
+    return got.select(key, "day", "rows", "hours", "expected_hours", "missing_hours", "impossible_rows", beside(F.lag, -1).alias("rows_before"), beside(F.lead, 1).alias("rows_after"))
 
 
 def coverage_of_grid(readings: DataFrame, key: str, time: str, minutes: int = 15) -> DataFrame:

@@ -73,14 +73,6 @@ def display_text(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.search_fold(F.col("p_name")).alias("folded"), text.ordinal(n).alias("place"), text.relative_age(n * 60).alias("age"))
 
 
-@query("""WITH RECURSIVE h AS (SELECT range AS i FROM range(0, 24 * 366)), l AS (SELECT TIMESTAMP '2024-01-01' + INTERVAL (i) HOUR AS local FROM h)
-SELECT strftime(local, '%Y-%m-%dT%H') AS local_hour, strftime(timezone('UTC', timezone('America/New_York', local)), '%Y-%m-%dT%H') AS utc_hour FROM l WHERE NOT (local >= TIMESTAMP '2024-11-03 01:00' AND local < TIMESTAMP '2024-11-03 02:00')""")
-def dst_hours(spark, sf_dir):
-    hours = spark.range(24 * 366).select(F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, cast(id as int), 0, 0)").alias("local"))
-    hours = hours.where("not (local >= timestamp_ntz'2024-11-03 01:00:00' and local < timestamp_ntz'2024-11-03 02:00:00')")
-    return hours.select(F.date_format("local", "yyyy-MM-dd'T'HH").alias("local_hour"), F.date_format(parse.civil_to_utc(F.col("local")), "yyyy-MM-dd'T'HH").alias("utc_hour"))
-
-
 # ------------------------------------------------------------------ rules, identity
 
 
@@ -287,13 +279,6 @@ def staleness(spark, sf_dir):
     return last.select("user_id", counters.staleness(hours).alias("state"))
 
 
-@query(f"WITH {_READINGS} SELECT user_id, ts, round(quantile_cont(v, 0.5) OVER (PARTITION BY user_id, dow ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 4838400 PRECEDING AND 1 PRECEDING), 6) AS trailing FROM rd")
-def trailing_median(spark, sf_dir):
-    r = _readings(spark, sf_dir)
-    got = counters.trailing(r, ["user_id", "dow"], F.unix_seconds(F.col("ts").cast("timestamp")), "v")
-    return got.select("user_id", "ts", F.round("trailing", 6).alias("trailing"))
-
-
 @query("SELECT user_id, count(DISTINCT epoch(ts)::BIGINT // 900) AS present, CAST(max(epoch(ts)::BIGINT // 900) - min(epoch(ts)::BIGINT // 900) + 1 AS BIGINT) AS expected FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events) GROUP BY 1")
 def grid_coverage(spark, sf_dir):
     return counters.coverage_of_grid(table(spark, sf_dir, "events").withColumn("ts", F.date_trunc("second", "ts")), "user_id", "ts").drop("share")

@@ -1 +1,58 @@
-"""x"""
+"""Queries of counter series: trailing percentiles and their bands, hours of civil days."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plinth.functions import parse
+from plinth.operators import counters, sliding
+from plinth.plans.registry import query, table
+
+_READINGS = "rd AS (SELECT user_id, ts, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS v, CAST(isodow(ts) - 1 AS INTEGER) AS dow FROM events GROUP BY user_id, ts)"
+_FRAME = "OVER (PARTITION BY user_id, dow ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 4838400 PRECEDING AND 1 PRECEDING)"
+
+
+def _trailing(spark, sf_dir) -> DataFrame:
+    ts = F.col("ts").cast("timestamp_ntz")
+    e = table(spark, sf_dir, "events").select("user_id", ts.alias("ts"), F.floor("value").cast("long").alias("v"))
+    r = e.groupBy("user_id", "ts").agg(F.sum("v").alias("v"), F.weekday("ts").alias("dow"))
+    return sliding.trailing(r, ["user_id", "dow"], F.unix_seconds(F.col("ts").cast("timestamp")), "v")
+
+
+@query(f"WITH {_READINGS} SELECT user_id, ts, round(quantile_cont(v, 0.5) {_FRAME}, 6) AS trailing FROM rd")
+def trailing_median(spark, sf_dir):
+    return _trailing(spark, sf_dir).select("user_id", "ts", F.round("median", 6).alias("trailing"))
+
+
+@query(f"""WITH {_READINGS}, t AS (SELECT *, quantile_cont(v, 0.5) {_FRAME} AS m, quantile_cont(v, 0.9) {_FRAME} AS p, count(v) {_FRAME} AS samples FROM rd)
+SELECT user_id, ts, samples, round(p, 6) AS p90, CASE WHEN v IS NULL OR m IS NULL THEN 'unavailable' WHEN m = 0 THEN CASE WHEN v = 0 THEN 'quiet' ELSE 'unavailable' END
+WHEN v / m >= 2.5 THEN 'veryBusy' WHEN v / m >= 1.5 THEN 'busy' WHEN v / m >= 0.5 THEN 'typical' ELSE 'quiet' END AS band FROM t""")
+def trailing_bands(spark, sf_dir):
+    return _trailing(spark, sf_dir).select("user_id", "ts", "samples", F.round("p90", 6).alias("p90"), sliding.band(F.col("v"), F.col("median")).alias("band"))
+
+
+#: Moved by 55 days, the events lie around the spring change, by 300 days around the autumn one.
+_MOVED = "mv AS (SELECT event_type, unnest([ts + INTERVAL 55 DAYS, ts + INTERVAL 300 DAYS]) AS local FROM events)"
+
+
+def _moved(spark, sf_dir) -> DataFrame:
+    ts = F.col("ts").cast("timestamp_ntz")
+    return table(spark, sf_dir, "events").select("event_type", F.explode(F.array(*(ts + F.make_dt_interval(F.lit(d)) for d in (55, 300)))).alias("local"))
+
+
+@query(f"""WITH {_MOVED}, d AS (SELECT event_type, CAST(local AS DATE) AS day, count(*) AS rows, count(DISTINCT hour(local)) AS hours, count(*) FILTER (WHERE timezone('America/New_York', timezone('America/New_York', local)) <> local) AS impossible_rows FROM mv GROUP BY 1, 2),
+e AS (SELECT *, CAST(date_diff('hour', timezone('America/New_York', CAST(day AS TIMESTAMP)), timezone('America/New_York', CAST(day + 1 AS TIMESTAMP))) AS INTEGER) AS expected_hours FROM d)
+SELECT e.event_type, e.day, e.rows, e.hours, expected_hours, least(24, expected_hours) - e.hours AS missing_hours, e.impossible_rows, p.rows AS rows_before, n.rows AS rows_after
+FROM e LEFT JOIN d p ON p.event_type = e.event_type AND p.day = e.day - 1 LEFT JOIN d n ON n.event_type = e.event_type AND n.day = e.day + 1""")
+def hour_audit(spark, sf_dir):
+    return counters.hour_audit(_moved(spark, sf_dir), "event_type", "local")
+
+
+@query(f"""WITH {_MOVED}, l AS (SELECT DISTINCT date_trunc('hour', local) AS local FROM mv)
+SELECT strftime(local, '%Y-%m-%dT%H') AS local_hour, strftime(timezone('UTC', timezone('America/New_York', local)), '%Y-%m-%dT%H') AS utc_hour FROM l WHERE NOT (local >= TIMESTAMP '2024-11-03 01:00' AND local < TIMESTAMP '2024-11-03 02:00')""")
+def dst_hours(spark, sf_dir):
+    """Hours around both changes; those of the doubled hour, where the two sides pick different ones, are tested by themselves."""
+    hours = _moved(spark, sf_dir).select(F.date_trunc("hour", "local").cast("timestamp_ntz").alias("local")).distinct()
+    hours = hours.where("not (local >= timestamp_ntz'2024-11-03 01:00:00' and local < timestamp_ntz'2024-11-03 02:00:00')")
+    return hours.select(F.date_format("local", "yyyy-MM-dd'T'HH").alias("local_hour"), F.date_format(parse.civil_to_utc(F.col("local")), "yyyy-MM-dd'T'HH").alias("utc_hour"))

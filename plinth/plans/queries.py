@@ -13,7 +13,6 @@ from plinth.plans import listings, rules, series, streams  # noqa: F401  (their
 from plinth.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 from plinth.sources import publish
 from plinth.sources import rows as sources
-from plinth.streaming import counts as streaming
 
 def _points(df: DataFrame, key: str) -> DataFrame:
     """Made-up coordinates from a key, inside the city box."""
@@ -767,36 +766,3 @@ def map_scalars(spark, sf_dir):
     x, y = geo.mercator(F.col("lat"), F.col("lon"))
     lat, _, zoom = geo.clamped_view(F.col("lat"), F.col("lon"), F.col("c_custkey") / 4.0)
     return c.select("c_custkey", F.round(x, 9).alias("x"), F.round(y, 9).alias("y"), lat.alias("view_lat"), zoom.alias("zoom"), geo.abbreviated(F.col("c_custkey")).alias("short"))
-
-
-# ------------------------------------------------------------------ streaming
-
-
-@query("""WITH w AS (SELECT event_type, time_bucket(INTERVAL '15 minutes', ts) AS slot, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
-SELECT * FROM w WHERE slot + INTERVAL 15 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 30 MINUTE""")
-def stream_window(spark, sf_dir):
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    folder = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(folder if _is_dir(spark, folder) else f"{sf_dir}/events.parquet*")
-    stream = stream.select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
-    out = streaming.run_available(streaming.grid(stream, ["event_type"], "ts", "value"), _folder(spark))
-    return out.select("event_type", F.col("slot").cast("timestamp_ntz").alias("slot"), "n", F.round("total", 4).alias("total"))
-
-
-@query(f"WITH {_DAILY}, s AS (SELECT *, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY day DESC) AS stops FROM dl) SELECT user_id, max(day) AS day, count(*) FILTER (WHERE stops = 0) AS fault_days FROM s GROUP BY 1")
-def stream_fault_state(spark, sf_dir):
-    daily, folder = _daily(spark, sf_dir), _folder(spark)
-    daily.write.parquet(f"{folder}/daily")
-    stream = streaming.source(spark, f"{folder}/daily", daily.schema)
-    return streaming.run_updates(streaming.fault_state(stream, "user_id", "day", "n"), folder, ["user_id"], "day")
-
-
-def _is_dir(spark, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
-def _folder(spark) -> str:
-    import uuid
-
-    return f"{graph.shared_folder(spark)}/stream-{uuid.uuid4().hex}"

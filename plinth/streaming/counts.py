@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,18 +51,18 @@ def upsert_latest(path: str, keys: Sequence[str], time: str):
         rest = [c for c in batch.columns if c not in keys]
         merged = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, *(c for c in sorted(rest) if c != time))).alias("_r")).select(*keys, "_r.*")
         merged.write.mode("overwrite").parquet(f"{path}/{number % 2}")
+        spark.range(number, number + 1).write.mode("overwrite").parquet(f"{path}/last-{number % 2}")
 
     return run
 
 
-def latest_of(spark: SparkSession, path: str, batches: int, schema) -> DataFrame:
-    """The newest rows after so many batches (an empty table before the first)."""
-    return spark.read.schema(schema).parquet(f"{path}/{(batches - 1) % 2}") if batches else spark.createDataFrame([], schema)
-
-
-def retained(stream: DataFrame, time: str, newest, days: int = 56) -> DataFrame:
-    """Rows of the last ``days`` before ``newest`` (a timestamp, or a Column); older ones leave the table that is carried on."""
-    return stream.where(F.col(time) >= F.lit(newest) - F.make_interval(days=F.lit(days)))
+def latest_of(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The newest rows after the last batch (an empty table before the first)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    told = [f"{path}/last-{k}" for k in (0, 1) if fs.exists(p.suffix(f"/last-{k}/_SUCCESS"))]
+    last = spark.read.schema("id long").parquet(*told).agg(F.max("id")).first()[0] if told else None
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).parquet(f"{path}/{last % 2}")
 
 
 def fault_state(daily: DataFrame, key: str = "key", day: str = "day", total: str = "total") -> DataFrame:
@@ -73,10 +74,11 @@ def fault_state(daily: DataFrame, key: str = "key", day: str = "day", total: str
 
     def step(name, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, run = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(frames)).sort_values(day, kind="stable")
-        for d, v in zip(rows[day], rows[total], strict=True):
-            if last is None or d > last:
-                last, run = d, 0 if pd.isna(v) or v != 0 else run + 1
+        rows = pd.concat(list(frames)).sort_values(day, kind="stable").drop_duplicates(day)
+        rows = rows if last is None else rows[rows[day] > last]
+        if len(rows):
+            ends = np.flatnonzero((rows[total].isna() | (rows[total] != 0)).to_numpy())
+            last, run = rows[day].iloc[-1], len(rows) - 1 - int(ends[-1]) if len(ends) else run + len(rows)
         state.update((last, run))
         yield pd.DataFrame({key: [name[0]], day: [last], "fault_days": [run]})
 
@@ -87,6 +89,4 @@ def run_updates(out: DataFrame, folder: str, keys: Sequence[str], time: str) ->
     """All input that is there now, in update mode, into the newest row of each key under ``folder``; a later call goes on where this one ended."""
     query = out.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(upsert_latest(f"{folder}/latest", keys, time)).trigger(availableNow=True).start()
     query.awaitTermination()
-    done = out.sparkSession.read.text(f"{folder}/state/commits").select(F.input_file_name().alias("f")).distinct()
-    last = done.select(F.max(F.regexp_extract("f", r"(\d+)$", 1).cast("int"))).first()[0]
-    return latest_of(out.sparkSession, f"{folder}/latest", 0 if last is None else last + 1, out.schema)
+    return latest_of(out.sparkSession, f"{folder}/latest", out.schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plinth.functions.parse import ZONE
 from plinth.functions.text import name_set
 from plinth.operators.identity import band_edges, components, shared_edges
 
@@ -68,3 +69,40 @@ def twin_problems(counts: DataFrame, index: DataFrame, measures: tuple[str, ...]
     for m in measures:
         differs = differs | ~F.col(m).eqNullSafe(F.col(f"rep_{m}"))
     return rows.where("not is_representative").join(rep, "serial").where(differs).select("serial", "id", *measures, *(f"rep_{m}" for m in measures))
+
+
+def twin_moments(counts: DataFrame, index: DataFrame, time: str = "ts", direction: str = "direction", value: str = "v") -> DataFrame:
+    """(serial, id, ts, direction, rep_value, twin_value, problem): where a twin's readings are not those of its representative, moment by moment.
+
+    ``problem`` is ``missing`` (the representative has a reading there, the twin none), ``extra`` (the other way round), ``repeated`` (one side has several) or ``differs``. Totals that agree by chance don't hide it.
+    """
+    c = F.col
+    legs = counts.join(index, counts["sensor_id"] == index["id"]).groupBy("serial", "id", "is_representative", time, direction).agg(F.sum(value).alias("v"), F.count("*").alias("n"))
+    twins = index.where("not is_representative").select("serial", "id")
+    rep = legs.where("is_representative").select("serial", time, direction, c("v").alias("rep_value"), c("n").alias("rep_n")).join(twins, "serial")
+    twin = legs.where("not is_representative").select("serial", "id", time, direction, c("v").alias("twin_value"), c("n").alias("twin_n"))
+    both = rep.join(twin, ["serial", "id", time, direction], "full")
+    problem = F.when(c("twin_n").isNull(), "missing").when(c("rep_n").isNull(), "extra").when((c("rep_n") > 1) | (c("twin_n") > 1), "repeated").when(~c("rep_value").eqNullSafe(c("twin_value")), "differs")
+    return both.select("serial", "id", time, direction, "rep_value", "twin_value", problem.alias("problem")).where("problem is not null")
+
+
+def recomputed_moments(published: DataFrame, counts: DataFrame, index: DataFrame, zone: str = ZONE, time: str = "ts", value: str = "v") -> DataFrame:
+    """(serial, observed_at, problem, count, found): published counters (serial, observed_at, count) that the raw rows contradict.
+
+    ``observed_at`` is an instant and raw times are wall-clock, so the instant is brought to the zone before rows are looked up. At that moment the representative's readings over all directions must
+    sum to the count, and the readings of all of a counter's sensors to as many times that sum as it has sensors. Without rows of the representative the moment is ``no rows``; counters without an instant make no claim.
+    """
+    c = F.col
+    sensors = index.groupBy("serial").agg(F.count("*").alias("sensors"))
+    claims = published.where(c("observed_at").isNotNull()).select("serial", "observed_at", "count", F.from_utc_timestamp("observed_at", zone).alias("_at")).join(sensors, "serial", "left")
+    # the instants of the claims bound what is read of the rows
+    rows = counts.join(index, counts["sensor_id"] == index["id"]).select("serial", "is_representative", c(time).cast("timestamp").alias("_at"), c(value).alias("v"))
+    at = claims.select("serial", "_at").distinct()
+    sums = rows.join(at, ["serial", "_at"], "left_semi").groupBy("serial", "_at").agg(F.sum(F.when(c("is_representative"), c("v"))).alias("rep"), F.coalesce(F.sum("v"), F.lit(0)).alias("every"))
+    got = claims.join(sums, ["serial", "_at"], "left")
+    found = [
+        (c("rep").isNull(), "no rows", F.lit(None).cast("long")), (c("rep").isNotNull() & ~c("count").eqNullSafe(c("rep")), "count is not the representative's", c("rep")),
+        (c("rep").isNotNull() & (c("every") != c("rep") * c("sensors")), "twins do not repeat it", c("every")),
+    ]
+    each = F.array_compact(F.array(*(F.when(cond, F.struct(F.lit(name).alias("problem"), value.alias("found"))) for cond, name, value in found)))
+    return got.select("serial", "observed_at", "count", F.explode(each).alias("p")).select("serial", "observed_at", "p.problem", "count", "p.found")

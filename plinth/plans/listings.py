@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plinth.functions import geo, text
-from plinth.operators import listing, nearest, publication, search
+from plinth.operators import clusters, listing, nearest, publication, search
 from plinth.plans.registry import query, table
 
 _NAME = r"trim(regexp_replace(regexp_extract(text, '^\s*(\S+\s+\S+\s+\S+)', 1), '[^\p{L} ]', '', 'g'))"
@@ -59,3 +59,11 @@ def nearest_pairs(spark, sf_dir):
     left = table(spark, sf_dir, "orders").select("o_orderkey", *at(F.col("o_orderkey")))
     right = table(spark, sf_dir, "supplier").select("s_suppkey", *at(F.col("s_suppkey") * 31))
     return nearest.nearest(left, right, "o_orderkey", "s_suppkey").select("o_orderkey", "s_suppkey", F.round("distance", 6).alias("distance"))
+
+
+@query()
+def cluster_tree(spark, sf_dir):
+    """Every cluster at every zoom with the label of its count; SQL has no greedy order, a version one after the other is the test."""
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select("c_custkey", (40.5 + k * 7919 % 4000 / 10000.0).alias("lat"), (-74.25 + k * 104729 % 5500 / 10000.0).alias("lon"))
+    return clusters.cluster_tree(points, "c_custkey").select("zoom", "cluster", "parent", "point_count", geo.abbreviated(F.col("point_count")).alias("label"), "lat", "lon")

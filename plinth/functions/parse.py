@@ -51,6 +51,12 @@ def world_point(lat: Column, lon: Column) -> Column:
     return F.when(~given, "missing_coordinates").when(~F.coalesce(inside, F.lit(False)), "invalid_coordinates").when((a == 0) & (b == 0), "zero_coordinates")
 
 
+def world_position(lat: Column, lon: Column, places: int = 7) -> tuple[Column, Column, Column]:
+    """(lat, lon, failure code): a point that can be published, to ``places`` decimals; NULL coordinates with a code."""
+    code = world_point(lat, lon)
+    return F.when(code.isNull(), F.round(number(lat), places)), F.when(code.isNull(), F.round(number(lon), places)), code
+
+
 def geojson_point(c: Column) -> tuple[Column, Column, Column]:
     """(lat, lon, failure code) of a GeoJSON Point as text."""
     g = F.from_json(c, "type string, coordinates array<double>", {"mode": "PERMISSIVE"})

@@ -81,6 +81,34 @@ def numbered(df: DataFrame, digest: Column, *order: Column) -> DataFrame:
     return inside.join(starts, ["digest", "_part"]).withColumn("occurrence", (F.col("_start") + F.col("_k")).cast("long")).select(*df.columns, "digest", "occurrence")
 
 
+def union_report(previous: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row (previous, fetched, merged, duplicates) of a union on keys: rows of either side beyond the first of their key are duplicates."""
+    both = previous.select(*keys, F.lit(0).alias("_new")).unionByName(new.select(*keys, F.lit(1).alias("_new")))
+    each = both.groupBy(*keys).agg(F.count_if(F.col("_new") == 0).alias("p"), F.count_if(F.col("_new") == 1).alias("n"))
+    got = each.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("previous"), F.coalesce(F.sum("n"), F.lit(0)).alias("fetched"), F.count("*").alias("merged"))
+    return got.withColumn("duplicates", F.col("previous") + F.col("fetched") - F.col("merged"))
+
+
+def occurrence_report(rows: DataFrame, record: Column) -> DataFrame:
+    """One row (digests, repeats, collisions) of numbered rows: repeats are rows kept beyond the first of their digest, a collision is a digest that stands for different records."""
+    each = rows.groupBy("digest").agg(F.count("*").alias("n"), (F.min(record) != F.max(record)).alias("differs"))
+    return each.agg(F.count("*").alias("digests"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeats"), F.count_if("differs").alias("collisions"))
+
+
+def without_collisions(rows: DataFrame, record: Column) -> DataFrame:
+    """``rows``, refused if a digest stands for different records: their ids would be the same."""
+    if n := occurrence_report(rows, record).first().collisions:
+        raise ValueError(f"{n} digests stand for different records")
+    return rows
+
+
+def unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``df``, refused with some of the keys if any occurs more than once."""
+    if found := duplicate_keys(df, keys).limit(5).collect():
+        raise ValueError(f"{', '.join(keys)} not unique: " + "; ".join(", ".join(str(r[k]) for k in keys) for r in found))
+    return df
+
+
 def twin_groups(df: DataFrame, member: str, measures: Sequence[str]) -> DataFrame:
     """(measures, first, member): members whose measures are all equal, a row each, under the smallest; nothing is gathered, so a group may be of any size."""
     groups = df.groupBy(*measures).agg(F.min(member).alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")

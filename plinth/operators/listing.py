@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -86,8 +87,15 @@ def by_zoom(points: DataFrame, areas: DataFrame, zoom: float, status: str, detai
     return points if zoom >= detail_zoom and status == wanted else areas.where("n > 0")
 
 
-def detail(df: DataFrame, key: str, value: str, query: Query | None = None) -> DataFrame:
-    """The row of an id, none if it is unknown or filtered out."""
+def most_surveyed(total: str = "total", years: str = "years_measured") -> list[Column]:
+    """The order of counts: largest total first, sites without one last, then the more years; the key comes after."""
+    return [F.desc_nulls_last(total), F.desc_nulls_last(years)]
+
+
+def detail(df: DataFrame, key: str, value: str, query: Query | None = None, pattern: str | None = None, longest: int = 64) -> DataFrame:
+    """The row of an id, none if it is unknown or filtered out. An id that is too long or not of the ``pattern`` is not looked for."""
+    if pattern is not None and (len(value) > longest or not re.fullmatch(pattern, value)):
+        return df.limit(0)
     cond = matches(query.filters) if query else None
     got = df.where(F.col(key) == value)
     return got if cond is None else got.where(cond)

@@ -53,3 +53,18 @@ def seasonal_ratio(df: DataFrame, keys: Sequence[str], month: Column, value: str
     """(keys, ratio): median reading in one month over the median in another."""
     got = df.groupBy(*keys).agg(F.percentile(F.when(month == high, F.col(value)), F.lit(0.5)).alias("h"), F.percentile(F.when(month == low, F.col(value)), F.lit(0.5)).alias("l"))
     return got.where("l > 0 and h is not null").select(*keys, (F.col("h") / F.col("l")).alias("ratio"))
+
+
+def disagreements(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """(field, pairs, larger): groups of two rows, and of more, in which a field has different values; NULL is no value."""
+    each = df.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.coalesce(F.min(f) != F.max(f), F.lit(False)).alias(f"_d{i}") for i, f in enumerate(fields)))
+    one = each.agg(*(x for i in range(len(fields)) for x in (F.count_if(F.col(f"_d{i}") & (F.col("_n") == 2)).alias(f"p{i}"), F.count_if(F.col(f"_d{i}") & (F.col("_n") > 2)).alias(f"l{i}"))))
+    return one.select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"p{i}").alias("pairs"), F.col(f"l{i}").alias("larger")) for i, f in enumerate(fields)))))
+
+
+def odd_coordinates(df: DataFrame, key: str, lat: str, lon: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """(key, problem, lat, lon): rows whose coordinates are not both there (``missing``), no numbers (``unparseable``) or out of the box (``outside``), as they were read."""
+    a, b = F.expr(f"try_cast(trim(`{lat}`) AS double)"), F.expr(f"try_cast(trim(`{lon}`) AS double)")
+    inside = a.between(box[0], box[1]) & b.between(box[2], box[3])
+    problem = F.when(F.col(lat).isNull() | F.col(lon).isNull(), "missing").when(a.isNull() | b.isNull(), "unparseable").when(~inside, "outside")
+    return df.select(key, problem.alias("problem"), lat, lon).where("problem is not null")

@@ -42,6 +42,6 @@ def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return vocabulary.join(got, "code", "left").na.fill(0, ["primary", "also"])
 
 
-def tally(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
-    """One row with how many rows each condition holds for."""
-    return df.agg(F.count("*").alias("rows"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+def tally(df: DataFrame, conditions: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """How many rows there are and each condition holds for: one row, or one for each value of ``by``."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in conditions.items()))

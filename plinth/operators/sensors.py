@@ -49,6 +49,18 @@ def counter_index(counters: DataFrame) -> DataFrame:
     return counters.select(F.explode("sensor_ids").alias("id"), "serial", "representative").select("id", "serial", (F.col("id") == F.col("representative")).alias("is_representative"))
 
 
+def ambiguous_sensors(index: DataFrame) -> DataFrame:
+    """(id, serials): source sensors that more than one counter claims."""
+    return index.groupBy("id").agg(F.count_distinct("serial").alias("serials")).where("serials > 1")
+
+
+def unambiguous(index: DataFrame) -> DataFrame:
+    """``index``, refused if a sensor belongs to more than one counter: its readings would be counted for each."""
+    if found := ambiguous_sensors(index).limit(5).collect():
+        raise ValueError(f"sensors of several counters: {[r.id for r in found]}")
+    return index
+
+
 def routed(counts: DataFrame, index: DataFrame, mode: str = "pedestrian") -> DataFrame:
     """Count rows with their serial and ``reason`` (NULL for a row that counts): unknown sensor, wrong mode, bad time, missing count."""
     reason = F.when(F.col("serial").isNull(), "unknown_sensor").when(F.col("mode") != mode, "wrong_mode").when(F.col("ts").isNull(), "bad_timestamp").when(F.col("v").isNull(), "missing_count")

@@ -8,6 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions.geo import in_box
+from plinth.functions.parse import number
+from plinth.functions.text import normalise_text
+from plinth.operators.quality import Rule
+
 # Months of survey columns, their periods, the flat band of a trend and its least span in years.
 MONTHS = {"may": 5, "june": 6, "sept": 9, "oct": 10}
 PERIODS = {"am": "am", "md": "md", "pm": "pm", "p_m": "pm"}
@@ -85,6 +90,30 @@ def year_on_year(survey: DataFrame, site: str) -> DataFrame:
     return before.where("_b > 0").select(site, "month", "year", ((F.col("total") - F.col("_b")) / F.col("_b")).alias("change"))
 
 
+def change_profile(changes: DataFrame, change: str = "change") -> DataFrame:
+    """One row (intervals, median, p75) of the sizes of changes, whatever their sign."""
+    size = F.abs(change)
+    return changes.agg(F.count(change).alias("intervals"), F.percentile(size, F.lit(0.5)).alias("median"), F.percentile(size, F.lit(0.75)).alias("p75"))
+
+
+def newest_label(sites: DataFrame, label: str, year: str = "last_year", measured: str = "years_measured") -> DataFrame:
+    """One row (label, year): the newest survey of any site; of sites with the same last year the one measured most often speaks, then the last label. NULL years don't speak."""
+    got = sites.where(F.col(year).isNotNull()).agg(F.max(F.struct(F.col(year).alias("y"), F.coalesce(F.col(measured), F.lit(0)).alias("m"), F.col(label).alias("l"))).alias("x"))
+    return got.select(F.col("x.l").alias("label"), F.col("x.y").alias("year"))
+
+
+def site_rules(loc: str = "loc", street: str = "street", geometry: str = "geometry") -> list[Rule]:
+    """Rules of a survey site, in order of precedence: no identity, no geometry, another shape than a point, coordinates that are no numbers, a point out of the city."""
+    shape, none = F.from_json(geometry, "type string, coordinates array<string>"), F.col(geometry).isNull()
+    lon, lat = number(F.get(shape["coordinates"], F.lit(0))), number(F.get(shape["coordinates"], F.lit(1)))
+    point = F.coalesce(shape["type"], F.lit("")) == "Point"
+    numbers = F.coalesce((F.size(shape["coordinates"]) == 2) & lat.isNotNull() & lon.isNotNull(), F.lit(False))
+    return [
+        Rule("missing_identity", normalise_text(F.col(loc)).isNull() | normalise_text(F.col(street)).isNull()), Rule("missing_geometry", none), Rule("unsupported_geometry", ~none & ~point, shape["type"]),
+        Rule("unparseable_coordinates", point & ~numbers), Rule("out_of_bounds", point & numbers & ~in_box(lat, lon), F.concat_ws(",", lat, lon)),
+    ]
+
+
 def bars(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Each value's share of its key's peak, and whether it is the first or last."""
     w = Window.partitionBy(key)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import geo, ids, parse, text
 from plinth.operators import cohorts, contracts, counters, graph, identity, listing, profile, publication, quality, search, sensors, surveys, validate
-from plinth.plans import listings, rules, series, streams  # noqa: F401  (their queries register themselves)
+from plinth.plans import listings, records, rules, series, streams  # noqa: F401  (their queries register themselves)
 from plinth.plans.registry import QUERIES, SQL, query, table  # noqa: F401
 from plinth.sources import publish
 from plinth.sources import rows as sources
@@ -53,9 +53,9 @@ def parse_scalars(spark, sf_dir):
     )
 
 
-@query("SELECT o_orderkey, 'ord-' || substr(sha1(CAST(o_custkey AS VARCHAR) || '|' || o_orderpriority), 1, 12) AS short_id, 'sf-' || substr(sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus), 1, 24) AS long_id FROM orders")
+@query("SELECT o_orderkey, 'ord-' || substr(sha1(CAST(o_custkey AS VARCHAR) || '|' || o_orderpriority), 1, 12) AS short_id, 'rep-' || substr(sha256(CAST(o_orderkey AS VARCHAR) || '|' || o_orderstatus), 1, 24) AS long_id FROM orders")
 def stable_ids(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select("o_orderkey", ids.short_id("ord-", F.col("o_custkey"), F.col("o_orderpriority")).alias("short_id"), ids.long_id("sf-", F.col("o_orderkey"), F.col("o_orderstatus")).alias("long_id"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", ids.short_id("ord-", F.col("o_custkey"), F.col("o_orderpriority")).alias("short_id"), ids.long_id("rep-", F.col("o_orderkey"), F.col("o_orderstatus")).alias("long_id"))
 
 
 @query("""SELECT event_id, strftime(ts, '%H') || ':' || printf('%02d', (minute(ts) // 15) * 15) AS bucket, lower(strftime(ts, '%a')) AS day,
@@ -330,34 +330,34 @@ def data_edges(spark, sf_dir):
 # ------------------------------------------------------------------ surveys
 
 
-_PERIOD = {"1-URGENT": "am", "3-MEDIUM": "md", "5-LOW": "pm"}
-_CELLS = "c AS (SELECT o_custkey % 50 AS site, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN month(o_orderdate) <= 6 THEN 5 ELSE 9 END AS month, CASE o_orderpriority WHEN '1-URGENT' THEN 'am' WHEN '3-MEDIUM' THEN 'md' WHEN '5-LOW' THEN 'pm' END AS period, count(*) AS value FROM orders WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM', '5-LOW') GROUP BY ALL)"
+_PERIOD = {"1-URGENT": "am", "2-HIGH": "am", "3-MEDIUM": "md", "4-NOT SPECIFIED": "pm", "5-LOW": "pm"}
+_CELLS = "c AS (SELECT o_custkey % 50 AS site, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN month(o_orderdate) <= 6 THEN 5 ELSE 9 END AS month, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'am' WHEN '2' THEN 'am' WHEN '3' THEN 'md' ELSE 'pm' END AS period, count(*) AS value FROM orders GROUP BY ALL)"
 
 
 def _wide(spark, sf_dir) -> DataFrame:
     """Orders as a wide survey table: one column a (year, month, period)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin(*_PERIOD)).select(
+    o = table(spark, sf_dir, "orders").select(
         (F.col("o_custkey") % 50).alias("site"), F.year("o_orderdate").alias("y"), F.when(F.month("o_orderdate") <= 6, "may").otherwise("sept").alias("m"), text.recode(F.col("o_orderpriority"), _PERIOD).alias("p"))
-    names = [f"{m}_{y:02d}_{p}" for y in range(92, 99) for m in ("may", "sept") for p in ("am", "md", "pm")]
+    names = [f"{m}_{y:02d}_{p}" for y in [*range(92, 100), *range(8)] for m in ("may", "sept") for p in ("am", "md", "pm")]
     name = F.concat("m", F.lit("_"), F.lpad((F.col("y") % 100).cast("string"), 2, "0"), F.lit("_"), "p")
     return o.withColumn("k", name).groupBy("site").pivot("k", names).count()
 
 
 def _survey(spark, sf_dir) -> DataFrame:
     wide = _wide(spark, sf_dir)
-    columns = {c: (y - 100, m, p) for c, (y, m, p) in surveys.survey_columns(wide.columns).items()}  # 19xx
+    columns = {c: (y - 100 if y > 2090 else y, m, p) for c, (y, m, p) in surveys.survey_columns(wide.columns).items()}  # 19xx
     return surveys.surveys(surveys.to_rows(wide, ["site"], columns), ["site"])
 
 
 _SURVEY = f"{_CELLS}, s AS (SELECT site, year, month, max(value) FILTER (WHERE period = 'am') AS am, max(value) FILTER (WHERE period = 'md') AS md, max(value) FILTER (WHERE period = 'pm') AS pm FROM c GROUP BY ALL), sv AS (SELECT *, coalesce(am, 0) + coalesce(md, 0) + coalesce(pm, 0) AS total, am IS NOT NULL AND md IS NOT NULL AND pm IS NOT NULL AS complete FROM s)"
 
 
-@query(f"WITH {_SURVEY} SELECT site, year, month, am, md, pm, total, complete FROM sv WHERE year BETWEEN 1992 AND 1998")
+@query(f"WITH {_SURVEY} SELECT site, year, month, am, md, pm, total, complete FROM sv")
 def unpivot_surveys(spark, sf_dir):
     return _survey(spark, sf_dir)
 
 
-@query(f"""WITH {_SURVEY}, v AS (SELECT * FROM sv WHERE complete AND year BETWEEN 1992 AND 1998), m AS (SELECT site, arg_min(month, year * 12 + month) AS month FROM v GROUP BY 1),
+@query(f"""WITH {_SURVEY}, v AS (SELECT * FROM sv WHERE complete), m AS (SELECT site, arg_min(month, year * 12 + month) AS month FROM v GROUP BY 1),
 p AS (SELECT v.site, min(year) AS fy, max(year) AS ly, arg_min(total, year) AS f, arg_max(total, year) AS l FROM v JOIN m USING (site, month) GROUP BY 1), q AS (SELECT d.site, p.* EXCLUDE (site), coalesce(ly - fy >= 5 AND f > 0, false) AS ok FROM (SELECT DISTINCT site FROM sv) d LEFT JOIN p USING (site))
 SELECT site, CASE WHEN ok THEN fy END AS first_year, CASE WHEN ok THEN ly END AS last_year, CASE WHEN ok THEN f END AS first_total, CASE WHEN ok THEN l END AS last_total, CASE WHEN ok THEN l - f END AS change,
 CASE WHEN NOT ok THEN 'insufficient' WHEN l - f > 0.15 * f THEN 'rising' WHEN l - f < -0.15 * f THEN 'falling' ELSE 'flat' END AS trend FROM q""")
@@ -365,12 +365,12 @@ def survey_trend(spark, sf_dir):
     return surveys.comparable(_survey(spark, sf_dir), "site")
 
 
-@query(f"WITH {_SURVEY} SELECT site, year, month, total, complete FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY year DESC, month DESC) AS k FROM sv WHERE year BETWEEN 1992 AND 1998) WHERE k = 1")
+@query(f"WITH {_SURVEY} SELECT site, year, month, total, complete FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY year DESC, month DESC) AS k FROM sv) WHERE k = 1")
 def latest_survey(spark, sf_dir):
     return surveys.latest(_survey(spark, sf_dir), "site").select("site", "year", "month", "total", "complete")
 
 
-@query(f"WITH {_SURVEY}, b AS (SELECT *, lag(total) OVER (PARTITION BY site, month ORDER BY year) AS b FROM sv WHERE complete AND year BETWEEN 1992 AND 1998) SELECT site, month, year, round((total - b) / b, 6) AS change FROM b WHERE b > 0")
+@query(f"WITH {_SURVEY}, b AS (SELECT *, lag(total) OVER (PARTITION BY site, month ORDER BY year) AS b FROM sv WHERE complete) SELECT site, month, year, round((total - b) / b, 6) AS change FROM b WHERE b > 0")
 def year_on_year(spark, sf_dir):
     return surveys.year_on_year(_survey(spark, sf_dir), "site").withColumn("change", F.round("change", 6))
 
@@ -380,13 +380,13 @@ def series_monotone(spark, sf_dir):
     return surveys.not_rising(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "value", "event_id").select("user_id", "event_id")
 
 
-@query(f"WITH {_SURVEY} SELECT site, string_agg(year || '-' || month || ':' || coalesce(CAST(CASE WHEN complete THEN total END AS VARCHAR), 'x'), ',' ORDER BY year, month) AS series FROM sv WHERE year BETWEEN 1992 AND 1998 GROUP BY 1")
+@query(f"WITH {_SURVEY} SELECT site, string_agg(year || '-' || month || ':' || coalesce(CAST(CASE WHEN complete THEN total END AS VARCHAR), 'x'), ',' ORDER BY year, month) AS series FROM sv GROUP BY 1")
 def survey_series(spark, sf_dir):
     item = F.transform("series", lambda x: F.concat(x["year"].cast("string"), F.lit("-"), x["month"].cast("string"), F.lit(":"), F.coalesce(x["total"].cast("string"), F.lit("x"))))
     return surveys.series(_survey(spark, sf_dir), "site").select("site", F.concat_ws(",", item).alias("series"))
 
 
-@query(f"WITH {_SURVEY} SELECT site, year, month, round(total / max(total) OVER (PARTITION BY site), 6) AS share, row_number() OVER (PARTITION BY site ORDER BY year * 12 + month) = 1 AS is_first, row_number() OVER (PARTITION BY site ORDER BY year * 12 + month DESC) = 1 AS is_last FROM sv WHERE year BETWEEN 1992 AND 1998")
+@query(f"WITH {_SURVEY} SELECT site, year, month, round(total / max(total) OVER (PARTITION BY site), 6) AS share, row_number() OVER (PARTITION BY site ORDER BY year * 12 + month) = 1 AS is_first, row_number() OVER (PARTITION BY site ORDER BY year * 12 + month DESC) = 1 AS is_last FROM sv")
 def survey_bars(spark, sf_dir):
     got = surveys.bars(_survey(spark, sf_dir).withColumn("k", F.col("year") * 12 + F.col("month")), "site", "k", "total")
     return got.select("site", "year", "month", F.round("share", 6).alias("share"), "is_first", "is_last")
@@ -573,12 +573,12 @@ def latest_summary(spark, sf_dir):
     return publication.latest_view(table(spark, sf_dir, "orders"), ["o_orderkey"], "o_orderdate")[1]
 
 
-@query(f"""WITH {_SURVEY}, v AS (SELECT * FROM sv WHERE year BETWEEN 1992 AND 1998) SELECT site, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS years_measured FROM v GROUP BY 1""")
+@query(f"""WITH {_SURVEY}, v AS (SELECT * FROM sv) SELECT site, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS years_measured FROM v GROUP BY 1""")
 def site_years(spark, sf_dir):
     return publication.site_years(_survey(spark, sf_dir), "site")
 
 
-@query(f"""WITH {_SURVEY}, v AS (SELECT *, CASE month WHEN 5 THEN 'may' ELSE 'sept' END AS season FROM sv WHERE year BETWEEN 1992 AND 1998)
+@query(f"""WITH {_SURVEY}, v AS (SELECT *, CASE month WHEN 5 THEN 'may' ELSE 'sept' END AS season FROM sv)
 SELECT 'season' AS kind, 'may' AS value, count(*) FILTER (WHERE season = 'may') AS n FROM v UNION ALL SELECT 'season', 'sept', count(*) FILTER (WHERE season = 'sept') FROM v UNION ALL SELECT 'season', 'oct', 0 FROM (SELECT 1) UNION ALL SELECT 'measured', 'am', count(am) FROM v UNION ALL SELECT 'measured', 'md', count(md) FROM v UNION ALL SELECT 'measured', 'pm', count(pm) FROM v""")
 def survey_tallies(spark, sf_dir):
     v = _survey(spark, sf_dir).withColumn("season", F.when(F.col("month") == 5, "may").otherwise("sept"))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions.geo import in_box
-from plinth.operators.counters import LEAST_SAMPLES
-from plinth.operators.validate import WARNING, Check
+from plinth.functions.parse import count
+from plinth.functions.text import normalise_text
+from plinth.operators.counters import ACTIVITY, LEAST_SAMPLES
+from plinth.operators.surveys import column_drift
+from plinth.operators.validate import ERROR, WARNING, Check
 
 # What a level of foot traffic asserts, how far a ratio may be from its parts, the least records of a full run, and of a survey file.
 LEVELS_WITH_VOLUME = ("typical", "busy", "veryBusy")
@@ -111,3 +115,51 @@ def reconciled_cohorts(areas: DataFrame, points: DataFrame, coverage: DataFrame,
 def rings_closed(polygons: Column) -> Column:
     """Whether every ring of a MultiPolygon's nested arrays has four positions or more and ends where it starts."""
     return F.forall(F.flatten(polygons), lambda ring: (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1)))
+
+
+def latest(id_pattern: str, longest: int = 200) -> list[Check]:
+    """Rows (id, name, activity, staleness, active, count, expected, percentile, ratio, observationCount, observedAt) of the latest readings, as a loader takes them."""
+    c, seen = F.col, F.col("observedAt").isNotNull() & F.col("count").isNotNull()
+    among = lambda x, known: F.coalesce(c(x).isin(*known), F.lit(False))
+    wild = lambda x: c(x).isNotNull() & (F.isnan(c(x).cast("double")) | (F.abs(c(x).cast("double")) == float("inf")))
+    return [
+        Check("id has its pattern", ~F.coalesce(c("id").rlike(id_pattern), F.lit(False))), Check("name is there and not too long", ~F.coalesce(F.length(F.trim("name")).between(1, longest), F.lit(False))),
+        Check("activity is known", ~among("activity", ["unavailable", *(a for a, _ in ACTIVITY)])), Check("staleness is known", ~among("staleness", ["fresh", "stale", "offline", "unavailable"])), Check("active is said", c("active").isNull()),
+        Check("counts are not negative", (c("count") < 0) | (c("expected") < 0) | (c("observationCount") < 0)), Check("the number of observations is there", c("observationCount").isNull()),
+        Check("an activity has an observation", (c("activity") != "unavailable") & ~seen), Check("an observation has an activity", (c("activity") == "unavailable") & seen),
+        Check("percentile is from 0 to 100", ~c("percentile").between(0, 100)), Check("numbers are finite", wild("percentile") | wild("ratio")), Check("no ratio to nothing", c("ratio").isNotNull() & (c("expected") == 0)),
+    ]
+
+
+def too_many(df: DataFrame, most: int) -> DataFrame:
+    """One row (rows, most) if there are more than ``most`` rows, a limit of sanity for what a client loads; none otherwise."""
+    return df.limit(most + 1).agg(F.count("*").alias("rows")).withColumn("most", F.lit(most).cast("long")).where("rows > most")
+
+
+def tallies_differ(claimed: DataFrame, observed: DataFrame, value: str) -> DataFrame:
+    """(value, claimed, observed): what a report says of a vocabulary (value, n) against the rows themselves; absent is zero."""
+    seen = observed.groupBy(value).agg(F.count("*").alias("observed"))
+    both = claimed.select(value, F.col("n").alias("claimed")).join(seen, value, "full").na.fill(0, ["claimed", "observed"])
+    return both.where("claimed <> observed")
+
+
+def source_drift(df: DataFrame, consumed: Sequence[str], shape: str, boroughs: Sequence[str], groups: Sequence[str], index_values: Sequence[str], geometry: str = "the_geom", borough: str = "borough", index: str = "iex") -> DataFrame:
+    """(problem, severity, name, n): where a wide source is not what its reader took it for.
+
+    Columns of the ``shape`` (a regular expression) that were not consumed, and consumed ones that are gone; rows without geometry; cells, by column, that hold something that is no count; values of the borough
+    column that are neither boroughs nor known groups (drift), and groups (drift too, as published); values of the index column that are not known. Cells are looked at in one pass; a value without any row is no problem.
+    """
+    spark = df.sparkSession
+    present = [c for c in df.columns if re.fullmatch(shape, c)]
+    unhandled, vanished = column_drift(present, consumed)
+    known = "problem string, severity string, name string, n long"
+    out = spark.createDataFrame([("column not consumed", ERROR, c, 1) for c in unhandled] + [("column is gone", ERROR, c, 1) for c in vanished], known)
+    bad = lambda c: normalise_text(F.col(f"`{c}`")).isNotNull() & count(F.col(f"`{c}`")).isNull()
+    one = df.agg(F.count_if(F.col(geometry).isNull()).alias("g"), *(F.count_if(bad(c)).alias(f"b{i}") for i, c in enumerate(present)))
+    cell = lambda problem, name, n: F.struct(F.lit(problem).alias("problem"), F.lit(ERROR).alias("severity"), F.lit(name).alias("name"), F.col(n).alias("n"))
+    cells = one.select(F.inline(F.array(cell("no geometry", geometry, "g"), *(cell("not a count", c, f"b{i}") for i, c in enumerate(present))))).where("n > 0")
+    values = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.coalesce(normalise_text(F.col(c)), F.lit("<empty>")).alias("v")) for k, c in (("b", borough), ("i", index))))).alias("x")).groupBy("x.k", "x.v").agg(F.count("*").alias("n"))
+    k, v = F.col("k"), F.col("v")
+    problem = F.when((k == "b") & v.isin(*groups), "a group, not a borough").when((k == "b") & ~v.isin(*boroughs), "not a borough").when((k == "i") & ~v.isin(*index_values), "unknown index value")
+    said = values.select(problem.alias("problem"), F.when(k == "b", WARNING).otherwise(ERROR).alias("severity"), v.alias("name"), "n").where("problem is not null")
+    return out.unionByName(cells).unionByName(said)

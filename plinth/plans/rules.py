@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plinth.functions import parse
-from plinth.operators import graph, nested, sensors, validate
+from plinth.operators import contracts, graph, nested, sensors, validate
 from plinth.plans.registry import query, table
 from plinth.sources import publish
 
@@ -120,5 +120,53 @@ def period_manifest(spark, sf_dir):
     return publish.write_periods({"areas": o, "vacant": o}, _folder(spark), "cohort", "1996")
 
 
+_LATEST = """l AS (SELECT o_custkey AS k, count(*) AS c, max(o_orderdate) AS at FROM orders GROUP BY 1)"""
+
+
+@query(f"""WITH {_LATEST} SELECT unnest(['id has its pattern', 'name is there and not too long', 'activity is known', 'staleness is known', 'active is said', 'counts are not negative', 'the number of observations is there', 'an activity has an observation',
+'an observation has an activity', 'percentile is from 0 to 100', 'numbers are finite', 'no ratio to nothing']) AS "check", 'error' AS severity, unnest([count(*) FILTER (WHERE k % 101 = 0), count(*) FILTER (WHERE k % 103 = 0), count(*) FILTER (WHERE k % 107 = 0), count(*) FILTER (WHERE k % 109 = 0),
+count(*) FILTER (WHERE k % 113 = 0), count(*) FILTER (WHERE k % 127 = 0), count(*) FILTER (WHERE k % 131 = 0), count(*) FILTER (WHERE k % 137 = 0 AND (k % 139 <> 0 OR k % 107 = 0)), count(*) FILTER (WHERE k % 139 = 0 AND k % 137 <> 0 AND k % 107 <> 0), count(*) FILTER (WHERE k % 149 = 0), count(*) FILTER (WHERE k % 151 = 0),
+count(*) FILTER (WHERE k % 157 = 0)]) AS broken FROM l""")
+def latest_contract(spark, sf_dir):
+    """One row a counter, as a loader takes it, each rule broken by the multiples of a prime."""
+    k = F.col("o_custkey")
+    broken = lambda p: k % p == 0
+    got = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("c"), F.max("o_orderdate").alias("at"))
+    rows = got.select(
+        F.when(~broken(101), F.concat(F.lit("ctr-"), k.cast("string"))).alias("id"), F.when(broken(103), " ").otherwise("Bridge").alias("name"),
+        F.when(broken(107), "crowded").when(broken(139), "unavailable").otherwise("typical").alias("activity"), F.when(broken(109), "old").otherwise("fresh").alias("staleness"), F.when(~broken(113), F.lit(True)).alias("active"),
+        F.when(broken(127), -F.col("c")).otherwise(F.col("c")).alias("count"), F.when(broken(157), 0).otherwise(F.col("c")).alias("expected"), F.when(broken(149), 100.5).otherwise(50.0).alias("percentile"),
+        F.when(broken(151), float("inf")).otherwise(1.0).alias("ratio"), F.when(~broken(131), F.col("c")).alias("observationCount"), F.when(~broken(137), F.col("at")).alias("observedAt"),
+    )
+    return validate.run_checks(rows, contracts.latest("^ctr-[0-9]+$"))
+
+
+_SITES = """s AS (SELECT o_custkey AS k, CAST(count(*) FILTER (WHERE year(o_orderdate) = 1996) AS VARCHAR) AS a, CAST(count(*) FILTER (WHERE year(o_orderdate) = 1997) AS VARCHAR) AS b FROM orders GROUP BY 1)"""
+
+
+@query(f"""WITH {_SITES}, x AS (SELECT 'column not consumed' AS problem, 'error' AS severity, 'may97am' AS name, 1 AS n UNION ALL SELECT 'column is gone', 'error', 'may_95_am', 1
+UNION ALL SELECT 'no geometry', 'error', 'the_geom', count(*) FILTER (WHERE k % 40 = 0) FROM s UNION ALL SELECT 'not a count', 'error', 'may_96_am', count(*) FILTER (WHERE k % 50 = 3) FROM s UNION ALL SELECT 'not a count', 'error', 'may97am', count(*) FILTER (WHERE k % 60 = 7) FROM s
+UNION ALL SELECT 'a group, not a borough', 'warning', 'River Bridges', count(*) FILTER (WHERE k % 6 = 2) FROM s UNION ALL SELECT 'not a borough', 'warning', CASE k % 6 WHEN 3 THEN 'Nowhere' ELSE '<empty>' END, count(*) FROM s WHERE k % 6 > 2 GROUP BY 3
+UNION ALL SELECT 'unknown index value', 'error', 'Q', count(*) FILTER (WHERE k % 90 = 0) FROM s) SELECT * FROM x WHERE n > 0""")
+def source_drift(spark, sf_dir):
+    k, year = F.col("o_custkey"), lambda y: F.count_if(F.year("o_orderdate") == y).cast("string")
+    wide = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(year(1996).alias("a"), year(1997).alias("b"))
+    wide = wide.select(
+        F.when(k % 40 != 0, F.lit("{}")).alias("the_geom"), F.when(k % 50 == 3, "x").when(k % 50 == 4, "N/A").otherwise(F.col("a")).alias("may_96_am"), F.when(k % 60 == 7, "-1").otherwise(F.col("b")).alias("may97am"),
+        F.when(k % 6 == 0, "Bronx").when(k % 6 == 1, "Queens").when(k % 6 == 2, "River Bridges").when(k % 6 == 3, "Nowhere").when(k % 6 == 4, "").alias("borough"), F.when(k % 90 == 0, "Q").when(k % 2 == 0, "Y").otherwise("N").alias("iex"),
+    )
+    return contracts.source_drift(wide, ["may_96_am", "may_95_am"], r"may_?\d\d_?(am|md|pm)", ["Bronx", "Queens"], ["River Bridges"], ["Y", "N"])
+
+
+@query("SELECT CASE o_orderstatus WHEN 'F' THEN 'falling' WHEN 'O' THEN 'rising' ELSE 'flat' END AS trend, count(*) + CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS claimed, count(*) AS observed FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderstatus UNION ALL SELECT 'sideways', 4, 0")
+def tallies_differ(spark, sf_dir):
+    """A report's tallies, two of them off and one of a trend that no row has."""
+    t = F.col("o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(F.when(t == "F", "falling").when(t == "O", "rising").otherwise("flat").alias("trend"))
+    off = F.when(F.col("trend") == "falling", 2).when(F.col("trend") == "flat", 1).otherwise(0)
+    claimed = rows.groupBy("trend").agg(F.count("*").alias("n")).withColumn("n", F.col("n") + off)
+    return contracts.tallies_differ(claimed.unionByName(spark.createDataFrame([("sideways", 4)], "trend string, n long")), rows, "trend")
+
+
 def _folder(spark) -> str:
     return f"{graph.shared_folder(spark)}/published-{uuid.uuid4().hex}"

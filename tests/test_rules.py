@@ -6,7 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from plinth.operators import nested, sensors, validate
+from plinth.operators import contracts, nested, sensors, validate
 from plinth.sources import publish
 
 SURVEY = {"year": 2010, "month": 5, "label": "May 2010", "am": 1, "md": None, "pm": 3, "total": 4, "complete": False}
@@ -132,3 +132,31 @@ def test_periods_have_folders_and_the_default_none(spark, tmp_path):
         with pytest.raises(ValueError):
             publish.write_periods({"areas": bad}, str(tmp_path / "other"), "cohort", default)
     assert not (tmp_path / "other").exists()
+
+
+LATEST = {"id": "ctr-1", "name": "Bridge", "activity": "typical", "staleness": "fresh", "active": True, "count": 4, "expected": 4, "percentile": 50.0, "ratio": 1.0, "observationCount": 9, "observedAt": datetime(2026, 9, 1)}
+
+
+@pytest.mark.parametrize(("changed", "rules"), [
+    ({}, set()), ({"activity": "unavailable", "observedAt": None, "count": None, "percentile": None, "ratio": None}, set()), ({"id": None}, {"id has its pattern"}), ({"name": " "}, {"name is there and not too long"}), ({"activity": "crowded"}, {"activity is known"}),
+    ({"staleness": None}, {"staleness is known"}), ({"active": None}, {"active is said"}), ({"expected": -1}, {"counts are not negative"}), ({"observationCount": None}, {"the number of observations is there"}), ({"observedAt": None}, {"an activity has an observation"}),
+    ({"activity": "unavailable"}, {"an observation has an activity"}), ({"percentile": -0.1}, {"percentile is from 0 to 100"}), ({"ratio": float("nan")}, {"numbers are finite"}), ({"expected": 0}, {"no ratio to nothing"}),
+])
+def test_latest_rules(spark, changed, rules):
+    schema = "id string, name string, activity string, staleness string, active boolean, count long, expected long, percentile double, ratio double, observationCount long, observedAt timestamp"
+    assert broken(spark, [LATEST | changed, LATEST], schema, contracts.latest("^ctr-[0-9]+$")) == dict.fromkeys(rules, 1)
+
+
+def test_limits_and_tallies(spark):
+    df = spark.createDataFrame([("rising",), ("rising",), ("flat",)], "trend string")
+    assert contracts.too_many(df, 3).count() == 0 and tuple(contracts.too_many(df, 2).first()) == (3, 2)
+    claimed = spark.createDataFrame([("rising", 2), ("flat", 2), ("falling", 0)], "trend string, n long")
+    assert [tuple(r) for r in contracts.tallies_differ(claimed, df, "trend").collect()] == [("flat", 2, 1)]
+
+
+def test_drift_of_a_clean_source_is_none(spark):
+    df = spark.createDataFrame([("{}", "3", None, "Bronx", "Y"), ("{}", "N/A", "0", "Bronx", "Y")], "the_geom string, may_07_am string, may_07_pm string, borough string, iex string")
+    drift = lambda d: {(r.problem, r.name, r.n) for r in contracts.source_drift(d, ["may_07_am", "may_07_pm"], r"may_\d\d_(am|pm)", ["Bronx"], ["Bridges"], ["Y"]).collect()}
+    assert drift(df) == set()
+    assert drift(df.union(spark.createDataFrame([(None, "-1", "2", "Bridges", None)], df.schema))) == {("no geometry", "the_geom", 1), ("not a count", "may_07_am", 1), ("a group, not a borough", "Bridges", 1), ("unknown index value", "<empty>", 1)}
+    assert drift(df.withColumnRenamed("may_07_pm", "may_08_pm")) == {("column not consumed", "may_08_pm", 1), ("column is gone", "may_07_pm", 1)}

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from plinth.operators.graph import store
 
-#: Different places of a cell, the most halvings made for it, halvings a round, and cells that may be broadcast.
-MOST, HALVINGS, STEP, BROADCAST_CELLS = 32, 40, 2, 100_000
+#: Different places of a cell, the most halvings made for it, and cells that may be broadcast.
+MOST, HALVINGS, BROADCAST_CELLS = 8, 40, 100_000
 
 
 def nearest(left: DataFrame, right: DataFrame, a: str, b: str, x: str = "x", y: str = "y") -> DataFrame:
@@ -33,7 +33,7 @@ def nearest(left: DataFrame, right: DataFrame, a: str, b: str, x: str = "x", y:
 
     depth = 0
     while depth < HALVINGS and (places.groupBy(cell("x", box.x, depth), cell("y", box.y, depth)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > MOST:
-        depth += STEP
+        depth += 1
     gridded = places.select(cell("x", box.x, depth).alias("cx"), cell("y", box.y, depth).alias("cy"), "x", "y", b)
     boxes = store(gridded.groupBy("cx", "cy").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")))
     beyond = lambda p, low, high: F.greatest(low - p, F.lit(0.0), p - high)
@@ -42,15 +42,18 @@ def nearest(left: DataFrame, right: DataFrame, a: str, b: str, x: str = "x", y:
     least = beyond(c("px"), c("x0"), c("x1")) ** 2 + beyond(c("py"), c("y0"), c("y1")) ** 2
     most = corner(c("px"), c("x0"), c("x1")) ** 2 + corner(c("py"), c("y0"), c("y1")) ** 2
     mine = Window.partitionBy(a)
-    held = points.select("*", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
-    for level in range(STEP, depth + 1, STEP):
+    # points stay where their key puts them, so levels whose cells are broadcast follow each other without an exchange
+    held = points.repartition(a).select("*", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    for level in range(1, depth + 1):
         up = depth - level
         parts = boxes.groupBy(F.shiftright("cx", up).alias("nx"), F.shiftright("cy", up).alias("ny")).agg(*(f(k).alias(k) for f, k in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))))
-        parts = parts.select("*", F.shiftright("nx", STEP).alias("cx"), F.shiftright("ny", STEP).alias("cy"))
-        parts = F.broadcast(parts) if 4**level <= BROADCAST_CELLS else parts
+        parts = parts.select("*", F.shiftright("nx", 1).alias("cx"), F.shiftright("ny", 1).alias("cy"))
+        small = 4**level <= BROADCAST_CELLS
+        parts = F.broadcast(parts) if small else parts
         seen = held.join(parts, ["cx", "cy"]).select(a, "px", "py", "nx", "ny", least.alias("least"), most.alias("most"))
         seen = seen.withColumn("bound", F.min("most").over(mine)).where("least <= bound")
-        held = store(seen.select(a, "px", "py", c("nx").alias("cx"), c("ny").alias("cy")))
+        held = seen.select(a, "px", "py", c("nx").alias("cx"), c("ny").alias("cy"))
+        held = held if small else store(held)
     distance = (c("px") - c("x")) ** 2 + (c("py") - c("y")) ** 2
     best = held.join(gridded, ["cx", "cy"]).groupBy(a).agg(F.min(F.struct(distance.alias("d"), c(b))).alias("best"))
     return best.select(a, c(f"best.{b}").alias(b), F.sqrt("best.d").alias("distance"))

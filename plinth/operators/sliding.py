@@ -1,7 +1,7 @@
 """Exact percentiles over sliding windows of time, in time that grows with rows and the logarithm of different values.
 
 Readings of a key are cut into blocks as long as the window. A reading goes to its own block and, as history, to the next one, so a block's group holds all that its windows can reach,
-and a long or hot key is many groups. In a group the readings lie in the order of time, and the windows are ranges of that order.
+and a long or hot key is many groups; keys with few readings share one (by a hash). In a group the readings lie in the order of key and time, and the windows are ranges of that order.
 A wavelet matrix over the ranks of their values answers all ranges at once: for each bit of a rank it keeps how many zeros come before each place, and a range is narrowed bit by bit to the
 k-th smallest rank. Nothing is sorted or summed anew for a window.
 """
@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Groups of keys in each block of time.
+GROUPS = 256
+
 # Lower bounds of a reading's ratio to its trailing median, by level.
 BANDS = (("veryBusy", 2.5), ("busy", 1.5), ("typical", 0.5), ("quiet", 0.0))
 
@@ -74,17 +77,26 @@ def trailing(readings: DataFrame, keys: Sequence[str], seconds: Column, value: s
     def run(t: pa.Table) -> pa.Table:
         when, asked = t.column("_at").to_numpy(), np.flatnonzero(t.column("_past").to_numpy() == 0)
         number = t.column(value).cast(pa.float64()).to_numpy()
+        code = np.zeros(len(when), np.int64)
+        for k in keys:
+            # codes stay below the number of rows after each column
+            kind = np.asarray(t.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1)).astype(np.int64) + 1
+            code = np.unique(code * (kind.max(initial=0) + 1) + kind, return_inverse=True)[1]
+        # a key's times lie within two windows, so keys that are further apart never meet
+        low = int(when.min()) if len(when) else 0
+        line = code * (4 * length) + (when - low)
         there = np.flatnonzero(~np.isnan(number))
-        order = there[np.argsort(when[there], kind="stable")]
-        line = when[order]
-        a, b = np.searchsorted(line, when[asked] - length), np.searchsorted(line, when[asked])
+        order = there[np.argsort(line[there], kind="stable")]
+        at = line[order]
+        a, b = np.searchsorted(at, line[asked] - length), np.searchsorted(at, line[asked])
         kept = t.take(pa.array(asked)).select(cols)
         for name, found in zip(names, percentiles_of_ranges(number[order], a, b, shares), strict=True):
             kept = kept.append_column(name, pa.array(found, pa.float64(), from_pandas=True))
         return kept.append_column("samples", pa.array(b - a, pa.int64()))
 
     added = [T.StructField(n, T.DoubleType()) for n in names] + [T.StructField("samples", T.LongType())]
-    got = own.unionByName(past).groupBy(*keys, "_block").applyInArrow(run, T.StructType([*readings.schema.fields, *added]))
+    shared = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).alias("_group")
+    got = own.unionByName(past).groupBy(shared, "_block").applyInArrow(run, T.StructType([*readings.schema.fields, *added]))
     lost = at.where("_at is null").select(*cols, *(F.lit(None).cast("double").alias(n) for n in names), F.lit(0).cast("long").alias("samples"))
     return got.unionByName(lost)
 

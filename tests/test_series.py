@@ -22,8 +22,9 @@ def test_kth_of_every_range():
         assert got[1].tolist() == [int(v[x:y].min()) for x, y in zip(a, b, strict=True)]
 
 
-@pytest.mark.parametrize("days", [1, 56])
-def test_trailing_is_the_exact_percentile(spark, days):
+@pytest.mark.parametrize(("days", "groups"), [(1, 1), (56, 1), (56, 256)])
+def test_trailing_is_the_exact_percentile(spark, monkeypatch, days, groups):
+    monkeypatch.setattr(sliding, "GROUPS", groups)
     rng = random.Random(5)
     rows = [("a", rng.randrange(0, 200 * 86400) if rng.random() < 0.9 else 86400, rng.choice([0, 1, 5, 5, 40, 1118])) for _ in range(400)]
     rows += [("b", rng.randrange(-(10**7), 10**7), rng.randrange(50)) for _ in range(100)] + [("a", 5_000_000, None), ("c", None, 3), ("d", 7, 1)]

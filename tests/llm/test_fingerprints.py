@@ -109,3 +109,13 @@ def test_likeness_tells_edited_texts_from_others(spark):
     assert sum(r.near_edited > r.near_next for r in rows) > 0.97 * len(rows)
     mean = sum(r.near_edited for r in rows) / len(rows)
     assert 0.28 < mean < 0.42
+
+
+def test_a_text_longer_than_a_chunk(spark):
+    rng = random.Random(5)
+    long = " ".join(words(rng, 120_000))
+    got = {r.doc_id: r for r in fp.fingerprints(frame(spark, [(1, long), (2, long + " end"), (3, "short one")])).collect()}
+    assert got[1].n_chars == len(long) > 600_000 and got[2].near_next > 0.9
+    for i, before, after in ((1, long, "short one"), (3, "short one", long + " end")):
+        half = len(before) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((before[: len(before) - half] + after[:half]).encode()).hexdigest()

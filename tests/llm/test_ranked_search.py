@@ -99,3 +99,13 @@ def test_odd_rows(spark):
     assert [r.doc_id for r in got if r.doc_id in (4,)] == [4, 4] and [r.rank for r in sorted(got, key=lambda r: r.rank)] == list(range(1, len(got) + 1))
     assert rs.search(rs.build_index(frame(spark, [])), items).count() == 0
     assert rs.search(rs.build_index(frame(spark, [(1, "tiny")])), items.limit(0)).count() == 0
+
+
+def test_a_text_longer_than_a_shard(spark):
+    rng = random.Random(9)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(130_000))
+    docs = [(1, long), (2, "w1 w2 w3"), (3, long[:50_000]), (4, None)]
+    items = [(7, "w1 w2"), (8, long)]
+    index = _small_index(spark, frame(spark, docs, clash=True).repartition(1), 1000)
+    got = {tuple(r) for r in rs.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(long) > 600_000 and got == by_force(docs, items)

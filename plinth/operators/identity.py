@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,7 +147,62 @@ def shared_edges(df: DataFrame, node: str, items: str) -> DataFrame:
     return x.join(first, "item").where("a <> b").select("a", "b").distinct()
 
 
+def band_links(df: DataFrame, node: str, values: Sequence[str], width: float) -> DataFrame:
+    """(a, b): few of the edges of ``band_edges``, with the same components: about one a node, however dense a place is. For one or two values.
+
+    Nodes of one cell of that width are all within it, so they hang on the smallest of them. Two cells side by side are linked if the nodes of each that lie nearest to the other are: they agree within the width in the other
+    value. Two cells that meet at a corner need a node of each that is near enough in both values: along the first one, a node looks at the least second value of the nodes that it reaches there.
+    """
+    cols = ["x", "y"][: len(values)]
+    if len(cols) != len(values):
+        raise ValueError("one or two values")
+    rows = df.where(F.col(node).isNotNull()).select(F.col(node).alias("n"), *(F.col(v).cast("double").alias(c) for v, c in zip(values, cols, strict=True))).na.drop()
+    if len(cols) == 1:
+        rows = rows.withColumn("y", F.lit(0.0))
+    rows = graph.store(rows.select("n", "x", "y", F.floor(F.col("x") / width).cast("long").alias("cx"), F.floor(F.col("y") / width).cast("long").alias("cy")))
+    # of equal values the smallest node stands for all
+    ends = [f(F.struct(v, "n")).alias(f"{name}{v}") for v in ("x", "y") for f, name in ((F.min, "least_"), (F.max, "most_"))]
+    cells = graph.store(rows.groupBy("cx", "cy").agg(F.min("n").alias("first"), *ends))
+    out = rows.join(cells.select("cx", "cy", "first"), ["cx", "cy"]).where("n <> first").select(F.col("first").alias("a"), F.col("n").alias("b"))
+    for dx, dy, v in ((1, 0, "x"), (0, 1, "y")):
+        after = cells.select((F.col("cx") - dx).alias("cx"), (F.col("cy") - dy).alias("cy"), F.col(f"least_{v}").alias("q"))
+        met = cells.select("cx", "cy", F.col(f"most_{v}").alias("p")).join(after, ["cx", "cy"]).where(F.col(f"q.{v}") - F.col(f"p.{v}") <= width)
+        out = out.unionByName(met.select(F.least("p.n", "q.n").alias("a"), F.greatest("p.n", "q.n").alias("b")))
+    for up in (1, -1):
+        corner = cells.select("cx", "cy").join(cells.select((F.col("cx") - 1).alias("cx"), (F.col("cy") - up).alias("cy")), ["cx", "cy"])
+        low = rows.join(corner, ["cx", "cy"]).select("cx", "cy", (F.col("x") + width).alias("at"), (F.col("y") * up).alias("y"), "n", F.lit(1).alias("side"))
+        high = rows.select((F.col("cx") - 1).alias("cx"), (F.col("cy") - up).alias("cy"), F.col("x").alias("at"), (F.col("y") * up).alias("y"), "n", F.lit(0).alias("side")).join(corner, ["cx", "cy"])
+        reached = Window.partitionBy("cx", "cy").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+        seen = low.unionByName(high.select(*low.columns)).withColumn("q", F.min(F.when(F.col("side") == 0, F.struct("y", "n"))).over(reached))
+        met = seen.where((F.col("side") == 1) & (F.col("q.y") - F.col("y") <= width)).groupBy("cx", "cy").agg(F.min(F.struct(F.least("n", "q.n").alias("a"), F.greatest("n", "q.n").alias("b"))).alias("e"))
+        out = out.unionByName(met.select("e.a", "e.b"))
+    return out
+
+
 def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, component) of every node: the smallest node reachable over ``edges(a, b)``, itself where it has none."""
-    ids = nodes.select(F.col(node).alias("node")).distinct()
-    return ids.join(graph.components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    """(node, component) of every node: the smallest node reachable over ``edges(a, b)``, itself where it has none. A counted small graph is joined up in one task."""
+    ids, kept = nodes.select(F.col(node).alias("node")).distinct(), graph.store(edges.select("a", "b").where("a is not null and b is not null"))
+    if kept.count() <= graph.ONE_TASK:
+        kind = kept.schema["a"].dataType.simpleString()
+        found = kept.groupBy(F.lit(0).alias("_all")).applyInArrow(_joined_up, f"node {kind}, component {kind}")
+    else:
+        found = graph.components(kept)
+    return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _joined_up(edges: pa.Table) -> pa.Table:
+    """(node, component) of a bounded number of edges: each set of nodes hangs on its smallest."""
+    up: dict = {}
+
+    def root(n):
+        while up.setdefault(n, n) != n:
+            up[n] = up[up[n]]
+            n = up[n]
+        return n
+
+    for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+    kind = edges.schema.field("a").type
+    return pa.table({"node": pa.array(list(up), kind), "component": pa.array([root(n) for n in list(up)], kind)})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions.parse import ZONE
 from plinth.functions.text import name_set
-from plinth.operators.identity import band_edges, components, shared_edges
+from plinth.operators.identity import band_links, components, shared_edges
 
 ALIAS_DEGREES = 1e-4
 
@@ -32,7 +32,7 @@ def physical(groups: DataFrame, degrees: float = ALIAS_DEGREES) -> DataFrame:
 
     The canonical serial is the greatest; the name the shortest, then the first in order; the representative the smallest sensor id.
     """
-    edges = shared_edges(groups, "serial", "sensor_ids").union(band_edges(groups.where("lat is not null and lon is not null"), "serial", ["lat", "lon"], degrees))
+    edges = shared_edges(groups, "serial", "sensor_ids").union(band_links(groups.where("lat is not null and lon is not null"), "serial", ["lat", "lon"], degrees))
     same = components(groups.withColumnRenamed("serial", "node"), edges)
     joined = groups.join(same.withColumnRenamed("node", "serial"), "serial")
     one = joined.groupBy("component").agg(

@@ -124,7 +124,7 @@ def occurrence_ids(spark, sf_dir):
 r(node, other) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a) SELECT node, min(other) AS component FROM r GROUP BY 1""")
 def alias_clusters(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    return identity.components(s, identity.band_edges(s, "s_suppkey", ["s_acctbal"], 40.0), "s_suppkey")
+    return identity.components(s, identity.band_links(s, "s_suppkey", ["s_acctbal"], 40.0), "s_suppkey")
 
 
 @query("WITH u AS (SELECT o_custkey, count(*) AS n, CAST(sum(o_orderkey % 4) AS BIGINT) AS s FROM orders GROUP BY 1) SELECT n, s, min(o_custkey) AS first, unnest(list(o_custkey)) AS member FROM u GROUP BY 1, 2 HAVING count(*) > 1")

@@ -1,5 +1,7 @@
 """Refusals, rejections and single records."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,33 @@ def test_budgets_and_counts_refuse(spark):
         rows.within_budget(df, 4)
     with pytest.raises(ValueError):
         rows.reconciled(df, 6)
+
+
+@pytest.mark.parametrize(("dims", "spread", "one_task"), [(1, 30.0, 200_000), (2, 6.0, 200_000), (2, 2.0, 200_000), (2, 6.0, 0), (2, 0.3, 200_000)])
+def test_few_links_have_the_components_of_all_pairs(spark, monkeypatch, dims, spread, one_task):
+    rng = random.Random(dims * 7 + int(spread))
+    monkeypatch.setattr(identity.graph, "ONE_TASK", one_task)
+    rows = [(i, rng.uniform(-spread, spread), rng.uniform(-spread, spread)) for i in range(130)] + [(200, 1.0, None), (201, 0.5, 0.5), (202, 0.5, 0.5), (203, -0.5, 1.5)]
+    df = spark.createDataFrame(rows, "n long, x double, y double").repartition(3)
+    links = identity.band_links(df, "n", ["x", "y"][:dims], 0.5)
+    got = {r.node: r.component for r in identity.components(df, links, "n").collect()}
+    near = lambda p, q: all(a is not None and b is not None and abs(a - b) <= 0.5 for a, b in zip(p[1 : dims + 1], q[1 : dims + 1], strict=True))
+    want = {r[0]: r[0] for r in rows}
+    changed = True
+    while changed:
+        changed = False
+        for p in rows:
+            for q in rows:
+                if near(p, q) and want[q[0]] < want[p[0]]:
+                    want[p[0]], changed = want[q[0]], True
+    assert got == want and links.count() <= 4 * len(rows)
+    # every link is a pair of the band
+    by = {r[0]: r for r in rows}
+    assert all(near(by[r.a], by[r.b]) for r in links.collect())
+
+
+def test_components_of_texts(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("é", "z"), ("x", "x"), (None, "a")], "a string, b string")
+    nodes = spark.createDataFrame([(n,) for n in ("a", "b", "c", "x", "z", "é", "lone")], "node string")
+    assert {r.node: r.component for r in identity.components(nodes, edges).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "z": "z", "é": "z", "lone": "lone"}
+    assert {r.node: r.component for r in identity.components(nodes, edges.limit(0)).collect()} == {n: n for n in ("a", "b", "c", "x", "z", "é", "lone")}

@@ -131,3 +131,11 @@ def coverage_of_grid(readings: DataFrame, key: str, time: str, minutes: int = 15
     slot = F.floor(F.unix_seconds(F.col(time).cast("timestamp")) / (minutes * 60))
     got = readings.groupBy(key).agg(F.count_distinct(slot).alias("present"), (F.max(slot) - F.min(slot) + 1).cast("long").alias("expected"))
     return got.withColumn("share", F.col("present") / F.col("expected"))
+
+
+def value_profile(readings: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, zero_share, median, p90, p99, most) of each counter's readings; NULL readings are none, and a counter without any has n = 0 and no figures."""
+    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.99)))
+    got = readings.groupBy(key).agg(F.count(value).alias("n"), F.count_if(F.col(value) == 0).alias("_z"), p.alias("_p"), F.max(value).alias("most"))
+    share = F.when(F.col("n") > 0, F.col("_z") / F.col("n"))
+    return got.select(key, "n", share.alias("zero_share"), *(F.get("_p", F.lit(i)).alias(name) for i, name in enumerate(("median", "p90", "p99"))), "most")

@@ -56,3 +56,11 @@ def dst_hours(spark, sf_dir):
     hours = _moved(spark, sf_dir).select(F.date_trunc("hour", "local").cast("timestamp_ntz").alias("local")).distinct()
     hours = hours.where("not (local >= timestamp_ntz'2024-11-03 01:00:00' and local < timestamp_ntz'2024-11-03 02:00:00')")
     return hours.select(F.date_format("local", "yyyy-MM-dd'T'HH").alias("local_hour"), F.date_format(parse.civil_to_utc(F.col("local")), "yyyy-MM-dd'T'HH").alias("utc_hour"))
+
+
+@query("""WITH r AS (SELECT user_id, CAST(floor(value / 10) AS BIGINT) AS v FROM events) SELECT user_id, count(v) AS n, round(count(*) FILTER (WHERE v = 0) / count(v), 6) AS zero_share,
+round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.99), 6) AS p99, max(v) AS most FROM r GROUP BY 1""")
+def value_profile(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.floor(F.col("value") / 10).cast("long").alias("v"))
+    got = counters.value_profile(e, "user_id", "v")
+    return got.select("user_id", "n", *(F.round(c, 6).alias(c) for c in ("zero_share", "median", "p90", "p99")), "most")

@@ -54,3 +54,8 @@ def test_hours_of_the_days_of_change(spark):
         ("a", "2025-03-08"): (96, 24, 24, 0, 0, None, 92), ("a", "2025-03-09"): (92, 23, 23, 0, 0, 96, 92), ("a", "2025-03-10"): (92, 23, 24, 1, 0, 92, None),
         ("a", "2025-11-02"): (96, 24, 25, 0, 0, None, None), ("b", "2025-03-09"): (1, 1, 23, 22, 1, None, None),
     }
+
+
+def test_value_profile(spark):
+    df = spark.createDataFrame([("a", v) for v in (0, 0, 4, None, 8)] + [("b", None)], "k string, v long")
+    assert [tuple(r) for r in counters.value_profile(df, "k", "v").orderBy("k").collect()] == [("a", 4, 0.5, 2.0, pytest.approx(6.8), pytest.approx(7.88), 8), ("b", 0, None, None, None, None, None)]

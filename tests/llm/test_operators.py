@@ -478,6 +478,23 @@ def test_few_vectors_give_all(spark):
     assert ann.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["norms", "clusters"])
+def test_nearest_neighbours_of_any_rows_are_all_found(spark, kind):
+    rng = np.random.default_rng(4)
+    if kind == "norms":  # lengths from 1 to 10,000
+        x = rng.standard_normal((2400, 32)) * np.exp(1.5 * rng.standard_normal((2400, 1)))
+    else:  # a cluster far narrower than codewords are apart, equal vectors in it
+        x = np.where(np.arange(2400)[:, None] % 3 == 0, rng.standard_normal(32) + 1e-6 * rng.standard_normal((2400, 32)), rng.standard_normal((2400, 32)))
+        x[300:330] = x[300]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 2400, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        assert got[q] == np.lexsort((np.arange(2400), -s))[:20].tolist()
+
+
 # ---------------------------------------------------------------- op10
 
 

@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from plinth.operators import counters, sliding
+from plinth.plans import queries as plans
+from tests.oracle import assert_same, duck
 
 
 def test_kth_of_every_range():
@@ -39,6 +41,14 @@ def test_trailing_is_the_exact_percentile(spark, monkeypatch, days, groups):
             assert r.median is None and r.p90 is None
 
 
+@pytest.mark.parametrize("name", ["trailing_bands"])
+def test_readings_of_the_same_second(spark, tmp_path, name):
+    rng = random.Random(8)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=s, microseconds=u), rng.randrange(3), "view", float(rng.randrange(9))) for i, (s, u) in enumerate((s, u) for s in (0, 1, 2, 3, 4838400, 4838401) for u in (0, 200_000, 499_999, 500_000, 500_001, 900_000))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    assert_same(plans.QUERIES[name](spark, str(tmp_path)), duck(str(tmp_path)), plans.SQL[name])
+
+
 @pytest.mark.parametrize(("v", "m", "band"), [(4, 10, "quiet"), (5, 10, "typical"), (15, 10, "busy"), (25, 10, "veryBusy"), (0, 0, "quiet"), (3, 0, "unavailable"), (None, 4, "unavailable"), (4, None, "unavailable")])
 def test_bands(spark, v, m, band):
     assert spark.createDataFrame([(v, m)], "v long, m double" if m is None else "v long, m long").select(sliding.band(F.col("v"), F.col("m"))).first()[0] == band

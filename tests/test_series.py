@@ -41,7 +41,7 @@ def test_trailing_is_the_exact_percentile(spark, monkeypatch, days, groups):
             assert r.median is None and r.p90 is None
 
 
-@pytest.mark.parametrize("name", ["trailing_bands"])
+@pytest.mark.parametrize("name", ["trailing_median", "trailing_bands"])
 def test_readings_of_the_same_second(spark, tmp_path, name):
     rng = random.Random(8)
     rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=s, microseconds=u), rng.randrange(3), "view", float(rng.randrange(9))) for i, (s, u) in enumerate((s, u) for s in (0, 1, 2, 3, 4838400, 4838401) for u in (0, 200_000, 499_999, 500_000, 500_001, 900_000))]

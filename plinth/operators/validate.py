@@ -42,9 +42,15 @@ def refuses(report: DataFrame, strict: bool = False) -> bool:
 
 
 def key_difference(a: DataFrame, b: DataFrame, key: str, names: tuple[str, str] = ("left", "right")) -> DataFrame:
-    """(key, only_in): keys that one side lacks; empty for equal sets."""
-    x, y = a.select(key).distinct(), b.select(key).distinct()
-    return x.join(y, key, "left_anti").withColumn("only_in", F.lit(names[0])).unionByName(y.join(x, key, "left_anti").withColumn("only_in", F.lit(names[1])))
+    """(key, only_in): keys that one side lacks; empty for equal sets. NULL is equal to nothing, so each side lacks the other's.
+
+    One aggregation over both sides: a task holds its keys once, in one map that can spill, and sorts nothing.
+    """
+    both = a.select(key, F.lit(1).alias("_side")).unionByName(b.select(key, F.lit(2).alias("_side")))
+    sides = both.groupBy(key).agg(F.bit_or("_side").alias("_side"))
+    left, right = (F.lit(n) for n in names)
+    only = F.when(F.col("_side") == 1, F.array(left)).when(F.col("_side") == 2, F.array(right)).when(F.col(key).isNull(), F.array(left, right))
+    return sides.select(key, F.explode(only).alias("only_in"))
 
 
 def untraceable(published: DataFrame, source: DataFrame, key: str) -> DataFrame:

@@ -235,3 +235,14 @@ def test_fault_state_goes_on_over_runs(spark, tmp_path):
         stream = counts.source(spark, str(tmp_path / "in"), T._parse_datatype_string(schema))
         got = counts.run_updates(counts.fault_state(stream), str(tmp_path / "out"), ["key"], "day")
         assert {r.key: r.fault_days for r in got.collect()} == expected
+
+
+def test_key_difference_joins_nothing(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,), (None,), (5,)], "k int")
+    b = spark.createDataFrame([(2,), (3,), (3,), (None,), (None,), (2**40,)], "k long")
+    got = validate.key_difference(a, b, "k", ("a", "b"))
+    assert sorted(((r.k or -1, r.only_in) for r in got.collect())) == [(-1, "a"), (-1, "b"), (1, "a"), (3, "b"), (5, "a"), (2**40, "b")]
+    assert dict(got.dtypes) == {"k": "bigint", "only_in": "string"}
+    # one map of the keys a task: the joins of distinct keys held them four times, in two maps and two sorts
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan

@@ -403,7 +403,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, linked): ``pairs`` (a, b) of document ids, and whether their whole texts' shingle sets have a similarity of 0.75 or more."""
     ids = jobs.cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    texts = jobs.cut(jobs.semi(docs, ids, "doc_id").dropDuplicates(["doc_id"]))
+    # dealt by doc_id once: both joins read that one exchange, and texts are neither stored nor dealt again
+    texts = jobs.semi(docs, ids, "doc_id").dropDuplicates(["doc_id"])
     a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"{x}_text")) for x in "ab")
     return pairs.join(b, "b").join(a, "a").select("a", "b", "a_text", "b_text").mapInArrow(_verify, "a long, b long, linked boolean")
 

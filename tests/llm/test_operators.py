@@ -513,6 +513,23 @@ def components_by_force(docs, k=5):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_texts_of_pairs_are_dealt_once(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f g h {i % 2}") for i in (1, 2, 3, 3)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 3), (1, 2)], "a long, b long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = ngram_join.verified(docs, pairs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.a, r.b, r.linked) for r in got.collect()) == [(1, 2, False), (1, 3, True)]
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    # both joins read the exchange by doc_id that leaves one row of each, not a stored table that is dealt once more
+    assert "ReusedExchange" in plan and "Aggregate" in plan
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_near_copies_agree_with_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # families of several blocks

@@ -49,6 +49,20 @@ def test_readings_of_the_same_second(spark, tmp_path, name):
     assert_same(plans.QUERIES[name](spark, str(tmp_path)), duck(str(tmp_path)), plans.SQL[name])
 
 
+@pytest.mark.parametrize("name", ["trailing_median", "trailing_bands"])
+def test_windows_of_labels_around_a_change_of_the_clock_and_without_a_time(spark, tmp_path, name):
+    rng = random.Random(9)
+    # whole weeks before and after the change of 2024-03-10 in New York; 02:30 of that day is no time there
+    times = [datetime(2024, 3, 10) + timedelta(days=7 * w, hours=2, minutes=30 * m, microseconds=500_000 * (m % 2)) for w in (-8, -7, 0, 1, 7, 8) for m in range(-3, 4)] + [None]
+    rows = [(i, t, u, "view", None if t is None and u == 2 else float(rng.randrange(9))) for i, (u, t) in enumerate((u, t) for u in (0, 1, 2, None) for t in times)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert_same(plans.QUERIES[name](spark, str(tmp_path)), duck(str(tmp_path)), plans.SQL[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize(("v", "m", "band"), [(4, 10, "quiet"), (5, 10, "typical"), (15, 10, "busy"), (25, 10, "veryBusy"), (0, 0, "quiet"), (3, 0, "unavailable"), (None, 4, "unavailable"), (4, None, "unavailable")])
 def test_bands(spark, v, m, band):
     assert spark.createDataFrame([(v, m)], "v long, m double" if m is None else "v long, m long").select(sliding.band(F.col("v"), F.col("m"))).first()[0] == band

@@ -6,12 +6,14 @@ link's component exactly.
 
 Method. Sets whose sizes lie in one band ``(r/2, r]`` are compared in one instance of the enumeration; a set of which one a third larger lies in
 the next band takes part there too, so any two sets of similar enough size meet. In an instance the domain of shingles is partitioned by a hash into
-``n1 = r / 3`` first-level partitions of ``n2 = 3`` second-level ones each, and of each first-level one the subsets of two second-level ones are enumerated
+``n1 = r / 4`` first-level partitions of ``n2 = 2`` second-level ones each, and of each first-level one the subsets of one second-level one are enumerated
 (``k2 = 1``): a signature is the place and the whole content that a set has there. If J >= 3/4 for sets with ``a <= b`` elements, they differ in
-``d <= (a + b) / 7 <= a / 3`` elements. A difference takes away two signatures at most (two of the three subsets hold its part), so of a
-set's signatures that are not empty at most ``2 d`` are not the other's: the first ``2 (a / 3) + 1`` of them in *any* order shared by all sets are enough to share one.
-The shared order puts last what is made wholly of common shingles (those that recur within a task's documents, counted over all documents; the ``COMMON`` most
-frequent are told to all tasks). That only spares work: any order gives the same result. A set that has fewer signatures than that (a very small one) also emits the
+``d <= (a + b) / 7 <= a / 3`` elements. A difference takes away one signature at most (one of the two subsets holds its part), so of a
+set's signatures that are not empty at most ``d`` are not the other's: the first ``a / 3 + 1`` of them in *any* order shared by all sets are enough to share one.
+Subsets of two of three parts (``n2 = 3``) would lose two signatures to a difference, and so take twice as many of them to say the same.
+The shared order puts first what holds most shingles that are not common, and last what is made wholly of common ones (those that recur within a task's documents,
+counted over all documents; the ``COMMON`` most frequent are told to all tasks): the more such shingles, the fewer sets share it by chance.
+That only spares work: any order gives the same result. A set that has fewer signatures than that (a very small one) also emits the
 first ``a / 4 + 1`` of its single shingles, of which two linked sets share one, so two such sets meet as well.
 
 Documents that share a signature are a family. Each document has a name, the smallest hash of its shingles, and a family goes by the smallest name in it; so the
@@ -19,7 +21,7 @@ signatures of a group of near copies mostly make one family, however many they a
 Families are dealt into blocks of ``BLOCK``. Inside a block, documents are compared by their odd cells (a bit for each of some eight cells an
 element: whether the set has an odd number of elements there). Sets differ in at least as many elements as their cells, so no linked pair is
 ruled out. Of the pairs left only a spanning forest leaves the block, likeliest first; those pairs' whole texts are compared exactly, and verified links make
-components. Then what is not in a family's largest component is held against all of the family's blocks, and now *every* pair between different components that its
+components. A family of one block that has no other pair is done with. Then what is not in a family's largest component is held against all of the family's blocks, and now *every* pair between different components that its
 cells don't rule out is compared exactly. So no link between components is missed, no two documents that are joined already are compared, and as cells
 are close to the sets' own difference, few pairs are looked at in vain.
 
@@ -42,14 +44,15 @@ from plinth.llm import jobs
 from plinth.llm.kernels import _P, SPACE, U64, Tokens, mix, shingle_sets, signed, text_chunks
 
 SHINGLE = 5
-#: Second-level partitions of a first-level one (n2), and the subsets of them that are enumerated (all but k2 = 1).
-PARTS = 3
-SUBSETS = ((0, 1), (0, 2), (1, 2))
+#: Elements of a band's largest set to a first-level partition, and second-level partitions of one (n2); subsets of one of them are enumerated (k2 = 1).
+SPREAD, PARTS = 4, 2
+#: A signature's shingles that are not common count up to so many in the order.
+MOST = 5
 COMMON = 500_000
 RECURS = 3
 #: Members of a block of a family, and rows of a bucket of blocks.
 BLOCK, BUCKET_ROWS = 1024, 10_000
-BUCKET_CHARS, _CHUNK, _FLUSH = 5_000_000, 100_000, 800_000
+BUCKET_CHARS, _CHUNK, _FLUSH = 10_000_000, 100_000, 800_000
 _BLOB = pa.schema([("bucket", pa.int32()), ("rows", pa.binary())])
 
 
@@ -100,40 +103,36 @@ def signatures(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray,
     out: list[tuple[np.ndarray, np.ndarray]] = []
     thin = np.zeros(len(sets), bool)
     for tops in bands(n):
-        groups = np.where(tops > 0, np.maximum(1, tops // PARTS), 0)
-        first = np.cumsum(groups) - groups
+        parts = np.where(tops > 0, PARTS * np.maximum(1, tops // SPREAD), 0)
+        first = np.cumsum(parts) - parts
         ours = tops[owner] > 0
         of, el = owner[ours], every[ours]
-        at = PARTS * first[of] + (mix(el, 7) % (PARTS * groups[of]).astype(U64)).astype(np.int64)
-        part, full, rare = np.zeros(PARTS * int(groups.sum()), U64), np.zeros(PARTS * int(groups.sum()), bool), np.zeros(PARTS * int(groups.sum()), bool)
+        at = first[of] + (mix(el, 7) % parts[of].astype(U64)).astype(np.int64)
+        part, full = np.zeros(int(parts.sum()), U64), np.zeros(int(parts.sum()), bool)
         np.add.at(part, at, mix(el, 8))
         full[at] = True
-        rare[at[cold[ours]]] = True
-        part = np.where(full, mix(part, 1), U64(0)).reshape(-1, PARTS)
-        full, rare = full.reshape(-1, PARTS), rare.reshape(-1, PARTS)
-        doc = np.repeat(np.arange(len(sets)), groups)
+        rare = np.bincount(at, cold[ours], len(part)).astype(np.int64)
+        doc = np.repeat(np.arange(len(sets)), parts)
         where = (np.arange(len(doc)) - first[doc]).astype(U64) * U64(_P) + tops[doc].astype(U64) * U64(0xC2B2AE3D27D4EB4F)
-        sig = np.stack([mix(part[:, a] * U64(3) + part[:, b] * U64(5) + where, 7 * a + b) for a, b in SUBSETS], axis=1).ravel()
-        some = np.stack([full[:, a] | full[:, b] for a, b in SUBSETS], axis=1).ravel()
-        rare = np.stack([rare[:, a] | rare[:, b] for a, b in SUBSETS], axis=1).ravel()
-        doc, want = np.repeat(doc, len(SUBSETS)), 2 * (n // 3) + 1
-        keep = some & (_place(some & rare, some & ~rare, doc, len(sets)) < want[doc])
+        sig, doc, rare, want = mix(part + where, 7)[full], doc[full], rare[full], n // 3 + 1
+        keep = _place(rare, doc, len(sets)) < want[doc]
         out.append((sig[keep], doc[keep]))
-        thin |= (tops > 0) & (np.bincount(doc, some, len(sets)) < want)
+        thin |= (tops > 0) & (np.bincount(doc, minlength=len(sets)) < want)
     if thin.any():
         mine = thin[owner]
         el, doc, rare = every[mine], owner[mine], cold[mine]
-        keep = _place(rare, ~rare, doc, len(sets)) < n[doc] // 4 + 1
+        keep = _place(rare, doc, len(sets)) < n[doc] // 4 + 1
         out.append((mix(el[keep], 5), doc[keep]))
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def _place(early: np.ndarray, late: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
-    """Places from 0 within each document, ``early`` ones in their order and then ``late`` ones in theirs; ``doc`` rises."""
-    n = np.bincount(doc, early, docs).astype(np.int64)
-    m = np.bincount(doc, late, docs).astype(np.int64)
-    first, then = np.cumsum(early) - 1 - (np.cumsum(n) - n)[doc], np.cumsum(late) - 1 - (np.cumsum(m) - m)[doc] + n[doc]
-    return np.where(early, first, then)
+def _place(rare: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """Places from 0 within each document, by falling ``rare`` (up to MOST) and then as they stand; ``doc`` rises."""
+    order = np.argsort(doc * (MOST + 1) + MOST - np.minimum(rare, MOST), kind="stable")
+    n = np.bincount(doc, minlength=docs)
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    return out
 
 
 def _absent(s: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -364,7 +363,7 @@ def forest(i: np.ndarray, j: np.ndarray, key: np.ndarray, label: np.ndarray) ->
 
 
 def _near_pairs(thin: bool):
-    """(a, b) of each block's members in different components that may link: all such pairs, or a forest of them, likeliest first."""
+    """(a, b) of each block's members in different components that may link: all such pairs, or a forest of them, likeliest first, and (null, family) where that leaves some out."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("family", "ascending"), ("block", "ascending"), ("doc", "ascending")])
@@ -372,6 +371,7 @@ def _near_pairs(thin: bool):
         cells = table.column("cells").to_pylist()
         at = np.append(np.flatnonzero(np.concatenate(([True], (family[1:] != family[:-1]) | (block[1:] != block[:-1])))), len(doc))
         out: list[tuple[np.ndarray, np.ndarray]] = []
+        more: set[int] = set()
         for a, b in zip(at[:-1], at[1:], strict=True):
             ids, of, size, lives = doc[a:b], comp[a:b], n[a:b], home[a:b]
             if b - a < 2 or (of == of[0]).all():
@@ -379,10 +379,13 @@ def _near_pairs(thin: bool):
             i, j, least = possible(cells[a:b], size, lambda x, y, of=of, lives=lives: (of[x] != of[y]) & (lives[x] | lives[y]))  # noqa: B023
             if thin:
                 ok = forest(i, j, least / (size[i] + size[j]), np.unique(of, return_inverse=True)[1])
+                if len(ok) < len(i):
+                    more.add(int(family[a]))
                 i, j = i[ok], j[ok]
             out.append((ids[i], ids[j]))
         x, y = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 2
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        found = pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        return pa.concat_tables([found, pa.table({"a": pa.nulls(len(more), pa.int64()), "b": pa.array(sorted(more), pa.int64())})])
 
     return run
 
@@ -441,12 +444,13 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
     rows = jobs.store(members.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")))
     every, seen = F.sequence(F.lit(0), F.col("blocks") - 1), spark.createDataFrame([], "a long, b long, linked boolean")
 
-    def looked_at(dealt: DataFrame, thin: bool) -> DataFrame:
-        """``seen`` and the pairs of each family's blocks that may link; ``dealt`` is (family, doc, n, comp, own, block)."""
+    def looked_at(dealt: DataFrame, thin: bool) -> tuple[DataFrame, DataFrame]:
+        """``seen`` and the pairs of each family's blocks that may link, and the families of which there are more; ``dealt`` is (family, doc, n, comp, own, block)."""
         full = dealt.withColumn("home", F.col("own") == F.col("block")).join(cells, "doc")
         buckets = int(max(jobs.partitions(spark), dealt.count() // BUCKET_ROWS))
         found = full.select("family", "block", "doc", "comp", "n", "home", "cells").groupBy(F.pmod(F.xxhash64("family", "block"), F.lit(buckets)).alias("bucket")).applyInArrow(_near_pairs(thin), "a long, b long")
-        return jobs.cut(seen.union(verified(docs, jobs.cut(found.distinct().join(seen, ["a", "b"], "left_anti")))))
+        pairs = jobs.cut(found.distinct().join(seen, ["a", "b"], "left_anti"))
+        return jobs.cut(seen.union(verified(docs, pairs.where("a is not null")))), pairs.where("a is null").select(F.col("b").alias("family"))
 
     def apart(rows: DataFrame) -> DataFrame:
         """The members of families that are in several components, those of the largest in their own block, the others in all."""
@@ -456,12 +460,12 @@ def _links(docs: DataFrame, members: DataFrame) -> DataFrame:
         return now.join(main, "family").withColumn("block", F.explode(F.when(F.col("comp") == F.col("main"), F.array("own")).otherwise(every))).drop("main")
 
     # inside blocks, which all hold the family's first; then what is apart in families of several blocks; each time only what may join most
-    seen = looked_at(rows.withColumn("comp", F.col("doc")).withColumn("block", F.explode(F.when(F.col("doc") == F.col("hub"), every).otherwise(F.array("own")))), thin=True)
+    seen, more = looked_at(rows.withColumn("comp", F.col("doc")).withColumn("block", F.explode(F.when(F.col("doc") == F.col("hub"), every).otherwise(F.array("own")))), thin=True)
     wide = rows.where("blocks > 1")
     if wide.limit(1).count():
-        seen = looked_at(apart(wide), thin=True)
-    # every pair between different components that may link and has not been looked at
-    seen = looked_at(apart(rows), thin=False)
+        seen, _ = looked_at(apart(wide), thin=True)
+    # every pair between different components that may link and has not been looked at; of a family of one block that had no more than the forest, all were
+    seen, _ = looked_at(apart(wide.union(jobs.semi(rows.where("blocks = 1"), more, "family"))), thin=False)
     return seen.where("linked").select("a", "b")
 
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -580,6 +581,29 @@ def test_similar_sets_share_a_signature():
             assert len(ngram_join.possible(odd, np.array([len(x), len(y)]), lambda i, j: i < i + 1)[0]) == 1
 
 
+def test_signatures_are_a_third_of_the_shingles_and_few_sets_share_one_by_chance():
+    rng = np.random.default_rng(4)
+    every = rng.integers(0, 1 << 63, 40_000, dtype=np.uint64)
+    passage = every[:60]
+    # sets of 150 in one band, a passage of 60 shingles in each: J is about a quarter
+    sets = [np.unique(np.concatenate((passage, every[100 + 90 * i : 190 + 90 * i]))) for i in range(400)]
+    sig, of = ngram_join.signatures(sets, np.zeros(0, np.uint64))
+    assert np.bincount(of).max() <= 150 // 3 + 1
+    # what is known to be common goes last, and parts with most of the rest first: no signature is made of the passage alone
+    sig, of = ngram_join.signatures(sets, np.sort(passage))
+    assert len(np.unique(sig)) == len(sig)
+
+
+def test_families_tell_whether_the_forest_leaves_pairs_out():
+    s = [np.sort(np.random.default_rng(5).integers(0, 1 << 63, 60, dtype=np.uint64))] * 3 + [np.arange(60, dtype=np.uint64)]
+    cells = [cells_of(x).column(1)[0].as_py() for x in s]
+    rows = [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (3, 0), (3, 3)]  # three equal sets; two; two that can't link
+    table = pa.table({"family": [f for f, _ in rows], "block": [0] * 7, "doc": [10 * f + d for f, d in rows], "comp": [10 * f + d for f, d in rows], "n": [60] * 7, "home": [True] * 7, "cells": [cells[d] for _, d in rows]})
+    got = {thin: sorted((r["a"] or 0, r["b"]) for r in ngram_join._near_pairs(thin)(table).to_pylist()) for thin in (True, False)}
+    assert got[False] == [(10, 11), (10, 12), (11, 12), (20, 21)]
+    assert (0, 1) in got[True] and (0, 2) not in got[True] and (0, 3) not in got[True] and len(got[True]) == 4
+
+
 def cells_of(s):
     real, ngram_join._sets = ngram_join._sets, lambda batches: [(1, s)]
     try:
